@@ -6,8 +6,8 @@ instead of slot ranges, explicit joins instead of windows.
 
 from __future__ import annotations
 
-MINUTES = 30
-N = MINUTES * 60_000_000
+from portvigil.catalog.grids import COARSE, FINE, PORT, RANGE, Grid
+
 W = 12
 K = "ip_addr, cid, lid"
 
@@ -45,11 +45,11 @@ RAW = [
 ]
 
 
-def slot_time(idx: str, minutes: int = MINUTES) -> str:
+def slot_time(idx: str, minutes: int) -> str:
     return f"make_timestamp(({idx}) * {minutes * 60_000_000}::bigint)"
 
 
-def slot_idx(ts: str, minutes: int = MINUTES) -> str:
+def slot_idx(ts: str, minutes: int) -> str:
     n = f"{minutes * 60_000_000}::bigint"
     q, r = f"(epoch_us({ts}) // {n})", f"(epoch_us({ts}) % {n})"
     return f"({q} + case when 2 * {r} > {n} or (2 * {r} = {n} and {q} % 2 = 1) then 1 else 0 end)"
@@ -68,13 +68,13 @@ def complete(track: str) -> str:
     return " and ".join(f"{f} is not null" for f in FEATURES[track])
 
 
-def cleaned(p: str, track: str, source: str, train: bool) -> list[tuple[str, str]]:
+def cleaned(p: str, track: str, source: str, train: bool, minutes: int) -> list[tuple[str, str]]:
     """Steps from raw rows of ``source`` to interpolated rows, each a CTE prefixed with ``p``."""
     fs = FEATURES[track]
     cast = ", ".join(f"cast({f} as double) as {f}" for f in fs)
     desc = ", ".join(f"{f} desc" for f in fs)
     steps = [
-        (f"{p}slotted", f"select {K}, occur_date, {slot_idx('occur_date')} as s, {cast} from {source}"),
+        (f"{p}slotted", f"select {K}, occur_date, {slot_idx('occur_date', minutes)} as s, {cast} from {source}"),
         (
             f"{p}dedup",
             f"select {K}, s, {', '.join(fs)} from {p}slotted qualify row_number() over "
@@ -201,7 +201,7 @@ def judged(p: str, track: str, percentile: float) -> list[tuple[str, str]]:
     ]
 
 
-def fused(slope_threshold: float, rul_target: float) -> list[tuple[str, str]]:
+def fused(g: Grid) -> list[tuple[str, str]]:
     t, o = FEATURES["traffic"], FEATURES["optical"]
     sides = []
     for side, track, fs in (("a", "traffic", t), ("b", "optical", o)):
@@ -219,7 +219,7 @@ def fused(slope_threshold: float, rul_target: float) -> list[tuple[str, str]]:
     return [
         (
             "joined",
-            f"select {slot_time('coalesce(a.s, b.s)')} as occur_date, coalesce(a.ip_addr, b.ip_addr) as ip_addr, "
+            f"select {slot_time('coalesce(a.s, b.s)', g.minutes)} as occur_date, coalesce(a.ip_addr, b.ip_addr) as ip_addr, "
             f"coalesce(a.cid, b.cid) as cid, coalesce(a.lid, b.lid) as lid, {', '.join(sides)} "
             "from t_done a full join o_done b on a.ip_addr = b.ip_addr and a.cid = b.cid and a.lid = b.lid and a.s = b.s",
         ),
@@ -232,15 +232,15 @@ def fused(slope_threshold: float, rul_target: float) -> list[tuple[str, str]]:
         ),
         (
             "labelled",
-            f"select *, case when slope > {slope_threshold} then 'RISING' when slope < -{slope_threshold} "
+            f"select *, case when slope > {g.slope_threshold} then 'RISING' when slope < -{g.slope_threshold} "
             "then 'FALLING' else 'STABLE' end as slope_label, "
             "cast(case when severity >= 90 then 3 when severity >= 70 then 2 when severity >= 50 then 1 else 0 end as int) "
             "as alarm_level from decided",
         ),
         (
             "timed",
-            f"select *, case when slope_label = 'RISING' and severity < {rul_target} "
-            f"then cast(ceil(({rul_target} - severity) / slope) * {MINUTES} as double) end as ttf_minutes, "
+            f"select *, case when slope_label = 'RISING' and severity < {g.rul_target} "
+            f"then cast(ceil(({g.rul_target} - severity) / slope) * {g.minutes} as double) end as ttf_minutes, "
             "case alarm_level when 3 then 'CRITICAL' when 2 then 'MAJOR' when 1 then 'MINOR' else 'NORMAL' end as alarm_label "
             "from labelled",
         ),
@@ -254,3 +254,499 @@ def fused(slope_threshold: float, rul_target: float) -> list[tuple[str, str]]:
 def with_ctes(steps: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{name} as ({sql})" for name, sql in steps)
     return f"with {body}\n{final}"
+
+
+# --- what each query returns -----------------------------------------------------------------------
+
+TRACK_PREFIX = {"traffic": ("t_", "traffic_eth"), "optical": ("o_", "optical_all")}
+KEY_COLS = ["ip_addr", "cid", "lid"]
+TIMED = {g.minutes: f"{slot_time('s', g.minutes)} as occur_date, {K}" for g in (FINE, COARSE)}
+
+
+def training(track: str, g: Grid) -> list[tuple[str, str]]:
+    """Training rows before the cut-off, their scaler and scores."""
+    p, source = TRACK_PREFIX[track]
+    steps = [(f"{p}before", f"select r.* from {source} r, as_of where occur_date < cutoff")]
+    steps += cleaned(f"{p}train_", track, f"{p}before", True, g.minutes)
+    return steps + scaler(f"{p}train_", track) + scored(f"{p}train_", track)
+
+
+def track_steps(track: str, g: Grid) -> list[tuple[str, str]]:
+    p, source = TRACK_PREFIX[track]
+    steps = training(track, g) + cleaned(p, track, source, False, g.minutes)
+    return steps + scored(p, track) + judged(p, track, g.percentile)
+
+
+def chain(g: Grid) -> list[tuple[str, str]]:
+    return RAW + track_steps("traffic", g) + track_steps("optical", g) + fused(g)
+
+
+def on(track: str, final: str, g: Grid = FINE) -> str:
+    return with_ctes(RAW + track_steps(track, g), final)
+
+
+def over_results(final: str, g: Grid = COARSE, extra: list[tuple[str, str]] | None = None) -> str:
+    return with_ctes(chain(g) + (extra or []), final)
+
+
+def clean_of(track: str, final: str, train: bool = False) -> str:
+    p, source = TRACK_PREFIX[track]
+    return with_ctes(RAW + cleaned(p, track, source, train, FINE.minutes), final)
+
+
+def r(*columns: str, digits: int = 6) -> str:
+    """Columns rounded under their own names."""
+    return ", ".join(f"round({c}, {digits}) as {c}" for c in columns)
+
+
+TRACK_OUT = {
+    t: ["score", "severity", "slope", "threshold"] for t in FEATURES
+}
+PACKETS, POWERS = FEATURES["traffic"], FEATURES["optical"]
+TRACK_DOUBLES = [f"{t}_{c}" for t in FEATURES for c in TRACK_OUT[t]]
+STANDARD = ", ".join(
+    [
+        f"occur_date, {K}, {', '.join(PACKETS)}",
+        r(*POWERS, *TRACK_DOUBLES, "anomaly_score", "severity", "slope", "threshold"),
+        "is_traffic_anomaly, is_optical_anomaly, slope_label, is_anomaly, alarm_level, alarm_label, ttf_minutes, "
+        "expected_fatal_time, anomaly_reason",
+    ]
+)
+TEXT_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
+def text_time(c: str) -> str:
+    return TEXT_TIME.format(c) + f" as {c}"
+
+
+SNAPSHOT = ", ".join(
+    [
+        text_time("occur_date"),
+        "ip_addr, cid as slot_id, lid as port_id",
+        r("severity", "slope"),
+        "alarm_level, alarm_label, slope_label, ttf_minutes",
+        text_time("expected_fatal_time"),
+        "anomaly_reason, is_traffic_anomaly, is_optical_anomaly",
+    ]
+)
+HISTORY = ", ".join(
+    [
+        text_time("occur_date"),
+        ", ".join(PACKETS),
+        r(*POWERS, "anomaly_score", "threshold", "severity"),
+        "alarm_level, alarm_label, anomaly_reason",
+        r(*[f"{t}_{c}" for t in FEATURES for c in ("score", "threshold", "severity")]),
+        "is_traffic_anomaly, is_optical_anomaly",
+    ]
+)
+LATEST = "occur_date = (select max(occur_date) from results)"
+START, END = (f"timestamp '{t}'" for t in RANGE)
+OF_PORT = f"ip_addr = '{PORT[0]}' and cid = {PORT[1]} and lid = {PORT[2]}"
+
+
+def port_rows(days: int) -> str:
+    return f"{OF_PORT} and occur_date >= (select now - interval {days} day from as_of)"
+
+
+def quality_ports(source: str, condition: str) -> str:
+    return f"select {K} from {source} group by {K} having {condition}"
+
+
+CRITICAL = ("criticals", "select * from results where alarm_label = 'CRITICAL'")
+TRANSITIONS = [
+    CRITICAL,
+    (
+        "cycles",
+        "select occur_date, lead(occur_date) over (order by occur_date) as next_cycle "
+        "from (select distinct occur_date from results)",
+    ),
+    (
+        "transitions",
+        "select 'ALARM' as type, occur_date as event_time, ip_addr, cid as slot_id, lid as port_id, "
+        "alarm_label as severity, anomaly_reason as message from criticals union all "
+        "select 'CLEAR', next_cycle, ip_addr, cid, lid, null, 'Alarm cleared' from criticals c join cycles "
+        "using (occur_date) where next_cycle is not null and not exists (select 1 from criticals n where "
+        "n.ip_addr = c.ip_addr and n.cid = c.cid and n.lid = c.lid and n.occur_date = next_cycle)",
+    ),
+    (
+        "newest",
+        "select * from transitions qualify row_number() over (partition by ip_addr, slot_id, port_id "
+        "order by event_time desc) = 1",
+    ),
+]
+VERSIONS = [
+    (
+        "versions",
+        "select 'traffic' as track, 1::bigint as version, (select th from traffic_th) as threshold, "
+        "1.0::double as slope_threshold, 90.0::double as rul_target, "
+        "(select count(*) from t_train_scored) as samples_used "
+        "union all select 'optical', 1, (select th from optical_th), 1.0, 90.0, (select count(*) from o_train_scored) "
+        "union all select 'traffic', 2, (select th from traffic_th), "
+        f"{FINE.slope_threshold}, 90.0, (select count(*) from t_train_scored)",
+    ),
+    ("newest_versions", "select * from versions qualify row_number() over (partition by track order by version desc) = 1"),
+]
+SETTINGS_OUT = (
+    "track, version, round(threshold, 6) as threshold, slope_threshold, rul_target, "
+    f"{W}::int as window_size, samples_used"
+)
+AS_TEXT = (
+    "as_text",
+    "select case when error_packet = 3 then 'not a time' else strftime(occur_date, '%Y-%m-%d %H:%M:%S') end as occur_date, "
+    f"{K}, case when error_packet = 5 then 'n/a' else cast(tx_packet as varchar) end as tx_packet, rx_packet, "
+    "error_packet from traffic_eth",
+)
+SPLIT_DAYS = "cast(now as date)"
+
+
+def ttf_text(m: str) -> str:
+    h = f"cast(floor({m} / 60) as bigint)"
+    rest = f"cast(round({m} - {h} * 60) as bigint)"
+    return f"case when {m} is null then 'N/A' when {h} > 0 then {h} || 'h ' || {rest} || 'm' else {rest} || 'm' end"
+
+
+def zone(c: str) -> str:
+    return (
+        f"case when {c} >= 90 then 'CRITICAL' when {c} >= 70 then 'MAJOR' when {c} >= 50 then 'MINOR' "
+        f"else 'NORMAL' end"
+    )
+
+
+def series(columns: list[str]) -> str:
+    return " union all ".join(
+        f"select strftime(occur_date, '%Y-%m-%d %H:%M:%S') as occur_date, strftime(occur_date, '%H:%M') as label, "
+        f"'{c}' as series, round(cast({c} as double), 6) as value from shown"
+        for c in columns
+    )
+
+
+ORACLES: dict[str, str] = {
+    # sources
+    "scan_traffic": with_ctes(RAW, f"select * from traffic_eth where occur_date between {START} and {END}"),
+    "scan_optical": with_ctes(
+        RAW,
+        f"select occur_date, {K}, {r(*POWERS)} from optical_all where occur_date between {START} and {END}",
+    ),
+    "shard_prune": with_ctes(
+        RAW,
+        "select strftime(occur_date, '%Y-%m-%d-%H') as pm_hour, count(*) as rows from traffic_eth where "
+        f"date_trunc('hour', occur_date) between date_trunc('hour', {START}) and date_trunc('hour', {END}) group by 1",
+    ),
+    "shard_union": with_ctes(
+        RAW,
+        f"select occur_date, {K}, {', '.join(PACKETS)}, cast(null as double) as tx_avg_power, "
+        f"cast(null as double) as rx_avg_power from traffic_eth union all "
+        f"select occur_date, {K}, null, null, null, {', '.join(f'round({f}, 6)' for f in POWERS)} from optical_all",
+    ),
+    # projections, filters, splits
+    "project_alias": over_results(
+        f"select occur_date, ip_addr, cid as slot_id, lid as port_id, {r('severity')} from results"
+    ),
+    "project_standard": over_results(f"select {STANDARD} from results"),
+    "filter_signal_type": with_ctes(
+        RAW,
+        f"select occur_date, {K}, signal_type, error_packet as bbe_in_error, tx_packet as es, rx_packet as ses "
+        "from traffic_all where signal_type = 6",
+    ),
+    "filter_time_range": with_ctes(RAW, f"select * from traffic_eth where occur_date between {START} and {END}"),
+    "split_by_dates": with_ctes(
+        RAW,
+        "select t.*, 'train' as split from traffic_eth t, as_of where "
+        f"cast(occur_date as date) between {SPLIT_DAYS} - 37 and {SPLIT_DAYS} - 7 union all "
+        "select t.*, 'test' from traffic_eth t, as_of where "
+        f"cast(occur_date as date) between {SPLIT_DAYS} - 7 and {SPLIT_DAYS}",
+    ),
+    "split_by_cutoff": with_ctes(
+        RAW,
+        "select t.*, case when occur_date < cutoff then 'train' else 'test' end as split from traffic_eth t, as_of "
+        "where occur_date between now - interval 37 day and now",
+    ),
+    "split_counts": with_ctes(
+        RAW,
+        "select track, case when occur_date < cutoff then 'train' else 'test' end as split, count(*) as rows from "
+        "(select 'traffic' as track, occur_date from traffic_eth union all select 'optical', occur_date from optical_all), "
+        "as_of where occur_date between now - interval 37 day and now group by all",
+    ),
+    "min_sample_gate": with_ctes(
+        RAW,
+        f"select count(*) as rows, {W}::int as required, count(*) >= {W} as enough from traffic_eth, as_of "
+        "where occur_date < cutoff",
+    ),
+    "filter_severity": over_results(f"select {STANDARD} from results where alarm_level between 1 and 2"),
+    "filter_rising": over_results(f"select {STANDARD} from results where slope_label = 'RISING'"),
+    "filter_port_history": over_results(f"select {STANDARD} from results where {port_rows(7)}"),
+    "filter_anomalies": over_results(f"select {STANDARD} from results where is_anomaly", FINE),
+    "filter_critical": over_results(f"select {STANDARD} from results where alarm_label = 'CRITICAL'"),
+    "latest_in_batch": over_results(f"select {STANDARD} from results where {LATEST}"),
+    "latest_in_table": over_results(f"select {STANDARD} from results where {LATEST}", FINE),
+    "coerce_types": with_ctes(
+        RAW + [AS_TEXT],
+        f"select try_cast(occur_date as timestamp) as occur_date, {K}, try_cast(tx_packet as double) as tx_packet, "
+        "cast(rx_packet as double) as rx_packet, cast(error_packet as double) as error_packet from as_text "
+        "where try_cast(occur_date as timestamp) is not null",
+    ),
+    "coerce_quarantine": with_ctes(
+        RAW + [AS_TEXT],
+        f"select occur_date, {K}, rx_packet, error_packet from as_text where try_cast(occur_date as timestamp) is null",
+    ),
+    # cleaning
+    "slot_round": with_ctes(
+        RAW,
+        f"select occur_date, {K}, {slot_time(slot_idx('occur_date', FINE.minutes), FINE.minutes)} as slot from traffic_eth",
+    ),
+    "slot_tumbling": with_ctes(
+        RAW,
+        f"select {slot_time(slot_idx('occur_date', 15), 15)} as slot, count(*) as readings from optical_all group by 1",
+    ),
+    "dedup_last": clean_of("traffic", f"select {TIMED[30]}, {', '.join(PACKETS)} from t_dedup"),
+    "quality_min_rows": clean_of(
+        "traffic", quality_ports("t_dedup", f"count(*) filter (where {complete('traffic')}) >= {2 * W}")
+    ),
+    "quality_dead_channel": clean_of(
+        "optical",
+        quality_ports(
+            "o_dedup", "not bool_and(coalesce(tx_avg_power <= -39.9 and rx_avg_power <= -39.9, false))"
+        ),
+    ),
+    "quality_contaminated": clean_of(
+        "traffic",
+        quality_ports(
+            "t_dedup", "not bool_or(coalesce(error_packet > 1000 or tx_packet > 1e9 or rx_packet > 1e9, false))"
+        ),
+    ),
+    "quality_filter": clean_of("traffic", f"select {TIMED[30]}, {', '.join(PACKETS)} from t_kept", True),
+    "quality_filter_optical": clean_of("optical", f"select {TIMED[30]}, {r(*POWERS)} from o_kept", True),
+    "quality_semi": clean_of("traffic", f"select {TIMED[30]}, {', '.join(PACKETS)} from t_kept", True),
+    "transform_log1p": clean_of("traffic", f"select {TIMED[30]}, {r(*PACKETS)} from t_moved"),
+    "gap_fill": with_ctes(
+        RAW
+        + cleaned("t_", "traffic", "traffic_eth", False, FINE.minutes)[:2]
+        + [
+            (
+                "calendar",
+                f"select {K}, unnest(range(lo, hi + 1)) as s from "
+                f"(select {K}, min(s) as lo, max(s) as hi from t_dedup group by {K})",
+            )
+        ],
+        f"select {TIMED[30]}, {', '.join(PACKETS)} from calendar left join t_dedup using ({K}, s)",
+    ),
+    "interpolate_bounded": clean_of("optical", f"select {TIMED[30]}, {r(*POWERS)} from o_clean"),
+    "preprocess": clean_of("traffic", f"select {TIMED[30]}, {r(*PACKETS)} from t_clean"),
+    "preprocess_train": clean_of("traffic", f"select {TIMED[30]}, {r(*PACKETS)} from t_clean", True),
+    "port_time_bounds": clean_of(
+        "optical",
+        f"select {K}, {slot_time('min(s)', 30)} as first_slot, {slot_time('max(s)', 30)} as last_slot "
+        f"from o_dedup group by {K}",
+    ),
+    "robust_fit": with_ctes(
+        RAW + training("traffic", FINE) + training("optical", FINE),
+        " union all ".join(
+            f"select '{t}' as track, '{f}' as feature, round(cast(c_{f} as double), 6) as center, "
+            f"round(cast(d_{f} as double), 6) as scale from {t}_scaler"
+            for t in FEATURES
+            for f in FEATURES[t]
+        ),
+    ),
+    "robust_apply": on("traffic", f"select {TIMED[30]}, {r(*[f'z_{f}' for f in PACKETS])} from t_scaled"),
+    "null_mask": clean_of(
+        "optical",
+        f"select {TIMED[30]}, {', '.join(f'round(coalesce({f}, -40), 6) as {f}' for f in POWERS)}, "
+        f"not ({complete('optical')}) as any_null from o_clean",
+    ),
+    "sliding_windows": with_ctes(
+        RAW
+        + track_steps("traffic", FINE)
+        + [
+            (
+                "cut",
+                f"select *, first_value(z_tx_packet) over w as oldest_tx, sum({' + '.join(f'z_{f}' for f in PACKETS)}) over w "
+                f"as total from t_framed window w as (partition by {K} order by s rows between {W - 1} preceding and current row)",
+            )
+        ],
+        f"select {TIMED[30]}, cast(n as bigint) as slots, {r('oldest_tx')}, round(z_tx_packet, 6) as newest_tx, {r('total')} "
+        f"from cut where n = {W}",
+    ),
+    "sliding_12": on("optical", f"select {K}, count(*) as windows from o_scored group by {K}"),
+    # scoring
+    "score_window_mean": on("traffic", f"select {TIMED[30]}, {r('score')} from t_scored"),
+    "score_last_step_mse": on("optical", f"select {TIMED[30]}, {r('score')} from o_scored"),
+    "score_custom": on("traffic", f"select {TIMED[30]}, {r('score')} from t_scored"),
+    "score_window_mse": on("traffic", f"select {TIMED[30]}, {r('loss')} from t_scored"),
+    "threshold_percentile": with_ctes(
+        chain(FINE),
+        "select 'traffic' as track, round(th, 6) as threshold from traffic_th union all "
+        "select 'optical', round(th, 6) from optical_th",
+    ),
+    "samples_used": with_ctes(
+        chain(FINE),
+        "select 'traffic' as track, count(*) as samples_used from t_train_scored union all "
+        "select 'optical', count(*) from o_train_scored",
+    ),
+    "flag_anomaly": on("traffic", f"select {TIMED[30]}, {r('score', 'threshold')}, flag from t_judged"),
+    "severity": on("optical", f"select {TIMED[30]}, {r('severity')} from o_judged"),
+    "trend_slope": on("traffic", f"select {TIMED[30]}, {r('slope', digits=9)} from t_trend"),
+    "inverse_transform": on("traffic", f"select {TIMED[30]}, {', '.join(PACKETS)} from t_back"),
+    "reason_text": with_ctes(
+        chain(FINE),
+        f"select {TIMED[30]}, reason from t_done union all select {TIMED[30]}, reason from o_done",
+    ),
+    "score_track": on(
+        "traffic",
+        f"select {TIMED[30]}, {', '.join(PACKETS)}, "
+        + ", ".join(f"round({c}, 6) as traffic_{c}" for c in TRACK_OUT["traffic"])
+        + ", flag as is_traffic_anomaly, reason as traffic_reason from t_done",
+    ),
+    "score_track_optical": on(
+        "optical",
+        f"select {TIMED[30]}, {r(*POWERS)}, "
+        + ", ".join(f"round({c}, 6) as optical_{c}" for c in TRACK_OUT["optical"])
+        + ", flag as is_optical_anomaly, reason as optical_reason from o_done",
+    ),
+    # settings
+    "resolve_config": with_ctes(chain(FINE) + VERSIONS, f"select {SETTINGS_OUT} from newest_versions"),
+    "override_config": with_ctes(
+        chain(FINE) + VERSIONS,
+        f"select {SETTINGS_OUT} from newest_versions where track = 'traffic' union all "
+        "select track, version + 1, 0.25, slope_threshold, 80.0, 12, samples_used from newest_versions "
+        "where track = 'optical'",
+    ),
+    "model_status": with_ctes(
+        chain(FINE) + VERSIONS,
+        "select 'optical' as track, true as \"exists\", (select cutoff from as_of) as last_trained, "
+        "round(threshold, 6) as threshold, slope_threshold, cast(99.9 as double) as threshold_percentile, "
+        "10::int as patience, 16::int as latent_dim, samples_used from newest_versions where track = 'optical' "
+        "union all select 'traffic', false, null, 0.1, 1.0, 99.9, 10, 16, 0",
+    ),
+    "config_broadcast_join": with_ctes(
+        chain(FINE) + VERSIONS,
+        f"select {TIMED[30]}, track, round(score, 6) as score, round(threshold, 6) as threshold, slope_threshold from "
+        f"(select 'traffic' as track, {K}, s, score from t_scored union all select 'optical', {K}, s, score from o_scored) "
+        "join newest_versions using (track)",
+    ),
+    # joins and fusion
+    "fuse_tracks_join": with_ctes(
+        chain(FINE),
+        f"select {slot_time('s', 30)} as occur_date, {K}, a.tx_packet, a.rx_packet, a.error_packet, "
+        + ", ".join(f"round(a.{c}, 6) as traffic_{c}" for c in TRACK_OUT["traffic"])
+        + ", a.flag as is_traffic_anomaly, a.reason as traffic_reason, "
+        + ", ".join(f"round(b.{f}, 6) as {f}" for f in POWERS)
+        + ", "
+        + ", ".join(f"round(b.{c}, 6) as optical_{c}" for c in TRACK_OUT["optical"])
+        + f", b.flag as is_optical_anomaly, b.reason as optical_reason from t_done a full join o_done b using ({K}, s)",
+    ),
+    "fuse_defaults": over_results(
+        f"select occur_date, {K}, {', '.join(PACKETS)}, {r(*POWERS, *TRACK_DOUBLES)}, is_traffic_anomaly, "
+        "is_optical_anomaly, traffic_reason, optical_reason from joined",
+        FINE,
+    ),
+    "fuse_is_anomaly": over_results(f"select occur_date, {K}, is_anomaly from results", FINE),
+    "fuse_reason": over_results(f"select occur_date, {K}, anomaly_reason from results", FINE),
+    "fuse_dominant": over_results(
+        f"select occur_date, {K}, case when traffic_severity >= optical_severity then 'traffic' else 'optical' end "
+        f"as dominant, {r('anomaly_score', 'threshold', 'slope', 'severity')} from results",
+        FINE,
+    ),
+    "slope_label": over_results(f"select occur_date, {K}, slope_label from results", FINE),
+    "time_to_failure": over_results(f"select occur_date, {K}, ttf_minutes, expected_fatal_time from results", FINE),
+    "alarm_tier": over_results(f"select occur_date, {K}, alarm_level, alarm_label from results", FINE),
+    "detect": over_results(f"select {STANDARD} from results", FINE),
+    "detect_latest": over_results(f"select {STANDARD} from results where {LATEST}", FINE),
+    "recovered_keys_anti": over_results(
+        f"select distinct {K} from criticals where occur_date < {END} except "
+        f"select {K} from criticals where occur_date >= {END}",
+        FINE,
+        [CRITICAL],
+    ),
+    "known_alarm_probe": over_results(
+        f"select occur_date, {K}, anomaly_reason from criticals where occur_date >= {END}", FINE, [CRITICAL]
+    ),
+    # reports
+    "port_summary": over_results(
+        f"select {K}, cast(sum(n) as bigint) as anomalies, round(max(top), 6) as max_score, "
+        "max(case when place = 1 then anomaly_reason end) as primary_reason from ("
+        f"select {K}, anomaly_reason, count(*) as n, max(anomaly_score) as top, "
+        f"row_number() over (partition by {K} order by count(*) desc, anomaly_reason) as place "
+        f"from results where is_anomaly group by {K}, anomaly_reason) group by {K}",
+        FINE,
+    ),
+    "cycle_counts": over_results(
+        "select count(*) as processed, count(*) filter (where is_anomaly) as anomalies from results", FINE
+    ),
+    "counts_per_cycle": over_results(
+        "select occur_date, count(*) as processed, count(*) filter (where is_anomaly) as anomalies from results group by 1",
+        FINE,
+    ),
+    "kpi_counts": over_results(
+        "select count(*) filter (where alarm_level >= 1) as total_anomalies, "
+        f"count(*) filter (where alarm_level >= 3) as critical_alarms from results where {LATEST}"
+    ),
+    "max_slot": over_results("select max(occur_date) as max_slot from results", FINE),
+    "sort_canonical": over_results(
+        f"select {K}, occur_date, {r('severity')} from results order by {K}, occur_date"
+    ),
+    "current_anomalies": over_results(f"select {SNAPSHOT} from results where {LATEST}"),
+    "watchlist": over_results(
+        f"select {SNAPSHOT} from results where {LATEST} and alarm_level <= 2 and slope_label = 'RISING'"
+    ),
+    "active_criticals": over_results(
+        f"select 'ALARM' as type, {TEXT_TIME.format('occur_date')} as event_time, ip_addr, cid as slot_id, "
+        f"lid as port_id, anomaly_reason as message from results where {LATEST} and alarm_level >= 3"
+    ),
+    "port_history": over_results(f"select {HISTORY} from results where {port_rows(7)}"),
+    "top_alarms": over_results(
+        "select * from transitions where type = 'ALARM' qualify row_number() over (partition by ip_addr, slot_id, "
+        "port_id order by event_time desc) = 1 order by event_time desc, ip_addr, slot_id, port_id limit 30",
+        FINE,
+        TRANSITIONS,
+    ),
+    "paginate": over_results(
+        f"select occur_date, {K}, {r('severity')} from results "
+        f"order by round(severity, 6) desc, {K}, occur_date limit 10 offset 20",
+        FINE,
+    ),
+    "format_ttf": over_results(f"select occur_date, {K}, {ttf_text('ttf_minutes')} as ttf from results", FINE),
+    "format_times": over_results(
+        f"select {text_time('occur_date')}, {K}, {text_time('expected_fatal_time')} from results"
+    ),
+    "diagnose_port": on(
+        "traffic",
+        f"select {K}, case when error_packet > 100 then 'High Error Packets (' || error_packet || ' pkts)' "
+        "else 'Traffic Anomaly (TX: ' || tx_packet || ' pkts)' end as diagnosis from t_done "
+        f"qualify row_number() over (partition by {K} order by s desc) = 1",
+    ),
+    "diagnose_port_optical": on(
+        "optical",
+        f"select {K}, case when rx_avg_power <= -39.9 then 'Signal Lost (RX: -40dBm)' when rx_avg_power < -20 then "
+        f"'Weak Signal (RX: ' || {fixed('rx_avg_power', 2)} || 'dBm)' else 'Power Fluctuation (TX: ' || "
+        f"{fixed('tx_avg_power', 2)} || ', RX: ' || {fixed('rx_avg_power', 2)} || ')' end as diagnosis from o_done "
+        f"qualify row_number() over (partition by {K} order by s desc) = 1",
+    ),
+    "display_fields": over_results(
+        f"select {TEXT_TIME.format('occur_date')} as time, ip_addr, 'S' || cid || '/P' || lid as port, alarm_label, "
+        f"{fixed('severity', 1)} || '%' as severity, '+' || {fixed('slope', 2)} as trend, "
+        "case when coalesce(ttf_minutes, 0) = 0 then 'Calculating...' else "
+        f"{TEXT_TIME.format('expected_fatal_time')} || ' (' || {ttf_text('ttf_minutes')} || ' later)' end as expected "
+        f"from results where {LATEST}"
+    ),
+    "severity_zone": over_results(
+        f"select occur_date, {K}, {zone('traffic_severity')} as traffic_zone, {zone('optical_severity')} as optical_zone "
+        "from results",
+        FINE,
+    ),
+    "history_series": over_results(
+        series([c for t in FEATURES for c in (f"{t}_severity", f"{t}_score", f"{t}_threshold", *FEATURES[t])]),
+        COARSE,
+        [("shown", f"select * from results where {port_rows(30)}")],
+    ),
+    # alarms
+    "alarm_transitions": over_results("select * from transitions", FINE, TRANSITIONS),
+    "active_alarm_view": over_results("select * from newest where type = 'ALARM'", COARSE, TRANSITIONS),
+    "sink_alarm_json": over_results(
+        "select event_time, ip_addr, slot_id, port_id, '{\"type\":\"' || type || '\",\"event_time\":\"' || "
+        f"{TEXT_TIME.format('event_time')} || '\",\"ip_addr\":\"' || ip_addr || '\",\"slot_id\":' || slot_id || "
+        "',\"port_id\":' || port_id || case when severity is null then '' else ',\"severity\":\"' || severity || '\"' end || "
+        "',\"message\":\"' || message || '\"}' as value from transitions",
+        FINE,
+        TRANSITIONS,
+    ),
+}

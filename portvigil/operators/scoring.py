@@ -29,15 +29,15 @@ Scorer = Callable[[DataFrame, TrackSpec, int], DataFrame]
 def score_window_mean(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Each window rebuilt as its own mean.  Needs no trained model and no arrays."""
     errors = [F.col(z(f)) - F.avg(z(f)).over(trailing(window_size)) for f in spec.features]
-    scored = scaled.withColumn("score", mean_square(errors))
-    return complete_windows(scored, spec, window_size).select(*KEYS, "slot_idx", *spec.features, "score")
+    scored = complete_windows(scaled, spec, window_size, score=mean_square(errors))
+    return scored.select(*KEYS, "slot_idx", *spec.features, "score")
 
 
 def window_mean_loss(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Mean squared error over all slots of a window that is rebuilt as its mean."""
     spread = [F.var_pop(z(f)).over(trailing(window_size)) for f in spec.features]
     loss = sum(spread[1:], spread[0]) / len(spread)
-    return complete_windows(scaled.withColumn("loss", loss), spec, window_size).select(*KEYS, "slot_idx", "loss")
+    return complete_windows(scaled, spec, window_size, loss=loss).select(*KEYS, "slot_idx", "loss")
 
 
 @dataclass(frozen=True)

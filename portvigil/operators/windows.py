@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,14 +62,18 @@ def placeholder_filled(clean: DataFrame, spec: TrackSpec) -> DataFrame:
     return clean.withColumn("any_null", ~is_complete(spec)).withColumns(filled)
 
 
-def complete_windows(df: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
-    """Rows that end a window: all of the trailing slots exist and hold every metric."""
+def complete_windows(
+    df: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE, **columns: Column
+) -> DataFrame:
+    """Rows that end a window: all of the trailing slots exist and hold every metric.  ``columns`` over
+    the same frame are added in the same pass."""
     filled = F.count_if(is_complete(spec)).over(trailing(window_size))
-    return df.withColumn("_filled", filled).where(F.col("_filled") == window_size).drop("_filled")
+    framed = df.withColumns({**columns, "_filled": filled})
+    return framed.where(F.col("_filled") == window_size).drop("_filled")
 
 
 def sliding_windows(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Window-end rows with ``seq``, the scaled metrics of the trailing slots, oldest first."""
     step = F.array(*[F.col(z(f)) for f in spec.features])
-    with_seq = scaled.withColumn("seq", F.collect_list(step).over(trailing(window_size)))
-    return complete_windows(with_seq, spec, window_size).select(*KEYS, "slot_idx", *spec.features, "seq")
+    seq = F.collect_list(step).over(trailing(window_size))
+    return complete_windows(scaled, spec, window_size, seq=seq).select(*KEYS, "slot_idx", *spec.features, "seq")
