@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +73,16 @@ def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL, accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between order statistics, NULLs ignored."""
-    df = df.select(*columns)
+    values = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles(values, columns, probs, small, accuracy)
+    finally:
+        values.unpersist()
+
+
+def _quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], small: int, accuracy: int
+) -> dict[str, list[float | None]]:
     counts = dict(zip(columns, _first(df, [F.count(c) for c in columns])))
     if max(counts.values()) <= small:
         rows = _first(df, [F.percentile(c, F.array(*[F.lit(p) for p in probs])) for c in columns])
