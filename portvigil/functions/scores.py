@@ -11,12 +11,12 @@ from portvigil.spec import ALARM_TIERS, NORMAL_TIER
 
 
 def finite_or_null(x: Column) -> Column:
-    """NaN becomes NULL; Spark orders NaN above every number, which no rule here means."""
-    return F.when(~F.isnan(x), x)
+    """NaN and infinities become NULL.  Spark orders NaN above every number, which no rule here means."""
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def mean_square(errors: list[Column]) -> Column:
-    """Mean of the squared errors, NULL when it is not a number."""
+    """Mean of the squared errors, NULL when it is not finite."""
     total = reduce(lambda a, b: a + b, [e * e for e in errors])
     return finite_or_null(total / len(errors))
 

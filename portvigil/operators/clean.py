@@ -38,7 +38,7 @@ def _typed(df: DataFrame, spec: TrackSpec) -> DataFrame:
 
 
 def coerce_types(df: DataFrame, spec: TrackSpec) -> DataFrame:
-    """Naive times and double metrics; what is not a number is NULL, rows without time or port go."""
+    """Naive times and double metrics; what is no finite number is NULL, rows without time or port go."""
     return _typed(df, spec).where(_usable())
 
 

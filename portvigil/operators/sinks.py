@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from portvigil.functions.scores import finite_or_null
 from portvigil.functions.times import hour_key
 from portvigil.operators.reports import RESULT_HOUR
 from portvigil.spec import KEYS, NULLABLE_RESULT_COLS, RESULT_COLS, RESULT_SCHEMA, RETENTION_DAYS
@@ -46,18 +47,13 @@ def _default(field: T.StructField) -> Column:
     return F.lit(0).cast(field.dataType)
 
 
-def _finite(x: Column) -> Column:
-    bad = F.isnan(x) | x.isin(float("inf"), float("-inf"))
-    return F.when(~bad, x)
-
-
 def sanitize(df: DataFrame) -> DataFrame:
     """Numbers that cannot be stored become 0, missing text empty; ttf and times keep NULL."""
     columns = []
     for field in RESULT_SCHEMA.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            column = _finite(column)
+            column = finite_or_null(column)
         if field.name not in NULLABLE_RESULT_COLS:
             empty = F.lit("") if isinstance(field.dataType, T.StringType) else F.lit(0).cast(field.dataType)
             column = F.coalesce(column, empty)
