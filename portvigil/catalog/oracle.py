@@ -271,14 +271,19 @@ def training(track: str, g: Grid) -> list[tuple[str, str]]:
     return steps + scaler(f"{p}train_", track) + scored(f"{p}train_", track)
 
 
-def track_steps(track: str, g: Grid) -> list[tuple[str, str]]:
+def track_steps(track: str, g: Grid, within: str = "") -> list[tuple[str, str]]:
+    """Training and scoring of a track; ``within`` limits the rows that are scored."""
     p, source = TRACK_PREFIX[track]
-    steps = training(track, g) + cleaned(p, track, source, False, g.minutes)
+    steps = training(track, g)
+    if within:
+        steps += [(f"{p}recent", f"select r.* from {source} r, as_of where {within}")]
+        source = f"{p}recent"
+    steps += cleaned(p, track, source, False, g.minutes)
     return steps + scored(p, track) + judged(p, track, g.percentile)
 
 
-def chain(g: Grid) -> list[tuple[str, str]]:
-    return RAW + track_steps("traffic", g) + track_steps("optical", g) + fused(g)
+def chain(g: Grid, within: str = "") -> list[tuple[str, str]]:
+    return RAW + track_steps("traffic", g, within) + track_steps("optical", g, within) + fused(g)
 
 
 def on(track: str, final: str, g: Grid = FINE) -> str:
@@ -312,6 +317,15 @@ STANDARD = ", ".join(
         "expected_fatal_time, anomaly_reason",
     ]
 )
+# Stored rows hold 0 where a track had nothing to say.
+STANDARD_STORED = STANDARD
+for _t in FEATURES:
+    for _c in ("slope", "threshold"):
+        STANDARD_STORED = STANDARD_STORED.replace(
+            f"round({_t}_{_c}, 6) as {_t}_{_c}", f"coalesce(round({_t}_{_c}, 6), 0) as {_t}_{_c}"
+        )
+for _c in ("slope", "threshold"):
+    STANDARD_STORED = STANDARD_STORED.replace(f", round({_c}, 6) as {_c}", f", coalesce(round({_c}, 6), 0) as {_c}")
 TEXT_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -378,13 +392,17 @@ VERSIONS = [
     (
         "versions",
         "select 'traffic' as track, 1::bigint as version, (select th from traffic_th) as threshold, "
-        "1.0::double as slope_threshold, 90.0::double as rul_target, "
-        "(select count(*) from t_train_scored) as samples_used "
-        "union all select 'optical', 1, (select th from optical_th), 1.0, 90.0, (select count(*) from o_train_scored) "
-        "union all select 'traffic', 2, (select th from traffic_th), "
-        f"{FINE.slope_threshold}, 90.0, (select count(*) from t_train_scored)",
+        "null::double as slope_threshold, (select count(*) from t_train_scored) as samples_used "
+        "union all select 'optical', 1, (select th from optical_th), null, (select count(*) from o_train_scored) "
+        f"union all select 'traffic', 2, (select th from traffic_th), {FINE.slope_threshold}, "
+        "(select count(*) from t_train_scored)",
+    ),
+    (
+        "newest_versions",
+        "select track, version, threshold, coalesce(slope_threshold, 1.0) as slope_threshold, "
+        "90.0::double as rul_target, samples_used from versions "
+        "qualify row_number() over (partition by track order by version desc) = 1",
     ),
-    ("newest_versions", "select * from versions qualify row_number() over (partition by track order by version desc) = 1"),
 ]
 SETTINGS_OUT = (
     "track, version, round(threshold, 6) as threshold, slope_threshold, rul_target, "
@@ -749,4 +767,58 @@ ORACLES: dict[str, str] = {
         FINE,
         TRANSITIONS,
     ),
+    # sinks and streams
+    "read_csv": with_ctes(RAW, "select t.* from traffic_eth t, as_of where occur_date < cutoff"),
+    "sink_train_test_csv": with_ctes(
+        RAW,
+        f"select track, case when occur_date < cutoff then 'train' else 'test' end as split, occur_date, {K} from "
+        f"(select 'traffic' as track, occur_date, {K} from traffic_eth union all "
+        f"select 'optical', occur_date, {K} from optical_all), as_of",
+    ),
+    "results_schema": over_results(
+        f"select occur_date, {K}, 0::bigint as tx_packet, 0::bigint as rx_packet, 0::bigint as error_packet, "
+        + ", ".join(f"0::double as {c}" for c in [*POWERS, *TRACK_DOUBLES, "anomaly_score", "slope", "threshold"])
+        + ", false as is_traffic_anomaly, false as is_optical_anomaly, round(severity, 6) as severity, "
+        "'STABLE' as slope_label, is_anomaly, 0::int as alarm_level, 'NORMAL' as alarm_label, "
+        "null::double as ttf_minutes, null::timestamp as expected_fatal_time, '' as anomaly_reason, "
+        "(select now from as_of) as detect_time from results"
+    ),
+    "sink_upsert": over_results(
+        f"select * exclude (anomaly_reason), case when occur_date >= (select cutoff from as_of) then 'revised' "
+        f"else anomaly_reason end as anomaly_reason from (select {STANDARD_STORED} from results)"
+    ),
+    "sink_retention": over_results(
+        f"select occur_date, {K}, {r('severity')} from results where occur_date >= (select now - interval 10 day from as_of)"
+    ),
+    "sink_sanitize": over_results(
+        "select * replace (case when alarm_level = 1 then 0 else severity end as severity, "
+        "case when alarm_level = 2 then 0 else slope end as slope, "
+        "case when alarm_level > 0 then anomaly_reason else '' end as anomaly_reason, "
+        f"alarm_level < 2 and is_anomaly as is_anomaly) from (select {STANDARD_STORED} from results)"
+    ),
+    "read_results": over_results(
+        f"select {K}, count(*) as stored, max(alarm_level) as worst from results where alarm_level >= 1 group by {K}"
+    ),
+    "sink_history_append": over_results(
+        f"select occur_date, {K}, {r('severity')}, anomaly_reason, expected_fatal_time from results"
+    ),
+    "sink_report": over_results(f"select {STANDARD} from results"),
+    "sink_track_metadata": with_ctes(
+        chain(FINE) + VERSIONS,
+        f"select track, version, {r('threshold')}, slope_threshold, samples_used from versions",
+    ),
+    "stream_source": with_ctes(
+        RAW,
+        f"select occur_date, {K}, signal_type, error_packet as bbe_in_error, tx_packet as es, rx_packet as ses, "
+        "strftime(occur_date, '%Y-%m-%d-%H') as pm_hour from traffic_all",
+    ),
+    "late_data": with_ctes(
+        RAW,
+        f"select occur_date, {K}, {r(*POWERS)}, strftime(occur_date, '%Y-%m-%d-%H') as pm_hour from optical_all",
+    ),
+    "detect_stream": with_ctes(
+        chain(COARSE, f"occur_date >= now - interval {(W + 4) * COARSE.minutes} minute"),
+        f"select {STANDARD_STORED} from results",
+    ),
 }
+ORACLES["sink_params"] = ORACLES["robust_fit"]

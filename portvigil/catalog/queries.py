@@ -23,7 +23,21 @@ from portvigil.operators import alarms, clean, config, fusion, reports, scoring,
 from portvigil.plans.detect import detect, score_track
 from portvigil.plans.train import train_track
 from portvigil.sources import raw, testviews
-from portvigil.spec import KEYS, OPTICAL, STANDARD_COLS, TRACKS, TRAFFIC, WINDOW_SIZE, TrackSpec
+from portvigil.spec import (
+    DETECTION_SCHEMA,
+    KEYS,
+    OPTICAL,
+    OPTICAL_SCHEMA,
+    RESULT_SCHEMA,
+    STANDARD_COLS,
+    TRACKS,
+    TRAFFIC,
+    TRAFFIC_RAW_SCHEMA,
+    WINDOW_SIZE,
+    TrackSpec,
+)
+from portvigil.storage import work_path
+from portvigil.streaming.cycle import CycleConfig, deduplicated_stream, detect_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,7 +81,7 @@ def cutoff(spark: SparkSession, sf: str) -> datetime:
 
 
 def train_rows(spark: SparkSession, sf: str, spec: TrackSpec) -> DataFrame:
-    return SOURCES[spec.name](spark, sf).where(F.col("occur_date") < F.lit(cutoff(spark, sf)))
+    return SOURCES[spec.name](spark, sf).where(F.col("occur_date") < TM.ntz(cutoff(spark, sf)))
 
 
 def train_clean(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> DataFrame:
@@ -424,7 +438,7 @@ def _(spark, sf):
 @cache
 def trained(spark: SparkSession, sf: str, spec: TrackSpec):
     rows = SOURCES[spec.name](spark, sf)
-    held_out = rows.where(F.col("occur_date") >= F.lit(cutoff(spark, sf)))
+    held_out = rows.where(F.col("occur_date") >= TM.ntz(cutoff(spark, sf)))
     return train_track(
         train_rows(spark, sf, spec),
         held_out,
@@ -647,7 +661,7 @@ def _(spark, sf):
 @query("recovered_keys_anti")
 def _(spark, sf):
     rows = reports.filter_critical(results(spark, sf, FINE))
-    middle = F.lit(RANGE[1])
+    middle = TM.ntz(RANGE[1])
     before, now = rows.where(F.col("occur_date") < middle), rows.where(F.col("occur_date") >= middle)
     return alarms.recovered_keys(before, now).distinct()
 
@@ -655,7 +669,7 @@ def _(spark, sf):
 @query("known_alarm_probe")
 def _(spark, sf):
     rows = reports.filter_critical(results(spark, sf, FINE))
-    known = rows.where(F.col("occur_date") < F.lit(RANGE[1])).select(*KEYS, "occur_date")
+    known = rows.where(F.col("occur_date") < TM.ntz(RANGE[1])).select(*KEYS, "occur_date")
     return alarms.known_alarm_probe(rows, known).select("occur_date", *KEYS, "anomaly_reason")
 
 
@@ -779,3 +793,153 @@ def _(spark, sf):
 @query("sink_alarm_json")
 def _(spark, sf):
     return alarms.alarm_json(alarms.alarm_transitions(results(spark, sf, FINE)))
+
+
+# --- sinks and streams: written, then read back ----------------------------------------------------
+
+
+@query("read_csv")
+def _(spark, sf):
+    path = work_path(spark, "traffic-train")
+    sinks.write_split(train_rows(spark, sf, TRAFFIC), path)
+    return raw.read_csv(spark, path, traffic(spark, sf).schema)
+
+
+@query("sink_train_test_csv")
+def _(spark, sf):
+    read = []
+    for t in TRACKS.values():
+        labelled = splits.split_by_cutoff(SOURCES[t.name](spark, sf), as_of(spark, sf))
+        for part in ("train", "test"):
+            path = work_path(spark, f"{t.name}-{part}")
+            sinks.write_split(labelled.where(F.col("split") == part).drop("split"), path)
+            rows = raw.read_csv(spark, path, SOURCES[t.name](spark, sf).schema)
+            read.append(rows.select(F.lit(t.name).alias("track"), F.lit(part).alias("split"), "occur_date", *KEYS))
+    return raw.shard_union(read)
+
+
+def stored(spark: SparkSession, sf: str) -> str:
+    """A result table holding the report results."""
+    path = work_path(spark, "stored")
+    sinks.upsert_results(results(spark, sf), path, as_of(spark, sf))
+    return path
+
+
+@query("results_schema")
+def _(spark, sf):
+    partial = results(spark, sf).select("occur_date", *KEYS, "severity", "is_anomaly")
+    return rounded(sinks.ensure_schema(partial, as_of(spark, sf)))
+
+
+@query("sink_upsert")
+def _(spark, sf):
+    path = stored(spark, sf)
+    newer = results(spark, sf).where(F.col("occur_date") >= TM.ntz(cutoff(spark, sf)))
+    sinks.upsert_results(newer.withColumn("anomaly_reason", F.lit("revised")), path, as_of(spark, sf))
+    return rounded(sinks.read_results(spark, path).select(*STANDARD_COLS))
+
+
+@query("sink_retention")
+def _(spark, sf):
+    path = stored(spark, sf)
+    sinks.expire_results(spark, path, as_of(spark, sf), 10)
+    return rounded(sinks.read_results(spark, path).select("occur_date", *KEYS, "severity"))
+
+
+@query("sink_sanitize")
+def _(spark, sf):
+    level = F.col("alarm_level")
+    spoiled = results(spark, sf).withColumns(
+        {
+            "severity": F.when(level == 1, float("nan")).otherwise(F.col("severity")),
+            "slope": F.when(level == 2, float("-inf")).otherwise(F.col("slope")),
+            "anomaly_reason": F.when(level > 0, F.col("anomaly_reason")),
+            "is_anomaly": F.when(level < 2, F.col("is_anomaly")),
+        }
+    )
+    return rounded(sinks.sanitize(sinks.ensure_schema(spoiled, as_of(spark, sf))).select(*STANDARD_COLS))
+
+
+@query("read_results")
+def _(spark, sf):
+    sql = (
+        "select ip_addr, cid, lid, count(*) as stored, max(alarm_level) as worst from {results} "
+        "where alarm_level >= :level group by ip_addr, cid, lid"
+    )
+    return sinks.results_sql(spark, stored(spark, sf), sql, level=1)
+
+
+@query("sink_history_append")
+def _(spark, sf):
+    path, now = work_path(spark, "history"), as_of(spark, sf)
+    middle = TM.ntz(cutoff(spark, sf))
+    rows = sinks.ensure_schema(results(spark, sf), now)
+    sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, "0")
+    sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, "1")
+    read = raw.read_csv(spark, f"{path}/run_date=*/cycle=*", RESULT_SCHEMA)
+    return rounded(read.select("occur_date", *KEYS, "severity", "anomaly_reason", "expected_fatal_time"))
+
+
+@query("sink_report")
+def _(spark, sf):
+    path = work_path(spark, "report")
+    sinks.write_report(results(spark, sf), path)
+    return rounded(raw.read_csv(spark, path, DETECTION_SCHEMA))
+
+
+@query("sink_track_metadata")
+def _(spark, sf):
+    path = work_path(spark, "track-config")
+    config.write_config(versions(spark, sf), path)
+    return rounded(config.read_config(spark, path).select("track", "version", "threshold", "slope_threshold", "samples_used"))
+
+
+@query("sink_params")
+def _(spark, sf):
+    path = work_path(spark, "scaler")
+    for t in TRACKS.values():
+        windows.scaler_frame(spark, t, scaler(spark, sf, t, FINE)).write.mode("append").parquet(path)
+    return rounded(spark.read.schema(windows.SCALER_SCHEMA).parquet(path))
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Everything a stream delivers now, as a written table."""
+    spark = stream.sparkSession
+    out = work_path(spark, name)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", work_path(spark, f"{name}-log"))
+    query_ = writer.outputMode("append").trigger(availableNow=True).start(out)
+    query_.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_source")
+def _(spark, sf):
+    path = work_path(spark, "traffic")
+    raw.write_hourly(testviews.traffic_raw(spark, sf), path)
+    return drained(raw.stream_hourly(spark, path, TRAFFIC_RAW_SCHEMA), "arrived")
+
+
+@query("late_data")
+def _(spark, sf):
+    """Every reading delivered twice, kept once."""
+    path = work_path(spark, "optical")
+    for _ in range(2):
+        raw.write_hourly(optical(spark, sf), path)
+    return rounded(drained(deduplicated_stream(raw.stream_hourly(spark, path, OPTICAL_SCHEMA)), "unique"))
+
+
+@query("detect_stream")
+def _(spark, sf):
+    """One cycle of the stream over everything that has arrived, then the stored results."""
+    paths = {f"{n}_path": work_path(spark, n) for n in ("traffic", "optical", "results", "history", "alarms")}
+    raw.write_hourly(testviews.traffic_raw(spark, sf), paths["traffic_path"])
+    raw.write_hourly(testviews.optical_raw(spark, sf), paths["optical_path"])
+    job = CycleConfig(
+        **paths,
+        scalers=scalers(spark, sf, COARSE),
+        settings=lambda: settings(spark, sf, COARSE),
+        interval_minutes=COARSE.minutes,
+        latest_only=False,
+    )
+    detect_stream(spark, job, work_path(spark, "cycles"), availableNow=True).awaitTermination()
+    return rounded(sinks.read_results(spark, paths["results_path"]).select(*STANDARD_COLS))

@@ -7,6 +7,8 @@ and no step depends on the session time zone.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 HOUR_FORMAT = "yyyy-MM-dd-HH"
 
 
+def ntz(moment: datetime) -> Column:
+    """Literal of a naive time, independent of any zone."""
+    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")
+
+
 def to_ntz(ts: Column) -> Column:
     """Naive timestamp, NULL where the value is not a time."""
     return ts.try_cast("timestamp_ntz")
@@ -66,5 +73,3 @@ def clock_label(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm")
 
 
-def days_before(ts: Column, days: int) -> Column:
-    return ts - F.make_dt_interval(F.lit(days))

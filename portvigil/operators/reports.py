@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from portvigil.functions import text as X
 from portvigil.functions.scores import alarm_label
-from portvigil.functions.times import clock_label, time_text
+from portvigil.functions.times import clock_label, ntz, time_text
 from portvigil.spec import KEYS, OPTICAL, PAGE_SIZE, TRAFFIC, TrackSpec
 
 RESULT_HOUR = "occur_hour"
@@ -96,7 +96,7 @@ def filter_port_history(
     rows = results.where((F.col("ip_addr") == ip_addr) & (F.col("cid") == slot_id) & (F.col("lid") == port_id))
     if RESULT_HOUR in results.columns:
         rows = rows.where(F.col(RESULT_HOUR) >= since.strftime("%Y-%m-%d-%H"))
-    return rows.where(F.col("occur_date") >= F.lit(since))
+    return rows.where(F.col("occur_date") >= ntz(since))
 
 
 def format_times(df: DataFrame, *columns: str) -> DataFrame:

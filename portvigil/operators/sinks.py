@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portvigil.functions.scores import finite_or_null
-from portvigil.functions.times import hour_key
+from portvigil.functions.times import hour_key, ntz
 from portvigil.operators.reports import RESULT_HOUR
+from portvigil.sources.raw import CSV_OPTIONS
 from portvigil.spec import KEYS, NULLABLE_RESULT_COLS, RESULT_COLS, RESULT_SCHEMA, RETENTION_DAYS
 from portvigil.storage import work_path
 
@@ -32,7 +33,7 @@ def ensure_schema(df: DataFrame, detect_time: datetime | None = None) -> DataFra
         if field.name in df.columns:
             column = F.col(field.name)
         elif field.name == "detect_time":
-            column = F.lit(detect_time)
+            column = ntz(detect_time) if detect_time else F.lit(None)
         elif field.name in NULLABLE_RESULT_COLS:
             column = F.lit(None)
         else:
@@ -69,7 +70,7 @@ def merge_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def retained(results: DataFrame, as_of: datetime, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows not older than the retention period."""
-    return results.where(F.col("occur_date") >= F.lit(as_of - timedelta(days=days)))
+    return results.where(F.col("occur_date") >= ntz(as_of - timedelta(days=days)))
 
 
 # --- stored table ----------------------------------------------------------------------------------
@@ -158,15 +159,15 @@ def expire_results(spark: SparkSession, path: str, as_of: datetime, days: int =
 def append_history(results: DataFrame, path: str, as_of: datetime, cycle: str) -> None:
     """Full results of one cycle in the log of its day; repeating the cycle replaces its own files."""
     target = f"{path}/run_date={as_of:%Y%m%d}/cycle={cycle}"
-    results.write.mode("overwrite").option("header", True).csv(target)
+    results.write.mode("overwrite").options(**CSV_OPTIONS).csv(target)
 
 
 def write_report(results: DataFrame, path: str) -> None:
-    results.write.mode("overwrite").option("header", True).csv(path)
+    results.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_split(df: DataFrame, path: str) -> None:
     """One split of one track as CSV.  Range partitioning sorts it as a whole by port and time and
     divides a large port over several files."""
     ordered = df.repartitionByRange(*KEYS, "occur_date").sortWithinPartitions(*KEYS, "occur_date")
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+    ordered.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

@@ -7,12 +7,17 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portvigil.functions.times import ntz
 from portvigil.spec import TRAIN_DAYS, VALIDATION_DAYS, WINDOW_SIZE
 
 
+def _midnight(day: date) -> datetime:
+    return datetime.combine(day, datetime.min.time())
+
+
 def within_days(first: date, last: date) -> Column:
     """Whole days, both included."""
-    start, end = F.lit(first).cast("timestamp_ntz"), F.lit(last + timedelta(days=1)).cast("timestamp_ntz")
+    start, end = ntz(_midnight(first)), ntz(_midnight(last + timedelta(days=1)))
     return (F.col("occur_date") >= start) & (F.col("occur_date") < end)
 
 
@@ -31,13 +36,13 @@ def split_days(as_of: datetime) -> tuple[date, date, date, date]:
 
 
 def cutoff_of(as_of: datetime, days: int = VALIDATION_DAYS) -> datetime:
-    return datetime.combine(as_of.date() - timedelta(days=days), datetime.min.time())
+    return _midnight(as_of.date() - timedelta(days=days))
 
 
 def split_by_cutoff(df: DataFrame, as_of: datetime, days: int = TRAIN_DAYS) -> DataFrame:
     """Labels the collected range: ``train`` before the cut-off day, ``test`` from it on."""
-    collected = df.where(F.col("occur_date").between(F.lit(as_of - timedelta(days=days)), F.lit(as_of)))
-    label = F.when(F.col("occur_date") < F.lit(cutoff_of(as_of)), "train").otherwise("test")
+    collected = df.where(F.col("occur_date").between(ntz(as_of - timedelta(days=days)), ntz(as_of)))
+    label = F.when(F.col("occur_date") < ntz(cutoff_of(as_of)), "train").otherwise("test")
     return collected.withColumn("split", label)
 
 

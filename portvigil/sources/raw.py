@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portvigil.functions.times import HOUR_FORMAT, hour_key
+from portvigil.functions.times import HOUR_FORMAT, hour_key, ntz
 from portvigil.spec import OPTICAL_SCHEMA, SIGNAL_ETH, TRAFFIC_RAW_SCHEMA
 
 HOUR_COL = "pm_hour"
+# Times in files keep their microseconds.
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 # Physical metric name -> name used everywhere else.
 TRAFFIC_RENAMES = {"bbe_in_error": "error_packet", "es": "tx_packet", "ses": "rx_packet"}
 
@@ -26,7 +28,7 @@ def filter_time_range(df: DataFrame, start: datetime | None, end: datetime | Non
     """Rows with ``start <= occur_date <= end``; without a range, all rows."""
     if start is None or end is None:
         return df
-    return df.where(F.col("occur_date").between(F.lit(start), F.lit(end)))
+    return df.where(F.col("occur_date").between(ntz(start), ntz(end)))
 
 
 def filter_signal_type(df: DataFrame, signal_type: int = SIGNAL_ETH) -> DataFrame:
@@ -70,8 +72,9 @@ def shard_union(shards: Iterable[DataFrame]) -> DataFrame | None:
 
 
 def write_hourly(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write readings as an hour-partitioned dataset; an hour is spread over tasks, not held by one."""
-    with_hour(df).write.partitionBy(HOUR_COL).mode(mode).parquet(path)
+    """Write readings as an hour-partitioned dataset.  Rebalancing gathers an hour in few files and splits
+    an hour that is too large for one task."""
+    with_hour(df).hint("rebalance", HOUR_COL).write.partitionBy(HOUR_COL).mode(mode).parquet(path)
 
 
 def _hourly_schema(schema: T.StructType) -> T.StructType:
@@ -102,7 +105,7 @@ def stream_hourly(
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Train or test rows written as CSV with a header."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
 def hour_tables(prefix: str, start: datetime, end: datetime) -> list[str]:

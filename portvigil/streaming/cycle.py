@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from portvigil.functions.times import ntz
 from portvigil.operators.alarms import alarm_json, alarm_step
 from portvigil.operators.config import TrackSettings
 from portvigil.operators.reports import RESULT_HOUR, latest_in_table
@@ -56,7 +57,7 @@ def previous_cycle(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
     if stored is None:
         return now.limit(0)
     at = now.agg(F.max("occur_date")).first()[0]
-    upto = stored.where(F.col(RESULT_HOUR) <= at.strftime("%Y-%m-%d-%H")).where(F.col("occur_date") <= F.lit(at))
+    upto = stored.where(F.col(RESULT_HOUR) <= at.strftime("%Y-%m-%d-%H")).where(F.col("occur_date") <= ntz(at))
     return latest_in_table(upto)
 
 
