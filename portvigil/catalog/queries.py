@@ -81,7 +81,7 @@ def cutoff(spark: SparkSession, sf: str) -> datetime:
 
 
 def train_rows(spark: SparkSession, sf: str, spec: TrackSpec) -> DataFrame:
-    return SOURCES[spec.name](spark, sf).where(F.col("occur_date") < TM.ntz(cutoff(spark, sf)))
+    return SOURCES[spec.name](spark, sf).where(F.col("occur_date") < F.expr(TM.ntz(cutoff(spark, sf))))
 
 
 def train_clean(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> DataFrame:
@@ -151,7 +151,7 @@ def results(spark: SparkSession, sf: str, grid: Grid = COARSE, latest_only: bool
 def timed(df: DataFrame, grid: Grid = FINE) -> DataFrame:
     """Slot number as slot time, for output."""
     rest = [c for c in df.columns if c not in ("slot_idx", *KEYS)]
-    return df.select(TM.slot_time(F.col("slot_idx"), grid.minutes).alias("occur_date"), *KEYS, *rest)
+    return df.select(F.expr(TM.slot_time("slot_idx", grid.minutes)).alias("occur_date"), *KEYS, *rest)
 
 
 def deduplicated(spark: SparkSession, sf: str, spec: TrackSpec) -> DataFrame:
@@ -268,7 +268,7 @@ def _(spark, sf):
 def as_text(spark: SparkSession, sf: str) -> DataFrame:
     """Traffic as a text file would bring it, with unreadable times and counts."""
     k = F.col("error_packet")
-    time = F.when(k == 3, "not a time").otherwise(TM.time_text(F.col("occur_date")))
+    time = F.when(k == 3, "not a time").otherwise(F.expr(TM.time_text("occur_date")))
     tx = F.when(k == 5, "n/a").otherwise(F.col("tx_packet").cast("string"))
     return traffic(spark, sf).withColumns({"occur_date": time, "tx_packet": tx})
 
@@ -289,12 +289,12 @@ def _(spark, sf):
 @query("slot_round")
 def _(spark, sf):
     rows = traffic(spark, sf)
-    return rows.select("occur_date", *KEYS, TM.slot_round(F.col("occur_date"), FINE.minutes).alias("slot"))
+    return rows.select("occur_date", *KEYS, F.expr(TM.slot_round("occur_date", FINE.minutes)).alias("slot"))
 
 
 @query("slot_tumbling")
 def _(spark, sf):
-    slot = TM.slot_round(F.col("occur_date"), 15).alias("slot")
+    slot = F.expr(TM.slot_round("occur_date", 15)).alias("slot")
     return optical(spark, sf).groupBy(slot).agg(F.count("*").alias("readings"))
 
 
@@ -438,7 +438,7 @@ def _(spark, sf):
 @cache
 def trained(spark: SparkSession, sf: str, spec: TrackSpec):
     rows = SOURCES[spec.name](spark, sf)
-    held_out = rows.where(F.col("occur_date") >= TM.ntz(cutoff(spark, sf)))
+    held_out = rows.where(F.col("occur_date") >= F.expr(TM.ntz(cutoff(spark, sf))))
     return train_track(
         train_rows(spark, sf, spec),
         held_out,
@@ -661,7 +661,7 @@ def _(spark, sf):
 @query("recovered_keys_anti")
 def _(spark, sf):
     rows = reports.filter_critical(results(spark, sf, FINE))
-    middle = TM.ntz(RANGE[1])
+    middle = F.expr(TM.ntz(RANGE[1]))
     before, now = rows.where(F.col("occur_date") < middle), rows.where(F.col("occur_date") >= middle)
     return alarms.recovered_keys(before, now).distinct()
 
@@ -669,7 +669,7 @@ def _(spark, sf):
 @query("known_alarm_probe")
 def _(spark, sf):
     rows = reports.filter_critical(results(spark, sf, FINE))
-    known = rows.where(F.col("occur_date") < TM.ntz(RANGE[1])).select(*KEYS, "occur_date")
+    known = rows.where(F.col("occur_date") < F.expr(TM.ntz(RANGE[1]))).select(*KEYS, "occur_date")
     return alarms.known_alarm_probe(rows, known).select("occur_date", *KEYS, "anomaly_reason")
 
 
@@ -741,7 +741,7 @@ def _(spark, sf):
 
 @query("format_ttf")
 def _(spark, sf):
-    return results(spark, sf, FINE).select("occur_date", *KEYS, X.format_ttf(F.col("ttf_minutes")).alias("ttf"))
+    return results(spark, sf, FINE).select("occur_date", *KEYS, F.expr(X.format_ttf("ttf_minutes")).alias("ttf"))
 
 
 @query("format_times")
@@ -834,7 +834,7 @@ def _(spark, sf):
 @query("sink_upsert")
 def _(spark, sf):
     path = stored(spark, sf)
-    newer = results(spark, sf).where(F.col("occur_date") >= TM.ntz(cutoff(spark, sf)))
+    newer = results(spark, sf).where(F.col("occur_date") >= F.expr(TM.ntz(cutoff(spark, sf))))
     sinks.upsert_results(newer.withColumn("anomaly_reason", F.lit("revised")), path, as_of(spark, sf))
     return rounded(sinks.read_results(spark, path).select(*STANDARD_COLS))
 
@@ -872,7 +872,7 @@ def _(spark, sf):
 @query("sink_history_append")
 def _(spark, sf):
     path, now = work_path(spark, "history"), as_of(spark, sf)
-    middle = TM.ntz(cutoff(spark, sf))
+    middle = F.expr(TM.ntz(cutoff(spark, sf)))
     rows = sinks.ensure_schema(results(spark, sf), now)
     sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, "0")
     sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, "1")

@@ -1,67 +1,58 @@
-"""Row-wise scoring rules as column expressions."""
+"""Row-wise scoring rules as SQL expression text."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from portvigil.spec import ALARM_TIERS, NORMAL_TIER
 
 
-def finite_or_null(x: Column) -> Column:
+def finite_or_null(x: str) -> str:
     """NaN and infinities become NULL.  Spark orders NaN above every number, which no rule here means."""
-    return F.when(F.abs(x) < float("inf"), x)
+    return f"case when abs({x}) < double('infinity') then {x} end"
 
 
-def mean_square(errors: list[Column]) -> Column:
-    """Mean of the squared errors, NULL when it is not finite."""
-    total = reduce(lambda a, b: a + b, [e * e for e in errors])
-    return finite_or_null(total / len(errors))
+def mean_square(errors: list[str]) -> str:
+    """Mean of the squared errors."""
+    return f"({' + '.join(f'({e}) * ({e})' for e in errors)}) / {len(errors)}"
 
 
-def flag_anomaly(score: Column, threshold: Column) -> Column:
-    return F.coalesce(score > threshold, F.lit(False))
+def flag_anomaly(score: str, threshold: str | float) -> str:
+    return f"coalesce({score} > {threshold}, false)"
 
 
-def severity(score: Column, threshold: Column) -> Column:
+def severity(score: str, threshold: str | float) -> str:
     """0..50 linear up to the threshold, then 50..100 saturating."""
-    ratio = score / F.when(threshold > 0, threshold)
-    above = 50.0 + 50.0 * (1.0 - F.exp(-0.5 * (ratio - 1.0)))
-    return F.when(threshold <= 0, 0.0).when(ratio <= 1.0, ratio * 50.0).otherwise(above)
+    ratio = f"({score} / nullif({threshold}, 0))"
+    above = f"50.0D + 50.0D * (1.0D - exp(-0.5D * ({ratio} - 1.0D)))"
+    return f"case when {threshold} <= 0 then 0.0D when {ratio} <= 1 then {ratio} * 50.0D else {above} end"
 
 
-def alarm_level(sev: Column) -> Column:
-    return _tier(sev, 1, F.lit(NORMAL_TIER[0])).cast("int")
+def _tier(sev: str, field: int, normal: str) -> str:
+    """First tier whose limit is reached; what is not a number counts as normal."""
+    quoted = [f"when {sev} >= {t[0]} then {t[field]!r}" for t in ALARM_TIERS]
+    return f"case when {sev} is null or isnan({sev}) then {normal} {' '.join(quoted)} else {normal} end"
 
 
-def alarm_label(sev: Column) -> Column:
-    return _tier(sev, 2, F.lit(NORMAL_TIER[1]))
+def alarm_level(sev: str) -> str:
+    return _tier(sev, 1, repr(NORMAL_TIER[0]))
 
 
-def _tier(sev: Column, field: int, normal: Column) -> Column:
-    known = finite_or_null(sev.cast("double"))
-    chain = F.when(known >= ALARM_TIERS[0][0], ALARM_TIERS[0][field])
-    for tier in ALARM_TIERS[1:]:
-        chain = chain.when(known >= tier[0], tier[field])
-    return chain.otherwise(normal)
+def alarm_label(sev: str) -> str:
+    return _tier(sev, 2, repr(NORMAL_TIER[1]))
 
 
-def slope_label(slope: Column, slope_threshold: Column) -> Column:
+def slope_label(slope: str, slope_threshold: str | float) -> str:
     return (
-        F.when(slope > slope_threshold, "RISING").when(slope < -slope_threshold, "FALLING").otherwise("STABLE")
+        f"case when {slope} > {slope_threshold} then 'RISING' "
+        f"when {slope} < -({slope_threshold}) then 'FALLING' else 'STABLE' end"
     )
 
 
-def time_to_failure(
-    label: Column, sev: Column, slope: Column, target: Column, interval_minutes: int
-) -> Column:
+def time_to_failure(label: str, sev: str, slope: str, target: str | float, interval_minutes: int) -> str:
     """Minutes until the severity line reaches ``target``, whole intervals, only while rising below it."""
-    steps = F.ceil((target - sev) / slope)
-    return F.when((label == "RISING") & (sev < target), (steps * interval_minutes).cast("double"))
+    steps = f"ceil(({target} - {sev}) / {slope})"
+    return f"case when {label} = 'RISING' and {sev} < {target} then cast({steps} * {interval_minutes} as double) end"
 
 
-def packets_back(x: Column) -> Column:
+def packets_back(x: str) -> str:
     """Packet count of a log value, to the nearest integer; NULL when it does not fit."""
-    return F.round(F.expm1(x)).try_cast("long")
+    return f"try_cast(round(expm1({x})) as bigint)"

@@ -1,95 +1,83 @@
-"""Text rendering.  Decimals are built from rounded integers, so every engine prints the same digits."""
+"""Text rendering as SQL expression text.
 
-from __future__ import annotations
+Decimals are built from rounded integers, so every engine prints the same digits.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from portvigil.functions.times import time_text
 from portvigil.spec import DEAD_POWER, HIGH_ERROR_PACKETS, OPTICAL, TRAFFIC, WEAK_POWER, TrackSpec
 
 
-def fixed(x: Column, digits: int) -> Column:
+def fixed(x: str, digits: int) -> str:
     """``x`` with a fixed number of decimals, NULL where it has no finite value."""
     scale = 10**digits
-    units = F.round(x * scale).try_cast("long")
-    whole = (F.abs(units) - F.pmod(F.abs(units), F.lit(scale))) / scale
-    sign = F.when(units < 0, "-").otherwise("")
-    frac = F.lpad(F.pmod(F.abs(units), F.lit(scale)).cast("string"), digits, "0")
-    return F.concat(sign, whole.cast("long").cast("string"), F.lit("."), frac)
-
+    units = f"try_cast(round(({x}) * {scale}) as bigint)"
+    whole, frac = f"cast(abs({units}) div {scale} as string)", f"cast(abs({units}) % {scale} as string)"
+    return f"concat(if({units} < 0, '-', ''), {whole}, '.', lpad({frac}, {digits}, '0'))"
 
-def whole_number(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit("0"))
 
-
-def traffic_reason(tx: Column, rx: Column, err: Column) -> Column:
-    errors = F.when(err > 0, F.concat(F.lit(", Err:"), whole_number(err))).otherwise("")
-    return F.concat(
-        F.lit("Traffic (TX:"), whole_number(tx), F.lit(", RX:"), whole_number(rx), errors, F.lit(")")
-    )
+def whole_number(x: str) -> str:
+    return f"coalesce(cast({x} as string), '0')"
 
 
-def optical_reason(tx: Column, rx: Column) -> Column:
-    return F.concat(F.lit("Optical (RX:"), fixed(rx, 2), F.lit(", TX:"), fixed(tx, 2), F.lit(")"))
-
-
-def reason_text(spec: TrackSpec, flag: Column) -> Column:
+def reason_text(spec: TrackSpec, flag: str) -> str:
     """Why a track flagged the row; ``NORMAL`` when it did not."""
-    cols = [F.col(f) for f in spec.features]
-    text = traffic_reason(*cols) if spec.name == TRAFFIC.name else optical_reason(*cols)
-    return F.when(flag, text).otherwise("NORMAL")
+    if spec.name == TRAFFIC.name:
+        tx, rx, err = spec.features
+        errors = f"if({err} > 0, concat(', Err:', {whole_number(err)}), '')"
+        text = f"concat('Traffic (TX:', {whole_number(tx)}, ', RX:', {whole_number(rx)}, {errors}, ')')"
+    else:
+        tx, rx = spec.features
+        text = f"concat('Optical (RX:', {fixed(rx, 2)}, ', TX:', {fixed(tx, 2)}, ')')"
+    return f"case when {flag} then {text} else 'NORMAL' end"
 
 
-def join_reasons(pairs: list[tuple[Column, Column]]) -> Column:
+def join_reasons(pairs: list[tuple[str, str]]) -> str:
     """Reasons of the flagged tracks joined by `` + ``; ``pairs`` are (flag, reason)."""
-    joined = F.concat_ws(" + ", *[F.when(flag, reason) for flag, reason in pairs])
-    return F.when(joined == "", "NORMAL").otherwise(joined)
+    joined = f"concat_ws(' + ', {', '.join(f'case when {flag} then {reason} end' for flag, reason in pairs)})"
+    return f"coalesce(nullif({joined}, ''), 'NORMAL')"
 
 
-def diagnosis(spec: TrackSpec) -> Column:
+def diagnosis(spec: TrackSpec) -> str:
     """Rule label for the last reading of a port."""
     if spec.name == OPTICAL.name:
-        tx, rx = F.col("tx_avg_power"), F.col("rx_avg_power")
+        tx, rx = spec.features
         return (
-            F.when(rx <= DEAD_POWER, "Signal Lost (RX: -40dBm)")
-            .when(rx < WEAK_POWER, F.concat(F.lit("Weak Signal (RX: "), fixed(rx, 2), F.lit("dBm)")))
-            .otherwise(
-                F.concat(
-                    F.lit("Power Fluctuation (TX: "), fixed(tx, 2), F.lit(", RX: "), fixed(rx, 2), F.lit(")")
-                )
-            )
+            f"case when {rx} <= {DEAD_POWER} then 'Signal Lost (RX: -40dBm)' "
+            f"when {rx} < {WEAK_POWER} then concat('Weak Signal (RX: ', {fixed(rx, 2)}, 'dBm)') "
+            f"else concat('Power Fluctuation (TX: ', {fixed(tx, 2)}, ', RX: ', {fixed(rx, 2)}, ')') end"
         )
-    tx, err = F.col("tx_packet"), F.col("error_packet")
-    return F.when(
-        err > HIGH_ERROR_PACKETS, F.concat(F.lit("High Error Packets ("), whole_number(err), F.lit(" pkts)"))
-    ).otherwise(F.concat(F.lit("Traffic Anomaly (TX: "), whole_number(tx), F.lit(" pkts)")))
+    tx, _, err = spec.features
+    return (
+        f"case when {err} > {HIGH_ERROR_PACKETS} then concat('High Error Packets (', {whole_number(err)}, ' pkts)') "
+        f"else concat('Traffic Anomaly (TX: ', {whole_number(tx)}, ' pkts)') end"
+    )
 
 
-def format_ttf(minutes: Column) -> Column:
+def format_ttf(minutes: str) -> str:
     """``2h 15m``, ``45m`` or ``N/A``."""
-    hours = F.floor(minutes / 60).cast("long")
-    rest = F.round(minutes - hours * 60).cast("long").cast("string")
+    hours = f"cast(floor({minutes} / 60) as bigint)"
+    rest = f"cast(round({minutes} - {hours} * 60) as bigint)"
     return (
-        F.when(minutes.isNull(), "N/A")
-        .when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), rest, F.lit("m")))
-        .otherwise(F.concat(rest, F.lit("m")))
+        f"case when {minutes} is null then 'N/A' when {hours} > 0 then concat({hours}, 'h ', {rest}, 'm') "
+        f"else concat({rest}, 'm') end"
     )
 
 
-def port_label(slot: Column, port: Column) -> Column:
-    return F.concat(F.lit("S"), slot.cast("string"), F.lit("/P"), port.cast("string"))
+def port_label(slot: str, port: str) -> str:
+    return f"concat('S', {slot}, '/P', {port})"
 
 
-def severity_text(severity: Column) -> Column:
-    return F.concat(fixed(severity, 1), F.lit("%"))
+def severity_text(severity: str) -> str:
+    return f"concat({fixed(severity, 1)}, '%')"
 
 
-def slope_text(slope: Column) -> Column:
-    return F.concat(F.lit("+"), fixed(slope, 2))
+def slope_text(slope: str) -> str:
+    return f"concat('+', {fixed(slope, 2)})"
 
 
-def fatal_text(ttf: Column, fatal_time: Column) -> Column:
+def fatal_text(ttf: str, fatal_time: str) -> str:
     """When a port is expected to turn critical; a ttf of NULL or 0 is still being computed."""
-    ready = F.concat(time_text(fatal_time), F.lit(" ("), format_ttf(ttf), F.lit(" later)"))
-    return F.when(F.coalesce(ttf, F.lit(0.0)) != 0, ready).otherwise("Calculating...")
+    ready = f"concat({time_text(fatal_time)}, ' (', {format_ttf(ttf)}, ' later)')"
+    return f"if(coalesce({ttf}, 0) <> 0, {ready}, 'Calculating...')"

@@ -1,75 +1,68 @@
-"""Grid arithmetic on naive timestamps.
+"""Grid arithmetic on naive timestamps, as SQL expression text.
 
 A reading belongs to grid slot ``n`` = nearest multiple of the interval since 1970, ties to the even
 slot.  Slots are kept as integers (``slot_idx``) until the last projection, so neighbours differ by 1
 and no step depends on the session time zone.
+
+Expressions are text because one parsed string costs one call into the JVM, where the same expression
+built from columns costs dozens; plans here have hundreds of operators.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 HOUR_FORMAT = "yyyy-MM-dd-HH"
 
 
-def ntz(moment: datetime) -> Column:
+def ntz(moment: datetime) -> str:
     """Literal of a naive time, independent of any zone."""
-    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")
+    return f"timestamp_ntz'{moment.isoformat(' ')}'"
 
 
-def to_ntz(ts: Column) -> Column:
+def to_ntz(ts: str) -> str:
     """Naive timestamp, NULL where the value is not a time."""
-    return ts.try_cast("timestamp_ntz")
+    return f"try_cast({ts} as timestamp_ntz)"
+
+
+def micros_per_slot(interval_minutes: int) -> int:
+    return interval_minutes * 60_000_000
 
 
-def epoch_micros(ts: Column) -> Column:
+def epoch_micros(ts: str) -> str:
     """Microseconds since 1970 of a naive timestamp, read field by field (no zone involved)."""
-    minutes = (F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
-    seconds = F.extract(F.lit("SECOND"), ts)
-    return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
+    minutes = f"(unix_date(cast({ts} as date)) * 24L + hour({ts})) * 60L + minute({ts})"
+    return f"({minutes}) * 60000000L + cast(extract(second from {ts}) * 1000000 as bigint)"
 
 
-def slot_index(ts: Column, interval_minutes: int) -> Column:
+def nearest_slot(micros: str, interval_minutes: int) -> str:
     """Index of the nearest grid slot, half-way readings go to the even one."""
-    n = interval_minutes * 60_000_000
-    micros = epoch_micros(ts)
-    rest = F.pmod(micros, F.lit(n))
-    floor = ((micros - rest) / n).cast("long")
-    up = (rest * 2 > n) | ((rest * 2 == n) & (F.pmod(floor, F.lit(2)) == 1))
-    return floor + up.cast("long")
+    n = f"{micros_per_slot(interval_minutes)}L"
+    rest = f"pmod({micros}, {n})"
+    floor = f"({micros} - {rest}) div {n}"
+    return f"{floor} + if(2 * {rest} > {n} or (2 * {rest} = {n} and pmod({floor}, 2) = 1), 1, 0)"
 
 
-def slot_time(idx: Column, interval_minutes: int) -> Column:
+def slot_time(idx: str, interval_minutes: int) -> str:
     """Timestamp of a slot index."""
-    return F.timestamp_add("MINUTE", idx * interval_minutes, F.expr(EPOCH))
+    return f"timestampadd(MINUTE, {idx} * {interval_minutes}, {EPOCH})"
 
 
-def slot_round(ts: Column, interval_minutes: int) -> Column:
-    return slot_time(slot_index(ts, interval_minutes), interval_minutes)
+def slot_round(ts: str, interval_minutes: int) -> str:
+    return slot_time(f"({nearest_slot(f'({epoch_micros(ts)})', interval_minutes)})", interval_minutes)
 
 
-def slot_offset(ts: Column, idx: Column, interval_minutes: int) -> Column:
-    """Microseconds of a reading relative to the earliest instant of its slot, never negative."""
-    n = interval_minutes * 60_000_000
-    return epoch_micros(ts) - idx * n + n // 2
-
-
-def hour_key(ts: Column) -> Column:
+def hour_key(ts: str) -> str:
     """Name of the hour shard holding a timestamp."""
-    return F.date_format(ts, HOUR_FORMAT)
+    return f"date_format({ts}, '{HOUR_FORMAT}')"
 
 
-def time_text(ts: Column) -> Column:
-    return F.date_format(ts, TIME_FORMAT)
+def time_text(ts: str) -> str:
+    return f"date_format({ts}, '{TIME_FORMAT}')"
 
 
-def clock_label(ts: Column) -> Column:
+def clock_label(ts: str) -> str:
     """``HH:mm`` axis label."""
-    return F.date_format(ts, "HH:mm")
-
-
+    return f"date_format({ts}, 'HH:mm')"

@@ -58,13 +58,24 @@ def recovered_keys(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def alarm_transitions(results: DataFrame) -> DataFrame:
-    """All alarm and clear events of a stored run of cycles."""
-    criticals = filter_critical(results)
-    after = criticals.join(cycles(results), "occur_date").where(F.col("next_cycle").isNotNull())
-    due = after.select(*KEYS, F.col("next_cycle").alias("cleared_at"))
-    still = criticals.select(*KEYS, F.col("occur_date").alias("cleared_at"))
-    recovered = due.join(still, [*KEYS, "cleared_at"], "left_anti")
-    return alarm_events(criticals).unionByName(clear_events(recovered))
+    """All alarm and clear events of a stored run of cycles.
+
+    A critical row is cleared at the next cycle unless that is also the port's next critical slot, so
+    one window over the critical rows and the list of cycles decide everything.
+    """
+    port_line = Window.partitionBy(*KEYS).orderBy("occur_date")
+    criticals = filter_critical(results).select("occur_date", *KEYS, "alarm_label", "anomaly_reason")
+    followed = criticals.withColumn("next_critical", F.lead("occur_date").over(port_line))
+    timed = followed.join(cycles(results), "occur_date")
+    alarm = "struct('ALARM' as type, occur_date as event_time, alarm_label as severity, anomaly_reason as message)"
+    clear = (
+        "case when next_cycle < coalesce(next_critical, timestamp_ntz'9999-12-31 00:00:00') then "
+        f"struct('CLEAR' as type, next_cycle as event_time, string(null) as severity, '{CLEARED}' as message) end"
+    )
+    both = timed.selectExpr(*KEYS, f"explode(array({alarm}, {clear})) as e").where("e is not null")
+    return both.selectExpr(
+        "e.type", "e.event_time", "ip_addr", "cid as slot_id", "lid as port_id", "e.severity", "e.message"
+    )
 
 
 def alarm_step(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def alarm_step(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def alarm_json(events: DataFrame) -> DataFrame:
     """The message sent for each event; fields without a value are left out."""
-    fields = ["type", time_text(F.col("event_time")).alias("event_time"), *EVENT_KEYS, "severity", "message"]
+    fields = ["type", F.expr(time_text("event_time")).alias("event_time"), *EVENT_KEYS, "severity", "message"]
     return events.select("event_time", *EVENT_KEYS, F.to_json(F.struct(*fields)).alias("value"))
 
 

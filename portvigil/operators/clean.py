@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portvigil.functions.scores import finite_or_null
-from portvigil.functions.times import slot_index, slot_offset, slot_time, to_ntz
-from portvigil.operators.frames import OVER_PORT_BY_SLOT, port, port_by_slot
+from portvigil.functions import scores as S
+from portvigil.functions import times as TM
+from portvigil.operators.frames import OVER_PORT_BY_SLOT, port
 from portvigil.spec import (
     DEAD_POWER,
     INTERVAL_MINUTES,
@@ -28,24 +28,16 @@ from portvigil.spec import (
 )
 
 
-def _usable() -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("occur_date", *KEYS)])
-
-
-def _typed(df: DataFrame, spec: TrackSpec) -> DataFrame:
-    metrics = [finite_or_null(F.col(f).try_cast("double")).alias(f) for f in spec.features]
-    return df.select(to_ntz(F.col("occur_date")).alias("occur_date"), *KEYS, *metrics)
-
-
 def coerce_types(df: DataFrame, spec: TrackSpec) -> DataFrame:
     """Naive times and double metrics; what is no finite number is NULL, rows without time or port go."""
-    return _typed(df, spec).where(_usable())
+    metrics = [f"{S.finite_or_null(f'try_cast({f} as double)')} as {f}" for f in spec.features]
+    typed = df.selectExpr(f"{TM.to_ntz('occur_date')} as occur_date", *KEYS, *metrics)
+    return typed.where(" and ".join(f"{c} is not null" for c in ("occur_date", *KEYS)))
 
 
 def quarantine(df: DataFrame, spec: TrackSpec) -> DataFrame:
     """The rows ``coerce_types`` rejects, as they came."""
-    bad_time = to_ntz(F.col("occur_date")).isNull()
-    return df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in KEYS], bad_time))
+    return df.where(" or ".join(f"{c} is null" for c in (TM.to_ntz("occur_date"), *KEYS)))
 
 
 def dedup_last(df: DataFrame, spec: TrackSpec, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
@@ -55,24 +47,31 @@ def dedup_last(df: DataFrame, spec: TrackSpec, interval_minutes: int = INTERVAL_
     within the slot in its high bits and a hash of the metrics in its low bits, which settles readings
     with equal times the same way in any input order.  A primitive ordering keeps this a hash aggregate.
     """
-    idx = slot_index(F.col("occur_date"), interval_minutes)
-    free_bits = 62 - (interval_minutes * 60_000_000).bit_length()
-    tie = F.pmod(F.xxhash64(*spec.features), F.lit(1 << free_bits))
-    offset = slot_offset(F.col("occur_date"), F.col("slot_idx"), interval_minutes)
-    ordered = df.withColumn("slot_idx", idx).withColumn("_ord", offset * (1 << free_bits) + tie)
-    latest = [F.max_by(f, "_ord").alias(f) for f in spec.features]
+    n = TM.micros_per_slot(interval_minutes)
+    low = 1 << (62 - n.bit_length())
+    kept = (*KEYS, *spec.features)
+    ordered = (
+        df.selectExpr(*kept, f"{TM.epoch_micros('occur_date')} as _us")
+        .selectExpr(*kept, "_us", f"{TM.nearest_slot('_us', interval_minutes)} as slot_idx")
+        .selectExpr(
+            *kept,
+            "slot_idx",
+            f"(_us - slot_idx * {n}L + {n // 2}L) * {low}L + pmod(xxhash64({', '.join(spec.features)}), {low}L) as _ord",
+        )
+    )
+    latest = [F.expr(f"max_by({f}, _ord) as {f}") for f in spec.features]
     return ordered.groupBy(*KEYS, "slot_idx").agg(*latest)
 
 
 def with_slot_time(df: DataFrame, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
-    return df.withColumn("occur_date", slot_time(F.col("slot_idx"), interval_minutes))
+    return df.withColumn("occur_date", F.expr(TM.slot_time("slot_idx", interval_minutes)))
 
 
 # --- quality of training ports ---------------------------------------------------------------------
 
 
 def is_complete(spec: TrackSpec) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in spec.features])
+    return F.expr(" and ".join(f"{f} is not null" for f in spec.features))
 
 
 def has_min_rows(spec: TrackSpec, window_size: int = WINDOW_SIZE, count=F.count_if) -> Column:
@@ -120,14 +119,14 @@ def transform(df: DataFrame, spec: TrackSpec) -> DataFrame:
     """Packet counts on a log scale, negatives as 0; optical power stays as it is."""
     if not spec.log_scaled:
         return df
-    logs = {f: F.when(F.col(f).isNotNull(), F.log1p(F.greatest(F.col(f), F.lit(0.0)))) for f in spec.features}
-    return df.withColumns(logs)
+    logs = [f"case when {f} is not null then log1p(greatest({f}, 0.0D)) end as {f}" for f in spec.features]
+    return df.selectExpr(*KEYS, "slot_idx", *logs)
 
 
-def _at_slots(slots: DataFrame, spec: TrackSpec) -> DataFrame:
-    """Metrics only where the generated slot is the slot of the reading."""
-    metrics = [F.when(F.col("_slot") == F.col("slot_idx"), F.col(f)).alias(f) for f in spec.features]
-    return slots.select(*KEYS, F.col("_slot").alias("slot_idx"), *metrics)
+def _at_slots(spec: TrackSpec) -> list[str]:
+    """Metrics only where the generated slot ``_slot`` is the slot of the reading."""
+    metrics = [f"case when _slot = slot_idx then {f} end as {f}" for f in spec.features]
+    return [*KEYS, "_slot as slot_idx", *metrics]
 
 
 def gap_fill(df: DataFrame, spec: TrackSpec, block: int = 4096) -> DataFrame:
@@ -136,12 +135,12 @@ def gap_fill(df: DataFrame, spec: TrackSpec, block: int = 4096) -> DataFrame:
     Each reading generates the slots up to the next one, so no calendar is joined.  Long gaps are
     generated block by block, which bounds the arrays a stray timestamp could cause.
     """
-    last = F.coalesce(F.lead("slot_idx").over(port_by_slot()) - 1, F.col("slot_idx"))
-    blocks = df.withColumn("_last", last).withColumn(
-        "_block", F.explode(F.sequence(F.col("slot_idx"), F.col("_last"), F.lit(block).cast("long")))
+    return (
+        df.selectExpr("*", f"coalesce(lead(slot_idx) {OVER_PORT_BY_SLOT} - 1, slot_idx) as _last")
+        .selectExpr("*", f"explode(sequence(slot_idx, _last, {block}L)) as _block")
+        .selectExpr("*", f"explode(sequence(_block, least(_block + {block - 1}, _last))) as _slot")
+        .selectExpr(*_at_slots(spec))
     )
-    end = F.least(F.col("_block") + (block - 1), F.col("_last"))
-    return _at_slots(blocks.withColumn("_slot", F.explode(F.sequence(F.col("_block"), end))), spec)
 
 
 def edge_fill(df: DataFrame, spec: TrackSpec) -> DataFrame:
@@ -150,14 +149,16 @@ def edge_fill(df: DataFrame, spec: TrackSpec) -> DataFrame:
     The slots between them stay NULL, and every window over a NULL is dropped, so scoring gets the same
     windows as from ``gap_fill`` while a reading yields three rows at most, however long the gap.
     """
-    here, after = F.col("slot_idx"), F.lead("slot_idx").over(port_by_slot())
-    edges = F.array(
-        here,
-        F.when(F.col("_after") - here > 1, here + 1),
-        F.when(F.col("_after") - here > 2, F.col("_after") - 1),
+    edges = (
+        "slot_idx, case when _after - slot_idx > 1 then slot_idx + 1 end, "
+        "case when _after - slot_idx > 2 then _after - 1 end"
+    )
+    return (
+        df.selectExpr("*", f"lead(slot_idx) {OVER_PORT_BY_SLOT} as _after")
+        .selectExpr("*", f"explode(array({edges})) as _slot")
+        .where("_slot is not null")
+        .selectExpr(*_at_slots(spec))
     )
-    grid = df.withColumn("_after", after).withColumn("_slot", F.explode(edges)).where("_slot is not null")
-    return _at_slots(grid, spec)
 
 
 def interpolate_bounded(df: DataFrame, spec: TrackSpec) -> DataFrame:
@@ -166,24 +167,25 @@ def interpolate_bounded(df: DataFrame, spec: TrackSpec) -> DataFrame:
     Before a port's first value and after its last the neighbour is repeated.  The neighbours come from
     ``lag`` and ``lead`` that skip NULLs, so both directions share one sort.
     """
-    known = {
-        f"_k_{f}": F.when(F.col(f).isNotNull(), F.struct(F.col("slot_idx").alias("i"), F.col(f).alias("v")))
-        for f in spec.features
-    }
-    around = {}
+    around = []
     for f in spec.features:
-        around[f"_p_{f}"] = F.expr(f"lag(_k_{f}) ignore nulls {OVER_PORT_BY_SLOT}")
-        around[f"_n_{f}"] = F.expr(f"lead(_k_{f}) ignore nulls {OVER_PORT_BY_SLOT}")
-    filled = [_filled(f).alias(f) for f in spec.features]
-    return df.withColumns(known).withColumns(around).select(*KEYS, "slot_idx", *filled)
-
-
-def _filled(f: str) -> Column:
-    before, after = F.col(f"_p_{f}"), F.col(f"_n_{f}")
-    back, ahead = F.col("slot_idx") - before.i, after.i - F.col("slot_idx")
-    between = before.v + (after.v - before.v) * back / (back + ahead)
-    value = F.coalesce(between, before.v, after.v)
-    return F.when(F.col(f).isNotNull(), F.col(f)).when((back == 1) | (ahead == 1), value)
+        known = f"case when {f} is not null then struct(slot_idx as i, {f} as v) end"
+        around += [
+            f"lag({known}) ignore nulls {OVER_PORT_BY_SLOT} as _p_{f}",
+            f"lead({known}) ignore nulls {OVER_PORT_BY_SLOT} as _n_{f}",
+        ]
+    filled = [f"{_filled(f)} as {f}" for f in spec.features]
+    return df.selectExpr("*", *around).selectExpr(*KEYS, "slot_idx", *filled)
+
+
+def _filled(f: str) -> str:
+    before, after = f"_p_{f}", f"_n_{f}"
+    back, ahead = f"(slot_idx - {before}.i)", f"({after}.i - slot_idx)"
+    between = f"{before}.v + ({after}.v - {before}.v) * {back} / ({back} + {ahead})"
+    return (
+        f"case when {f} is not null then {f} when {back} = 1 or {ahead} = 1 "
+        f"then coalesce({between}, {before}.v, {after}.v) end"
+    )
 
 
 def preprocess(

@@ -1,4 +1,4 @@
-"""Window specifications.  All of them cluster on the port, so one shuffle serves a whole pipeline."""
+"""Window frames.  All of them cluster on the port, so one shuffle serves a whole pipeline."""
 
 from __future__ import annotations
 
@@ -6,18 +6,15 @@ from pyspark.sql import Window, WindowSpec
 
 from portvigil.spec import KEYS, WINDOW_SIZE
 
-# The same frame as text, for functions with IGNORE NULLS, which have no DataFrame form.
-OVER_PORT_BY_SLOT = f"over (partition by {', '.join(KEYS)} order by slot_idx)"
+_PORT = f"partition by {', '.join(KEYS)}"
+OVER_PORT = f"over ({_PORT})"
+OVER_PORT_BY_SLOT = f"over ({_PORT} order by slot_idx)"
 
 
 def port() -> WindowSpec:
     return Window.partitionBy(*KEYS)
 
 
-def port_by_slot() -> WindowSpec:
-    return Window.partitionBy(*KEYS).orderBy("slot_idx")
-
-
-def trailing(window_size: int = WINDOW_SIZE) -> WindowSpec:
+def over_trailing(window_size: int = WINDOW_SIZE) -> str:
     """The current slot and the ``window_size - 1`` slots before it, by slot number and not by row."""
-    return port_by_slot().rangeBetween(-(window_size - 1), 0)
+    return f"over ({_PORT} order by slot_idx range between {window_size - 1} preceding and current row)"

@@ -11,7 +11,7 @@ from portvigil.functions import scores as S
 from portvigil.functions.text import join_reasons, reason_text
 from portvigil.functions.times import slot_time
 from portvigil.operators.config import TrackSettings
-from portvigil.operators.frames import port, port_by_slot
+from portvigil.operators.frames import OVER_PORT, OVER_PORT_BY_SLOT
 from portvigil.spec import INTERVAL_MINUTES, KEYS, OPTICAL, STANDARD_COLS, TRACKS, TRAFFIC, TrackSpec
 
 JOIN_KEYS = ("occur_date", *KEYS)
@@ -19,42 +19,38 @@ JOIN_KEYS = ("occur_date", *KEYS)
 
 def judge_scores(scored: DataFrame, settings: TrackSettings) -> DataFrame:
     """Adds threshold, flag and severity."""
-    threshold = F.lit(settings.threshold)
-    return scored.withColumns(
-        {
-            "threshold": threshold,
-            "flag": S.flag_anomaly(F.col("score"), threshold),
-            "severity": S.severity(F.col("score"), threshold),
-        }
+    return scored.selectExpr("*", f"double('{settings.threshold!r}') as threshold").selectExpr(
+        "*",
+        f"{S.flag_anomaly('score', 'threshold')} as flag",
+        f"{S.severity('score', 'threshold')} as severity",
     )
 
 
 def trend_slope(judged: DataFrame) -> DataFrame:
     """Adds the least-squares slope of severity over a port's scored windows, 0 for a single one."""
-    position = F.row_number().over(port_by_slot()) - 1
-    slope = F.coalesce(F.regr_slope("severity", "_pos").over(port()), F.lit(0.0))
-    return judged.withColumn("_pos", position).withColumn("slope", slope).drop("_pos")
+    placed = judged.selectExpr("*", f"row_number() {OVER_PORT_BY_SLOT} - 1 as _pos")
+    return placed.selectExpr("*", f"coalesce(regr_slope(severity, _pos) {OVER_PORT}, 0.0D) as slope").drop("_pos")
 
 
 def inverse_transform(df: DataFrame, spec: TrackSpec) -> DataFrame:
     """Metrics in the units they were read in."""
     if not spec.log_scaled:
         return df
-    return df.withColumns({f: S.packets_back(F.col(f)) for f in spec.features})
+    return df.withColumns({f: F.expr(S.packets_back(f)) for f in spec.features})
 
 
 def track_columns(df: DataFrame, spec: TrackSpec, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
     """A judged track under its result names."""
-    return df.select(
-        slot_time(F.col("slot_idx"), interval_minutes).alias("occur_date"),
+    return df.selectExpr(
+        f"{slot_time('slot_idx', interval_minutes)} as occur_date",
         *KEYS,
         *spec.features,
-        F.col("score").alias(spec.score),
-        F.col("severity").alias(spec.severity),
-        F.col("slope").alias(spec.slope),
-        F.col("threshold").alias(spec.threshold),
-        F.col("flag").alias(spec.flag),
-        reason_text(spec, F.col("flag")).alias(spec.reason),
+        f"score as {spec.score}",
+        f"severity as {spec.severity}",
+        f"slope as {spec.slope}",
+        f"threshold as {spec.threshold}",
+        f"flag as {spec.flag}",
+        f"{reason_text(spec, 'flag')} as {spec.reason}",
     )
 
 
@@ -100,58 +96,51 @@ def fuse_defaults(fused: DataFrame) -> DataFrame:
 
 
 def fuse_is_anomaly(fused: DataFrame) -> DataFrame:
-    return fused.withColumn("is_anomaly", reduce(lambda a, b: a | b, [F.col(t.flag) for t in TRACKS.values()]))
+    return fused.selectExpr("*", f"{' or '.join(t.flag for t in TRACKS.values())} as is_anomaly")
 
 
 def fuse_reason(fused: DataFrame) -> DataFrame:
-    pairs = [(F.col(t.flag), F.col(t.reason)) for t in TRACKS.values()]
-    return fused.withColumn("anomaly_reason", join_reasons(pairs))
-
-
-def traffic_dominates() -> Column:
-    return F.col(TRAFFIC.severity) >= F.col(OPTICAL.severity)
+    pairs = [(t.flag, t.reason) for t in TRACKS.values()]
+    return fused.selectExpr("*", f"{join_reasons(pairs)} as anomaly_reason")
 
 
 def fuse_dominant(fused: DataFrame) -> DataFrame:
     """Score, threshold, slope and severity of the track with the higher severity; a tie is traffic's."""
+    traffic_leads = f"{TRAFFIC.severity} >= {OPTICAL.severity}"
     pick = {"anomaly_score": "score", "threshold": "threshold", "slope": "slope", "severity": "severity"}
-    return fused.withColumns(
-        {"dominant": F.when(traffic_dominates(), TRAFFIC.name).otherwise(OPTICAL.name)}
-        | {
-            name: F.when(traffic_dominates(), F.col(getattr(TRAFFIC, field))).otherwise(
-                F.col(getattr(OPTICAL, field))
-            )
+    return fused.selectExpr(
+        "*",
+        f"if({traffic_leads}, '{TRAFFIC.name}', '{OPTICAL.name}') as dominant",
+        *[
+            f"if({traffic_leads}, {getattr(TRAFFIC, field)}, {getattr(OPTICAL, field)}) as {name}"
             for name, field in pick.items()
-        }
+        ],
     )
 
 
-def _setting(settings: dict[str, TrackSettings], field: str) -> Column:
+def _setting(settings: dict[str, TrackSettings], field: str) -> str:
     """A setting of the row's dominant track, NULL for a track without a model."""
-    pairs = [(n, getattr(s, field)) for n, s in sorted(settings.items())]
-    chain = F.when(F.col("dominant") == pairs[0][0], pairs[0][1])
-    for name, value in pairs[1:]:
-        chain = chain.when(F.col("dominant") == name, value)
-    return chain
+    cases = " ".join(f"when '{name}' then {getattr(s, field)}D" for name, s in sorted(settings.items()))
+    return f"(case dominant {cases} end)"
 
 
 def fuse_outlook(
     fused: DataFrame, settings: dict[str, TrackSettings], interval_minutes: int = INTERVAL_MINUTES
 ) -> DataFrame:
     """Trend label, time to failure and alarm tier by the settings of the dominant track."""
-    slope, severity = F.col("slope"), F.col("severity")
-    labelled = fused.withColumn("slope_label", S.slope_label(slope, _setting(settings, "slope_threshold")))
+    label = S.slope_label("slope", _setting(settings, "slope_threshold"))
     ttf = S.time_to_failure(
-        F.col("slope_label"), severity, slope, _setting(settings, "rul_target"), interval_minutes
+        "slope_label", "severity", "slope", _setting(settings, "rul_target"), interval_minutes
     )
-    timed = labelled.withColumn("ttf_minutes", ttf)
-    fatal = F.timestamp_add("MINUTE", F.col("ttf_minutes").cast("int"), F.col("occur_date"))
-    return timed.withColumns(
-        {
-            "expected_fatal_time": fatal,
-            "alarm_level": S.alarm_level(severity),
-            "alarm_label": S.alarm_label(severity),
-        }
+    return (
+        fused.selectExpr("*", f"{label} as slope_label")
+        .selectExpr("*", f"{ttf} as ttf_minutes")
+        .selectExpr(
+            "*",
+            "timestampadd(MINUTE, cast(ttf_minutes as bigint), occur_date) as expected_fatal_time",
+            f"{S.alarm_level('severity')} as alarm_level",
+            f"{S.alarm_label('severity')} as alarm_label",
+        )
     )
 
 
@@ -159,10 +148,15 @@ def project_standard(fused: DataFrame) -> DataFrame:
     return fused.select(*STANDARD_COLS)
 
 
+def newest_slot(*frames: DataFrame) -> Column:
+    """The latest ``occur_date`` of all frames as a scalar subquery."""
+    slots = [f.select("occur_date") for f in frames]
+    return reduce(lambda a, b: a.unionByName(b), slots).agg(F.max("occur_date")).scalar()
+
+
 def latest_in_batch(results: DataFrame) -> DataFrame:
     """Rows of the newest slot of the whole batch; a port that stopped earlier has none."""
-    newest = results.agg(F.max("occur_date").alias("newest"))
-    return results.where(F.col("occur_date") == newest.scalar())
+    return results.where(F.col("occur_date") == newest_slot(results))
 
 
 def fuse(
@@ -170,10 +164,19 @@ def fuse(
     optical: DataFrame | None,
     settings: dict[str, TrackSettings],
     interval_minutes: int = INTERVAL_MINUTES,
+    latest_only: bool = False,
 ) -> DataFrame | None:
-    """One verdict per port and slot out of two finished tracks."""
-    if traffic is None and optical is None:
+    """One verdict per port and slot out of two finished tracks.
+
+    With ``latest_only`` both sides are cut to the newest slot of either before they are joined.  The
+    slot needs neither scores nor slopes, so its subquery skips them.
+    """
+    tracks = [t for t in (traffic, optical) if t is not None]
+    if not tracks:
         return None
+    if latest_only:
+        at = newest_slot(*tracks)
+        traffic, optical = (t if t is None else t.where(F.col("occur_date") == at) for t in (traffic, optical))
     if traffic is None:
         joined = absent_track(optical, TRAFFIC)
     elif optical is None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from portvigil.functions import text as X
 from portvigil.functions.scores import alarm_label
-from portvigil.functions.times import clock_label, ntz, time_text
+from portvigil.functions.times import clock_label, ntz, time_text, to_ntz
 from portvigil.spec import KEYS, OPTICAL, PAGE_SIZE, TRAFFIC, TrackSpec
 
 RESULT_HOUR = "occur_hour"
@@ -96,12 +96,12 @@ def filter_port_history(
     rows = results.where((F.col("ip_addr") == ip_addr) & (F.col("cid") == slot_id) & (F.col("lid") == port_id))
     if RESULT_HOUR in results.columns:
         rows = rows.where(F.col(RESULT_HOUR) >= since.strftime("%Y-%m-%d-%H"))
-    return rows.where(F.col("occur_date") >= ntz(since))
+    return rows.where(f"occur_date >= {ntz(since)}")
 
 
 def format_times(df: DataFrame, *columns: str) -> DataFrame:
     """Timestamps as text; NULL stays NULL."""
-    return df.withColumns({c: time_text(F.col(c)) for c in columns})
+    return df.withColumns({c: F.expr(time_text(c)) for c in columns})
 
 
 def current_anomalies(
@@ -196,27 +196,25 @@ def port_time_bounds(grid: DataFrame) -> DataFrame:
 def diagnose_port(results: DataFrame, spec: TrackSpec) -> DataFrame:
     """Rule label for the last reading of each port."""
     last = [F.max_by(f, "occur_date").alias(f) for f in spec.features]
-    return results.groupBy(*KEYS).agg(*last).select(*KEYS, X.diagnosis(spec).alias("diagnosis"))
+    return results.groupBy(*KEYS).agg(*last).selectExpr(*KEYS, f"{X.diagnosis(spec)} as diagnosis")
 
 
 def display_fields(snapshot: DataFrame) -> DataFrame:
     """Table cells for rows of ``current_anomalies``, whose times are text already."""
-    fatal = F.to_timestamp_ntz("expected_fatal_time")
-    return snapshot.select(
-        F.col("occur_date").alias("time"),
+    return snapshot.selectExpr(
+        "occur_date as time",
         "ip_addr",
-        X.port_label(F.col("slot_id"), F.col("port_id")).alias("port"),
+        f"{X.port_label('slot_id', 'port_id')} as port",
         "alarm_label",
-        X.severity_text(F.col("severity")).alias("severity"),
-        X.slope_text(F.col("slope")).alias("trend"),
-        X.fatal_text(F.col("ttf_minutes"), fatal).alias("expected"),
+        f"{X.severity_text('severity')} as severity",
+        f"{X.slope_text('slope')} as trend",
+        f"{X.fatal_text('ttf_minutes', to_ntz('expected_fatal_time'))} as expected",
     )
 
 
 def severity_zone(history: DataFrame) -> DataFrame:
     """Zone of each plotted severity value."""
-    zones = {f"{t.name}_zone": alarm_label(F.coalesce(F.col(t.severity), F.lit(0.0))) for t in (TRAFFIC, OPTICAL)}
-    return history.withColumns(zones)
+    return history.withColumns({f"{t.name}_zone": F.expr(alarm_label(t.severity)) for t in (TRAFFIC, OPTICAL)})
 
 
 def history_series(history: DataFrame, traffic: bool = True, optical: bool = True) -> DataFrame:
@@ -230,6 +228,6 @@ def history_series(history: DataFrame, traffic: bool = True, optical: bool = Tru
             F.col(t.threshold),
             *[F.col(f).cast("double").alias(f) for f in t.features],
         ]
-    label = clock_label(F.to_timestamp_ntz("occur_date")).alias("label")
+    label = F.expr(clock_label(to_ntz("occur_date"))).alias("label")
     wide = history.select("occur_date", label, *series)
     return wide.unpivot(["occur_date", "label"], None, "series", "value")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portvigil.functions.scores import finite_or_null, mean_square
-from portvigil.operators.frames import trailing
+from portvigil.operators.frames import over_trailing
 from portvigil.operators.quantiles import SMALL, exact_quantiles
 from portvigil.operators.windows import complete_windows, sliding_windows, z
 from portvigil.spec import KEYS, PATIENCE, WINDOW_SIZE, TrackSpec
@@ -28,16 +28,22 @@ Scorer = Callable[[DataFrame, TrackSpec, int], DataFrame]
 
 def score_window_mean(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Each window rebuilt as its own mean.  Needs no trained model and no arrays."""
-    errors = [F.col(z(f)) - F.avg(z(f)).over(trailing(window_size)) for f in spec.features]
-    scored = complete_windows(scaled, spec, window_size, score=mean_square(errors))
-    return scored.select(*KEYS, "slot_idx", *spec.features, "score")
+    means = {f"_a_{f}": f"avg({z(f)}) {over_trailing(window_size)}" for f in spec.features}
+    framed = complete_windows(scaled, spec, window_size, **means)
+    score = mean_square([f"{z(f)} - _a_{f}" for f in spec.features])
+    return _scored(framed, spec, score)
+
+
+def _scored(windows: DataFrame, spec: TrackSpec, score: str) -> DataFrame:
+    rows = windows.selectExpr(*KEYS, "slot_idx", *spec.features, f"{score} as score")
+    return rows.withColumn("score", F.expr(finite_or_null("score")))
 
 
 def window_mean_loss(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Mean squared error over all slots of a window that is rebuilt as its mean."""
-    spread = [F.var_pop(z(f)).over(trailing(window_size)) for f in spec.features]
-    loss = sum(spread[1:], spread[0]) / len(spread)
-    return complete_windows(scaled, spec, window_size, loss=loss).select(*KEYS, "slot_idx", "loss")
+    spread = " + ".join(f"var_pop({z(f)}) {over_trailing(window_size)}" for f in spec.features)
+    framed = complete_windows(scaled, spec, window_size, loss=f"({spread}) / {len(spec.features)}")
+    return framed.select(*KEYS, "slot_idx", "loss")
 
 
 @dataclass(frozen=True)
@@ -90,14 +96,14 @@ def score_windows(windows: DataFrame, spec: TrackSpec, model: LinearAutoencoder)
     """Scores of windows that are already cut.  Only the last slot is rebuilt, from ``k`` coordinates."""
     last = model.components[-len(spec.features) :, :]
     base = np.array(model.mean[-len(spec.features) :]) - last @ _center(model)
+    projected = _projected(windows, model)
     errors = []
     for j in range(len(spec.features)):
-        rebuilt = F.lit(float(base[j]))
-        for i in range(model.k):
-            rebuilt = rebuilt + F.col("p")[i] * float(last[j, i])
-        errors.append(F.element_at("x", j - len(spec.features)) - rebuilt)
-    scored = _projected(windows, model).withColumn("score", mean_square(errors))
-    return scored.select(*KEYS, "slot_idx", *spec.features, "score")
+        parts = [f"p[{i}] * double('{float(last[j, i])!r}')" for i in range(model.k)]
+        rebuilt = " + ".join([f"double('{float(base[j])!r}')", *parts])
+        errors.append(f"element_at(x, {j - len(spec.features)}) - _r{j}")
+        projected = projected.withColumn(f"_r{j}", F.expr(rebuilt))
+    return _scored(projected, spec, mean_square(errors))
 
 
 def score_reconstruction(model: LinearAutoencoder) -> Scorer:
@@ -124,8 +130,8 @@ def score_custom(reconstruct: Callable[[np.ndarray], np.ndarray]) -> Scorer:
             return pd.Series(np.mean((x[:, -1, :] - reconstruct(x)[:, -1, :]) ** 2, axis=1))
 
         windows = _flat(sliding_windows(scaled, spec, window_size))
-        scored = windows.withColumn("score", finite_or_null(last_slot_error("x")))
-        return scored.select(*KEYS, "slot_idx", *spec.features, "score")
+        scored = windows.withColumn("mse", last_slot_error("x"))
+        return _scored(scored, spec, "mse")
 
     return scorer
 

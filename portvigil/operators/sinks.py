@@ -33,7 +33,7 @@ def ensure_schema(df: DataFrame, detect_time: datetime | None = None) -> DataFra
         if field.name in df.columns:
             column = F.col(field.name)
         elif field.name == "detect_time":
-            column = ntz(detect_time) if detect_time else F.lit(None)
+            column = F.expr(ntz(detect_time)) if detect_time else F.lit(None)
         elif field.name in NULLABLE_RESULT_COLS:
             column = F.lit(None)
         else:
@@ -54,7 +54,7 @@ def sanitize(df: DataFrame) -> DataFrame:
     for field in RESULT_SCHEMA.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            column = finite_or_null(column)
+            column = F.expr(finite_or_null(field.name))
         if field.name not in NULLABLE_RESULT_COLS:
             empty = F.lit("") if isinstance(field.dataType, T.StringType) else F.lit(0).cast(field.dataType)
             column = F.coalesce(column, empty)
@@ -70,7 +70,7 @@ def merge_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def retained(results: DataFrame, as_of: datetime, days: int = RETENTION_DAYS) -> DataFrame:
     """Rows not older than the retention period."""
-    return results.where(F.col("occur_date") >= ntz(as_of - timedelta(days=days)))
+    return results.where(f"occur_date >= {ntz(as_of - timedelta(days=days))}")
 
 
 # --- stored table ----------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ def _replace_hours(rows: DataFrame, path: str) -> None:
     """Write the hours in ``rows`` and replace them in the table."""
     spark = rows.sparkSession
     staged = work_path(spark, "results")
-    by_hour = rows.withColumn(RESULT_HOUR, hour_key(F.col("occur_date"))).hint("rebalance", RESULT_HOUR)
+    by_hour = rows.withColumn(RESULT_HOUR, F.expr(hour_key("occur_date"))).hint("rebalance", RESULT_HOUR)
     by_hour.write.partitionBy(RESULT_HOUR).parquet(staged)
     copy = spark.read.schema(STORED_SCHEMA).parquet(staged)
     copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RESULT_HOUR).parquet(path)
@@ -129,7 +129,7 @@ def upsert_results(new: DataFrame, path: str, detect_time: datetime) -> None:
     """
     spark = new.sparkSession
     rows = sanitize(ensure_schema(new, detect_time))
-    touched = rows.select(hour_key(F.col("occur_date")).alias("h")).distinct().collect()
+    touched = rows.selectExpr(f"{hour_key('occur_date')} as h").distinct().collect()
     hours = sorted({r.h for r in touched} & set(stored_hours(spark, path)))
     if hours:
         existing = read_results(spark, path).where(F.col(RESULT_HOUR).isin(hours))

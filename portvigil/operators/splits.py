@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portvigil.functions.times import ntz
@@ -15,10 +15,10 @@ def _midnight(day: date) -> datetime:
     return datetime.combine(day, datetime.min.time())
 
 
-def within_days(first: date, last: date) -> Column:
+def within_days(first: date, last: date) -> str:
     """Whole days, both included."""
-    start, end = ntz(_midnight(first)), ntz(_midnight(last + timedelta(days=1)))
-    return (F.col("occur_date") >= start) & (F.col("occur_date") < end)
+    start, end = _midnight(first), _midnight(last + timedelta(days=1))
+    return f"occur_date >= {ntz(start)} and occur_date < {ntz(end)}"
 
 
 def split_by_dates(
@@ -41,9 +41,9 @@ def cutoff_of(as_of: datetime, days: int = VALIDATION_DAYS) -> datetime:
 
 def split_by_cutoff(df: DataFrame, as_of: datetime, days: int = TRAIN_DAYS) -> DataFrame:
     """Labels the collected range: ``train`` before the cut-off day, ``test`` from it on."""
-    collected = df.where(F.col("occur_date").between(ntz(as_of - timedelta(days=days)), ntz(as_of)))
-    label = F.when(F.col("occur_date") < ntz(cutoff_of(as_of)), "train").otherwise("test")
-    return collected.withColumn("split", label)
+    collected = df.where(f"occur_date between {ntz(as_of - timedelta(days=days))} and {ntz(as_of)}")
+    label = f"if(occur_date < {ntz(cutoff_of(as_of))}, 'train', 'test')"
+    return collected.withColumn("split", F.expr(label))
 
 
 def split_counts(labelled: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portvigil.operators.clean import is_complete
-from portvigil.operators.frames import trailing
+from portvigil.operators.frames import over_trailing
 from portvigil.operators.quantiles import SMALL, exact_quantiles
 from portvigil.spec import KEYS, WINDOW_SIZE, TrackSpec
 
@@ -47,33 +47,38 @@ def load_scaler(params: DataFrame, spec: TrackSpec) -> Scaler:
     return {r.feature: (r.center, r.scale) for r in rows}
 
 
+def _num(x: float) -> str:
+    """Double literal with all its digits."""
+    return f"double('{x!r}')"
+
+
 def z(feature: str) -> str:
     return f"z_{feature}"
 
 
 def robust_apply(clean: DataFrame, spec: TrackSpec, scaler: Scaler) -> DataFrame:
     """Adds the scaled metrics; NULL stays NULL, its windows are dropped."""
-    return clean.withColumns({z(f): (F.col(f) - scaler[f][0]) / scaler[f][1] for f in spec.features})
+    return clean.selectExpr("*", *[f"({f} - {_num(scaler[f][0])}) / {_num(scaler[f][1])} as {z(f)}" for f in spec.features])
 
 
 def placeholder_filled(clean: DataFrame, spec: TrackSpec) -> DataFrame:
     """Metrics with the track's placeholder for NULL, and ``any_null`` marking those rows."""
-    filled = {f: F.coalesce(F.col(f), F.lit(spec.placeholder)) for f in spec.features}
-    return clean.withColumn("any_null", ~is_complete(spec)).withColumns(filled)
+    filled = [f"coalesce({f}, {spec.placeholder}D) as {f}" for f in spec.features]
+    return clean.select(*KEYS, "slot_idx", *map(F.expr, filled), (~is_complete(spec)).alias("any_null"))
 
 
 def complete_windows(
-    df: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE, **columns: Column
+    df: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE, **columns: str
 ) -> DataFrame:
     """Rows that end a window: all of the trailing slots exist and hold every metric.  ``columns`` over
     the same frame are added in the same pass."""
-    filled = F.count_if(is_complete(spec)).over(trailing(window_size))
-    framed = df.withColumns({**columns, "_filled": filled})
-    return framed.where(F.col("_filled") == window_size).drop("_filled")
+    complete = " and ".join(f"{f} is not null" for f in spec.features)
+    added = [f"{column} as {name}" for name, column in columns.items()]
+    filled = f"count_if({complete}) {over_trailing(window_size)} as _filled"
+    return df.selectExpr("*", *added, filled).where(f"_filled = {window_size}").drop("_filled")
 
 
 def sliding_windows(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Window-end rows with ``seq``, the scaled metrics of the trailing slots, oldest first."""
-    step = F.array(*[F.col(z(f)) for f in spec.features])
-    seq = F.collect_list(step).over(trailing(window_size))
+    seq = f"collect_list(array({', '.join(map(z, spec.features))})) {over_trailing(window_size)}"
     return complete_windows(scaled, spec, window_size, seq=seq).select(*KEYS, "slot_idx", *spec.features, "seq")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from portvigil.operators.clean import preprocess
 from portvigil.operators.config import TrackSettings
-from portvigil.operators.fusion import finish_track, fuse, latest_in_batch
+from portvigil.operators.fusion import finish_track, fuse
 from portvigil.operators.scoring import Scorer, score_window_mean
 from portvigil.operators.windows import Scaler, robust_apply
 from portvigil.spec import INTERVAL_MINUTES, OPTICAL, TRAFFIC, TrackSpec
@@ -44,7 +44,4 @@ def detect(
         scorer = scorers.get(spec.name, score_window_mean)
         return score_track(raw, spec, scalers[spec.name], settings[spec.name], scorer, interval_minutes)
 
-    results = fuse(track(traffic, TRAFFIC), track(optical, OPTICAL), settings, interval_minutes)
-    if results is None or not latest_only:
-        return results
-    return latest_in_batch(results)
+    return fuse(track(traffic, TRAFFIC), track(optical, OPTICAL), settings, interval_minutes, latest_only)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portvigil.functions.times import HOUR_FORMAT, hour_key, ntz
+from portvigil.functions.times import hour_key, ntz
 from portvigil.spec import OPTICAL_SCHEMA, SIGNAL_ETH, TRAFFIC_RAW_SCHEMA
 
 HOUR_COL = "pm_hour"
@@ -28,7 +28,7 @@ def filter_time_range(df: DataFrame, start: datetime | None, end: datetime | Non
     """Rows with ``start <= occur_date <= end``; without a range, all rows."""
     if start is None or end is None:
         return df
-    return df.where(F.col("occur_date").between(ntz(start), ntz(end)))
+    return df.where(f"occur_date between {ntz(start)} and {ntz(end)}")
 
 
 def filter_signal_type(df: DataFrame, signal_type: int = SIGNAL_ETH) -> DataFrame:
@@ -60,7 +60,7 @@ def prune_hours(df: DataFrame, start: datetime | None, end: datetime | None) ->
 
 
 def with_hour(df: DataFrame) -> DataFrame:
-    return df.withColumn(HOUR_COL, hour_key(F.col("occur_date")))
+    return df.withColumn(HOUR_COL, F.expr(hour_key("occur_date")))
 
 
 def shard_union(shards: Iterable[DataFrame]) -> DataFrame | None:
@@ -158,5 +158,5 @@ def read_optical_jdbc(spark, options, prefix, start, end, existing=None) -> Data
 
 def shard_counts(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Hour shards that the range touches and that hold rows."""
-    hours = df.select(F.date_format("occur_date", HOUR_FORMAT).alias(HOUR_COL))
+    hours = df.selectExpr(f"{hour_key('occur_date')} as {HOUR_COL}")
     return hours.where(in_hours(F.col(HOUR_COL), start, end)).groupBy(HOUR_COL).agg(F.count("*").alias("rows"))

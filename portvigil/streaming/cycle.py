@@ -57,7 +57,7 @@ def previous_cycle(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
     if stored is None:
         return now.limit(0)
     at = now.agg(F.max("occur_date")).first()[0]
-    upto = stored.where(F.col(RESULT_HOUR) <= at.strftime("%Y-%m-%d-%H")).where(F.col("occur_date") <= ntz(at))
+    upto = stored.where(F.col(RESULT_HOUR) <= at.strftime("%Y-%m-%d-%H")).where(f"occur_date <= {ntz(at)}")
     return latest_in_table(upto)
 
 

@@ -13,7 +13,7 @@ from tests.helpers import PORT, START, TRAFFIC_ROWS, at, optical_rows, series, t
 
 def test_slot_round_ties_go_to_even(spark):
     rows = [(START + timedelta(minutes=m),) for m in (7.5, 22.5, 37.5, 7.49, 52.5)]
-    got = spark.createDataFrame(rows, "t timestamp_ntz").select(TM.slot_round(F.col("t"), 15)).collect()
+    got = spark.createDataFrame(rows, "t timestamp_ntz").select(F.expr(TM.slot_round("t", 15))).collect()
     assert [r[0] - START for r in got] == [timedelta(minutes=m) for m in (0, 30, 30, 0, 60)]
 
 
@@ -28,7 +28,7 @@ def test_slot_round_matches_pandas_in_any_session_zone(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         df = spark.createDataFrame([(t.to_pydatetime(),) for t in frame.t], "t timestamp_ntz")
-        got = df.select("t", TM.slot_round(F.col("t"), 15).alias("s")).collect()
+        got = df.select("t", F.expr(TM.slot_round("t", 15)).alias("s")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert [r.s for r in got] == [t.to_pydatetime() for t in frame.t.dt.round("15min")]
