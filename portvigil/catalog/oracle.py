@@ -760,7 +760,7 @@ ORACLES: dict[str, str] = {
     "alarm_transitions": over_results("select * from transitions", FINE, TRANSITIONS),
     "active_alarm_view": over_results("select * from newest where type = 'ALARM'", COARSE, TRANSITIONS),
     "sink_alarm_json": over_results(
-        "select event_time, ip_addr, slot_id, port_id, '{\"type\":\"' || type || '\",\"event_time\":\"' || "
+        "select type, event_time, ip_addr, slot_id, port_id, '{\"type\":\"' || type || '\",\"event_time\":\"' || "
         f"{TEXT_TIME.format('event_time')} || '\",\"ip_addr\":\"' || ip_addr || '\",\"slot_id\":' || slot_id || "
         "',\"port_id\":' || port_id || case when severity is null then '' else ',\"severity\":\"' || severity || '\"' end || "
         "',\"message\":\"' || message || '\"}' as value from transitions",

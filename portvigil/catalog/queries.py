@@ -874,8 +874,8 @@ def _(spark, sf):
     path, now = work_path(spark, "history"), as_of(spark, sf)
     middle = F.expr(TM.ntz(cutoff(spark, sf)))
     rows = sinks.ensure_schema(results(spark, sf), now)
-    sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, "0")
-    sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, "1")
+    sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, 0)
+    sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, 1)
     read = raw.read_csv(spark, f"{path}/run_date=*/cycle=*", RESULT_SCHEMA)
     return rounded(read.select("occur_date", *KEYS, "severity", "anomaly_reason", "expected_fatal_time"))
 

@@ -78,19 +78,19 @@ def alarm_transitions(results: DataFrame) -> DataFrame:
     )
 
 
-def alarm_step(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Events of one cycle, given the rows of the cycle stored before it."""
-    before, now = filter_critical(previous), filter_critical(current)
-    alarms = known_alarm_probe(now, before.select(*KEYS, "occur_date"))
+def alarm_step(open_: DataFrame, current: DataFrame) -> DataFrame:
+    """Events of one cycle, given the open alarms before it (keys and ``occur_date``)."""
+    now = filter_critical(current)
+    alarms = known_alarm_probe(now, open_)
     at = current.agg(F.max("occur_date").alias("at")).scalar()
-    recovered = recovered_keys(before, now).withColumn("cleared_at", at)
+    recovered = recovered_keys(open_, now).withColumn("cleared_at", at)
     return alarm_events(alarms).unionByName(clear_events(recovered))
 
 
 def alarm_json(events: DataFrame) -> DataFrame:
     """The message sent for each event; fields without a value are left out."""
     fields = ["type", F.expr(time_text("event_time")).alias("event_time"), *EVENT_KEYS, "severity", "message"]
-    return events.select("event_time", *EVENT_KEYS, F.to_json(F.struct(*fields)).alias("value"))
+    return events.select("type", "event_time", *EVENT_KEYS, F.to_json(F.struct(*fields)).alias("value"))
 
 
 def latest_event(events: DataFrame) -> DataFrame:

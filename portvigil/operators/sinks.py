@@ -18,7 +18,7 @@ from portvigil.functions.times import hour_key, ntz
 from portvigil.operators.reports import RESULT_HOUR
 from portvigil.sources.raw import CSV_OPTIONS
 from portvigil.spec import KEYS, NULLABLE_RESULT_COLS, RESULT_COLS, RESULT_SCHEMA, RETENTION_DAYS
-from portvigil.storage import work_path
+from portvigil.storage import drop_path, partition_values, work_path
 
 UPSERT_KEYS = ("occur_date", *KEYS)
 STORED_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField(RESULT_HOUR, T.StringType())])
@@ -76,29 +76,8 @@ def retained(results: DataFrame, as_of: datetime, days: int = RETENTION_DAYS) ->
 # --- stored table ----------------------------------------------------------------------------------
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    return _file_system(spark, path).exists(_path(spark, path))
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    _file_system(spark, path).delete(_path(spark, path), True)
-
-
 def stored_hours(spark: SparkSession, path: str) -> list[str]:
-    """Hour partitions of the table, from its directory listing."""
-    if not path_exists(spark, path):
-        return []
-    entries = _file_system(spark, path).listStatus(_path(spark, path))
-    names = [e.getPath().getName() for e in entries]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{RESULT_HOUR}="))
+    return partition_values(spark, path, RESULT_HOUR)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -110,31 +89,36 @@ def results_sql(spark: SparkSession, path: str, sql: str, **args) -> DataFrame:
     return spark.sql(sql, args=args, results=read_results(spark, path))
 
 
-def _replace_hours(rows: DataFrame, path: str) -> None:
-    """Write the hours in ``rows`` and replace them in the table."""
-    spark = rows.sparkSession
-    staged = work_path(spark, "results")
+def _staged(rows: DataFrame) -> str:
+    """``rows`` as a written table in the layout of the result table."""
+    path = work_path(rows.sparkSession, "results")
     by_hour = rows.withColumn(RESULT_HOUR, F.expr(hour_key("occur_date"))).hint("rebalance", RESULT_HOUR)
-    by_hour.write.partitionBy(RESULT_HOUR).parquet(staged)
-    copy = spark.read.schema(STORED_SCHEMA).parquet(staged)
-    copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RESULT_HOUR).parquet(path)
-    _drop(spark, staged)
+    by_hour.write.partitionBy(RESULT_HOUR).parquet(path)
+    return path
+
+
+def _replace_hours(spark: SparkSession, staged: str, path: str) -> None:
+    """Replace the hours of the staged table in the result table."""
+    writer = read_results(spark, staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(RESULT_HOUR).parquet(path)
+    drop_path(spark, staged)
 
 
 def upsert_results(new: DataFrame, path: str, detect_time: datetime) -> None:
     """Store detection rows; running the same cycle twice leaves one copy.
 
-    ``new`` should be cheap to read twice (a checkpointed cycle).  The list of touched hours is bounded
-    by the calendar span of the batch.
+    ``new`` is evaluated once, by staging it.  The hours it touches are then known from the staged
+    folders, and only these are read from the table and merged.
     """
     spark = new.sparkSession
-    rows = sanitize(ensure_schema(new, detect_time))
-    touched = rows.selectExpr(f"{hour_key('occur_date')} as h").distinct().collect()
-    hours = sorted({r.h for r in touched} & set(stored_hours(spark, path)))
+    staged = _staged(sanitize(ensure_schema(new, detect_time)))
+    hours = sorted(set(stored_hours(spark, staged)) & set(stored_hours(spark, path)))
     if hours:
         existing = read_results(spark, path).where(F.col(RESULT_HOUR).isin(hours))
-        rows = merge_upsert(existing, rows)
-    _replace_hours(rows, path)
+        merged = _staged(merge_upsert(existing, read_results(spark, staged)))
+        drop_path(spark, staged)
+        staged = merged
+    _replace_hours(spark, staged, path)
 
 
 def expire_results(spark: SparkSession, path: str, as_of: datetime, days: int = RETENTION_DAYS) -> None:
@@ -143,20 +127,21 @@ def expire_results(spark: SparkSession, path: str, as_of: datetime, days: int =
     edge = limit.strftime("%Y-%m-%d-%H")
     hours = stored_hours(spark, path)
     for hour in (h for h in hours if h < edge):
-        _drop(spark, f"{path}/{RESULT_HOUR}={hour}")
-    if edge in hours and limit != limit.replace(minute=0, second=0, microsecond=0):
+        drop_path(spark, f"{path}/{RESULT_HOUR}={hour}")
+    if edge in hours:
         hour = read_results(spark, path).where(F.col(RESULT_HOUR) == edge)
-        kept = retained(hour, as_of, days)
-        if kept.isEmpty():
-            _drop(spark, f"{path}/{RESULT_HOUR}={edge}")
+        staged = _staged(retained(hour, as_of, days).select(*RESULT_COLS))
+        if stored_hours(spark, staged):
+            _replace_hours(spark, staged, path)
         else:
-            _replace_hours(kept.select(*RESULT_COLS), path)
+            drop_path(spark, f"{path}/{RESULT_HOUR}={edge}")
+            drop_path(spark, staged)
 
 
 # --- files -----------------------------------------------------------------------------------------
 
 
-def append_history(results: DataFrame, path: str, as_of: datetime, cycle: str) -> None:
+def append_history(results: DataFrame, path: str, as_of: datetime, cycle: int) -> None:
     """Full results of one cycle in the log of its day; repeating the cycle replaces its own files."""
     target = f"{path}/run_date={as_of:%Y%m%d}/cycle={cycle}"
     results.write.mode("overwrite").options(**CSV_OPTIONS).csv(target)

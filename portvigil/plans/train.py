@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from portvigil.operators.clean import preprocess
@@ -20,7 +19,7 @@ from portvigil.operators.scoring import (
 )
 from portvigil.operators.windows import Scaler, robust_apply, robust_fit, sliding_windows
 from portvigil.spec import INTERVAL_MINUTES, LATENT_DIM, PATIENCE, THRESHOLD_PERCENTILE, WINDOW_SIZE, TrackSpec
-from portvigil.storage import materialize
+from portvigil.storage import materialized
 
 
 @dataclass(frozen=True)
@@ -56,32 +55,31 @@ def train_track(
 ) -> TrainedTrack | None:
     """Fit on ``train``, choose the model size on ``validation``; None without a single window.
 
-    The scaler is fitted on training rows only and applied to both sets.  Windows are read several
-    times (mean, covariance, scores), so they are written once.
+    The scaler is fitted on training rows only and applied to both sets.  Cleaned rows and windows are
+    read several times (quartiles; mean, covariance, scores), so each is written once.
     """
-    clean = preprocess(train, spec, interval_minutes, window_size, train=True, full_grid=False)
-    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    rows = preprocess(train, spec, interval_minutes, window_size, train=True, full_grid=False)
+    with materialized(rows, "clean") as clean:
         if clean.isEmpty():
             return None
         scaler = robust_fit(clean, spec)
-        windows = materialize(sliding_windows(robust_apply(clean, spec, scaler), spec, window_size))
-    finally:
-        clean.unpersist()
-    samples = windows.count()
-    if not samples:
-        return None
-    model = fit_reconstruction(windows, min(latent_dim, window_size * len(spec.features)))
-    loss = None
-    if validation is not None:
-        held_out = training_windows(validation, spec, scaler, interval_minutes, window_size)
-        model, loss = select_best_model(model, validation_loss(held_out, model), patience)
+        cut = sliding_windows(robust_apply(clean, spec, scaler), spec, window_size)
+        with materialized(cut, "windows") as windows:
+            samples = windows.count()
+            if not samples:
+                return None
+            model = fit_reconstruction(windows, min(latent_dim, window_size * len(spec.features)))
+            loss = None
+            if validation is not None:
+                held_out = training_windows(validation, spec, scaler, interval_minutes, window_size)
+                model, loss = select_best_model(model, validation_loss(held_out, model), patience)
+            threshold = threshold_percentile(score_windows(windows, spec, model), percentile)
     config = config_row(
         train.sparkSession,
         spec.name,
         version,
         trained_at=trained_at,
-        threshold=threshold_percentile(score_windows(windows, spec, model), percentile),
+        threshold=threshold,
         threshold_percentile=percentile,
         window_size=window_size,
         latent_dim=model.k,

@@ -1,32 +1,64 @@
-"""Where intermediate results are cut from their lineage."""
+"""Written intermediate tables and the few file operations Spark has no call for."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_fallback: list[str] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is named (tests)."""
-    context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="portvigil-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="portvigil-"))
+    return _fallback[0]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder for a written intermediate table."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and continue from there; survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from the directory listing; none where there is no table."""
+    files = _file_system(spark, path)
+    if not files.exists(_path(spark, path)):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(_path(spark, path))]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
+@contextmanager
+def materialized(df: DataFrame, name: str = "table") -> Iterator[DataFrame]:
+    """``df`` written once to the shared folder and read from there; gone when the block ends.
+
+    Cuts the lineage like a checkpoint, survives lost executors, and stays columnar.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        drop_path(spark, path)

@@ -10,21 +10,28 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from portvigil.functions.times import ntz
 from portvigil.operators.alarms import alarm_json, alarm_step
 from portvigil.operators.config import TrackSettings
-from portvigil.operators.reports import RESULT_HOUR, latest_in_table
+from portvigil.operators.reports import RESULT_HOUR, cycle_counts, latest_in_table, max_slot
 from portvigil.operators.scoring import Scorer
 from portvigil.operators.sinks import append_history, expire_results, read_results, stored_hours, upsert_results
 from portvigil.operators.windows import Scaler
 from portvigil.plans.detect import detect
 from portvigil.sources.raw import read_optical, read_traffic, stream_hourly
 from portvigil.spec import INTERVAL_MINUTES, RETENTION_DAYS, TRAFFIC_RAW_SCHEMA, TREND_SLOTS, WINDOW_SIZE
-from portvigil.storage import materialize
+from portvigil.storage import materialized, partition_values
+
+LOG_DAY = "event_day"
+LOG_SCHEMA = (
+    "type string, event_time timestamp_ntz, ip_addr string, slot_id int, port_id int, value string, "
+    f"{LOG_DAY} string, cycle bigint"
+)
+OPEN_SCHEMA = "ip_addr string, cid int, lid int, occur_date timestamp_ntz"
 
 Callback = Callable[[DataFrame, DataFrame], None]
 
@@ -51,19 +58,40 @@ class CycleConfig:
         return timedelta(minutes=(WINDOW_SIZE + TREND_SLOTS) * self.interval_minutes)
 
 
-def previous_cycle(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
-    """The newest stored slot not after the current one; no rows before the first cycle."""
-    stored = read_results(spark, path) if stored_hours(spark, path) else None
-    if stored is None:
-        return now.limit(0)
-    at = now.agg(F.max("occur_date")).first()[0]
-    upto = stored.where(F.col(RESULT_HOUR) <= at.strftime("%Y-%m-%d-%H")).where(f"occur_date <= {ntz(at)}")
-    return latest_in_table(upto)
+def previous_slot(spark: SparkSession, path: str, at: datetime) -> datetime | None:
+    """The newest stored slot before the current one."""
+    hours = [h for h in stored_hours(spark, path) if h <= at.strftime("%Y-%m-%d-%H")]
+    if not hours:
+        return None
+    # The current hour may hold only the current slot, so the hour before it is read as well.
+    newest = read_results(spark, path).where(F.col(RESULT_HOUR).isin(hours[-2:])).where(f"occur_date < {ntz(at)}")
+    return max_slot(newest).first()[0]
+
+
+def open_alarms(spark: SparkSession, path: str, since: datetime | None, cycle: int) -> DataFrame:
+    """Ports whose last announcement by an earlier cycle is an ALARM, and its slot.
+
+    A port that stays critical is announced in every cycle, so the log is read from the previous slot
+    on.  Reading the log instead of the results keeps a repeated cycle from seeing its own outcome.
+    """
+    days = [d for d in partition_values(spark, path, LOG_DAY) if since is None or d >= f"{since:%Y%m%d}"]
+    if not days:
+        return spark.createDataFrame([], OPEN_SCHEMA)
+    log = spark.read.schema(LOG_SCHEMA).json(path).where(F.col(LOG_DAY).isin(days)).where(f"cycle < {cycle}")
+    if since is not None:
+        log = log.where(f"event_time >= {ntz(since)}")
+    last = log.groupBy("ip_addr", "slot_id", "port_id").agg(
+        F.max(F.struct("event_time", "cycle", "type")).alias("last")
+    )
+    return last.where("last.type = 'ALARM'").selectExpr(
+        "ip_addr", "slot_id as cid", "port_id as lid", "last.event_time as occur_date"
+    )
 
 
-def run_cycle(spark: SparkSession, config: CycleConfig, as_of: datetime, cycle: str) -> DataFrame | None:
-    """Fetch, detect, store, expire, raise and clear alarms, log.  Safe to repeat for the same cycle:
-    results are upserted, alarm and history files of the cycle are replaced."""
+def run_cycle(spark: SparkSession, config: CycleConfig, as_of: datetime, cycle: int) -> Row | None:
+    """Fetch, detect, raise and clear alarms, store, expire, log; gives the processed and anomalous rows,
+    None without valid data.  Safe to repeat for the same cycle: results are upserted, alarm and history
+    files of the cycle are replaced."""
     start = as_of - config.look_back
     traffic = read_traffic(spark, config.traffic_path, start, as_of)
     optical = read_optical(spark, config.optical_path, start, as_of)
@@ -78,18 +106,23 @@ def run_cycle(spark: SparkSession, config: CycleConfig, as_of: datetime, cycle:
     )
     if found is None:
         return None
-    results = materialize(found)
-    if results.isEmpty():
-        return None
-    now = latest_in_table(results)
-    events = materialize(alarm_step(previous_cycle(spark, config.results_path, now), now))
-    alarm_json(events).write.mode("overwrite").json(f"{config.alarms_path}/cycle={cycle}")
-    upsert_results(results, config.results_path, as_of)
-    expire_results(spark, config.results_path, as_of, config.retention_days)
-    if config.callback:
-        config.callback(results, events)
-    append_history(results, config.history_path, as_of, cycle)
-    return results
+    with materialized(found, "cycle") as results:
+        counts = cycle_counts(results).first()
+        if not counts.processed:
+            return None
+        now = latest_in_table(results)
+        at = max_slot(now).first()[0]
+        before = previous_slot(spark, config.results_path, at)
+        step = alarm_step(open_alarms(spark, config.alarms_path, before, cycle), now)
+        with materialized(step, "events") as events:
+            log = f"{config.alarms_path}/{LOG_DAY}={at:%Y%m%d}/cycle={cycle}"
+            alarm_json(events).write.mode("overwrite").json(log)
+            upsert_results(results, config.results_path, as_of)
+            expire_results(spark, config.results_path, as_of, config.retention_days)
+            if config.callback:
+                config.callback(results, events)
+        append_history(results, config.history_path, as_of, cycle)
+    return counts
 
 
 def detect_stream(
@@ -105,7 +138,7 @@ def detect_stream(
     def cycle(batch: DataFrame, batch_id: int) -> None:
         as_of = batch.agg(F.max("occur_date")).first()[0]
         if as_of is not None:
-            run_cycle(batch.sparkSession, config, as_of, str(batch_id))
+            run_cycle(batch.sparkSession, config, as_of, batch_id)
 
     trigger = trigger or {"processingTime": f"{config.interval_minutes} minutes"}
     writer = arrivals.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)

@@ -48,10 +48,10 @@ def test_alarm_steps_agree_with_transitions(spark):
     cycles = [df.where(F.col("occur_date") == F.lit(at(s))) for s in range(1, 5)]
     stepped = []
     for before, now in zip([df.limit(0), *cycles], cycles):
-        stepped += events(alarms.alarm_step(before, now))
+        stepped += events(alarms.alarm_step(reports.filter_critical(before), now))
     assert stepped == events(alarms.alarm_transitions(df))
     # The same cycle again announces nothing.
-    assert events(alarms.alarm_step(cycles[1], cycles[1])) == []
+    assert events(alarms.alarm_step(reports.filter_critical(cycles[1]), cycles[1])) == []
 
 
 def test_alarm_json(spark):
@@ -161,7 +161,7 @@ def test_queries_read_only_the_hours_they_need(spark, tmp_path):
 def test_history_repeats_replace_their_own_files(spark, tmp_path):
     path = str(tmp_path / "history")
     df = stored(spark, [(0, "a", 0), (0, "b", 0)])
-    for cycle in ("0", "0", "1"):
+    for cycle in (0, 0, 1):
         sinks.append_history(df, path, START, cycle)
     assert raw.read_csv(spark, f"{path}/run_date=20240101/cycle=*", RESULT_SCHEMA).count() == 4
 

@@ -68,8 +68,8 @@ def test_stream_equals_batch_cycle_by_cycle(spark, tmp_path, readings):
     stored_rows = sinks.read_results(spark, conf.results_path)
     assert rows(stored_rows) == rows(batch) and len(rows(batch)) == 3 * 2 + 3
     assert [n for n, _ in seen] == [2, 2, 2, 1, 1, 1]
-    sent = spark.read.schema("event_time timestamp_ntz, value string").json(conf.alarms_path)
-    got = sorted((json.loads(r.value)["event_time"], json.loads(r.value)["type"]) for r in sent.collect())
+    log = spark.read.schema(cycle.LOG_SCHEMA).json(conf.alarms_path)
+    got = sorted((json.loads(r.value)["event_time"], json.loads(r.value)["type"]) for r in log.collect())
     want = sorted((str(t), kind) for t, kind, _ in events(alarms.alarm_transitions(stored_rows)))
     assert got == want and got
     logged = raw.read_csv(spark, f"{conf.history_path}/run_date=*/cycle=*", batch.schema)
@@ -82,10 +82,42 @@ def test_repeated_cycle_changes_nothing(spark, tmp_path, readings):
     raw.write_hourly(traffic, conf.traffic_path)
     raw.write_hourly(optical, conf.optical_path)
     for _ in range(2):
-        cycle.run_cycle(spark, conf, at(20), "0")
+        cycle.run_cycle(spark, conf, at(20), 0)
     stored_rows = sinks.read_results(spark, conf.results_path)
     assert stored_rows.count() == 2 and latest_in_table(stored_rows).count() == 2
-    assert cycle.run_cycle(spark, conf, at(500), "1") is None
+    assert cycle.run_cycle(spark, conf, at(500), 1) is None
+
+
+def sent(spark, conf):
+    log = spark.read.schema(cycle.LOG_SCHEMA).json(conf.alarms_path)
+    return sorted((r.cycle, r.type, r.ip_addr) for r in log.collect())
+
+
+def test_alarms_survive_repeats_and_second_batches_of_a_slot(spark, tmp_path, readings):
+    traffic, optical = readings
+    quiet = {n: TrackSettings(1e9) for n in SETTINGS}
+    loud = {n: TrackSettings(1e-9) for n in SETTINGS}
+    level = dict(quiet)
+    conf = config(tmp_path)
+    conf = cycle.CycleConfig(**{**conf.__dict__, "settings": lambda: dict(level)})
+    raw.write_hourly(traffic, conf.traffic_path)
+    raw.write_hourly(optical, conf.optical_path)
+    expected = []
+    # A slot announced, repeated after a failure, seen again by a second batch, then quiet again.
+    for number, slot, settings, news in (
+        (0, 20, loud, ["ALARM", "ALARM"]),
+        (0, 20, loud, None),
+        (1, 20, loud, []),
+        (2, 20, quiet, ["CLEAR", "CLEAR"]),
+        (3, 21, loud, ["ALARM", "ALARM"]),
+        (4, 22, quiet, ["CLEAR", "CLEAR"]),
+        (5, 23, quiet, []),
+    ):
+        level.clear()
+        level.update(settings)
+        cycle.run_cycle(spark, conf, at(slot), number)
+        expected += [(number, kind, ip) for kind, ip in zip(news or [], "ab")]
+        assert sent(spark, conf) == expected
 
 
 def test_late_port_is_added_when_the_look_back_is_revised(spark, tmp_path, readings):
@@ -94,12 +126,12 @@ def test_late_port_is_added_when_the_look_back_is_revised(spark, tmp_path, readi
     late = (F.col("ip_addr") == "b") & (F.col("occur_date") == F.lit(at(20)))
     for df, path in ((traffic, conf.traffic_path), (optical, conf.optical_path)):
         raw.write_hourly(df.where(~late), path)
-    cycle.run_cycle(spark, conf, at(20), "0")
+    cycle.run_cycle(spark, conf, at(20), 0)
     at_20 = F.col("occur_date") == F.lit(at(20))
     assert sinks.read_results(spark, conf.results_path).where(at_20).count() == 1
     for df, path in ((traffic, conf.traffic_path), (optical, conf.optical_path)):
         raw.write_hourly(df.where(late), path)
-    cycle.run_cycle(spark, conf, at(21), "1")
+    cycle.run_cycle(spark, conf, at(21), 1)
     assert sinks.read_results(spark, conf.results_path).where(at_20).count() == 2
 
 
