@@ -24,6 +24,7 @@ from portvigil.plans.detect import detect, score_track
 from portvigil.plans.train import train_track
 from portvigil.sources import raw, testviews
 from portvigil.spec import (
+    DEFAULT_THRESHOLD,
     DETECTION_SCHEMA,
     KEYS,
     OPTICAL,
@@ -100,7 +101,8 @@ def train_scores(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> D
 
 @cache
 def threshold(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> float:
-    return scoring.threshold_percentile(train_scores(spark, sf, spec, grid), grid.percentile)
+    found = scoring.threshold_percentile(train_scores(spark, sf, spec, grid), grid.percentile)
+    return DEFAULT_THRESHOLD if found is None else found
 
 
 def scalers(spark: SparkSession, sf: str, grid: Grid) -> dict[str, windows.Scaler]:

@@ -24,7 +24,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-@pytest.fixture(scope="session")
-def sf():
-    return "/root/testdata/sf0.001"
