@@ -13,8 +13,6 @@ from __future__ import annotations
 from datetime import datetime
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
-TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-HOUR_FORMAT = "yyyy-MM-dd-HH"
 
 
 def ntz(moment: datetime) -> str:
@@ -55,14 +53,15 @@ def slot_round(ts: str, interval_minutes: int) -> str:
 
 
 def hour_key(ts: str) -> str:
-    """Name of the hour shard holding a timestamp."""
-    return f"date_format({ts}, '{HOUR_FORMAT}')"
+    """Name of the hour shard holding a timestamp, ``yyyy-MM-dd-HH``."""
+    return f"translate(substr(cast({ts} as string), 1, 13), ' ', '-')"
 
 
 def time_text(ts: str) -> str:
-    return f"date_format({ts}, '{TIME_FORMAT}')"
+    """``yyyy-MM-dd HH:mm:ss``; casting to text involves no zone, formatting functions do."""
+    return f"substr(cast({ts} as string), 1, 19)"
 
 
 def clock_label(ts: str) -> str:
     """``HH:mm`` axis label."""
-    return f"date_format({ts}, 'HH:mm')"
+    return f"substr(cast({ts} as string), 12, 5)"

@@ -53,7 +53,7 @@ def train_track(
     percentile: float = THRESHOLD_PERCENTILE,
     patience: int = PATIENCE,
 ) -> TrainedTrack | None:
-    """Fit on ``train``, choose the model size on ``validation``; None without a single window.
+    """Fit on ``train``, choose the model size on ``validation``; None without two windows.
 
     The scaler is fitted on training rows only and applied to both sets.  Cleaned rows and windows are
     read several times (quartiles; mean, covariance, scores), so each is written once.
@@ -66,7 +66,7 @@ def train_track(
         cut = sliding_windows(robust_apply(clean, spec, scaler), spec, window_size)
         with materialized(cut, "windows") as windows:
             samples = windows.count()
-            if not samples:
+            if samples < 2:
                 return None
             model = fit_reconstruction(windows, min(latent_dim, window_size * len(spec.features)))
             loss = None

@@ -69,8 +69,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Watermarks need zoned timestamps, and only in UTC do naive times map to them one to one."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"streams with watermarks need spark.sql.session.timeZone=UTC, not {zone}")
+
+
 def alarm_state_stream(results: DataFrame) -> DataFrame:
     """Events of a stream of results that brings one cycle per micro-batch (``maxFilesPerTrigger``)."""
+    require_utc(results.sparkSession)
     timed = results.withColumn("event_time", F.col("occur_date").cast("timestamp")).withWatermark(
         "event_time", "0 seconds"
     )

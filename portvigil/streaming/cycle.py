@@ -25,6 +25,7 @@ from portvigil.plans.detect import detect
 from portvigil.sources.raw import read_optical, read_traffic, stream_hourly
 from portvigil.spec import INTERVAL_MINUTES, RETENTION_DAYS, TRAFFIC_RAW_SCHEMA, TREND_SLOTS, WINDOW_SIZE
 from portvigil.storage import materialized, partition_values
+from portvigil.streaming.alarm_state import require_utc
 
 LOG_DAY = "event_day"
 LOG_SCHEMA = (
@@ -132,7 +133,11 @@ def detect_stream(
     files_per_trigger: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the stream; the default trigger fires once per interval, ``availableNow=True`` replays."""
+    """Start the stream; the default trigger fires once per interval, ``availableNow=True`` replays.
+
+    A batch that brings several slots is one cycle at the newest of them; ``files_per_trigger`` replays
+    in smaller steps, and ``latest_only=False`` stores the verdicts of the whole look-back.
+    """
     arrivals = stream_hourly(spark, config.traffic_path, TRAFFIC_RAW_SCHEMA, files_per_trigger)
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
@@ -146,7 +151,7 @@ def detect_stream(
 
 
 def deduplicated_stream(raw: DataFrame, delay: str = "240 minutes") -> DataFrame:
-    """Raw stream without repeated deliveries of a reading.  Watermarks need a zoned timestamp; the
-    session must run in UTC."""
+    """Raw stream without repeated deliveries of a reading."""
+    require_utc(raw.sparkSession)
     timed = raw.withColumn("event_time", F.col("occur_date").cast("timestamp")).withWatermark("event_time", delay)
     return timed.dropDuplicatesWithinWatermark(["ip_addr", "cid", "lid", "event_time"]).drop("event_time")

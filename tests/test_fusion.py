@@ -1,7 +1,6 @@
 import math
 from datetime import timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from portvigil.functions import scores as S

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from portvigil.operators import alarms, config, reports, sinks, splits
 from portvigil.sources import raw
 from portvigil.spec import OPTICAL_SCHEMA, RESULT_COLS, RESULT_SCHEMA, TRAFFIC_RAW_SCHEMA, TRAFFIC_SCHEMA
+from portvigil.streaming.cycle import deduplicated_stream
 from tests.helpers import START, at, traffic_rows
 
 LABELS = {0: "NORMAL", 1: "MINOR", 2: "MAJOR", 3: "CRITICAL"}
@@ -189,6 +190,23 @@ def test_hourly_dataset_prunes_partitions(spark, tmp_path):
     assert "GreaterThanOrEqual(occur_date" in plan.split("PushedFilters: [")[1]
 
 
+def test_hours_and_texts_do_not_depend_on_the_session_zone(spark, tmp_path):
+    # 02:30 does not exist in New York on this day.
+    gap = datetime(2024, 3, 10, 2, 30)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(gap, "a", 1, 1, -5.0, -6.0)], OPTICAL_SCHEMA)
+        raw.write_hourly(df, str(tmp_path / "o"))
+        got = raw.read_optical(spark, str(tmp_path / "o"), gap, gap)
+        assert [r.occur_date for r in got.collect()] == [gap]
+        assert reports.format_times(got, "occur_date").first().occur_date == "2024-03-10 02:30:00"
+        with pytest.raises(ValueError):
+            deduplicated_stream(got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_scan_traffic_renames_and_filters(spark):
     rows = [(at(0), "a", 1, 1, 6, 7, 8, 9), (at(1), "a", 1, 1, 44, 7, 8, 9)]
     got = raw.scan_traffic(spark.createDataFrame(rows, TRAFFIC_RAW_SCHEMA), at(0), at(5))
