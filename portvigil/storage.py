@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,17 +9,33 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_fallback: list[str] = []
+LOCAL_SCHEMES = ("", "file")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names, else a folder in the session's warehouse.
+
+    A warehouse on a local disk serves only a session that runs in one process; on a cluster the executors
+    would each write to their own disk, so a folder must be named there.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="portvigil-"))
-    return _fallback[0]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = _path(spark, warehouse).toUri().getScheme() or ""
+    if scheme in LOCAL_SCHEMES and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share; {warehouse} is local")
+    return f"{warehouse}/_intermediate"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read from there, for results that are evaluated later.
+
+    The folder outlives this call; it goes when the cluster clears its checkpoint folder.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
