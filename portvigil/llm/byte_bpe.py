@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portvigil.llm.worker_cache import WorkerCache, per_worker
+from portvigil.llm.worker_cache import WorkerCache, per_worker, small
 
 NONE = 1 << 62
 #: Cached pre-tokens and words a worker keeps (of each, at most twice this), and the longest that is cached.
-CACHED_PIECES = 600_000
-CACHED_WORDS = 400_000
+CACHED_PIECES = 400_000
+CACHED_WORDS = 150_000
 CACHED_CHARS = 64
 #: Below this code point Unicode versions agree on what a letter is.
 LETTERS_SETTLED = "\u0250"
@@ -146,8 +146,14 @@ def _vocabulary(ranks: dict[bytes, int]) -> list[bytes | None]:
     return tokens
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ``ids`` binary, little-endian unsigned 32-bit.
+def _decoded(ids: bytes, tokens: list[bytes | None]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(
+    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """(id, ids): ``ids`` binary, little-endian unsigned 32-bit; with ``decoded`` also the bytes they stand for.
 
     A null text is encoded as the empty one, to no ids.  One row per input row; other columns are not read.
     ``path`` is read by every worker, so it must be a file that all of them have.
@@ -155,13 +161,17 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("byte_bpe", path, pattern), lambda: Encoder(load_ranks(path), pattern))
-        for batch in batches:
+        tokens = per_worker(("vocabulary", path), lambda: _vocabulary(load_ranks(path)))
+        for batch in small(batches):
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [id_col, "ids"])
+            columns = {id_col: batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([_decoded(i, tokens) for i in ids], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = df.select(id_col, F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(ids, path: str):
@@ -170,7 +180,6 @@ def decode(ids, path: str):
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         tokens = per_worker(("vocabulary", path), lambda: _vocabulary(load_ranks(path)))
-        values = column.to_pylist()
-        return pa.array([None if v is None else b"".join(map(tokens.__getitem__, np.frombuffer(v, "<u4").tolist())) for v in values], pa.binary())
+        return pa.array([None if v is None else _decoded(v, tokens) for v in column.to_pylist()], pa.binary())
 
     return run(ids)

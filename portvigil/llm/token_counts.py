@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from portvigil.llm.worker_cache import WorkerCache, per_worker
+from portvigil.llm.worker_cache import WorkerCache, per_worker, small
 
 FREQUENT = 32_768
 SUMMARY = 4_096
@@ -54,7 +54,7 @@ def frequent_words(df: DataFrame, text_col: str, frequent: int = FREQUENT, summa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(words(text or ""))
                 if len(counts) > COUNTED:
@@ -89,7 +89,7 @@ def count_tokens(
 
         rare = per_worker(("token_counts", path), make)
         common = shared.value
-        for batch in batches:
+        for batch in small(batches):
             sizes, counts = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -1,10 +1,15 @@
-"""A bounded cache that a Python worker keeps from batch to batch and from task to task."""
+"""What Python workers keep: a bounded cache, from batch to batch and task to task; and small batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
+#: Rows with long texts that are held as Python objects at a time.
+ROWS_AT_ONCE = 256
+
 
 class WorkerCache(dict):
     """``cache[key]`` is ``compute(key)``; at most twice ``limit`` results are kept.
@@ -36,3 +41,10 @@ def per_worker(name: Hashable, make: Callable[[], Any]) -> Any:
     if name not in _shared:
         _shared[name] = make()
     return _shared[name]
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
