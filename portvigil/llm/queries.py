@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portvigil.llm import byte_bpe, permutation_index, segment_search, simhash, token_counts
+from portvigil.llm import byte_bpe, page_text, permutation_index, segment_search, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_permutation_index, op3_byte_bpe, op4_token_counts, op7_segment_search, op10_simhash)
+    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op7_segment_search, op10_simhash)
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
