@@ -136,6 +136,8 @@ LABELLED = (
     (45, 0.0, 1, 0.0, 9, 0.0, 0, 1, 1), (60, 0.1, 75, 0.2, 40, 0.0, 0, 1, 1), (40, 0.0, 30, 0.5, 8, 1.0, 0, 1, 1),
     (1, 1.0, 7, 0.0, 55, 0.0, 0, 1, 1), (55, 0.0, 120, 0.0, 6, 0.0, 0, 1, 1), (200, 0.0, 4, 0.0, 0, 0.0, 0, 1, 1),
     (0, 0.0, 3, 0.0, 0, 0.0, 0, 1, 1), (30, 0.0, 5, 1.0, 60, 0.0, 0, 1, 1), (9, 0.0, 3, 0.0, 5, 0.0, 0, 1, 1),
+    (6, 1.0, 3, 0.0, 9, 0.0, 0, 1, 1), (4, 0.9, 1, 0.0, 0, 0.0, 0, 1, 1), (2, 0.4, 6, 0.0, 30, 0.5, 0, 1, 1),
+    (30, 0.0, 5, 0.9, 3, 1.0, 0, 1, 1), (8, 1.0, 2, 1.0, 7, 0.0, 0, 1, 1), (0, 0.0, 4, 1.0, 20, 0.0, 0, 1, 1),
     # menus, footers, adverts, notices, forms, comments: marked as apart, whatever their size and place
     (0, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 8, 0.0, 12, 0.0, 1, 0, 0),
     (60, 0.0, 14, 0.0, 0, 0.0, 1, 0, 0), (90, 0.0, 40, 0.0, 50, 0.0, 1, 1, 0), (50, 0.0, 90, 0.0, 60, 0.0, 1, 1, 0),
