@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portvigil.llm import byte_bpe, page_text, permutation_index, quality, secrets, secrets_sql, segment_search, simhash, token_counts
+from portvigil.llm import byte_bpe, page_text, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     strong = F.col("strong")
@@ -63,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op6_secrets, op7_segment_search, op8_quality, op10_simhash)
+    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op10_simhash)
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
