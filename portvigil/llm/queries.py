@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portvigil.llm import byte_bpe, page_text, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
+from portvigil.llm import byte_bpe, packing, page_text, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op10_simhash)
+    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op9_packing, op10_simhash)
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
