@@ -26,12 +26,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+#: Near copies: fingerprints of two-word shingles that differ in at most 7 bits.  These stand for "five-word
+#: shingles alike to 0.8": README.md has the measured share of such pairs that each setting finds.
+COPY_WORDS, COPY_BITS = 2, 7
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five-word shingles) the document of smallest id.
+    """Of every group of near duplicates the document of smallest id.
 
-    Rows that repeat an id are copies if their texts are alike; of those one stays, too.
+    Rows that repeat an id count as copies of each other; of those one stays.
     """
-    found = simhash.near_duplicates(docs, words=5)
+    found = simhash.near_duplicates(docs, words=COPY_WORDS, bits=COPY_BITS)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
