@@ -34,12 +34,14 @@ COPY_WORDS, COPY_BITS = 2, 7
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document of smallest id.
 
-    Rows that repeat an id count as copies of each other; of those one stays.
+    Rows that repeat an id and a text are one document; with another text they are told apart.  Of a group
+    without any id every different text stays.
     """
     found = simhash.near_duplicates(docs, words=COPY_WORDS, bits=COPY_BITS)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
+    rows = docs.withColumn("kept_hash", simhash.text_hash(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_hash") == F.col("text_hash"))
+    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "kept_hash"]).drop("kept_hash")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

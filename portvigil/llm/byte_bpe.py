@@ -107,7 +107,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
+        # \\s of this module also takes four control characters that are no white space to the library
+        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.pieces = WorkerCache(self._piece, CACHED_PIECES)
         self.words = WorkerCache(self._word, CACHED_WORDS)
 

@@ -51,15 +51,21 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+    """(id, fp, text_hash) of every row; ``fp`` is the fingerprint as a signed long, ``text_hash`` tells apart
+    rows that repeat an id with another text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             fps = np.array([fingerprint(t or "", words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], [id_col, "fp", "text_hash"])
 
-    rows = df.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long")
+    text = F.col(text_col).cast("string")
+    rows = df.select(id_col, text.alias("text"), text_hash(text).alias("text_hash"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -221,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, fp, component_id) for every row; component_id is the smallest id that is reachable over links.
+    """(id, fp, component_id, text_hash) for every row; component_id is the smallest id that is reachable over links.
 
     A null text counts as empty; texts without a word have fingerprint zero, which is linked like any other.
     A null id gets its row; a component of null ids only has a null component_id.  Rows that repeat an id are
@@ -233,7 +239,7 @@ def near_duplicates(
     roots = components(links(fps, bits))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return docs.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return docs.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id", "text_hash")
 
 
 def hex_digits(fp: Column) -> Column:

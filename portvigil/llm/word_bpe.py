@@ -24,8 +24,8 @@ SETTLED = "ɐ"
 #: Python splits at these four control characters, which are no white space to the tokenizer.
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\p{White_Space}]+")
-# Fixed value: the tokenizer's pattern.
-_find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+# Fixed value: the tokenizer's pattern, with its meaning of white space.
+_find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
 
 
 def words(text: str) -> list[str]:
@@ -57,7 +57,7 @@ class WordIds:
         self.pieces = WorkerCache(self._piece, CACHED_PIECES)
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
+        if not (piece.isascii() and piece.isprintable()):
             piece = "".join([self.letters[b] for b in piece.encode()])
         ids = [token.id for token in self.merge(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
