@@ -146,7 +146,8 @@ LABELLED = (
     # no article element: text-heavy blocks with few links, and short ones between them
     (5, 0.0, 80, 0.0, 70, 0.0, 0, 0, 1), (70, 0.0, 60, 0.1, 40, 0.0, 0, 0, 1), (40, 0.0, 35, 0.0, 50, 0.0, 0, 0, 1),
     (60, 0.0, 6, 0.0, 45, 0.0, 0, 0, 1), (50, 0.0, 45, 0.2, 4, 1.0, 0, 0, 1), (4, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1),
-    (25, 0.0, 20, 0.0, 30, 0.1, 0, 0, 1), (3, 1.0, 40, 0.0, 60, 0.0, 0, 0, 1),
+    (25, 0.0, 20, 0.0, 30, 0.1, 0, 0, 1), (3, 1.0, 40, 0.0, 60, 0.0, 0, 0, 1), (60, 0.0, 55, 0.0, 0, 0.0, 0, 0, 1),
+    (2, 1.0, 65, 0.0, 0, 0.0, 0, 0, 1), (2, 1.0, 35, 0.1, 3, 1.0, 0, 0, 1), (0, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1),
     # no article element: link lists and short blocks away from text
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (0, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (2, 1.0, 3, 0.0, 2, 1.0, 0, 0, 0),
     (4, 1.0, 20, 0.9, 3, 1.0, 0, 0, 0), (5, 0.5, 4, 0.0, 3, 1.0, 0, 0, 0), (60, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0),
