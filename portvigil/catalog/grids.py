@@ -21,3 +21,7 @@ class Grid:
 
 FINE = Grid(30, 95.0, 0.002)
 COARSE = Grid(360, 90.0, 0.05)
+#: A low threshold, so that the latest slots hold critical ports.
+LOUD = Grid(360, 35.0, 0.05)
+#: Cycles of the streaming replay.
+CYCLES = 20

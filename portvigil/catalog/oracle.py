@@ -6,7 +6,7 @@ instead of slot ranges, explicit joins instead of windows.
 
 from __future__ import annotations
 
-from portvigil.catalog.grids import COARSE, FINE, PORT, RANGE, Grid
+from portvigil.catalog.grids import COARSE, CYCLES, FINE, LOUD, PORT, RANGE, Grid
 
 W = 12
 K = "ip_addr, cid, lid"
@@ -438,6 +438,30 @@ def series(columns: list[str]) -> str:
     )
 
 
+def over_stored(final: str, g: Grid = COARSE) -> str:
+    """Over the results as the result table keeps them."""
+    return over_results(final.replace("from results", "from stored"), g, [("stored", f"select {STANDARD_STORED} from results")])
+
+
+def replay(final: str) -> str:
+    """Over what the cycles of the replay stored: each the latest slot of its own look-back; a later cycle wins."""
+    span = f"interval {(W + 4) * LOUD.minutes} minute"
+    cycles = []
+    for i in range(CYCLES):
+        time = f"now - interval {i * LOUD.minutes} minute"
+        steps = chain(LOUD, f"occur_date between {time} - {span} and {time}")
+        cycles.append(f"select {CYCLES - i} as cycle, * from ({with_ctes(steps, f'select {STANDARD_STORED} from results where {LATEST}')})")
+    merged = f"select * exclude (cycle) from every_cycle qualify row_number() over (partition by occur_date, {K} order by cycle desc) = 1"
+    return with_ctes([("every_cycle", " union all ".join(cycles)), ("results", merged)] + TRANSITIONS, final)
+
+
+MESSAGE = (
+    "'{\"type\":\"' || type || '\",\"event_time\":\"' || "
+    f"{TEXT_TIME.format('event_time')} || '\",\"ip_addr\":\"' || ip_addr || '\",\"slot_id\":' || slot_id || "
+    "',\"port_id\":' || port_id || case when severity is null then '' else ',\"severity\":\"' || severity || '\"' end || "
+    "',\"message\":\"' || message || '\"}' as value"
+)
+
 ORACLES: dict[str, str] = {
     # sources
     "scan_traffic": with_ctes(RAW, f"select * from traffic_eth where occur_date between {START} and {END}"),
@@ -694,7 +718,7 @@ ORACLES: dict[str, str] = {
         "select occur_date, count(*) as processed, count(*) filter (where is_anomaly) as anomalies from results group by 1",
         FINE,
     ),
-    "kpi_counts": over_results(
+    "kpi_counts": over_stored(
         "select count(*) filter (where alarm_level >= 1) as total_anomalies, "
         f"count(*) filter (where alarm_level >= 3) as critical_alarms from results where {LATEST}"
     ),
@@ -702,13 +726,14 @@ ORACLES: dict[str, str] = {
     "sort_canonical": over_results(
         f"select {K}, occur_date, {r('severity')} from results order by {K}, occur_date"
     ),
-    "current_anomalies": over_results(f"select {SNAPSHOT} from results where {LATEST}"),
-    "watchlist": over_results(
+    "current_anomalies": over_stored(f"select {SNAPSHOT} from results where {LATEST}"),
+    "watchlist": over_stored(
         f"select {SNAPSHOT} from results where {LATEST} and alarm_level <= 2 and slope_label = 'RISING'"
     ),
-    "active_criticals": over_results(
+    "active_criticals": over_stored(
         f"select 'ALARM' as type, {TEXT_TIME.format('occur_date')} as event_time, ip_addr, cid as slot_id, "
-        f"lid as port_id, anomaly_reason as message from results where {LATEST} and alarm_level >= 3"
+        f"lid as port_id, anomaly_reason as message from results where {LATEST} and alarm_level >= 3",
+        LOUD,
     ),
     "port_history": over_results(f"select {HISTORY} from results where {port_rows(7)}"),
     "top_alarms": over_results(
@@ -739,7 +764,7 @@ ORACLES: dict[str, str] = {
         f"{fixed('tx_avg_power', 2)} || ', RX: ' || {fixed('rx_avg_power', 2)} || ')' end as diagnosis from o_done "
         f"qualify row_number() over (partition by {K} order by s desc) = 1",
     ),
-    "display_fields": over_results(
+    "display_fields": over_stored(
         f"select {TEXT_TIME.format('occur_date')} as time, ip_addr, 'S' || cid || '/P' || lid as port, alarm_label, "
         f"{fixed('severity', 1)} || '%' as severity, '+' || {fixed('slope', 2)} as trend, "
         "case when coalesce(ttf_minutes, 0) = 0 then 'Calculating...' else "
@@ -758,22 +783,20 @@ ORACLES: dict[str, str] = {
     ),
     # alarms
     "alarm_transitions": over_results("select * from transitions", FINE, TRANSITIONS),
-    "active_alarm_view": over_results("select * from newest where type = 'ALARM'", COARSE, TRANSITIONS),
+    "active_alarm_view": over_results("select * from newest where type = 'ALARM'", LOUD, TRANSITIONS),
     "sink_alarm_json": over_results(
-        "select type, event_time, ip_addr, slot_id, port_id, '{\"type\":\"' || type || '\",\"event_time\":\"' || "
-        f"{TEXT_TIME.format('event_time')} || '\",\"ip_addr\":\"' || ip_addr || '\",\"slot_id\":' || slot_id || "
-        "',\"port_id\":' || port_id || case when severity is null then '' else ',\"severity\":\"' || severity || '\"' end || "
-        "',\"message\":\"' || message || '\"}' as value from transitions",
-        FINE,
-        TRANSITIONS,
+        f"select type, event_time, ip_addr, slot_id, port_id, {MESSAGE} from transitions", FINE, TRANSITIONS
     ),
+    "alarm_state_stream": over_results("select * from transitions", FINE, TRANSITIONS),
     # sinks and streams
-    "read_csv": with_ctes(RAW, "select t.* from traffic_eth t, as_of where occur_date < cutoff"),
+    "read_csv": with_ctes(
+        RAW, "select t.*, case when occur_date < cutoff then 'train' else 'test' end as split from traffic_eth t, as_of"
+    ),
     "sink_train_test_csv": with_ctes(
         RAW,
-        f"select track, case when occur_date < cutoff then 'train' else 'test' end as split, occur_date, {K} from "
-        f"(select 'traffic' as track, occur_date, {K} from traffic_eth union all "
-        f"select 'optical', occur_date, {K} from optical_all), as_of",
+        "select t.* replace (round(tx_avg_power, 6) as tx_avg_power, round(rx_avg_power, 6) as rx_avg_power), "
+        "case when occur_date < cutoff then 'train' else 'test' end as split from "
+        "(select 'traffic' as track, * from traffic_eth union all by name select 'optical' as track, * from optical_all) t, as_of",
     ),
     "results_schema": over_results(
         f"select occur_date, {K}, 0::bigint as tx_packet, 0::bigint as rx_packet, 0::bigint as error_packet, "
@@ -799,13 +822,13 @@ ORACLES: dict[str, str] = {
     "read_results": over_results(
         f"select {K}, count(*) as stored, max(alarm_level) as worst from results where alarm_level >= 1 group by {K}"
     ),
-    "sink_history_append": over_results(
-        f"select occur_date, {K}, {r('severity')}, anomaly_reason, expected_fatal_time from results"
-    ),
+    "sink_history_append": over_results(f"select {STANDARD}, (select now from as_of) as detect_time from results"),
     "sink_report": over_results(f"select {STANDARD} from results"),
     "sink_track_metadata": with_ctes(
         chain(FINE) + VERSIONS,
-        f"select track, version, {r('threshold')}, slope_threshold, samples_used from versions",
+        f"select track, version, {r('threshold')}, slope_threshold, samples_used, 'linear-autoencoder' as model_type, "
+        "(select cutoff from as_of) as trained_at, null::double as threshold_percentile, null::double as rul_target, "
+        "null::int as window_size, null::int as latent_dim, null::int as patience from versions",
     ),
     "stream_source": with_ctes(
         RAW,
@@ -816,9 +839,7 @@ ORACLES: dict[str, str] = {
         RAW,
         f"select occur_date, {K}, {r(*POWERS)}, strftime(occur_date, '%Y-%m-%d-%H') as pm_hour from optical_all",
     ),
-    "detect_stream": with_ctes(
-        chain(COARSE, f"occur_date >= now - interval {(W + 4) * COARSE.minutes} minute"),
-        f"select {STANDARD_STORED} from results",
-    ),
+    "detect_stream": replay("select * from results"),
+    "stream_alarms": replay(f"select type, event_time, ip_addr, slot_id, port_id, {MESSAGE} from transitions"),
 }
 ORACLES["sink_params"] = ORACLES["robust_fit"]

@@ -8,20 +8,20 @@ grid, on which every port is present in the latest slot.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
-from functools import cache
+from datetime import datetime, timedelta
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portvigil.catalog.grids import COARSE, FINE, PORT, RANGE, Grid
+from portvigil.catalog.grids import COARSE, CYCLES, FINE, LOUD, PORT, RANGE, Grid
 from portvigil.functions import text as X
 from portvigil.functions import times as TM
 from portvigil.operators import alarms, clean, config, fusion, reports, scoring, sinks, splits, windows
 from portvigil.plans.detect import detect, score_track
-from portvigil.plans.train import train_track
+from portvigil.plans.train import train_track, training_windows
 from portvigil.sources import raw, testviews
 from portvigil.spec import (
     DEFAULT_THRESHOLD,
@@ -34,15 +34,18 @@ from portvigil.spec import (
     TRACKS,
     TRAFFIC,
     TRAFFIC_RAW_SCHEMA,
+    TRAFFIC_SCHEMA,
     WINDOW_SIZE,
     TrackSpec,
 )
-from portvigil.storage import work_path
-from portvigil.streaming.cycle import CycleConfig, deduplicated_stream, detect_stream
+from portvigil.storage import modified, work_path
+from portvigil.streaming import alarm_state
+from portvigil.streaming.cycle import CycleConfig, LOG_SCHEMA, detect_stream, ingest_stream, replay_clock, write_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -57,6 +60,20 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in doubles}) if doubles else df
 
 
+def fitted(fn):
+    """Keep what was fitted on a table until the table changes."""
+    kept: dict = {}
+
+    @wraps(fn)
+    def once(spark: SparkSession, sf: str, *args):
+        key = (sf, modified(spark, f"{sf}/events.parquet"), *args)
+        if key not in kept:
+            kept[key] = fn(spark, sf, *args)
+        return kept[key]
+
+    return once
+
+
 # --- shared inputs ---------------------------------------------------------------------------------
 
 
@@ -71,7 +88,7 @@ def optical(spark: SparkSession, sf: str) -> DataFrame:
 SOURCES = {TRAFFIC.name: traffic, OPTICAL.name: optical}
 
 
-@cache
+@fitted
 def as_of(spark: SparkSession, sf: str) -> datetime:
     """The newest reading: the clock of every query."""
     return spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0]
@@ -89,7 +106,7 @@ def train_clean(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> Da
     return clean.preprocess(train_rows(spark, sf, spec), spec, grid.minutes, train=True, full_grid=False)
 
 
-@cache
+@fitted
 def scaler(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> windows.Scaler:
     return windows.robust_fit(train_clean(spark, sf, spec, grid), spec)
 
@@ -99,7 +116,7 @@ def train_scores(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> D
     return scoring.score_window_mean(scaled, spec)
 
 
-@cache
+@fitted
 def threshold(spark: SparkSession, sf: str, spec: TrackSpec, grid: Grid) -> float:
     found = scoring.threshold_percentile(train_scores(spark, sf, spec, grid), grid.percentile)
     return DEFAULT_THRESHOLD if found is None else found
@@ -175,7 +192,9 @@ def _(spark, sf):
 
 @query("shard_prune")
 def _(spark, sf):
-    return raw.shard_counts(traffic(spark, sf), *RANGE)
+    path = work_path(spark, "hourly")
+    raw.write_hourly(traffic(spark, sf), path)
+    return raw.shard_counts(raw.read_hourly(spark, path, TRAFFIC_SCHEMA), *RANGE)
 
 
 @query("shard_union")
@@ -437,7 +456,7 @@ def _(spark, sf):
     return rounded(timed(scoring.window_mean_loss(scaled_rows(spark, sf, TRAFFIC, FINE), TRAFFIC)))
 
 
-@cache
+@fitted
 def trained(spark: SparkSession, sf: str, spec: TrackSpec):
     rows = SOURCES[spec.name](spark, sf)
     held_out = rows.where(F.col("occur_date") >= F.expr(TM.ntz(cutoff(spark, sf))))
@@ -470,9 +489,8 @@ def _(spark, sf):
 @query("validation_loss")
 def _(spark, sf):
     track = trained(spark, sf, OPTICAL)
-    cut = windows.sliding_windows(
-        windows.robust_apply(train_clean(spark, sf, OPTICAL, FINE), OPTICAL, track.scaler), OPTICAL
-    )
+    held_out = optical(spark, sf).where(F.col("occur_date") >= F.expr(TM.ntz(cutoff(spark, sf))))
+    cut = training_windows(held_out, OPTICAL, track.scaler, FINE.minutes)
     return rounded(scoring.validation_loss(cut, track.model))
 
 
@@ -695,7 +713,7 @@ def _(spark, sf):
 
 @query("kpi_counts")
 def _(spark, sf):
-    return reports.kpi_counts(results(spark, sf))
+    return reports.kpi_counts(stored_results(spark, sf))
 
 
 @query("max_slot")
@@ -711,17 +729,17 @@ def _(spark, sf):
 
 @query("current_anomalies")
 def _(spark, sf):
-    return rounded(reports.current_anomalies(results(spark, sf)))
+    return rounded(reports.current_anomalies(stored_results(spark, sf)))
 
 
 @query("watchlist")
 def _(spark, sf):
-    return rounded(reports.watchlist(results(spark, sf)))
+    return rounded(reports.watchlist(stored_results(spark, sf)))
 
 
 @query("active_criticals")
 def _(spark, sf):
-    return reports.active_criticals(results(spark, sf))
+    return reports.active_criticals(stored_results(spark, sf, LOUD))
 
 
 @query("port_history")
@@ -764,7 +782,7 @@ def _(spark, sf):
 
 @query("display_fields")
 def _(spark, sf):
-    return reports.display_fields(reports.current_anomalies(results(spark, sf)))
+    return reports.display_fields(reports.current_anomalies(stored_results(spark, sf)))
 
 
 @query("severity_zone")
@@ -789,7 +807,7 @@ def _(spark, sf):
 
 @query("active_alarm_view")
 def _(spark, sf):
-    return alarms.active_alarm_view(alarms.alarm_transitions(results(spark, sf)))
+    return alarms.active_alarm_view(alarms.alarm_transitions(results(spark, sf, LOUD)))
 
 
 @query("sink_alarm_json")
@@ -800,33 +818,40 @@ def _(spark, sf):
 # --- sinks and streams: written, then read back ----------------------------------------------------
 
 
+def written_splits(spark: SparkSession, sf: str, spec: TrackSpec) -> DataFrame:
+    """Both splits of a track, written as CSV and read back."""
+    source = SOURCES[spec.name](spark, sf)
+    labelled = splits.split_by_cutoff(source, as_of(spark, sf))
+    read = []
+    for part in ("train", "test"):
+        path = work_path(spark, f"{spec.name}-{part}")
+        sinks.write_split(labelled.where(F.col("split") == part).drop("split"), path)
+        read.append(raw.read_csv(spark, path, source.schema).withColumn("split", F.lit(part)))
+    return read[0].unionByName(read[1])
+
+
 @query("read_csv")
 def _(spark, sf):
-    path = work_path(spark, "traffic-train")
-    sinks.write_split(train_rows(spark, sf, TRAFFIC), path)
-    return raw.read_csv(spark, path, traffic(spark, sf).schema)
+    return written_splits(spark, sf, TRAFFIC)
 
 
 @query("sink_train_test_csv")
 def _(spark, sf):
-    read = []
-    for t in TRACKS.values():
-        labelled = splits.split_by_cutoff(SOURCES[t.name](spark, sf), as_of(spark, sf))
-        for part in ("train", "test"):
-            path = work_path(spark, f"{t.name}-{part}")
-            sinks.write_split(labelled.where(F.col("split") == part).drop("split"), path)
-            rows = raw.read_csv(spark, path, SOURCES[t.name](spark, sf).schema)
-            read.append(rows.select(F.lit(t.name).alias("track"), F.lit(part).alias("split"), "occur_date", *KEYS))
-    return raw.shard_union(read)
+    both = [written_splits(spark, sf, t).withColumn("track", F.lit(t.name)) for t in TRACKS.values()]
+    return rounded(raw.shard_union(both))
 
 
-def stored(spark: SparkSession, sf: str) -> str:
+def stored(spark: SparkSession, sf: str, grid: Grid = COARSE) -> str:
     """A result table holding the report results."""
     path = work_path(spark, "stored")
-    sinks.upsert_results(results(spark, sf), path, as_of(spark, sf))
+    sinks.upsert_results(results(spark, sf, grid), path, as_of(spark, sf))
     return path
 
 
+def stored_results(spark: SparkSession, sf: str, grid: Grid = COARSE) -> DataFrame:
+    return sinks.read_results(spark, stored(spark, sf, grid))
+
+
 @query("results_schema")
 def _(spark, sf):
     partial = results(spark, sf).select("occur_date", *KEYS, "severity", "is_anomaly")
@@ -876,10 +901,10 @@ def _(spark, sf):
     path, now = work_path(spark, "history"), as_of(spark, sf)
     middle = F.expr(TM.ntz(cutoff(spark, sf)))
     rows = sinks.ensure_schema(results(spark, sf), now)
-    sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, 0)
-    sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, 1)
+    sinks.append_history(rows.where(F.col("occur_date") < middle), path, now, "0")
+    sinks.append_history(rows.where(F.col("occur_date") >= middle), path, now, "1")
     read = raw.read_csv(spark, f"{path}/run_date=*/cycle=*", RESULT_SCHEMA)
-    return rounded(read.select("occur_date", *KEYS, "severity", "anomaly_reason", "expected_fatal_time"))
+    return rounded(read.select(*STANDARD_COLS, "detect_time"))
 
 
 @query("sink_report")
@@ -893,7 +918,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = work_path(spark, "track-config")
     config.write_config(versions(spark, sf), path)
-    return rounded(config.read_config(spark, path).select("track", "version", "threshold", "slope_threshold", "samples_used"))
+    return rounded(config.read_config(spark, path).drop("final_val_loss"))
 
 
 @query("sink_params")
@@ -923,25 +948,57 @@ def _(spark, sf):
 
 @query("late_data")
 def _(spark, sf):
-    """Every reading delivered twice, kept once."""
-    path = work_path(spark, "optical")
-    for _ in range(2):
-        raw.write_hourly(optical(spark, sf), path)
-    return rounded(drained(deduplicated_stream(raw.stream_hourly(spark, path, OPTICAL_SCHEMA)), "unique"))
-
-
-@query("detect_stream")
-def _(spark, sf):
-    """One cycle of the stream over everything that has arrived, then the stored results."""
-    paths = {f"{n}_path": work_path(spark, n) for n in ("traffic", "optical", "results", "history", "alarms")}
+    """Readings in several deliveries: the newest first, then all of them, days late and partly repeated."""
+    path, out = work_path(spark, "optical"), work_path(spark, "optical-stored")
+    middle = F.expr(TM.ntz(cutoff(spark, sf)))
+    rows = optical(spark, sf)
+    for part in (rows.where(F.col("occur_date") >= middle), rows):
+        part.coalesce(2).write.mode("append").parquet(path)
+    source = spark.readStream.schema(OPTICAL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    job = ingest_stream(source, out, work_path(spark, "rejected"), work_path(spark, "ingest"), availableNow=True)
+    job.awaitTermination()
+    return rounded(raw.read_hourly(spark, out, OPTICAL_SCHEMA))
+
+
+@fitted
+def replayed(spark: SparkSession, sf: str) -> CycleConfig:
+    """The deployment after the last ``CYCLES`` cycles of the data, replayed tick by tick."""
+    names = ("traffic", "optical", "results", "history", "alarms", "open")
+    paths = {f"{n}_path": work_path(spark, n) for n in names}
     raw.write_hourly(testviews.traffic_raw(spark, sf), paths["traffic_path"])
     raw.write_hourly(testviews.optical_raw(spark, sf), paths["optical_path"])
     job = CycleConfig(
         **paths,
-        scalers=scalers(spark, sf, COARSE),
-        settings=lambda: settings(spark, sf, COARSE),
-        interval_minutes=COARSE.minutes,
-        latest_only=False,
+        scalers=scalers(spark, sf, LOUD),
+        settings=lambda: settings(spark, sf, LOUD),
+        interval_minutes=LOUD.minutes,
     )
-    detect_stream(spark, job, work_path(spark, "cycles"), availableNow=True).awaitTermination()
-    return rounded(sinks.read_results(spark, paths["results_path"]).select(*STANDARD_COLS))
+    ticks, now = work_path(spark, "ticks"), as_of(spark, sf)
+    write_ticks(spark, [now - timedelta(minutes=i * LOUD.minutes) for i in reversed(range(CYCLES))], ticks)
+    detect_stream(spark, job, work_path(spark, "cycles"), replay_clock(spark, ticks, 5), availableNow=True).awaitTermination()
+    return job
+
+
+@query("detect_stream")
+def _(spark, sf):
+    """What the replay's cycles stored."""
+    job = replayed(spark, sf)
+    return rounded(sinks.read_results(spark, job.results_path).select(*STANDARD_COLS))
+
+
+@query("stream_alarms")
+def _(spark, sf):
+    """The events that the replay's cycles logged."""
+    log = spark.read.schema(LOG_SCHEMA).json(replayed(spark, sf).alarms_path)
+    return log.select("type", "event_time", "ip_addr", "slot_id", "port_id", "value")
+
+
+@query("alarm_state_stream")
+def _(spark, sf):
+    """Results as a stream of many cycles per micro-batch, turned into events."""
+    path, out = work_path(spark, "cycles"), work_path(spark, "stream-alarms")
+    rows = results(spark, sf, FINE)
+    rows.repartitionByRange(3, "occur_date").sortWithinPartitions("occur_date").write.parquet(path)
+    source = spark.readStream.schema(rows.schema).parquet(path)
+    alarm_state.alarm_state_stream(source, out, work_path(spark, "alarm-log"), availableNow=True).awaitTermination()
+    return alarm_state.read_events(spark, out)

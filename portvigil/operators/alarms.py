@@ -40,11 +40,16 @@ def clear_events(recovered: DataFrame) -> DataFrame:
     return recovered.select(*_event("CLEAR", F.col("cleared_at"), F.lit(None), F.lit(CLEARED)))
 
 
-def cycles(results: DataFrame) -> DataFrame:
-    """Each slot with results and the slot of the next cycle.  One row per slot of calendar time, which
-    is what the unpartitioned window sorts."""
-    slots = results.select("occur_date").distinct()
-    return slots.withColumn("next_cycle", F.lead("occur_date").over(Window.orderBy("occur_date")))
+def day_slots(results: DataFrame) -> DataFrame:
+    """(day, slots): a day's slots with results in order, then the first slot of the next such day.
+
+    One row per calendar day, each with the slots of a day: bounded by the retention period, whatever the
+    number of ports, so it is broadcast.  The unpartitioned window sorts one row per day.
+    """
+    slots = results.groupBy(F.to_date("occur_date").alias("day"), "occur_date").agg(F.lit(1).alias("one"))
+    days = slots.groupBy("day").agg(F.array_sort(F.collect_list("occur_date")).alias("slots"))
+    following = F.lead(F.get("slots", F.lit(0))).over(Window.orderBy("day"))
+    return days.select("day", F.array_compact(F.concat("slots", F.array(following))).alias("slots"))
 
 
 def known_alarm_probe(criticals: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,13 +65,17 @@ def recovered_keys(previous: DataFrame, current: DataFrame) -> DataFrame:
 def alarm_transitions(results: DataFrame) -> DataFrame:
     """All alarm and clear events of a stored run of cycles.
 
-    A critical row is cleared at the next cycle unless that is also the port's next critical slot, so
-    one window over the critical rows and the list of cycles decide everything.
+    A critical row is cleared at the next cycle unless that is also the port's next critical slot.  The next
+    cycle is found per day: the slots of a day, at most one per minute, are gathered into one short list per
+    day, and a row takes the first later slot of its own day's list, which ends with the first slot of the next
+    day that has any.  The results are read once for both, reduced to the critical rows and the days' slots.
     """
     port_line = Window.partitionBy(*KEYS).orderBy("occur_date")
     criticals = filter_critical(results).select("occur_date", *KEYS, "alarm_label", "anomaly_reason")
     followed = criticals.withColumn("next_critical", F.lead("occur_date").over(port_line))
-    timed = followed.join(cycles(results), "occur_date")
+    timed = followed.withColumn("day", F.to_date("occur_date")).join(F.broadcast(day_slots(results)), "day")
+    later = F.filter("slots", lambda s: s > F.col("occur_date"))
+    timed = timed.withColumn("next_cycle", F.get(later, F.lit(0)))
     alarm = "struct('ALARM' as type, occur_date as event_time, alarm_label as severity, anomaly_reason as message)"
     clear = (
         "case when next_cycle < coalesce(next_critical, timestamp_ntz'9999-12-31 00:00:00') then "
@@ -83,7 +92,9 @@ def alarm_step(open_: DataFrame, current: DataFrame) -> DataFrame:
     now = filter_critical(current)
     alarms = known_alarm_probe(now, open_)
     at = current.agg(F.max("occur_date").alias("at")).scalar()
-    recovered = recovered_keys(open_, now).withColumn("cleared_at", at)
+    # an alarm is never cleared before the slot it was raised for
+    earlier = open_.where(F.col("occur_date") <= at)
+    recovered = recovered_keys(earlier, now).withColumn("cleared_at", at)
     return alarm_events(alarms).unionByName(clear_events(recovered))
 
 

@@ -8,6 +8,8 @@ the raw rows.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,13 @@ def coerce_types(df: DataFrame, spec: TrackSpec) -> DataFrame:
     return typed.where(" and ".join(f"{c} is not null" for c in ("occur_date", *KEYS)))
 
 
-def quarantine(df: DataFrame, spec: TrackSpec) -> DataFrame:
-    """The rows ``coerce_types`` rejects, as they came."""
-    return df.where(" or ".join(f"{c} is null" for c in (TM.to_ntz("occur_date"), *KEYS)))
+def quarantine(df: DataFrame, spec: TrackSpec, as_of: datetime | None = None) -> DataFrame:
+    """The rows ``coerce_types`` rejects, as they came; with ``as_of`` also those dated later."""
+    time = TM.to_ntz("occur_date")
+    rejected = [f"{c} is null" for c in (time, *KEYS)]
+    if as_of is not None:
+        rejected.append(f"{time} > {TM.ntz(as_of)}")
+    return df.where(" or ".join(rejected))
 
 
 def dedup_last(df: DataFrame, spec: TrackSpec, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:

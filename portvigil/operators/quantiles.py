@@ -1,9 +1,9 @@
-"""Exact quantiles of columns of any size.
+"""Exact quantiles of columns of any size, by one method at every size.
 
-Spark's ``percentile`` keeps every distinct value in one task.  It is used while the number of values is
-small.  Beyond that each wanted order statistic is bracketed with ``percentile_approx``; exact counts
-decide on which side it lies; the bracket shrinks by orders of magnitude per round until few values are
-left.  Only counts and bracket ends reach the driver.
+Spark's ``percentile`` keeps every distinct value in one task.  Here each wanted order statistic is bracketed
+with ``percentile_approx``; exact counts decide on which side it lies; the bracket shrinks by orders of
+magnitude per round until at most ``FEW`` values are left, and only these are gathered.  Only counts and
+bracket ends reach the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+FEW = 10_000
 ACCURACY = 10_000
 
 
@@ -70,30 +70,26 @@ def _first(df: DataFrame, exprs: list[Column]) -> tuple:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL, accuracy: int = ACCURACY
+    df: DataFrame, columns: list[str], probs: list[float], few: int = FEW, accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between order statistics, NULLs ignored."""
     values = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _quantiles(values, columns, probs, small, accuracy)
+        return _quantiles(values, columns, probs, few, accuracy)
     finally:
         values.unpersist()
 
 
 def _quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], small: int, accuracy: int
+    df: DataFrame, columns: list[str], probs: list[float], few: int, accuracy: int
 ) -> dict[str, list[float | None]]:
     counts = dict(zip(columns, _first(df, [F.count(c) for c in columns])))
-    if max(counts.values()) <= small:
-        rows = _first(df, [F.percentile(c, F.array(*[F.lit(p) for p in probs])) for c in columns])
-        return {c: list(r) if r is not None else [None] * len(probs) for c, r in zip(columns, rows)}
-
     targets = {}
     for c, n in counts.items():
         for p in probs if n else []:
             for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
                 targets.setdefault((c, rank), _Target(c, rank, inside=n))
-    open_ = [t for t in targets.values() if t.inside > small]
+    open_ = [t for t in targets.values() if t.inside > few]
     while open_:
         ends = _first(df, [t.bracket(accuracy) for t in open_])
         pairs = [(t, end) for t, two in zip(open_, ends) for end in two]
@@ -102,7 +98,7 @@ def _quantiles(
         )
         for (t, end), below, equal in zip(pairs, tallies, tallies[len(pairs) :]):
             t.narrow(end, below, equal)
-        open_ = [t for t in open_ if t.value is None and t.inside > small]
+        open_ = [t for t in open_ if t.value is None and t.inside > few]
     left = [t for t in targets.values() if t.value is None]
     if left:
         for t, v in zip(left, _first(df, [t.pick() for t in left])):

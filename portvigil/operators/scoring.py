@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from portvigil.functions.scores import finite_or_null, mean_square
 from portvigil.operators.frames import over_trailing
-from portvigil.operators.quantiles import SMALL, exact_quantiles
+from portvigil.operators.quantiles import FEW, exact_quantiles
 from portvigil.operators.windows import complete_windows, sliding_windows, z
 from portvigil.spec import KEYS, PATIENCE, WINDOW_SIZE, TrackSpec
 
@@ -197,6 +197,6 @@ def select_best_model(
     return LinearAutoencoder(model.pca, model.mean, best_k), best
 
 
-def threshold_percentile(scored: DataFrame, percentile: float, small: int = SMALL) -> float | None:
+def threshold_percentile(scored: DataFrame, percentile: float, few: int = FEW) -> float | None:
     """Exact percentile (0..100) of the scores."""
-    return exact_quantiles(scored, ["score"], [percentile / 100.0], small)["score"][0]
+    return exact_quantiles(scored, ["score"], [percentile / 100.0], few)["score"][0]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from portvigil.operators.clean import is_complete
 from portvigil.operators.frames import over_trailing
-from portvigil.operators.quantiles import SMALL, exact_quantiles
+from portvigil.operators.quantiles import FEW, exact_quantiles
 from portvigil.spec import KEYS, WINDOW_SIZE, TrackSpec
 
 # feature -> (centre, scale)
@@ -24,9 +24,9 @@ SCALER_SCHEMA = T.StructType(
 )
 
 
-def robust_fit(clean: DataFrame, spec: TrackSpec, small: int = SMALL) -> Scaler:
+def robust_fit(clean: DataFrame, spec: TrackSpec, few: int = FEW) -> Scaler:
     """Median and inter-quartile range of each metric over complete rows; a zero range becomes 1."""
-    quartiles = exact_quantiles(clean.where(is_complete(spec)), list(spec.features), [0.25, 0.5, 0.75], small)
+    quartiles = exact_quantiles(clean.where(is_complete(spec)), list(spec.features), [0.25, 0.5, 0.75], few)
     scaler = {}
     for f, (q1, median, q3) in quartiles.items():
         if median is None:

@@ -156,7 +156,6 @@ def read_optical_jdbc(spark, options, prefix, start, end, existing=None) -> Data
     return _read_jdbc(spark, options, optical_queries(prefix, start, end, existing))
 
 
-def shard_counts(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Hour shards that the range touches and that hold rows."""
-    hours = df.selectExpr(f"{hour_key('occur_date')} as {HOUR_COL}")
-    return hours.where(in_hours(F.col(HOUR_COL), start, end)).groupBy(HOUR_COL).agg(F.count("*").alias("rows"))
+def shard_counts(hourly: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Hour shards that the range touches and that hold rows; the filter is on the partition column."""
+    return prune_hours(hourly, start, end).groupBy(HOUR_COL).agg(F.count("*").alias("rows"))

@@ -51,6 +51,11 @@ def _file_system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed."""
+    return _file_system(spark, path).getFileStatus(_path(spark, path)).getModificationTime()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_path(spark, path), True)
 

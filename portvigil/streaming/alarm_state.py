@@ -1,92 +1,66 @@
-"""Alarm and clear events with one state value per port: the slot of its open alarm."""
+"""Alarm and clear events of a stream of results.
 
-from __future__ import annotations
+The state is small and written per micro-batch: the slot of the newest cycle seen and the ports critical in it.
+Each batch's events are the batch form's transitions over that state followed by the batch, so the outcome does
+not depend on how many cycles a batch holds.  All rows of a cycle must come in one batch, as upserts write them.
+Rows of cycles that are not newer than the state come too late to change events that were sent; they are written
+to a folder of their own.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
-from portvigil.operators.alarms import CLEARED
+from portvigil.operators.alarms import alarm_transitions
+from portvigil.operators.reports import filter_critical
 from portvigil.spec import KEYS
+from portvigil.storage import materialized, partition_values
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = (
-    "type string, event_time timestamp, ip_addr string, slot_id int, port_id int, severity string, message string"
+EVENT_SCHEMA = (
+    "type string, event_time timestamp_ntz, ip_addr string, slot_id int, port_id int, severity string, message string"
 )
-_COLUMNS = ["type", "event_time", "ip_addr", "slot_id", "port_id", "severity", "message"]
-
-
-class AlarmProcessor(StatefulProcessor):
-    """Sees only critical rows.  A timer just after the slot of an open alarm fires as soon as the
-    watermark, which all rows move, has reached a later cycle: the port was not critical in it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._open = handle.getValueState("open", "at_ms long")
-
-    def _clear(self, key, at_ms: int) -> list:
-        return ["CLEAR", pd.Timestamp(at_ms, unit="ms"), *key, None, CLEARED]
-
-    def _drop_timers(self) -> None:
-        for expiry in list(self._handle.listTimers()):
-            self._handle.deleteTimer(expiry)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("event_time")
-        seen = timerValues.getCurrentWatermarkInMs()
-        known = self._open.get()[0] if self._open.exists() else None
-        out = []
-        for row in batch.itertuples(index=False):
-            at = int(row.event_time.timestamp() * 1000)
-            if known is not None and at <= known:
-                continue
-            if known is not None and known < seen < at:
-                out.append(self._clear(key, seen))
-            out.append(["ALARM", row.event_time, *key, row.alarm_label, row.anomaly_reason])
-            known = at
-        self._drop_timers()
-        if known is not None:
-            self._open.update((known,))
-            self._handle.registerTimer(known + 1)
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self._open.exists():
-            out.append(self._clear(key, timerValues.getCurrentWatermarkInMs()))
-            self._open.clear()
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store this operator needs; call before starting the query."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def require_utc(spark: SparkSession) -> None:
-    """Watermarks need zoned timestamps, and only in UTC do naive times map to them one to one."""
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        raise ValueError(f"streams with watermarks need spark.sql.session.timeZone=UTC, not {zone}")
-
-
-def alarm_state_stream(results: DataFrame) -> DataFrame:
-    """Events of a stream of results that brings one cycle per micro-batch (``maxFilesPerTrigger``)."""
-    require_utc(results.sparkSession)
-    timed = results.withColumn("event_time", F.col("occur_date").cast("timestamp")).withWatermark(
-        "event_time", "0 seconds"
-    )
-    # One condition on level and time together: a condition on the level alone would be pushed below the
-    # watermark, and cycles without critical ports would no longer move it.
-    critical = timed.where(F.when(F.col("event_time").isNotNull(), F.col("alarm_label")) == "CRITICAL")
-    return (
-        critical.select(*KEYS, "event_time", "alarm_label", "anomaly_reason")
-        .groupBy(*KEYS)
-        .transformWithStateInPandas(AlarmProcessor(), OUTPUT, outputMode="Append", timeMode="EventTime")
-    )
+#: Rows of the newest cycle: its critical ports, and one row without a port that marks the slot.
+STATE_SCHEMA = "occur_date timestamp_ntz, ip_addr string, cid int, lid int, alarm_label string, anomaly_reason string"
+_COLUMNS = ("occur_date", *KEYS, "alarm_label", "anomaly_reason")
+
+
+def _batch_name(batch: int) -> str:
+    return f"{batch:012d}"
+
+
+def alarm_batch(results: DataFrame, path: str, batch: int) -> None:
+    """Events of one micro-batch under ``path``; running it again replaces its files."""
+    spark = results.sparkSession
+    name = _batch_name(batch)
+    before = [b for b in partition_values(spark, f"{path}/state", "batch") if b < name]
+    state = spark.createDataFrame([], STATE_SCHEMA)
+    if before:
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/state/batch={before[-1]}")
+    last = state.agg(F.max("occur_date")).first()[0]
+    with materialized(results.select(*_COLUMNS), "results") as arrived:
+        in_time = F.lit(True) if last is None else F.col("occur_date") > F.lit(last)
+        arrived.where(~in_time).write.mode("overwrite").parquet(f"{path}/late/batch={name}")
+        fresh = arrived.where(in_time)
+        newest = fresh.agg(F.max("occur_date")).first()[0]
+        if newest is None:
+            return
+        events = alarm_transitions(state.unionByName(fresh))
+        if last is not None:
+            events = events.where((F.col("event_time") > F.lit(last)))  # the state's own alarms were sent
+        events.write.mode("overwrite").parquet(f"{path}/events/batch={name}")
+        at_newest = fresh.where(F.col("occur_date") == F.lit(newest))
+        mark = at_newest.select("occur_date").limit(1)
+        kept = filter_critical(at_newest).unionByName(mark, allowMissingColumns=True)
+        kept.select(*_COLUMNS).write.mode("overwrite").parquet(f"{path}/state/batch={name}")  # last
+
+
+def alarm_state_stream(results: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the stream; ``read_events`` has what it sent."""
+    writer = results.writeStream.foreachBatch(lambda batch, number: alarm_batch(batch, path, number))
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT_SCHEMA).parquet(f"{path}/events").drop("batch")

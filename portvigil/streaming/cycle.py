@@ -1,7 +1,9 @@
-"""Detection as a stream: every micro-batch of new raw readings is one cycle.
+"""Detection as a stream of ticks: every tick of the clock is one cycle.
 
-The batch only says that data arrived and up to when.  The cycle itself reads the trailing slots of both
-tracks, because windows need slots from before the batch, and runs the batch plan on them.
+A tick only says that it is time, and what time it is.  The cycle reads the trailing slots of both tracks up to
+that time and runs the batch plan on them, so a track that stays silent, or a device whose clock is wrong, never
+decides when or as of when the others are judged.  Readings dated after the tick wait in their hour folders and
+are counted as quarantined, like readings without a time or a port.
 """
 
 from __future__ import annotations
@@ -10,29 +12,40 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from portvigil.functions.times import ntz
 from portvigil.operators.alarms import alarm_json, alarm_step
+from portvigil.operators.clean import quarantine
 from portvigil.operators.config import TrackSettings
-from portvigil.operators.reports import RESULT_HOUR, cycle_counts, latest_in_table, max_slot
+from portvigil.operators.reports import cycle_counts, filter_critical, latest_in_table, max_slot
 from portvigil.operators.scoring import Scorer
-from portvigil.operators.sinks import append_history, expire_results, read_results, stored_hours, upsert_results
+from portvigil.operators.sinks import append_history, expire_results, upsert_results
 from portvigil.operators.windows import Scaler
 from portvigil.plans.detect import detect
-from portvigil.sources.raw import read_optical, read_traffic, stream_hourly
-from portvigil.spec import INTERVAL_MINUTES, RETENTION_DAYS, TRAFFIC_RAW_SCHEMA, TREND_SLOTS, WINDOW_SIZE
+from portvigil.sources.raw import HOUR_COL, read_hourly, read_optical, read_traffic, write_hourly
+from portvigil.spec import (
+    INTERVAL_MINUTES,
+    KEYS,
+    OPTICAL,
+    OPTICAL_SCHEMA,
+    RETENTION_DAYS,
+    TRAFFIC,
+    TRAFFIC_RAW_SCHEMA,
+    TREND_SLOTS,
+    WINDOW_SIZE,
+)
 from portvigil.storage import materialized, partition_values
-from portvigil.streaming.alarm_state import require_utc
 
 LOG_DAY = "event_day"
 LOG_SCHEMA = (
     "type string, event_time timestamp_ntz, ip_addr string, slot_id int, port_id int, value string, "
-    f"{LOG_DAY} string, cycle bigint"
+    f"{LOG_DAY} string, cycle string"
 )
 OPEN_SCHEMA = "ip_addr string, cid int, lid int, occur_date timestamp_ntz"
+TICK = "cycle_time"
+TICK_SCHEMA = f"{TICK} timestamp_ntz"
 
 Callback = Callable[[DataFrame, DataFrame], None]
 
@@ -46,6 +59,7 @@ class CycleConfig:
     results_path: str
     history_path: str
     alarms_path: str
+    open_path: str
     scalers: dict[str, Scaler]
     settings: Callable[[], dict[str, TrackSettings]]
     scorers: dict[str, Scorer] = field(default_factory=dict)
@@ -59,46 +73,52 @@ class CycleConfig:
         return timedelta(minutes=(WINDOW_SIZE + TREND_SLOTS) * self.interval_minutes)
 
 
-def previous_slot(spark: SparkSession, path: str, at: datetime) -> datetime | None:
-    """The newest stored slot before the current one."""
-    hours = [h for h in stored_hours(spark, path) if h <= at.strftime("%Y-%m-%d-%H")]
-    if not hours:
-        return None
-    # The current hour may hold only the current slot, so the hour before it is read as well.
-    newest = read_results(spark, path).where(F.col(RESULT_HOUR).isin(hours[-2:])).where(f"occur_date < {ntz(at)}")
-    return max_slot(newest).first()[0]
-
+def cycle_name(at: datetime) -> str:
+    """Cycles are named, and ordered, by their time; a new checkpoint goes on with the same names."""
+    return f"{at:%Y%m%d%H%M%S}"
 
-def open_alarms(spark: SparkSession, path: str, since: datetime | None, cycle: int) -> DataFrame:
-    """Ports whose last announcement by an earlier cycle is an ALARM, and its slot.
 
-    A port that stays critical is announced in every cycle, so the log is read from the previous slot
-    on.  Reading the log instead of the results keeps a repeated cycle from seeing its own outcome.
-    """
-    days = [d for d in partition_values(spark, path, LOG_DAY) if since is None or d >= f"{since:%Y%m%d}"]
-    if not days:
+def open_alarms(spark: SparkSession, path: str, cycles: list[str], cycle: str) -> DataFrame:
+    """Ports that were critical in the newest cycle before this one, with their slot."""
+    before = [c for c in cycles if c < cycle]
+    if not before:
         return spark.createDataFrame([], OPEN_SCHEMA)
-    log = spark.read.schema(LOG_SCHEMA).json(path).where(F.col(LOG_DAY).isin(days)).where(f"cycle < {cycle}")
-    if since is not None:
-        log = log.where(f"event_time >= {ntz(since)}")
-    last = log.groupBy("ip_addr", "slot_id", "port_id").agg(
-        F.max(F.struct("event_time", "cycle", "type")).alias("last")
-    )
-    return last.where("last.type = 'ALARM'").selectExpr(
-        "ip_addr", "slot_id as cid", "port_id as lid", "last.event_time as occur_date"
-    )
+    return spark.read.schema(OPEN_SCHEMA).parquet(f"{path}/cycle={before[-1]}")
+
 
+def quarantined(spark: SparkSession, config: CycleConfig, at: datetime) -> int:
+    """Readings of both tracks that no plan can use as of ``at``: without time or port, or dated later.
 
-def run_cycle(spark: SparkSession, config: CycleConfig, as_of: datetime, cycle: int) -> Row | None:
-    """Fetch, detect, raise and clear alarms, store, expire, log; gives the processed and anomalous rows,
-    None without valid data.  Safe to repeat for the same cycle: results are upserted, alarm and history
-    files of the cycle are replaced."""
-    start = as_of - config.look_back
-    traffic = read_traffic(spark, config.traffic_path, start, as_of)
-    optical = read_optical(spark, config.optical_path, start, as_of)
+    Only the look-back's hours and later ones are read.
+    """
+    since = (at - config.look_back).strftime("%Y-%m-%d-%H")
+    rejected = 0
+    for path, schema, spec in (
+        (config.traffic_path, TRAFFIC_RAW_SCHEMA, TRAFFIC),
+        (config.optical_path, OPTICAL_SCHEMA, OPTICAL),
+    ):
+        if partition_values(spark, path, HOUR_COL):
+            rows = read_hourly(spark, path, schema).where((F.col(HOUR_COL) >= since) | F.col(HOUR_COL).isNull())
+            rejected += quarantine(rows, spec, at).count()
+    return rejected
+
+
+def run_cycle(spark: SparkSession, config: CycleConfig, at: datetime) -> Row | None:
+    """The cycle of time ``at``: fetch, detect, raise and clear alarms, store, expire, log.
+
+    Gives the processed, anomalous and quarantined rows; None without valid data, and None for a cycle that is
+    older than the newest one that ran, since alarms are decided in order.  Safe to repeat: results are upserted,
+    alarms are decided by the open alarms of the cycle before, and all files of the cycle are replaced.  Rows
+    expire by ``at``, never by the time of a reading.
+    """
+    cycle = cycle_name(at)
+    cycles = partition_values(spark, config.open_path, "cycle")
+    if cycles and cycles[-1] > cycle:
+        return None
+    start = at - config.look_back
     found = detect(
-        traffic,
-        optical,
+        read_traffic(spark, config.traffic_path, start, at),
+        read_optical(spark, config.optical_path, start, at),
         config.scalers,
         config.settings(),
         config.scorers,
@@ -112,46 +132,87 @@ def run_cycle(spark: SparkSession, config: CycleConfig, as_of: datetime, cycle:
         if not counts.processed:
             return None
         now = latest_in_table(results)
-        at = max_slot(now).first()[0]
-        before = previous_slot(spark, config.results_path, at)
-        step = alarm_step(open_alarms(spark, config.alarms_path, before, cycle), now)
+        slot = max_slot(now).first()[0]
+        step = alarm_step(open_alarms(spark, config.open_path, cycles, cycle), now)
         with materialized(step, "events") as events:
-            log = f"{config.alarms_path}/{LOG_DAY}={at:%Y%m%d}/cycle={cycle}"
-            alarm_json(events).write.mode("overwrite").json(log)
-            upsert_results(results, config.results_path, as_of)
-            expire_results(spark, config.results_path, as_of, config.retention_days)
+            alarm_json(events).write.mode("overwrite").json(f"{config.alarms_path}/{LOG_DAY}={slot:%Y%m%d}/cycle={cycle}")
+            upsert_results(results, config.results_path, at)
+            expire_results(spark, config.results_path, at, config.retention_days)
             if config.callback:
                 config.callback(results, events)
-        append_history(results, config.history_path, as_of, cycle)
-    return counts
+        append_history(results, config.history_path, at, cycle)
+        still_open = filter_critical(now).select(*KEYS, "occur_date")
+        still_open.write.mode("overwrite").parquet(f"{config.open_path}/cycle={cycle}")  # last: the cycle is complete
+    return Row(**counts.asDict(), quarantined=quarantined(spark, config, at))
+
+
+def clock(spark: SparkSession, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
+    """Ticks of the wall clock, cut to the interval."""
+    seconds = 60 * interval_minutes
+    tick = F.timestamp_seconds(F.floor(F.unix_timestamp("timestamp") / seconds) * seconds)
+    return spark.readStream.format("rate").load().select(tick.cast("timestamp_ntz").alias(TICK))
+
+
+def write_ticks(spark: SparkSession, times: list[datetime], path: str) -> None:
+    """Ticks of a replay, one file each, for ``replay_clock``."""
+    for number, time in enumerate(times):
+        tick = spark.createDataFrame([(time,)], TICK_SCHEMA).coalesce(1)
+        tick.write.mode("append").parquet(f"{path}/part={number:06d}")
+
+
+def replay_clock(spark: SparkSession, path: str, ticks_per_trigger: int = 1) -> DataFrame:
+    files = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", ticks_per_trigger)
+    return files.option("recursiveFileLookup", "true").parquet(path)
 
 
 def detect_stream(
-    spark: SparkSession,
-    config: CycleConfig,
-    checkpoint: str,
-    files_per_trigger: int | None = None,
-    **trigger,
+    spark: SparkSession, config: CycleConfig, checkpoint: str, ticks: DataFrame | None = None, **trigger
 ) -> StreamingQuery:
-    """Start the stream; the default trigger fires once per interval, ``availableNow=True`` replays.
+    """Start the stream; by default it fires once per interval of the wall clock.
 
-    A batch that brings several slots is one cycle at the newest of them; ``files_per_trigger`` replays
-    in smaller steps, and ``latest_only=False`` stores the verdicts of the whole look-back.
+    ``ticks`` is a stream of ``cycle_time``; a micro-batch with several ticks runs their cycles in order.
+    ``latest_only=False`` in ``config`` stores the verdicts of the whole look-back.
     """
-    arrivals = stream_hourly(spark, config.traffic_path, TRAFFIC_RAW_SCHEMA, files_per_trigger)
+    wall = ticks is None
+    ticks = clock(spark, config.interval_minutes) if wall else ticks
 
-    def cycle(batch: DataFrame, batch_id: int) -> None:
-        as_of = batch.agg(F.max("occur_date")).first()[0]
-        if as_of is not None:
-            run_cycle(batch.sparkSession, config, as_of, batch_id)
+    def run(batch: DataFrame, _: int) -> None:
+        times = sorted(r[0] for r in batch.select(TICK).distinct().collect() if r[0] is not None)
+        for time in times[-1:] if wall else times:  # of missed wall-clock ticks the last says all
+            run_cycle(batch.sparkSession, config, time)
 
     trigger = trigger or {"processingTime": f"{config.interval_minutes} minutes"}
-    writer = arrivals.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).start()
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def deduplicated_stream(raw: DataFrame, delay: str = "240 minutes") -> DataFrame:
-    """Raw stream without repeated deliveries of a reading."""
-    require_utc(raw.sparkSession)
-    timed = raw.withColumn("event_time", F.col("occur_date").cast("timestamp")).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(["ip_addr", "cid", "lid", "event_time"]).drop("event_time")
+def ingest(batch: DataFrame, path: str, rejected_path: str) -> None:
+    """Append readings that are not stored yet, however late they come; repeated deliveries are dropped.
+
+    Only the hours that the batch touches are read.  Of readings with one port and time the first delivery
+    stays; within a batch the one of largest metrics.  Readings without time or port go to ``rejected_path``.
+    Running a batch again changes nothing but that folder.
+    """
+    spark = batch.sparkSession
+    keys = ("occur_date", *KEYS)
+    plain = [c for c in batch.columns if c != HOUR_COL]
+    metrics = [c for c in plain if c not in keys]
+    missing: Column = F.lit(False)
+    for key in keys:
+        missing |= F.col(key).isNull()
+    with materialized(batch.select(*plain), "arrived") as arrived:
+        unusable = arrived.where(missing)
+        if not unusable.isEmpty():
+            unusable.write.mode("append").parquet(rejected_path)
+        kept = arrived.where(~missing).groupBy(*keys).agg(F.max(F.struct(*metrics)).alias("m")).select(*keys, "m.*")
+        hours = [r[0] for r in kept.select(F.date_format("occur_date", "yyyy-MM-dd-HH")).distinct().collect()]
+        if set(hours) & set(partition_values(spark, path, HOUR_COL)):
+            stored = read_hourly(spark, path, arrived.schema).where(F.col(HOUR_COL).isin(hours))
+            kept = kept.join(stored.select(*keys), list(keys), "left_anti")
+        with materialized(kept.select(*plain), "new") as new:
+            write_hourly(new, path)
+
+
+def ingest_stream(raw: DataFrame, path: str, rejected_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Raw readings as they arrive into the hourly dataset."""
+    writer = raw.writeStream.foreachBatch(lambda batch, _: ingest(batch, path, rejected_path))
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

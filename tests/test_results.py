@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from portvigil.operators import alarms, config, reports, sinks, splits
 from portvigil.sources import raw
 from portvigil.spec import OPTICAL_SCHEMA, RESULT_COLS, RESULT_SCHEMA, TRAFFIC_RAW_SCHEMA, TRAFFIC_SCHEMA
-from portvigil.streaming.cycle import deduplicated_stream
 from tests.helpers import START, at, traffic_rows
 
 LABELS = {0: "NORMAL", 1: "MINOR", 2: "MAJOR", 3: "CRITICAL"}
@@ -201,8 +200,6 @@ def test_hours_and_texts_do_not_depend_on_the_session_zone(spark, tmp_path):
         got = raw.read_optical(spark, str(tmp_path / "o"), gap, gap)
         assert [r.occur_date for r in got.collect()] == [gap]
         assert reports.format_times(got, "occur_date").first().occur_date == "2024-03-10 02:30:00"
-        with pytest.raises(ValueError):
-            deduplicated_stream(got)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 

@@ -39,7 +39,7 @@ def only(df, s):
 
 
 def config(tmp_path, **more):
-    paths = {f"{n}_path": str(tmp_path / n) for n in ("traffic", "optical", "results", "history", "alarms")}
+    paths = {f"{n}_path": str(tmp_path / n) for n in ("traffic", "optical", "results", "history", "alarms", "open")}
     return cycle.CycleConfig(**paths, scalers=SCALERS, settings=lambda: SETTINGS, **more)
 
 
@@ -51,23 +51,23 @@ def test_stream_equals_batch_cycle_by_cycle(spark, tmp_path, readings):
     traffic, optical = readings
     seen = []
     conf = config(tmp_path, callback=lambda results, events: seen.append((results.count(), events.count())))
-    raw.write_hourly(traffic.where(F.col("occur_date") < F.lit(at(27))), conf.traffic_path)
-    raw.write_hourly(optical.where(F.col("occur_date") < F.lit(at(27))), conf.optical_path)
-    expected = []
-    for s in range(27, 33):
-        raw.write_hourly(only(optical, s), conf.optical_path)
-        raw.write_hourly(only(traffic, s).coalesce(1), conf.traffic_path)
-        query = cycle.detect_stream(spark, conf, str(tmp_path / "ckpt"), availableNow=True)
+    raw.write_hourly(traffic, conf.traffic_path)
+    raw.write_hourly(optical, conf.optical_path)
+    slots = list(range(27, 33))
+    cycle.write_ticks(spark, [at(s) for s in slots], str(tmp_path / "ticks"))
+    for checkpoint in ("first", "fresh"):  # a new checkpoint repeats all cycles and changes nothing
+        ticks = cycle.replay_clock(spark, str(tmp_path / "ticks"), 2)
+        query = cycle.detect_stream(spark, conf, str(tmp_path / checkpoint), ticks, availableNow=True)
         query.awaitTermination()
+    batch = None
+    for s in slots:
         window = [raw.filter_time_range(d, at(s) - conf.look_back, at(s)) for d in (traffic, optical)]
         found = detect(raw.scan_traffic(window[0]), window[1], SCALERS, SETTINGS)
-        expected.append(sinks.sanitize(sinks.ensure_schema(found, START)))
-    batch = expected[0]
-    for e in expected[1:]:
-        batch = batch.unionByName(e)
+        found = sinks.sanitize(sinks.ensure_schema(found, START))
+        batch = found if batch is None else batch.unionByName(found)
     stored_rows = sinks.read_results(spark, conf.results_path)
     assert rows(stored_rows) == rows(batch) and len(rows(batch)) == 3 * 2 + 3
-    assert [n for n, _ in seen] == [2, 2, 2, 1, 1, 1]
+    assert [n for n, _ in seen] == [2, 2, 2, 1, 1, 1, 1]  # of the repeat only the newest cycle runs again
     log = spark.read.schema(cycle.LOG_SCHEMA).json(conf.alarms_path)
     got = sorted((json.loads(r.value)["event_time"], json.loads(r.value)["type"]) for r in log.collect())
     want = sorted((str(t), kind) for t, kind, _ in events(alarms.alarm_transitions(stored_rows)))
@@ -76,48 +76,63 @@ def test_stream_equals_batch_cycle_by_cycle(spark, tmp_path, readings):
     assert logged.count() == len(rows(batch))
 
 
-def test_repeated_cycle_changes_nothing(spark, tmp_path, readings):
-    traffic, optical = readings
-    conf = config(tmp_path)
-    raw.write_hourly(traffic, conf.traffic_path)
-    raw.write_hourly(optical, conf.optical_path)
-    for _ in range(2):
-        cycle.run_cycle(spark, conf, at(20), 0)
-    stored_rows = sinks.read_results(spark, conf.results_path)
-    assert stored_rows.count() == 2 and latest_in_table(stored_rows).count() == 2
-    assert cycle.run_cycle(spark, conf, at(500), 1) is None
-
-
 def sent(spark, conf):
     log = spark.read.schema(cycle.LOG_SCHEMA).json(conf.alarms_path)
     return sorted((r.cycle, r.type, r.ip_addr) for r in log.collect())
 
 
-def test_alarms_survive_repeats_and_second_batches_of_a_slot(spark, tmp_path, readings):
+@pytest.mark.parametrize("latest_only", [True, False])
+def test_alarms_survive_repeats_and_cycles_without_news(spark, tmp_path, readings, latest_only):
     traffic, optical = readings
     quiet = {n: TrackSettings(1e9) for n in SETTINGS}
     loud = {n: TrackSettings(1e-9) for n in SETTINGS}
     level = dict(quiet)
-    conf = config(tmp_path)
+    conf = config(tmp_path, latest_only=latest_only)
     conf = cycle.CycleConfig(**{**conf.__dict__, "settings": lambda: dict(level)})
     raw.write_hourly(traffic, conf.traffic_path)
     raw.write_hourly(optical, conf.optical_path)
     expected = []
-    # A slot announced, repeated after a failure, seen again by a second batch, then quiet again.
-    for number, slot, settings, news in (
-        (0, 20, loud, ["ALARM", "ALARM"]),
-        (0, 20, loud, None),
-        (1, 20, loud, []),
-        (2, 20, quiet, ["CLEAR", "CLEAR"]),
-        (3, 21, loud, ["ALARM", "ALARM"]),
-        (4, 22, quiet, ["CLEAR", "CLEAR"]),
-        (5, 23, quiet, []),
+    # raised, repeated after a failure, quiet, the quiet cycle repeated, raised again, an older cycle, quiet
+    for slot, settings, news in (
+        (20, loud, ["ALARM", "ALARM"]),
+        (20, loud, None),
+        (22, quiet, ["CLEAR", "CLEAR"]),
+        (22, quiet, None),
+        (23, loud, ["ALARM", "ALARM"]),
+        (21, quiet, None),
+        (24, quiet, ["CLEAR", "CLEAR"]),
+        (25, quiet, []),
     ):
         level.clear()
         level.update(settings)
-        cycle.run_cycle(spark, conf, at(slot), number)
-        expected += [(number, kind, ip) for kind, ip in zip(news or [], "ab")]
+        cycle.run_cycle(spark, conf, at(slot))
+        expected += [(cycle.cycle_name(at(slot)), kind, ip) for kind, ip in zip(news or [], "ab")]
         assert sent(spark, conf) == expected
+    assert cycle.run_cycle(spark, conf, at(500)) is None
+
+
+def test_a_wrong_device_clock_changes_nothing_for_others(spark, tmp_path, readings):
+    traffic, optical = readings
+    conf = config(tmp_path)
+    raw.write_hourly(traffic, conf.traffic_path)
+    raw.write_hourly(optical, conf.optical_path)
+    ahead = spark.createDataFrame([(at(s + 40_000), "z", 1, 1, -8.0, -9.0) for s in range(16)], OPTICAL_SCHEMA)
+    raw.write_hourly(ahead.unionByName(ahead.limit(1).selectExpr("cast(null as timestamp_ntz) as occur_date", "ip_addr", "cid", "lid", "tx_avg_power", "rx_avg_power")), conf.optical_path)
+    cycle.run_cycle(spark, conf, at(20))
+    counts = cycle.run_cycle(spark, conf, at(21))
+    stored_rows = sinks.read_results(spark, conf.results_path)
+    assert sorted((r.ip_addr, r.occur_date) for r in stored_rows.collect()) == [(ip, at(s)) for ip in "ab" for s in (20, 21)]
+    later = 2 * 18  # readings of both tracks that are dated after the cycle: slots 22 to 39, port b until 29
+    assert counts.quarantined == 16 + 1 + later + 2 * 8
+
+
+def test_optical_is_judged_when_traffic_is_silent(spark, tmp_path, readings):
+    _, optical = readings
+    conf = config(tmp_path)
+    raw.write_hourly(only(readings[0], 0), conf.traffic_path)
+    raw.write_hourly(optical, conf.optical_path)
+    counts = cycle.run_cycle(spark, conf, at(25))
+    assert counts.processed == 2
 
 
 def test_late_port_is_added_when_the_look_back_is_revised(spark, tmp_path, readings):
@@ -126,16 +141,17 @@ def test_late_port_is_added_when_the_look_back_is_revised(spark, tmp_path, readi
     late = (F.col("ip_addr") == "b") & (F.col("occur_date") == F.lit(at(20)))
     for df, path in ((traffic, conf.traffic_path), (optical, conf.optical_path)):
         raw.write_hourly(df.where(~late), path)
-    cycle.run_cycle(spark, conf, at(20), 0)
+    cycle.run_cycle(spark, conf, at(20))
     at_20 = F.col("occur_date") == F.lit(at(20))
     assert sinks.read_results(spark, conf.results_path).where(at_20).count() == 1
     for df, path in ((traffic, conf.traffic_path), (optical, conf.optical_path)):
         raw.write_hourly(df.where(late), path)
-    cycle.run_cycle(spark, conf, at(21), 1)
+    cycle.run_cycle(spark, conf, at(21))
     assert sinks.read_results(spark, conf.results_path).where(at_20).count() == 2
 
 
-def test_alarm_state_stream_agrees_with_batch(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 100])
+def test_alarm_state_stream_agrees_with_batch(spark, tmp_path, files):
     script = [
         (1, "a", 3), (1, "b", 0), (2, "a", 3), (2, "b", 3), (3, "b", 1), (4, "b", 0), (5, "a", 3), (5, "b", 3), (6, "b", 3), (7, "c", 0),
     ]
@@ -147,29 +163,22 @@ def test_alarm_state_stream_agrees_with_batch(spark, tmp_path):
             full = os.path.join(path, name)
             if name.endswith(".parquet") and os.path.getmtime(full) > time.time() - 10**6:
                 os.utime(full, (10**9 + i, 10**9 + i))
-    alarm_state.use_rocksdb(spark)
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = (
-        alarm_state.alarm_state_stream(source)
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "events"))
-        .option("checkpointLocation", str(tmp_path / "ckpt"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination(300)
-    got = spark.read.parquet(str(tmp_path / "events")).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
-    assert events(got) == events(alarms.alarm_transitions(df))
-
-
-def test_repeated_deliveries_are_dropped(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    df = spark.createDataFrame([(at(s), "a", 1, 1, -5.0, -6.0) for s in (0, 0, 1)], OPTICAL_SCHEMA)
-    raw.write_hourly(df, path)
-    stream = cycle.deduplicated_stream(raw.stream_hourly(spark, path, OPTICAL_SCHEMA))
-    query = stream.writeStream.format("memory").queryName("dedup").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(300)
-    assert spark.table("dedup").count() == 2
-    assert cycle.CycleConfig.__dataclass_fields__["interval_minutes"].default * 16 == 240
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    out = str(tmp_path / "alarms")
+    alarm_state.alarm_state_stream(source, out, str(tmp_path / "ckpt"), availableNow=True).awaitTermination(300)
+    assert events(alarm_state.read_events(spark, out)) == events(alarms.alarm_transitions(df))
+    before = events(alarm_state.read_events(spark, out))
+    alarm_state.alarm_batch(only(df, 2), out, 1000)  # late rows are kept apart
+    assert events(alarm_state.read_events(spark, out)) == before
+    assert spark.read.parquet(f"{out}/late/batch=000000001000").count() == 2
+
+
+def test_late_and_repeated_readings_are_stored_once(spark, tmp_path):
+    out, rejected = str(tmp_path / "stored"), str(tmp_path / "rejected")
+    rows_ = [(at(s), "a", 1, 1, -5.0, -6.0) for s in (100, 100, 101)] + [(None, "a", 1, 1, -5.0, -6.0)]
+    cycle.ingest(spark.createDataFrame(rows_, OPTICAL_SCHEMA), out, rejected)
+    late = [(at(s), "a", 1, 1, -5.0, -6.0) for s in (1, 100, 101)]  # a day late, and two again
+    cycle.ingest(spark.createDataFrame(late, OPTICAL_SCHEMA), out, rejected)
+    assert sorted(r.occur_date for r in spark.read.parquet(out).collect()) == [at(1), at(100), at(101)]
+    assert spark.read.parquet(rejected).count() == 1
     assert timedelta(minutes=240) == config(tmp_path).look_back
