@@ -14,7 +14,7 @@ from portvigil.plans.detect import detect
 from portvigil.sources import raw
 from portvigil.spec import OPTICAL, OPTICAL_SCHEMA, STANDARD_COLS, TRAFFIC, TRAFFIC_RAW_SCHEMA
 from portvigil.streaming import alarm_state, cycle
-from tests.helpers import START, at
+from tests.helpers import OPTICAL_ROWS, START, at
 from tests.test_results import events, stored
 
 SCALERS = {t.name: {f: (0.0, 1.0) for f in t.features} for t in (TRAFFIC, OPTICAL)}
@@ -176,9 +176,9 @@ def test_alarm_state_stream_agrees_with_batch(spark, tmp_path, files):
 def test_late_and_repeated_readings_are_stored_once(spark, tmp_path):
     out, rejected = str(tmp_path / "stored"), str(tmp_path / "rejected")
     rows_ = [(at(s), "a", 1, 1, -5.0, -6.0) for s in (100, 100, 101)] + [(None, "a", 1, 1, -5.0, -6.0)]
-    cycle.ingest(spark.createDataFrame(rows_, OPTICAL_SCHEMA), out, rejected)
+    cycle.ingest(spark.createDataFrame(rows_, OPTICAL_ROWS), out, rejected)
     late = [(at(s), "a", 1, 1, -5.0, -6.0) for s in (1, 100, 101)]  # a day late, and two again
-    cycle.ingest(spark.createDataFrame(late, OPTICAL_SCHEMA), out, rejected)
+    cycle.ingest(spark.createDataFrame(late, OPTICAL_ROWS), out, rejected)
     assert sorted(r.occur_date for r in spark.read.parquet(out).collect()) == [at(1), at(100), at(101)]
     assert spark.read.parquet(rejected).count() == 1
     assert timedelta(minutes=240) == config(tmp_path).look_back
