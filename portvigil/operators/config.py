@@ -44,9 +44,9 @@ def resolve_config(versions: DataFrame) -> DataFrame:
 
 def override_config(versions: DataFrame, track: str, **settings) -> DataFrame:
     """The version that replaces the newest one of ``track`` with some settings changed."""
-    unknown = set(settings) - set(TRACK_CONFIG_SCHEMA.names)
-    if unknown or {"track", "version"} & set(settings):
-        raise ValueError(f"not a setting: {sorted(unknown) or 'track, version'}")
+    unknown = set(settings) - set(OVERRIDABLE)
+    if unknown:
+        raise ValueError(f"not a setting: {sorted(unknown)}")
     kinds = {f.name: f.dataType for f in TRACK_CONFIG_SCHEMA.fields}
     changes = {name: F.lit(value).cast(kinds[name]) for name, value in settings.items()}
     current = newest_config(versions).where(F.col("track") == track)

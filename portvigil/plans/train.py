@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from portvigil.operators.clean import preprocess
-from portvigil.operators.config import config_row
+from portvigil.operators.config import config_row, read_config, write_config
 from portvigil.operators.scoring import (
     LinearAutoencoder,
     fit_reconstruction,
@@ -17,9 +17,10 @@ from portvigil.operators.scoring import (
     threshold_percentile,
     validation_loss,
 )
-from portvigil.operators.windows import Scaler, robust_apply, robust_fit, sliding_windows
-from portvigil.spec import INTERVAL_MINUTES, LATENT_DIM, PATIENCE, THRESHOLD_PERCENTILE, WINDOW_SIZE, TrackSpec
-from portvigil.storage import materialized
+from portvigil.operators.splits import min_sample_gate
+from portvigil.operators.windows import SCALER_SCHEMA, Scaler, load_scaler, robust_apply, robust_fit, scaler_frame, sliding_windows
+from portvigil.spec import INTERVAL_MINUTES, LATENT_DIM, MIN_GAIN, PATIENCE, THRESHOLD_PERCENTILE, WINDOW_SIZE, TrackSpec
+from portvigil.storage import drop_path, exists, materialized, partition_values
 
 
 @dataclass(frozen=True)
@@ -52,12 +53,19 @@ def train_track(
     latent_dim: int = LATENT_DIM,
     percentile: float = THRESHOLD_PERCENTILE,
     patience: int = PATIENCE,
+    min_gain: float = MIN_GAIN,
 ) -> TrainedTrack | None:
-    """Fit on ``train``, choose the model size on ``validation``; None without two windows.
+    """Fit on ``train``, choose the model size on ``validation``; None with fewer raw rows than a window, or
+    without two windows.
+
+    A larger model must lower the held-out loss by ``min_gain`` of it, since components are nested and each
+    lowers it a little.
 
     The scaler is fitted on training rows only and applied to both sets.  Cleaned rows and windows are
     read several times (quartiles; mean, covariance, scores), so each is written once.
     """
+    if not min_sample_gate(train, window_size).first().enough:
+        return None
     rows = preprocess(train, spec, interval_minutes, window_size, train=True, full_grid=False)
     with materialized(rows, "clean") as clean:
         if clean.isEmpty():
@@ -72,7 +80,7 @@ def train_track(
             loss = None
             if validation is not None:
                 held_out = training_windows(validation, spec, scaler, interval_minutes, window_size)
-                model, loss = select_best_model(model, validation_loss(held_out, model), patience)
+                model, loss = select_best_model(model, validation_loss(held_out, model), patience, min_gain)
             threshold = threshold_percentile(score_windows(windows, spec, model), percentile)
     config = config_row(
         train.sparkSession,
@@ -88,3 +96,27 @@ def train_track(
         final_val_loss=loss,
     )
     return TrainedTrack(scaler, model, config)
+
+
+def save_track(track: TrainedTrack, spec: TrackSpec, path: str) -> None:
+    """Model, scaler and settings as one version; the settings are written last, so a version that was
+    interrupted lacks them and is not loaded."""
+    spark = track.config.sparkSession
+    version = track.config.first().version
+    folder = f"{path}/track={spec.name}/version={version}"
+    drop_path(spark, folder)
+    track.model.save(spark, f"{folder}/model")
+    scaler_frame(spark, spec, track.scaler).coalesce(1).write.parquet(f"{folder}/scaler")
+    write_config(track.config, f"{folder}/config")
+
+
+def load_track(spark: SparkSession, spec: TrackSpec, path: str) -> TrainedTrack | None:
+    """The newest version of a track that has all its parts; None without one."""
+    versions = sorted(map(int, partition_values(spark, f"{path}/track={spec.name}", "version")), reverse=True)
+    for version in versions:
+        folder = f"{path}/track={spec.name}/version={version}"
+        if exists(spark, f"{folder}/config/_SUCCESS"):
+            scaler = load_scaler(spark.read.schema(SCALER_SCHEMA).parquet(f"{folder}/scaler"), spec)
+            model = LinearAutoencoder.load(spark, f"{folder}/model")
+            return TrainedTrack(scaler, model, read_config(spark, f"{folder}/config"))
+    return None

@@ -15,6 +15,8 @@ TREND_SLOTS = 4
 LATENT_DIM = 16
 THRESHOLD_PERCENTILE = 99.9
 PATIENCE = 10
+# Relative gain in held-out loss that a larger model must bring; nested components always gain a little.
+MIN_GAIN = 0.02
 DEFAULT_THRESHOLD = 0.1
 SLOPE_THRESHOLD = 1.0
 RUL_TARGET = 90.0

@@ -51,6 +51,10 @@ def _file_system(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(_path(spark, path))
+
+
 def modified(spark: SparkSession, path: str) -> int:
     """When a file or folder was last changed."""
     return _file_system(spark, path).getFileStatus(_path(spark, path)).getModificationTime()

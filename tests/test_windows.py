@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from portvigil.operators import clean, quantiles, scoring, windows
-from portvigil.plans.train import train_track
+from portvigil.plans.train import load_track, save_track, train_track
 from portvigil.spec import OPTICAL
 from tests.helpers import START, optical_rows, series
 
@@ -109,7 +109,7 @@ def test_model_selection_stops_after_patience(spark):
 def test_training_uses_the_training_scaler_and_counts_windows(spark):
     train, held_out = noise(120, 1), [(i, a * 3, b * 3) for i, a, b in noise(60, 2)]
     track = train_track(
-        optical_rows(spark, train), optical_rows(spark, held_out), OPTICAL, START, percentile=90.0, latent_dim=4
+        optical_rows(spark, train), optical_rows(spark, held_out), OPTICAL, START, percentile=90.0, latent_dim=4, min_gain=0.0
     )
     x = np.array([r[1:] for r in train])
     np.testing.assert_allclose([c for c, _ in track.scaler.values()], np.median(x, axis=0))
@@ -123,3 +123,19 @@ def test_training_uses_the_training_scaler_and_counts_windows(spark):
 def test_training_without_windows_gives_nothing(spark):
     assert train_track(optical_rows(spark, noise(20)), None, OPTICAL, START) is None
 
+    assert train_track(optical_rows(spark, noise(11)), None, OPTICAL, START) is None
+
+
+def test_a_stored_track_scores_as_the_trained_one(spark, tmp_path):
+    rows = noise(90, 3)
+    track = train_track(optical_rows(spark, rows), None, OPTICAL, START, latent_dim=3)
+    path = str(tmp_path / "tracks")
+    assert load_track(spark, OPTICAL, path) is None
+    save_track(track, OPTICAL, path)
+    save_track(track, OPTICAL, path)  # a repeat replaces the version
+    (tmp_path / "tracks" / "track=optical" / "version=2").mkdir()  # interrupted: no settings
+    again = load_track(spark, OPTICAL, path)
+    assert again.scaler == track.scaler and again.config.collect() == track.config.collect()
+    df = scaled(spark, rows, track.scaler)
+    want = series(scoring.score_reconstruction(track.model)(df, OPTICAL, 12), "score")
+    assert series(scoring.score_reconstruction(again.model)(df, OPTICAL, 12), "score") == pytest.approx(want)
