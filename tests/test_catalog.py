@@ -3,13 +3,16 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare
+from portvigil.catalog.oracle import ORACLES
+from portvigil.catalog.queries import QUERIES
 
 NO_SQL = {"fit_reconstruction", "score_reconstruction", "validation_loss", "select_best_model", "detect_reconstruction"}
 
 
 def test_every_query_has_sql_except_the_trained_model():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry_runs(spark):
