@@ -11,15 +11,14 @@ A word (text between white space) always has the same tokens, so a text's count
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from portvigil.llm.word_bpe import LONGEST, WordIds, load, words
 from portvigil.llm.worker_cache import WorkerCache, per_worker, small
 
 FREQUENT = 32_768
@@ -27,26 +26,6 @@ SUMMARY = 4_096
 #: Words a task counts at a time before it forgets those seen once.
 COUNTED = 200_000
 CACHED = 300_000
-LONGEST = 64
-
-#: Python splits at these four control characters, which are no white space to the tokenizer.
-_PYTHON_ONLY = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-
-def words(text: str) -> list[str]:
-    return [w for w in _SPACE.split(text) if w] if _PYTHON_ONLY.search(text) else text.split()
-
-
-def load(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-def token_ids(tokenizer: Tokenizer, word: str) -> list[int]:
-    return tokenizer.encode(word, add_special_tokens=False).ids
 
 
 def frequent_words(df: DataFrame, text_col: str, frequent: int = FREQUENT, summary: int = SUMMARY) -> list[str]:
@@ -84,8 +63,8 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> WorkerCache:
-            own = load(path)
-            return WorkerCache(lambda w: len(token_ids(own, w)), CACHED)
+            own = WordIds(path)
+            return WorkerCache(lambda w: len(own.word(w)) // 4, CACHED)
 
         rare = per_worker(("token_counts", path), make)
         common = shared.value
