@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from portvigil.llm.worker_cache import WorkerCache
 
 LONGEST = 64
-CACHED_WORDS = 200_000
-CACHED_PIECES = 200_000
+CACHED_WORDS = 350_000
+CACHED_PIECES = 250_000
 #: Below this code point characters are composed and Unicode versions agree on case and kind.
 SETTLED = "ɐ"
 
