@@ -33,7 +33,7 @@ def cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class PermutationIndex:
-    """Of one shard.  Its pivots are its vectors at evenly spread places of the (hashed) id order."""
+    """Of one shard.  Its pivots are a seeded random choice of its different vectors."""
 
     def __init__(self, vectors: np.ndarray, pivots: int = PIVOTS, length: int = LENGTH):
         n = len(vectors)
