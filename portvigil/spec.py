@@ -171,15 +171,3 @@ CONFIG_DEFAULTS = {
     "patience": PATIENCE,
     "samples_used": 0,
 }
-
-ALARM_EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField("type", T.StringType(), False),
-        T.StructField("event_time", T.TimestampNTZType(), False),
-        T.StructField("ip_addr", T.StringType(), False),
-        T.StructField("slot_id", T.IntegerType(), False),
-        T.StructField("port_id", T.IntegerType(), False),
-        T.StructField("severity", T.StringType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
