@@ -26,19 +26,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
-#: Near copies: fingerprints of two-word shingles that differ in at most 7 bits.  These stand for "five-word
-#: shingles alike to 0.8": README.md has the measured share of such pairs that each setting finds.
+#: Candidates of near copies: fingerprints of two-word shingles that differ in at most 7 bits.  Only those whose
+#: five-word shingles are alike to 0.8 are copies; README.md has the measured share of such pairs that is found.
 COPY_WORDS, COPY_BITS = 2, 7
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document of smallest id.
+    """Of every group of near duplicates the document of smallest id, of smallest text hash among those.
 
-    Rows that repeat an id and a text are one document; with another text they are told apart.  Of a group
-    without any id every different text stays.
+    Two texts are near duplicates when their sets of five-word shingles are alike to 0.8; SimHash proposes them.
+    Rows that repeat an id and a text are one document; with another text they are told apart.  Null ids come last.
     """
-    found = simhash.near_duplicates(docs, words=COPY_WORDS, bits=COPY_BITS)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
+    found = simhash.one_of_alike(docs, words=COPY_WORDS, bits=COPY_BITS)
+    first = found.withColumnRenamed("doc_id", "kept_id")
     rows = docs.withColumn("kept_hash", simhash.text_hash(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_hash") == F.col("text_hash"))
     return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "kept_hash"]).drop("kept_hash")

@@ -7,6 +7,9 @@ Candidates of equal variants are verified on the whole fingerprints.
 
 Only different fingerprints are indexed, so copies cost nothing, and what leaves a group of equal variants is a
 spanning forest of its links, not its pairs.  Components come from alternating star contractions.
+
+``one_of_alike`` takes these components as candidates only: inside each, texts are linked when their fingerprints
+are near and their shingle sets are alike as well.
 """
 
 from __future__ import annotations
@@ -30,19 +33,31 @@ SHORT_RUN = 16
 #: Longer runs are split into blocks of this size, and every pair of blocks becomes a task of its own.
 LONG_RUN = 65_536
 _COUNTED_AT_ONCE = 65_536
+#: Verified links: Jaccard similarity of the sets of five-word shingles.
+ALIKE_WORDS, ALIKE = 5, 0.8
+#: Candidate components beyond this many texts are split, and every pair of blocks becomes a group of its own.
+ALIKE_BLOCK = 512
+_TEXTS_REMEMBERED = 100_000
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """A-Z lower-cased; shingles of ``words`` words, fewer words as one shingle, no word: zero."""
+def shingles(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles of ``words`` words, A-Z lower-cased; fewer words are one shingle, no word is none."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     last = min(words, len(found)) - 1
     starts = [0, *(ends[: len(found) - last - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[last:].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[last:].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """Majority of every bit over the shingles' hashes; no word: zero."""
+    hashes = shingles(text, words, seed)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _COUNTED_AT_ONCE):
         part = hashes[at : at + _COUNTED_AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -242,5 +257,116 @@ def near_duplicates(
     return docs.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id", "text_hash")
 
 
+def alike(a: np.ndarray, b: np.ndarray, least: float = ALIKE) -> bool:
+    """Whether two sets, sorted arrays without repeats, have a Jaccard similarity of ``least``; empty sets are alike."""
+    small_one, large_one = sorted((len(a), len(b)))
+    if small_one < least * large_one - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _alike_links(texts: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], bits: int, least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the verified links of a group, as in ``_links``."""
+    left: list[int] = []
+    right: list[int] = []
+    pool = np.arange(len(texts))
+    while len(pool):
+        todo, pool = [pool[0]], pool[1:]
+        while todo and len(pool):
+            one = todo.pop()
+            reached = np.zeros(len(pool), dtype=bool)
+            for at in np.flatnonzero(_distance(fps[pool], fps[one]) <= bits).tolist():
+                reached[at] = alike(sets[one], sets[pool[at]], least)
+            if reached.any():
+                right += texts[pool[reached]].tolist()
+                left += [int(texts[one])] * int(reached.sum())
+                todo.extend(pool[reached].tolist())
+                pool = pool[~reached]
+    return left, right
+
+
+def alike_links(
+    df: DataFrame, texts: DataFrame, bits: int, words: int = ALIKE_WORDS, least: float = ALIKE, block: int = ALIKE_BLOCK, text_col: str = "text"
+) -> DataFrame:
+    """(a, b), text hashes: each pair's fingerprints differ in at most ``bits`` bits and its shingle sets are alike,
+    and texts are connected by these pairs exactly when they are by all such pairs of one root.
+
+    ``texts`` (text_hash, fp, root) has every different text once.
+    """
+    blocks = F.ceil(F.count("*") / block).cast("int")
+    sizes = texts.groupBy("root").agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
+    wanted = texts.join(sizes, "root").select("text_hash", "fp", "root", "blocks")
+    column = F.col(text_col).cast("string")
+    rows = df.select(column.alias("text"), text_hash(column).alias("text_hash")).join(wanted, "text_hash")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # saves work on copies; those it lets through are dropped in their group
+        for batch in small(batches):
+            hashes, kept, found = batch.column(0).to_pylist(), [], []
+            for i, (key, text) in enumerate(zip(hashes, batch.column(1).to_pylist(), strict=True)):
+                if key in seen:
+                    continue
+                if len(seen) < _TEXTS_REMEMBERED:
+                    seen.add(key)
+                kept.append(i)
+                found.append(np.unique(shingles(text or "", words)).tobytes())
+            rest = batch.select([0, 2, 3, 4]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], ["text_hash", "fp", "root", "blocks", "shingles"])
+
+    sets = rows.select("text_hash", "text", "fp", "root", "blocks").mapInArrow(
+        read, "text_hash long, fp long, root long, blocks int, shingles binary"
+    )
+    mine = F.pmod(F.xxhash64("text_hash", F.lit(SEED)), F.col("blocks")).cast("int")
+    # a single block meets itself; of more, every pair of different blocks meets, and with it each block
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != mine))
+    met = sets.select("*", mine.alias("block"), F.explode(others).alias("other")).select(
+        "root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "text_hash", "fp", "shingles"
+    )
+    group = ["root", "one", "two"]
+
+    def close(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
+        different = {text: (fp, found) for text, fp, found in rows}
+        fps = np.array([fp for fp, _ in different.values()], dtype=np.int64)
+        found = [np.frombuffer(x, "<u8") for _, x in different.values()]
+        return _alike_links(np.array(list(different), dtype=np.int64), fps, found, bits, least)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in small(batches):
+            left, right = [], []
+            for *now, text, fp, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    a, b = close(held)
+                    left += a
+                    right += b
+                    key, held = now, []
+                held.append((text, fp, found))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        a, b = close(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
+
+
+def one_of_alike(
+    df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", block: int = ALIKE_BLOCK
+) -> DataFrame:
+    """(id, text_hash) of one document of every component of verified links: that of smallest id (null is last), of
+    smallest text hash among those.
+
+    SimHash only proposes: texts are linked when their fingerprints differ in at most ``bits`` bits and their sets
+    of five-word shingles are alike to 0.8.  All different texts are compared, also those of one fingerprint.
+    """
+    docs = fingerprints(df, words, id_col, text_col)
+    texts = written(docs.groupBy("text_hash", "fp").agg(F.min(id_col).alias("least_id")), "texts")
+    roots = components(links(texts.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    rooted = written(texts.join(roots, "fp", "left").select("text_hash", "fp", F.coalesce("root", "fp").alias("root")), "candidates")
+    found = components(alike_links(df, rooted, bits, block=block, text_col=text_col)).withColumnRenamed("node", "text_hash")
+    grouped = texts.join(found, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    first = F.min(F.struct(F.col("least_id").isNull(), F.col("least_id").alias("id"), "text_hash")).alias("first")
+    return grouped.groupBy("root").agg(first).select(F.col("first.id").alias(id_col), F.col("first.text_hash").alias("text_hash"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -79,3 +79,39 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     digits = df.limit(1).select(simhash.hex_digits(df.fp.cast("long")).alias("h")).first().h
     assert digits == "0000000000000001"
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_one_of_alike_verifies_every_link(spark, block):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(words, 120))
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 2, 3, 6, 8):  # up to 2 edits are alike to 0.8; chains of copies of copies
+            copy = list(base)
+            for at in rng.integers(0, 120, edits):
+                copy[at] = f"x{rng.integers(1000)}"
+            texts.append(" ".join(copy))
+            base = copy if edits < 3 else base
+    fps = [simhash.fingerprint(t, 2) for t in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if bin(fps[i] ^ fps[j]).count("1") <= 7]
+    pairs = [(i, j) for i, j in near if jaccard(texts[i], texts[j]) >= 0.8]
+    assert roots(pairs) != roots(near)  # without shingles more would be joined
+    found = roots(pairs)
+    want = sorted({found.get(i, i) for i in range(len(texts))})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, texts[3])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_alike(df.repartition(3), 2, 7, block=block).collect()) == want
+
+
+def test_one_of_alike_of_odd_rows(spark):
+    rows = [(1, None), (2, " "), (3, "a b"), (None, "A  b"), (4, "c"), (5, "c d e f g h"), (5, "C d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_alike(df, 2, 7).collect()) == [1, 3, 4, 5]
+    assert simhash.one_of_alike(df.limit(0), 2, 7).count() == 0
