@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe object textarea select title head svg math".split())
 APART = frozenset("nav footer aside form header button dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
-# Words in class, id or role that mark a part as something else than the article.
+# Words of a class, id or role that mark a part as something else than the article.
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
     "gdpr notice notices alert popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs "
@@ -40,38 +40,71 @@ APART_WORDS = frozenset(
     "legal disclaimer complementary contentinfo dialog".split()
 )
 
+# Words that may stand beside those in one class, id or role without another meaning.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content desktop fixed form global group icon "
+    "icons inner item items js left link links list main mobile module outer panel posts primary right secondary section "
+    "site slot sticky top unit wrap wrapper".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
-_CLOSES = re.compile(r"\b(?:hidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none)", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name; of repeated names the first counts, one without a value is empty."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def _is_apart(token: str) -> bool:
+    """Whether a class, id or role, as a whole, names a part that is not the article: ``site-footer``, not ``has-sidebar``."""
+    words = _WORD.findall(token)
+    return any(w in APART_WORDS for w in words) and all(w in APART_WORDS or w in NEUTRAL_WORDS for w in words)
 
 
 @dataclass
 class _Open:
+    """An open element; ``marks`` are the class marks on it and above, each taken back by setting it to False."""
+
     name: str
     apart: bool
     hidden: bool
     main: bool
-
-
-def _opened(name: str, attributes: str, above: _Open) -> _Open:
-    words: set[str] = set()
-    if attributes:
-        for found in _MARK.findall(attributes):
-            words.update(_WORD.findall("".join(found).lower()))
-    main = above.main or name in MAIN
-    marked = name in APART and not (name == "header" and above.main) or bool(words & APART_WORDS) and name not in ("html", "body")
-    hidden = above.hidden or name in HIDDEN or bool(attributes and _CLOSES.search(attributes))
-    return _Open(name, above.apart or marked, hidden, main)
+    marks: tuple[list[bool], ...] = ()
+
+
+def _opened(name: str, raw: str, above: _Open) -> _Open:
+    attributes = _attributes(raw) if raw else {}
+    tokens = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+    named = any(_is_apart(t) and not (above.main and t == "header") for t in tokens)
+    marks = above.marks
+    if name in MAIN and not above.main:
+        if not named:
+            for mark in marks:
+                mark[0] = False  # around an article nothing is apart by its class
+    elif named and name not in ("html", "body"):
+        marks = (*marks, [True])
+    apart = above.apart or name in APART and not (name == "header" and above.main)
+    unseen = (
+        attributes.get("hidden", "until-found").strip().lower() != "until-found"
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_NOT_SHOWN.search(attributes.get("style", "")))
+    )
+    return _Open(name, apart, above.hidden or name in HIDDEN or unseen, above.main or name in MAIN, marks)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, linked words, apart, main) of each non-empty block, in page order."""
-    found: list[tuple[str, int, int, bool, bool]] = []
+    found: list[tuple[str, int, int, _Open]] = []
     stack = [_Open("", False, False, False)]
     parts: list[str] = []
     linked = 0
@@ -82,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         text = " ".join("".join(parts).split())
         if text:
             words = text.count(" ") + 1
-            found.append((text, words, min(words, linked), stack[-1].apart, stack[-1].main))
+            found.append((text, words, min(words, linked), stack[-1]))
         parts.clear()
         linked = 0
 
@@ -124,7 +157,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 stack.pop()  # its end tag may be left out
             stack.append(_opened(name, token.group(3), stack[-1]))
     flush()
-    return found
+    return [(*block, at.apart or any(mark[0] for mark in at.marks), at.main) for *block, at in found]
 
 
 # A small labelled table of blocks, as (words, link density) of the previous, this and the next

@@ -54,3 +54,38 @@ def test_tree_fits_its_table():
 @pytest.mark.parametrize("page", ["<p>a<p>b", "<ul><li>a<li>b</ul>", "<div>a<div>b</div></div>", "a<br/>b", "<td>a<td>b"])
 def test_blocks_are_flat(page):
     assert [b[0] for b in page_text.blocks(page)] == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><div aria-hidden="false">kept</div></article>',
+        '<article><div class="overflow-hidden">kept</div></article>',
+        '<article><div style="overflow:hidden">kept</div></article>',
+        '<article><div hidden="until-found" data-x="display:none">kept</div></article>',
+        '<article class="post has-sidebar"><p>kept</article>',
+        '<main id="comments"><p>kept</main>',
+        '<article><div class="entry-header"><h1>kept</h1></div></article>',
+        '<article><div id="legal-text">kept</div></article>',
+        '<article><div class="header">kept</div></article>',
+        '<div class="sidebar"><div id="menu content"><article>kept</article></div></div>',
+        '<div class="sidebar"><p>kept</p><main></main></div>',
+    ],
+)
+def test_attributes_that_close_nothing(page):
+    assert [(b[0], b[3]) for b in page_text.blocks(page)] == [("kept", False)]
+
+
+@pytest.mark.parametrize("mark", ['hidden', 'hidden=""', 'HIDDEN class=x', 'aria-hidden="true"', "style='color:red; display : none'", 'style="display:none"'])
+def test_hidden_attributes(mark):
+    assert page_text.blocks(f"<article><div {mark}>gone</div></article>") == []
+
+
+@pytest.mark.parametrize("mark", ['class="x cookie-notice"', 'id=sidebar', 'class="site-footer"', 'role="navigation"', 'class="ad-slot"'])
+def test_marks_of_other_parts(mark):
+    assert [b[3] for b in page_text.blocks(f"<div {mark}>other</div><article><p>x</p><div {mark}>other</div></article>")] == [True, False, True]
+
+
+def test_comments_as_articles_stay_apart():
+    page = '<article>x</article><div id="comments"><article class="comment">y</article></div>'
+    assert [b[3] for b in page_text.blocks(page)] == [False, True]
