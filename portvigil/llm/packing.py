@@ -3,10 +3,13 @@
 1. One pass over the texts, on the map side: token ids give a document's length, the checksums of its prefixes
    and its different tokens with their counts.  The ids themselves go no further: a document is cut only at its
    end or at multiples of ``GRAIN`` ids, and the checksum of any such piece follows from those of two prefixes.
-2. Documents are dealt by range of (least token hash, id) into shards of about ``SHARD_ROWS``: texts with much in
+2. Document frequencies, the number of documents and their mean length are those of all documents: one aggregate
+   bounded by the vocabulary, broadcast.
+3. Documents are dealt by range of (least token hash, id) into shards of about ``SHARD_ROWS``: texts with much in
    common tend to share a shard, and any number of copies is spread evenly over as many as they need.
-3. In a shard, a BM25 inverted index returns the unused documents that are nearest to a seed, and they fill its
-   window one after the other; what does not fit is cut, and its rest is the next seed.
+4. In a shard, a BM25 inverted index returns the unused documents that are nearest to a seed, and they fill its
+   window one after the other; what does not fit is cut, and its rest is the next seed.  Documents of other shards
+   are not asked: README.md has the measured share of neighbours that a shard holds.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ _DOC = "tokens long, prefixes binary, terms binary, counts binary, near long"
 
 
 def summary(ids: bytes) -> tuple[int, bytes, bytes, bytes, int]:
-    """Of a document's ids: their number, prefix checksums, different ids, their counts (up to 255), least hash."""
+    """Of a document's ids: their number, prefix checksums, different ids, their counts, least hash."""
     step = GRAIN * 4
     crc, prefixes = 0, []
     for at in range(0, len(ids), step):
@@ -49,7 +53,16 @@ def summary(ids: bytes) -> tuple[int, bytes, bytes, bytes, int]:
     mixed = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     near = int((mixed ^ (mixed >> np.uint64(29))).min() >> np.uint64(1))
     packed = terms.astype("<u2" if terms[-1] < 65536 else "<u4")
-    return len(ids) // 4, np.array(prefixes, "<u4").tobytes(), packed.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), near
+    counted = counts.astype(np.uint8 if counts.max() < 256 else "<u4")
+    return len(ids) // 4, np.array(prefixes, "<u4").tobytes(), packed.tobytes(), counted.tobytes(), near
+
+
+def unpacked(terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids and their counts; the widths follow from the ratio of the two lengths."""
+    term, count = {(2, 1): ("<u2", "u1"), (4, 1): ("<u4", "u1"), (1, 2): ("<u2", "<u4"), (1, 1): ("<u4", "<u4")}[
+        (max(1, len(terms) // len(counts)), max(1, len(counts) // len(terms)))
+    ]
+    return np.frombuffer(terms, term), np.frombuffer(counts, count)
 
 
 def summaries(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,10 +81,60 @@ def summaries(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return texts.mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, {_DOC}")
 
 
+@dataclass
+class Statistics:
+    """Of all documents: their number, mean length, and idf by term."""
+
+    documents: int
+    mean: float
+    idf: np.ndarray
+
+
+def _idf(documents: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def _summed(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (key, n), at most a few for every term of the vocabulary."""
+    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _added(total: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    more = np.bincount(keys, minlength=len(total))
+    more[: len(total)] += total
+    return more
+
+
+def _sums(total: np.ndarray, *more: tuple[int, int]) -> pa.RecordBatch:
+    keys = np.flatnonzero(total)
+    columns = np.r_[keys, [k for k, _ in more]], np.r_[total[keys], [n for _, n in more]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "n"])
+
+
+def statistics(docs: DataFrame) -> Statistics:
+    """Over all rows of ``summaries``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, documents, tokens = np.zeros(0, dtype=np.int64), 0, 0
+        for batch in small(batches):
+            length, terms, counts = (c.to_pylist() for c in batch.columns)
+            if length:
+                df = _added(df, np.concatenate([unpacked(t, c)[0] for t, c in zip(terms, counts, strict=True)]))
+                documents, tokens = documents + len(length), tokens + sum(length)
+        yield _sums(df, (-1, documents), (-2, tokens))
+
+    keys, sums = _summed(docs.select("tokens", "terms", "counts").mapInArrow(run, "key long, n long"))
+    df = np.zeros(max(0, keys.max(initial=-1) + 1), dtype=np.int64)
+    df[keys[keys >= 0]] = sums[keys >= 0]
+    documents, tokens = (int(sums[keys == k].sum()) for k in (-1, -2))
+    return Statistics(documents, tokens / max(1, documents), _idf(documents, df))
+
+
 class Index:
-    """BM25 inverted file of one shard, over its own statistics."""
+    """BM25 inverted file of one shard, over the statistics of all documents; without them, over its own."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], of_all: Statistics | None = None):
         sizes = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
         self.terms = terms
         doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
@@ -80,8 +143,8 @@ class Index:
         length = np.array([c.sum(dtype=np.int64) for c in counts], dtype=np.float32)
         self.n = len(terms)
         self.df = np.bincount(term)
-        self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * length / length.mean())
+        self.idf = of_all.idf if of_all else _idf(self.n, self.df)
+        norm = K1 * (1 - B + B * length / (of_all.mean if of_all else length.mean()))
         weight = self.idf[term] * count * (K1 + 1) / (count + norm[doc])
         self.bounds = np.r_[0, np.cumsum(sizes)]
         self.own = weight  # by document, for the choice of query terms
@@ -196,16 +259,18 @@ def packed(
     room than ``GRAIN`` are not full.  An empty table gives no rows; other columns are not read.
     """
     docs = written(summaries(df, path, id_col, text_col), "packing")
-    shards = max(1, math.ceil(docs.count() / shard_rows))
+    of_all = statistics(docs)
+    shards = max(1, math.ceil(of_all.documents / shard_rows))
+    known = df.sparkSession.sparkContext.broadcast(of_all)
     out = T.StructType(
         [docs.schema[id_col]] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence", "offset")]
     )
     columns = out.fieldNames()
 
     def fill(docs: dict[str, list], shard_ids: pa.ChunkedArray | list) -> pa.RecordBatch:
-        wide = [np.frombuffer(t, "<u2" if len(t) == 2 * len(c) else "<u4") for t, c in zip(docs["terms"], docs["counts"], strict=True)]
         tokens = np.array(docs["tokens"], dtype=np.int64)
-        index = Index(wide, [np.frombuffer(c, np.uint8) for c in docs["counts"]])
+        terms, counts = zip(*(unpacked(t, c) for t, c in zip(docs["terms"], docs["counts"], strict=True)), strict=True)
+        index = Index(list(terms), list(counts), known.value)
         doc, start, size, sequence, offset = np.array(pack(tokens, index, length), dtype=np.int64).T
         prefixes = [np.frombuffer(p, "<u4") for p in docs["prefixes"]]
         before = np.array([prefixes[d][s // GRAIN - 1] if s else 0 for d, s in zip(doc, start, strict=True)], dtype=np.uint32)

@@ -78,3 +78,20 @@ def test_sequences_and_no_rows(spark, docs, tmp_path):
         part = np.array(rows[r.sequence_id][r.offset : r.offset + r.length], "<u4")
         assert zlib.crc32(part.tobytes()) == r.ids_crc32
     assert packing.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_statistics_are_of_all_documents(spark, docs):
+    found = packing.statistics(packing.summaries(docs.repartition(5), PATH))
+    library = Tokenizer.from_file(PATH)
+    ids = [[*library.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()]
+    assert found.documents == len(ids) and found.mean == pytest.approx(np.mean([len(x) for x in ids]))
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]))
+    assert found.idf == pytest.approx(np.log(1 + (len(ids) - df + 0.5) / (df + 0.5)), rel=1e-5)
+    index = packing.Index([np.array([5, 9]), np.array([5])], [np.array([1, 1]), np.array([2])], packing.Statistics(1000, 7.0, np.full(10, 3.0)))
+    assert index.scores(0)[1] == pytest.approx(3.0 * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 2 / 7)))
+
+
+@pytest.mark.parametrize(("term", "times"), [(7, 3), (70_000, 3), (7, 300), (70_000, 70_000)])
+def test_counts_are_whole(term, times):
+    _, _, terms, counts, _ = packing.summary(np.array([2] + [term] * times, "<u4").tobytes())
+    assert [x.tolist() for x in packing.unpacked(terms, counts)] == [[2, term], [1, times]]
