@@ -20,10 +20,16 @@ from portvigil.storage import written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (score of at least one half)."""
+    """Documents that the quality classifier does not reject (score of at least one half).
+
+    Rows that repeat an id, or have none, are judged each by its own text.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = quality.score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.withColumn("kept_hash", simhash.text_hash(F.col("text")))
+    scored = quality.score(rows, labels, carried=("kept_hash",)).where("predicted = 1")
+    kept = scored.select(F.col("doc_id").alias("kept_id"), F.col("kept_hash").alias("text_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_hash") == F.col("text_hash"))
+    return rows.join(kept, same, "left_semi").drop("kept_hash")
 
 
 #: Candidates of near copies: fingerprints of two-word shingles that differ in at most 7 bits.  Only those whose

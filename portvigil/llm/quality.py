@@ -129,18 +129,22 @@ def pool(words: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def pooled(df: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pooled) for every row."""
+def pooled(
+    df: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, carried columns, pooled) for every row."""
     shared = df.sparkSession.sparkContext.broadcast(vectors)  # BINS x DIMENSIONS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in small(batches):
-            rows = [pool(word_bins(t or ""), table).astype(np.float32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], [id_col, "pooled"])
+            rows = [pool(word_bins(t or ""), table).astype(np.float32) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float32()))], [*kept, "pooled"])
 
-    texts = df.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, pooled array<float>")
+    kept = (id_col, *carried)
+    texts = df.select(*kept, F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in kept)
+    return texts.mapInArrow(run, f"{schema}, pooled array<float>")
 
 
 @dataclass
@@ -214,16 +218,18 @@ def held_out(id_col: str) -> Column:
 
 
 def score(
-    df: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, held_out, score, predicted) for every row.
+    df: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text",
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, carried columns, held_out, score, predicted) for every row.
 
     Learns from rows that have a label 0 or 1 and are not held out; other labels and null ids teach nothing.
     Without such rows every score is 0.5.  A null text counts as empty; texts without words share one score;
-    rows may repeat; an empty table gives no rows; of ``df`` only the id and the text are read.
+    rows may repeat; an empty table gives no rows; of ``df`` only the id, the text and
+    ``carried`` are read.
     """
     spark = df.sparkSession
-    rows = written(pooled(df, word_vectors(df, text_col), id_col, text_col), "pooled")
+    rows = written(pooled(df, word_vectors(df, text_col), id_col, text_col, carried), "pooled")
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label"))
     train = rows.where(~held_out(id_col)).join(known, id_col)
     place = F.pmod(F.xxhash64(id_col), F.lit(_PLACES))
@@ -238,5 +244,5 @@ def score(
         values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
         return pa.array(network.value.probability(values.astype(float)))
 
-    scored = rows.select(id_col, held_out(id_col).alias("held_out"), probability("pooled").alias("score"))
+    scored = rows.select(id_col, *carried, held_out(id_col).alias("held_out"), probability("pooled").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

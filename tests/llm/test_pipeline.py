@@ -70,3 +70,14 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{table}.parquet").where(F.lit(False)).write.parquet(f"{empty}/{table}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_texts_of_one_id_are_told_apart(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    few = docs.where("doc_id in (16, 19)")  # one good text, one bad
+    more = docs.unionByName(few.withColumn("doc_id", F.lit(7000).cast("long"))).unionByName(few.withColumn("doc_id", F.lit(None).cast("long")))
+    kept = [(r.doc_id, "!!" in r.text) for r in corpus_pipeline.quality_filter(spark, more, folder).where("doc_id = 7000 or doc_id is null").collect()]
+    assert kept.count((7000, False)) == 1 and (7000, True) not in kept and (None, True) not in kept
+    near = docs.where("doc_id = 16").withColumn("doc_id", F.lit(7000).cast("long"))
+    copies = near.unionByName(near.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert corpus_pipeline.drop_near_duplicates(spark, copies, folder).count() == 1
