@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portvigil.llm import byte_bpe, packing, page_text, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
+from portvigil.llm import byte_bpe, filter_audit, packing, page_text, periodic_runs, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +70,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(periodic_runs.planted(_table(spark, sf_dir, "documents")))
+    top = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(top[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op9_packing, op10_simhash)
+    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op9_packing, op10_simhash, op12_filter_audit, op13_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {
     "op6_secrets": secrets_sql.scan_sql(),
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
     "op7_segment_search": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
