@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portvigil.llm import byte_bpe, filter_audit, packing, page_text, periodic_runs, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
+from portvigil.llm import byte_bpe, filter_audit, jaccard_join, packing, page_text, periodic_runs, permutation_index, pii, quality, secrets, secrets_sql, segment_search, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -88,7 +92,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op9_packing, op10_simhash, op12_filter_audit, op13_periodic_runs)
+    f.__name__: f for f in (op1_permutation_index, op2_page_text, op3_byte_bpe, op4_token_counts, op5_pii, op6_secrets, op7_segment_search, op8_quality, op9_packing, op10_simhash, op11_jaccard_join, op12_filter_audit, op13_periodic_runs)
 }
 
 #: DuckDB SQL of the queries that SQL expresses.
