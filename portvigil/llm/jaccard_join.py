@@ -126,7 +126,8 @@ def with_tokens(df: DataFrame, wanted: DataFrame, words: int, id_col: str, text_
     """(set, tokens) of the ``wanted`` sets, each read again from the one document that stands for it."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).alias("doc"), text_hash(text).alias("text_hash"), text.alias("text"))
-    kept = rows.join(wanted.select("doc", "text_hash", "set"), (rows["doc"].eqNullSafe(wanted["doc"])) & (rows["text_hash"] == wanted["text_hash"]))
+    # both sides grow with the table: sorted and merged at every size
+    kept = rows.join(wanted.select("doc", "text_hash", "set").hint("merge"), (rows["doc"].eqNullSafe(wanted["doc"])) & (rows["text_hash"] == wanted["text_hash"]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # repeated rows of one id and text come one after the other
@@ -191,7 +192,7 @@ def set_links(
         keep = lambda df, name: stack.enter_context(materialized(df, name))
         posted = sets.select("set", F.explode("keys").alias("key"))
         shared = posted.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("far")).where("hub <> far").drop("far")
-        met = keep(posted.join(shared, "key").select("key", "set", "hub"), "met")
+        met = keep(posted.join(shared.hint("merge"), "key").select("key", "set", "hub"), "met")
         family = stack.enter_context(connected(met.select(F.col("set").alias("a"), F.col("hub").alias("b"))))
         either = family.select(F.col("node").alias("set"), F.col("root").alias("family"))
         either = either.unionByName(family.select(F.col("root").alias("set"), F.col("root").alias("family")).distinct())
@@ -257,17 +258,18 @@ def near_duplicates(
     component.  A null id gets its row; a component of null ids only has a null component_id.  An empty table gives no
     rows; other columns are not read.  Shingles and sets are named by 64-bit hashes.
     """
-    docs = written(document_sets(df, words, percent, id_col, text_col), "shingle-sets")
     stands = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "text_hash"))
-    sets = docs.where("set is not null").groupBy("set").agg(
-        F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), stands.alias("stands")
-    )
-    with materialized(sets.select("set", "n", "keys", "stands.doc", "stands.text_hash"), "sets") as kept:
+    with ExitStack() as stack:
+        with materialized(document_sets(df, words, percent, id_col, text_col), "shingle-sets") as found:
+            docs = written(found.select("doc", "n_shingles", "set"), "documents")
+            sets = found.where("set is not null").groupBy("set").agg(
+                F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), stands.alias("stands")
+            )
+            kept = stack.enter_context(materialized(sets.select("set", "n", "keys", "stands.doc", "stands.text_hash"), "sets"))
         with set_links(kept, lambda wanted: with_tokens(df, wanted, words, id_col, text_col), percent, block_tokens) as roots:
             rooted = kept.select("set", "doc").join(roots.withColumnRenamed("node", "set"), "set", "left")
             rooted = rooted.withColumn("root", F.coalesce("root", "set"))
             least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
             named = written(rooted.join(least, "root").select("set", "component_id"), "components")
-    found = docs.join(named, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id"))
-    return found.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"))
+    return docs.join(named, "set", "left").select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"))
