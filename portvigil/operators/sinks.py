@@ -1,8 +1,9 @@
 """Result table and file sinks.
 
 Results live in a Parquet dataset partitioned by ``occur_hour``.  A cycle touches one hour, so an upsert
-rewrites at most the four slots of that hour.  Every rewrite is staged as a written table first: the
-dataset is replaced from the staged copy, never from a plan that still reads what it replaces.
+rewrites at most the four slots of that hour.  Every rewrite is staged first, each row written once; then
+the hours' folders are exchanged by renaming.  A folder that is exchanged is kept aside until its successor is
+in place, and an exchange that was broken off is undone by the next upsert.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from portvigil.functions.times import hour_key, ntz
 from portvigil.operators.reports import RESULT_HOUR
 from portvigil.sources.raw import CSV_OPTIONS
 from portvigil.spec import KEYS, NULLABLE_RESULT_COLS, RESULT_COLS, RESULT_SCHEMA, RETENTION_DAYS
-from portvigil.storage import drop_path, partition_values, work_path
+from portvigil.storage import drop_path, partition_values, replace_folder, restore_folder, work_path
 
 UPSERT_KEYS = ("occur_date", *KEYS)
 STORED_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField(RESULT_HOUR, T.StringType())])
@@ -89,35 +90,53 @@ def results_sql(spark: SparkSession, path: str, sql: str, **args) -> DataFrame:
     return spark.sql(sql, args=args, results=read_results(spark, path))
 
 
-def _staged(rows: DataFrame) -> str:
-    """``rows`` as a written table in the layout of the result table."""
-    path = work_path(rows.sparkSession, "results")
+def _staged(rows: DataFrame, path: str | None = None) -> str:
+    """``rows`` in the layout of the result table, in a folder of their own or added to ``path``."""
+    path = path or work_path(rows.sparkSession, "results")
     by_hour = rows.withColumn(RESULT_HOUR, F.expr(hour_key("occur_date"))).hint("rebalance", RESULT_HOUR)
-    by_hour.write.partitionBy(RESULT_HOUR).parquet(path)
+    by_hour.write.mode("append").partitionBy(RESULT_HOUR).parquet(path)
     return path
 
 
+#: Holds the hours that are being exchanged; readers skip folders of such names.
+_ASIDE = "_replaced"
+
+
 def _replace_hours(spark: SparkSession, staged: str, path: str) -> None:
-    """Replace the hours of the staged table in the result table."""
-    writer = read_results(spark, staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(RESULT_HOUR).parquet(path)
+    """Exchange the hours of the staged table for those of the result table."""
+    for hour in stored_hours(spark, staged):
+        name = f"{RESULT_HOUR}={hour}"
+        replace_folder(spark, f"{staged}/{name}", f"{path}/{name}", f"{path}/{_ASIDE}/{name}")
     drop_path(spark, staged)
 
 
+def recover_results(spark: SparkSession, path: str) -> None:
+    """Undo exchanges of hours that were broken off."""
+    for hour in partition_values(spark, f"{path}/{_ASIDE}", RESULT_HOUR):
+        name = f"{RESULT_HOUR}={hour}"
+        restore_folder(spark, f"{path}/{name}", f"{path}/{_ASIDE}/{name}")
+
+
+def _hours_of(spark: SparkSession, path: str, hours: list[str]) -> DataFrame:
+    """Rows of some hours of the table, by their folders."""
+    reader = spark.read.schema(STORED_SCHEMA).option("basePath", path)
+    return reader.parquet(*(f"{path}/{RESULT_HOUR}={hour}" for hour in hours))
+
+
 def upsert_results(new: DataFrame, path: str, detect_time: datetime) -> None:
     """Store detection rows; running the same cycle twice leaves one copy.
 
     ``new`` is evaluated once, by staging it.  The hours it touches are then known from the staged
-    folders, and only these are read from the table and merged.
+    folders; what the table holds in these beside the new rows is added to them, and the folders are exchanged.
     """
     spark = new.sparkSession
+    recover_results(spark, path)
     staged = _staged(sanitize(ensure_schema(new, detect_time)))
     hours = sorted(set(stored_hours(spark, staged)) & set(stored_hours(spark, path)))
     if hours:
-        existing = read_results(spark, path).where(F.col(RESULT_HOUR).isin(hours))
-        merged = _staged(merge_upsert(existing, read_results(spark, staged)))
-        drop_path(spark, staged)
-        staged = merged
+        arrived = _hours_of(spark, staged, hours).select(*UPSERT_KEYS)
+        kept = _hours_of(spark, path, hours).join(arrived, list(UPSERT_KEYS), "left_anti")
+        _staged(kept.select(*RESULT_COLS), staged)
     _replace_hours(spark, staged, path)
 
 
@@ -129,8 +148,7 @@ def expire_results(spark: SparkSession, path: str, as_of: datetime, days: int =
     for hour in (h for h in hours if h < edge):
         drop_path(spark, f"{path}/{RESULT_HOUR}={hour}")
     if edge in hours:
-        hour = read_results(spark, path).where(F.col(RESULT_HOUR) == edge)
-        staged = _staged(retained(hour, as_of, days).select(*RESULT_COLS))
+        staged = _staged(retained(_hours_of(spark, path, [edge]), as_of, days).select(*RESULT_COLS))
         if stored_hours(spark, staged):
             _replace_hours(spark, staged, path)
         else:

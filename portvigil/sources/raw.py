@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 
 from portvigil.functions.times import hour_key, ntz
 from portvigil.spec import OPTICAL_SCHEMA, SIGNAL_ETH, TRAFFIC_RAW_SCHEMA
+from portvigil.storage import partition_values
 
 HOUR_COL = "pm_hour"
+#: Folder of the rows without an hour.
+NO_HOUR = "__HIVE_DEFAULT_PARTITION__"
 # Times in files keep their microseconds.
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 # Physical metric name -> name used everywhere else.
@@ -85,12 +88,26 @@ def read_hourly(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(_hourly_schema(schema)).parquet(path)
 
 
+def read_hours(spark: SparkSession, path: str, schema: T.StructType, start: datetime, end: datetime | None = None) -> DataFrame:
+    """Rows of the hours from ``start`` on, up to ``end`` if given, and rows without an hour, by the folders' paths.
+
+    Only the names in the dataset's folder are listed, not the files of all its hours.
+    """
+    first, last = (t and t.strftime("%Y-%m-%d-%H") for t in (start, end))
+    hours = partition_values(spark, path, HOUR_COL)
+    touched = [h for h in hours if h == NO_HOUR or (h >= first and (last is None or h <= last))]
+    if not touched:
+        return spark.createDataFrame([], _hourly_schema(schema))
+    reader = spark.read.schema(_hourly_schema(schema)).option("basePath", path)
+    return reader.parquet(*(f"{path}/{HOUR_COL}={h}" for h in touched))
+
+
 def read_traffic(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
-    return scan_traffic(read_hourly(spark, path, TRAFFIC_RAW_SCHEMA), start, end)
+    return scan_traffic(read_hours(spark, path, TRAFFIC_RAW_SCHEMA, start, end), start, end)
 
 
 def read_optical(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
-    return scan_optical(read_hourly(spark, path, OPTICAL_SCHEMA), start, end)
+    return scan_optical(read_hours(spark, path, OPTICAL_SCHEMA, start, end), start, end)
 
 
 def stream_hourly(

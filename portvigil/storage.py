@@ -64,6 +64,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_path(spark, path), True)
 
 
+def replace_folder(spark: SparkSession, new: str, path: str, aside: str) -> None:
+    """Put the folder ``new`` where ``path`` is, by renaming; until it is there the old one is kept as ``aside``."""
+    files = _file_system(spark, path)
+    target, kept = _path(spark, path), _path(spark, aside)
+    if files.exists(target):
+        files.delete(kept, True)
+        files.mkdirs(kept.getParent())
+        if not files.rename(target, kept):
+            raise OSError(f"cannot move {path} to {aside}")
+    else:
+        files.mkdirs(target.getParent())
+    if not files.rename(_path(spark, new), target):
+        raise OSError(f"cannot move {new} to {path}")
+    files.delete(kept, True)
+
+
+def restore_folder(spark: SparkSession, path: str, aside: str) -> None:
+    """Bring back what a replacement that was broken off had put aside; a replacement that ended wins."""
+    files = _file_system(spark, path)
+    if not files.exists(_path(spark, aside)):
+        return
+    if files.exists(_path(spark, path)):
+        files.delete(_path(spark, aside), True)
+    elif not files.rename(_path(spark, aside), _path(spark, path)):
+        raise OSError(f"cannot move {aside} to {path}")
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a partition column, from the directory listing; none where there is no table."""
     files = _file_system(spark, path)

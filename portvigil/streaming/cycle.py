@@ -19,12 +19,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 from portvigil.operators.alarms import alarm_json, alarm_step
 from portvigil.operators.clean import quarantine
 from portvigil.operators.config import TrackSettings
-from portvigil.operators.reports import cycle_counts, filter_critical, latest_in_table, max_slot
+from portvigil.operators.reports import cycle_counts, filter_critical, max_slot
 from portvigil.operators.scoring import Scorer
 from portvigil.operators.sinks import append_history, expire_results, upsert_results
 from portvigil.operators.windows import Scaler
 from portvigil.plans.detect import detect
-from portvigil.sources.raw import HOUR_COL, read_hourly, read_optical, read_traffic, write_hourly
+from portvigil.sources.raw import HOUR_COL, read_hourly, read_hours, scan_optical, scan_traffic, write_hourly
 from portvigil.spec import (
     INTERVAL_MINUTES,
     KEYS,
@@ -86,21 +86,10 @@ def open_alarms(spark: SparkSession, path: str, cycles: list[str], cycle: str) -
     return spark.read.schema(OPEN_SCHEMA).parquet(f"{path}/cycle={before[-1]}")
 
 
-def quarantined(spark: SparkSession, config: CycleConfig, at: datetime) -> int:
-    """Readings of both tracks that no plan can use as of ``at``: without time or port, or dated later.
-
-    Only the look-back's hours and later ones are read.
-    """
-    since = (at - config.look_back).strftime("%Y-%m-%d-%H")
-    rejected = 0
-    for path, schema, spec in (
-        (config.traffic_path, TRAFFIC_RAW_SCHEMA, TRAFFIC),
-        (config.optical_path, OPTICAL_SCHEMA, OPTICAL),
-    ):
-        if partition_values(spark, path, HOUR_COL):
-            rows = read_hourly(spark, path, schema).where((F.col(HOUR_COL) >= since) | F.col(HOUR_COL).isNull())
-            rejected += quarantine(rows, spec, at).count()
-    return rejected
+def quarantined(traffic: DataFrame, optical: DataFrame, at: datetime) -> int:
+    """Readings of both tracks that no plan can use as of ``at``: without time or port, or dated later."""
+    rejected = [quarantine(rows, spec, at).select("occur_date") for rows, spec in ((traffic, TRAFFIC), (optical, OPTICAL))]
+    return rejected[0].unionByName(rejected[1]).count()
 
 
 def run_cycle(spark: SparkSession, config: CycleConfig, at: datetime) -> Row | None:
@@ -116,23 +105,28 @@ def run_cycle(spark: SparkSession, config: CycleConfig, at: datetime) -> Row | N
     if cycles and cycles[-1] > cycle:
         return None
     start = at - config.look_back
+    # the look-back's hours and later ones, listed once per track for detection and quarantine
+    traffic = read_hours(spark, config.traffic_path, TRAFFIC_RAW_SCHEMA, start)
+    optical = read_hours(spark, config.optical_path, OPTICAL_SCHEMA, start)
     found = detect(
-        read_traffic(spark, config.traffic_path, start, at),
-        read_optical(spark, config.optical_path, start, at),
+        scan_traffic(traffic, start, at),
+        scan_optical(optical, start, at),
         config.scalers,
         config.settings(),
         config.scorers,
         config.interval_minutes,
-        config.latest_only,
+        latest_only=False,
     )
     if found is None:
         return None
-    with materialized(found, "cycle") as results:
-        counts = cycle_counts(results).first()
-        if not counts.processed:
+    # the look-back's verdicts are evaluated once; the newest slot is then a filter on what was written
+    with materialized(found, "cycle") as judged:
+        slot = max_slot(judged).first()[0]
+        if slot is None:
             return None
-        now = latest_in_table(results)
-        slot = max_slot(now).first()[0]
+        now = judged.where(F.col("occur_date") == F.lit(slot))
+        results = now if config.latest_only else judged
+        counts = cycle_counts(results).first()
         step = alarm_step(open_alarms(spark, config.open_path, cycles, cycle), now)
         with materialized(step, "events") as events:
             alarm_json(events).write.mode("overwrite").json(f"{config.alarms_path}/{LOG_DAY}={slot:%Y%m%d}/cycle={cycle}")
@@ -143,7 +137,7 @@ def run_cycle(spark: SparkSession, config: CycleConfig, at: datetime) -> Row | N
         append_history(results, config.history_path, at, cycle)
         still_open = filter_critical(now).select(*KEYS, "occur_date")
         still_open.write.mode("overwrite").parquet(f"{config.open_path}/cycle={cycle}")  # last: the cycle is complete
-    return Row(**counts.asDict(), quarantined=quarantined(spark, config, at))
+    return Row(**counts.asDict(), quarantined=quarantined(traffic, optical, at))
 
 
 def clock(spark: SparkSession, interval_minutes: int = INTERVAL_MINUTES) -> DataFrame:
