@@ -1,11 +1,10 @@
 """Packing documents into sequences by lexical retrieval.
 
-1. One pass over the texts, on the map side: token ids give a document's length, the checksums of its prefixes
-   and its different tokens with their counts.  The ids themselves go no further: a document is cut only at its
-   end or at multiples of ``GRAIN`` ids, and the checksum of any such piece follows from those of two prefixes.
+1. One pass over the texts: the ids of every document, two bytes each where the vocabulary allows, and the least hash
+   of its ids.  Everything else is counted from these ids.
 2. Document frequencies, the number of documents and their mean length are those of all documents: one aggregate
    bounded by the vocabulary, broadcast.
-3. Documents are dealt by range of (least token hash, id) into shards of about ``SHARD_ROWS``: texts with much in
+3. Documents are dealt by range of (least token hash, id, row) into shards of about ``SHARD_ROWS``: texts with much in
    common tend to share a shard, and any number of copies is spread evenly over as many as they need.
 4. In a shard, a BM25 inverted index returns the unused documents that are nearest to a seed, and they fill its
    window one after the other; what does not fit is cut, and its rest is the next seed.  Documents of other shards
@@ -30,7 +29,6 @@ from portvigil.llm.worker_cache import per_worker, small
 from portvigil.storage import written
 
 LENGTH = 4_096
-GRAIN = 32
 END_ID = 2
 SHARD_ROWS = 8_192
 #: A query is made of the seed's terms of highest weight.
@@ -39,46 +37,59 @@ K1, B = 1.2, 0.75
 #: Neighbours looked up at a time; more are looked up while the window has room.
 NEIGHBOURS = 32
 
-_DOC = "tokens long, prefixes binary, terms binary, counts binary, near long"
+#: Documents whose terms are counted together.
+_COUNTED_AT_ONCE = 256
 
 
-def summary(ids: bytes) -> tuple[int, bytes, bytes, bytes, int]:
-    """Of a document's ids: their number, prefix checksums, different ids, their counts, least hash."""
-    step = GRAIN * 4
-    crc, prefixes = 0, []
-    for at in range(0, len(ids), step):
-        crc = zlib.crc32(ids[at : at + step], crc)
-        prefixes.append(crc)
-    terms, counts = np.unique(np.frombuffer(ids, dtype="<u4"), return_counts=True)
-    mixed = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    near = int((mixed ^ (mixed >> np.uint64(29))).min() >> np.uint64(1))
-    packed = terms.astype("<u2" if terms[-1] < 65536 else "<u4")
-    counted = counts.astype(np.uint8 if counts.max() < 256 else "<u4")
-    return len(ids) // 4, np.array(prefixes, "<u4").tobytes(), packed.tobytes(), counted.tobytes(), near
+def narrow(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones where all of them fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 65536 else ids
 
 
-def unpacked(terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Different ids and their counts; the widths follow from the ratio of the two lengths."""
-    term, count = {(2, 1): ("<u2", "u1"), (4, 1): ("<u4", "u1"), (1, 2): ("<u2", "<u4"), (1, 1): ("<u4", "<u4")}[
-        (max(1, len(terms) // len(counts)), max(1, len(counts) // len(terms)))
-    ]
-    return np.frombuffer(terms, term), np.frombuffer(counts, count)
+def widened(ids: bytes, tokens: int) -> np.ndarray:
+    """The ids of a document; their width follows from their number."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * tokens else "<u4")
 
 
-def summaries(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens, prefixes, terms, counts, near) of every row."""
+def least_hash(ids: np.ndarray) -> int:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int((mixed ^ (mixed >> np.uint64(29))).min() >> np.uint64(1))
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Different ids of every document and how often it has them, by one sort for many documents."""
+    terms, counts = [], []
+    for at in range(0, len(docs), _COUNTED_AT_ONCE):
+        part = docs[at : at + _COUNTED_AT_ONCE]
+        owner = np.repeat(np.arange(len(part), dtype=np.uint64), [len(d) for d in part])
+        keys = np.sort(np.concatenate(part).astype(np.uint64) | owner << np.uint64(32))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        count = np.diff(np.r_[first, len(keys)])
+        cuts = np.searchsorted(keys[first], np.arange(1, len(part), dtype=np.uint64) << np.uint64(32))
+        terms += np.split((keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), cuts)
+        counts += np.split(count, cuts)
+    return terms, counts
+
+
+def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tokens, ids, near, row) of every row; ``row`` tells rows apart that are equal in all else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("word_ids", path), lambda: WordIds(path))
         end = END_ID.to_bytes(4, "little")
         for batch in small(batches):
-            rows = [summary(encoder.encode(t or "") + end) for t in batch.column(1).to_pylist()]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "tokens", "prefixes", "terms", "counts", "near"])
+            ids = [narrow(encoder.encode(t or "") + end) for t in batch.column(1).to_pylist()]
+            # a document's last two bytes are those of the end id only when narrow: 2 0, not 0 0
+            tokens = [len(x) // (2 if x[-2:] == end[:2] else 4) for x in ids]
+            near = [least_hash(widened(x, n)) for x, n in zip(ids, tokens, strict=True)]
+            columns = pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(near, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "tokens", "ids", "near"])
 
     texts = df.select(id_col, F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, {_DOC}")
+    kind = texts.schema[id_col].dataType.simpleString()
+    rows = texts.mapInArrow(run, f"`{id_col}` {kind}, tokens long, ids binary, near long")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 @dataclass
@@ -100,12 +111,6 @@ def _summed(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def _added(total: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    more = np.bincount(keys, minlength=len(total))
-    more[: len(total)] += total
-    return more
-
-
 def _sums(total: np.ndarray, *more: tuple[int, int]) -> pa.RecordBatch:
     keys = np.flatnonzero(total)
     columns = np.r_[keys, [k for k, _ in more]], np.r_[total[keys], [n for _, n in more]]
@@ -113,18 +118,20 @@ def _sums(total: np.ndarray, *more: tuple[int, int]) -> pa.RecordBatch:
 
 
 def statistics(docs: DataFrame) -> Statistics:
-    """Over all rows of ``summaries``."""
+    """Over all rows of ``encoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, documents, tokens = np.zeros(0, dtype=np.int64), 0, 0
         for batch in small(batches):
-            length, terms, counts = (c.to_pylist() for c in batch.columns)
+            length, ids = (c.to_pylist() for c in batch.columns)
             if length:
-                df = _added(df, np.concatenate([unpacked(t, c)[0] for t, c in zip(terms, counts, strict=True)]))
-                documents, tokens = documents + len(length), tokens + sum(length)
+                terms, _ = term_counts([widened(x, n) for x, n in zip(ids, length, strict=True)])
+                more = np.bincount(np.concatenate(terms), minlength=len(df))
+                more[: len(df)] += df
+                df, documents, tokens = more, documents + len(length), tokens + sum(length)
         yield _sums(df, (-1, documents), (-2, tokens))
 
-    keys, sums = _summed(docs.select("tokens", "terms", "counts").mapInArrow(run, "key long, n long"))
+    keys, sums = _summed(docs.select("tokens", "ids").mapInArrow(run, "key long, n long"))
     df = np.zeros(max(0, keys.max(initial=-1) + 1), dtype=np.int64)
     df[keys[keys >= 0]] = sums[keys >= 0]
     documents, tokens = (int(sums[keys == k].sum()) for k in (-1, -2))
@@ -164,7 +171,7 @@ class Index:
         return total
 
 
-def pack(tokens: np.ndarray, index: Index, length: int = LENGTH, grain: int = GRAIN) -> list[tuple[int, int, int, int, int]]:
+def pack(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece of a shard."""
     unused = np.ones(len(tokens), dtype=bool)
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -198,10 +205,8 @@ def pack(tokens: np.ndarray, index: Index, length: int = LENGTH, grain: int = GR
             for doc in top[np.lexsort((top, -open_scores[top]))].tolist():
                 room = length - at
                 size = int(tokens[doc])
-                if size > room and room < grain:
-                    continue  # a shorter neighbour may still fit
                 unused[doc] = False
-                take = size if size <= room else room // grain * grain
+                take = min(size, room)
                 pieces.append((doc, 0, take, sequence, at))
                 at += take
                 if take < size:
@@ -209,56 +214,21 @@ def pack(tokens: np.ndarray, index: Index, length: int = LENGTH, grain: int = GR
                     break
                 if at == length:
                     break
-            else:
-                if length - at < grain:
-                    break
         sequence += 1
         seed = rest
         start = start if rest >= 0 else 0
 
 
-def _crc_powers(count: int) -> np.ndarray:
-    """Matrices, as 32 columns each, that carry a CRC-32 over 2^i zero bytes, i < count."""
-    bit = np.zeros(32, dtype=np.uint32)
-    bit[0] = 0xEDB88320
-    bit[1:] = np.uint32(1) << np.arange(31, dtype=np.uint32)
-    one = bit
-    for _ in range(3):  # 1, 2, 4, 8 bits
-        one = _crc_apply(one, one)
-    powers = [one]
-    for _ in range(count - 1):
-        powers.append(_crc_apply(powers[-1], powers[-1]))
-    return np.stack(powers)
-
-
-def _crc_apply(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(values)
-    for i in range(32):
-        out ^= np.where(values >> np.uint32(i) & np.uint32(1), matrix[i], np.uint32(0))
-    return out
-
-
-def piece_checksums(prefix: np.ndarray, upto: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """CRC-32 of pieces from the checksums of what is before them and of all up to their ends."""
-    carried = prefix.astype(np.uint32)
-    width = int(n_bytes.max(initial=1)).bit_length()
-    for i, matrix in enumerate(_crc_powers(width)):
-        moves = (n_bytes >> i & 1).astype(bool)
-        if moves.any():
-            carried[moves] = _crc_apply(matrix, carried[moves])
-    return carried ^ upto.astype(np.uint32)
-
-
 def packed(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every row in exactly one piece.
 
     A null text counts as empty; an empty one is its end id alone.  Rows that repeat an id are packed each for
-    itself.  A sequence has at most ``length`` ids without gaps; only the last of a shard and those with less
-    room than ``GRAIN`` are not full.  An empty table gives no rows; other columns are not read.
+    itself, also where text and id, or null ids, are the same.  A sequence has ``length`` ids without gaps; only the
+    last of a shard has fewer.  An empty table gives no rows; other columns are not read.
     """
-    docs = written(summaries(df, path, id_col, text_col), "packing")
+    docs = written(encoded(df, path, id_col, text_col), "packing")
     of_all = statistics(docs)
     shards = max(1, math.ceil(of_all.documents / shard_rows))
     known = df.sparkSession.sparkContext.broadcast(of_all)
@@ -269,13 +239,11 @@ def packed(
 
     def fill(docs: dict[str, list], shard_ids: pa.ChunkedArray | list) -> pa.RecordBatch:
         tokens = np.array(docs["tokens"], dtype=np.int64)
-        terms, counts = zip(*(unpacked(t, c) for t, c in zip(docs["terms"], docs["counts"], strict=True)), strict=True)
-        index = Index(list(terms), list(counts), known.value)
+        texts = [widened(x, n) for x, n in zip(docs["ids"], docs["tokens"], strict=True)]
+        index = Index(*term_counts(texts), known.value)
         doc, start, size, sequence, offset = np.array(pack(tokens, index, length), dtype=np.int64).T
-        prefixes = [np.frombuffer(p, "<u4") for p in docs["prefixes"]]
-        before = np.array([prefixes[d][s // GRAIN - 1] if s else 0 for d, s in zip(doc, start, strict=True)], dtype=np.uint32)
-        upto = np.array([prefixes[d][-(-e // GRAIN) - 1] for d, e in zip(doc, start + size, strict=True)], dtype=np.uint32)
-        crc = piece_checksums(before, upto, 4 * size).astype(np.int64)
+        pieces = zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)
+        crc = np.array([zlib.crc32(texts[d][s:e].astype("<u4")) for d, s, e in pieces], dtype=np.int64)
         ids = pa.chunked_array([shard_ids]) if not isinstance(shard_ids, pa.ChunkedArray) else shard_ids
         numbers = [pa.array(x) for x in (start, size, crc, tokens[doc], sequence, offset)]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids.take(pa.array(doc)).chunks), *numbers], columns)
@@ -283,10 +251,11 @@ def packed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if table is not None:
-            rest = table.drop_columns([id_col]).to_pydict()
+            rest = table.select(["tokens", "ids"]).to_pydict()
             yield fill(rest, table[id_col])
 
-    dealt = docs.repartitionByRange(shards, "near", id_col).sortWithinPartitions("near", id_col)
+    order = ("near", id_col, "row")
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     pieces = dealt.mapInArrow(run, out)
     shard = F.spark_partition_id().cast("long")
     return pieces.select(

@@ -26,6 +26,8 @@ _PYTHON_ONLY = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\p{White_Space}]+")
 # Fixed value: the tokenizer's pattern, with its meaning of white space.
 _find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
+#: The same for lower-case words of ASCII characters, which hold no white space.
+_find_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 def words(text: str) -> list[str]:
@@ -52,7 +54,9 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.letters = byte_letters()
-        self.merge = self.tokenizer.model.tokenize
+        model = self.tokenizer.model
+        model._resize_cache(0)  # what comes here is rare; looking it up there costs more than merging it
+        self.merge = model.tokenize
         self.words = WorkerCache(self.word, CACHED_WORDS)
         self.pieces = WorkerCache(self._piece, CACHED_PIECES)
 
@@ -64,14 +68,31 @@ class WordIds:
 
     def word(self, word: str) -> bytes:
         low = word.lower()
-        if max(low) >= SETTLED or max(word) >= SETTLED or "<|" in word:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+        if word.isascii():
+            if low.isalpha():
+                return self._piece(low)  # as a word it is in the other cache
+            if "<|" not in word:
+                return self._joined(_find_ascii(low))
+        elif max(low) < SETTLED and max(word) < SETTLED and "<|" not in word:
+            return self._piece(low) if low.isalpha() else self._joined(_find(low))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _joined(self, parts: list[str]) -> bytes:
         pieces = self.pieces
-        if low.isalpha() and len(low) <= LONGEST:
-            return pieces[low]
-        return b"".join([pieces[p] if len(p) <= LONGEST else self._piece(p) for p in _find(low)])
+        return b"".join([pieces[p] if len(p) <= LONGEST else self._piece(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
         cached, word = self.words, self.word
+        if _is_latin(text) and "<|" not in text:
+            text = text.lower()  # no letter of these depends on its neighbours there; fewer words differ
         return b"".join([cached[w] if len(w) <= LONGEST else word(w) for w in words(text)])
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below 256; the attempt costs less than looking for the largest one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
