@@ -41,10 +41,11 @@ NEIGHBOURS = 32
 _COUNTED_AT_ONCE = 256
 
 
-def narrow(ids: bytes) -> bytes:
-    """32-bit ids as 16-bit ones where all of them fit."""
-    wide = np.frombuffer(ids, "<u4")
-    return wide.astype("<u2").tobytes() if wide.max() < 65536 else ids
+def narrow(ids: np.ndarray, tokens: np.ndarray) -> pa.Array:
+    """The ids of several documents, 16 bits wide where all of them fit."""
+    data = ids.astype("<u2") if ids.max(initial=0) < 65536 else ids
+    offsets = np.r_[0, np.cumsum(tokens)] * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
 def widened(ids: bytes, tokens: int) -> np.ndarray:
@@ -52,9 +53,10 @@ def widened(ids: bytes, tokens: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * tokens else "<u4")
 
 
-def least_hash(ids: np.ndarray) -> int:
+def least_hashes(ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Least hash of every document's ids; none of them is empty."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int((mixed ^ (mixed >> np.uint64(29))).min() >> np.uint64(1))
+    return (np.minimum.reduceat(mixed ^ (mixed >> np.uint64(29)), np.cumsum(tokens) - tokens) >> np.uint64(1)).astype(np.int64)
 
 
 def term_counts(docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -79,11 +81,10 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         encoder = per_worker(("word_ids", path), lambda: WordIds(path))
         end = END_ID.to_bytes(4, "little")
         for batch in small(batches):
-            ids = [narrow(encoder.encode(t or "") + end) for t in batch.column(1).to_pylist()]
-            # a document's last two bytes are those of the end id only when narrow: 2 0, not 0 0
-            tokens = [len(x) // (2 if x[-2:] == end[:2] else 4) for x in ids]
-            near = [least_hash(widened(x, n)) for x, n in zip(ids, tokens, strict=True)]
-            columns = pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(near, pa.int64())
+            coded = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            tokens = np.array([len(x) // 4 for x in coded], dtype=np.int64)
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            columns = pa.array(tokens), narrow(ids, tokens).cast(pa.binary()), pa.array(least_hashes(ids, tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "tokens", "ids", "near"])
 
     texts = df.select(id_col, F.col(text_col).cast("string").alias("text"))

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from portvigil.llm.worker_cache import WorkerCache
 
 LONGEST = 64
-CACHED_WORDS = 350_000
-CACHED_PIECES = 250_000
+CACHED_WORDS = 320_000
+CACHED_PIECES = 100_000
 #: Below this code point characters are composed and Unicode versions agree on case and kind.
 SETTLED = "ɐ"
 
@@ -48,6 +48,13 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+class _Words(WorkerCache):
+    """Words longer than ``LONGEST`` are computed each time."""
+
+    def __missing__(self, word: str) -> bytes:
+        return self.compute(word) if len(word) > LONGEST else super().__missing__(word)
+
+
 class WordIds:
     """``encode(text)``: ids as little-endian unsigned 32-bit numbers."""
 
@@ -57,7 +64,7 @@ class WordIds:
         model = self.tokenizer.model
         model._resize_cache(0)  # what comes here is rare; looking it up there costs more than merging it
         self.merge = model.tokenize
-        self.words = WorkerCache(self.word, CACHED_WORDS)
+        self.words = _Words(self.word, CACHED_WORDS)
         self.pieces = WorkerCache(self._piece, CACHED_PIECES)
 
     def _piece(self, piece: str) -> bytes:
@@ -83,10 +90,10 @@ class WordIds:
         return b"".join([pieces[p] if len(p) <= LONGEST else self._piece(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
-        cached, word = self.words, self.word
+        cached = self.words
         if _is_latin(text) and "<|" not in text:
             text = text.lower()  # no letter of these depends on its neighbours there; fewer words differ
-        return b"".join([cached[w] if len(w) <= LONGEST else word(w) for w in words(text)])
+        return b"".join([cached[w] for w in words(text)])
 
 
 def _is_latin(text: str) -> bool:

@@ -95,7 +95,7 @@ def test_statistics_are_of_all_documents(spark, docs):
 @pytest.mark.parametrize(("term", "times"), [(7, 3), (70_000, 3), (7, 300), (70_000, 70_000)])
 def test_counts_are_whole(term, times):
     ids = np.array([term] * times + [2], "<u4")
-    packed = packing.narrow(ids.tobytes())
+    packed = packing.narrow(ids, np.array([len(ids)]))[0].as_py()
     assert len(packed) == len(ids) * (2 if term < 65536 else 4)
     terms, counts = packing.term_counts([packing.widened(packed, len(ids)), np.array([5, 5])])
     assert [x.tolist() for x in terms] == [[2, term], [5]] and [x.tolist() for x in counts] == [[1, times], [2]]
