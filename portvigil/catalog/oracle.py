@@ -839,6 +839,9 @@ ORACLES: dict[str, str] = {
         RAW,
         f"select occur_date, {K}, {r(*POWERS)}, strftime(occur_date, '%Y-%m-%d-%H') as pm_hour from optical_all",
     ),
+    "late_verdicts": over_stored(
+        f"select occur_date, {K}, {r('anomaly_score', 'threshold', 'severity')}, is_anomaly, anomaly_reason, alarm_level, alarm_label from results"
+    ),
     "detect_stream": replay("select * from results"),
     "stream_alarms": replay(f"select type, event_time, ip_addr, slot_id, port_id, {MESSAGE} from transitions"),
 }

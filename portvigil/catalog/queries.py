@@ -35,12 +35,14 @@ from portvigil.spec import (
     TRAFFIC,
     TRAFFIC_RAW_SCHEMA,
     TRAFFIC_SCHEMA,
+    TREND_SLOTS,
     WINDOW_SIZE,
     TrackSpec,
 )
-from portvigil.storage import modified, work_path
-from portvigil.streaming import alarm_state
-from portvigil.streaming.cycle import CycleConfig, LOG_SCHEMA, detect_stream, ingest_stream, replay_clock, write_ticks
+from portvigil.storage import materialized, modified, work_path
+from portvigil.streaming import alarm_transitions, revision, window_state
+from portvigil.streaming.cycle import CycleConfig, LOG_SCHEMA, detect_stream, ingest, ingest_stream, replay_clock, write_ticks
+from portvigil.streaming.state import to_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,10 +425,27 @@ def _(spark, sf):
     )
 
 
+def in_deliveries(rows: DataFrame, order: str, parts: int, path: str) -> DataFrame:
+    """``rows`` as a stream that brings them in ``parts`` files, one per micro-batch, by the number ``order``."""
+    cuts = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.0)
+    bounds = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        chosen = rows.where((F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high))
+        chosen.drop(order).coalesce(1).write.parquet(f"{path}/part={i}")
+    source = rows.sparkSession.readStream.schema(rows.drop(order).schema).option("maxFilesPerTrigger", 1)
+    return source.option("recursiveFileLookup", "true").parquet(path)
+
+
 @query("sliding_12")
 def _(spark, sf):
-    cut = windows.complete_windows(scaled_rows(spark, sf, OPTICAL, FINE), OPTICAL)
-    return cut.groupBy(*KEYS).agg(F.count("*").alias("windows"))
+    """Windows cut by the stream; one slot in five comes a slot late, one in five two slots, and so on up to four."""
+    rows = scaled_rows(spark, sf, OPTICAL, FINE)
+    late = F.pmod(F.xxhash64("slot_idx", *KEYS), F.lit(TREND_SLOTS + 1))
+    with materialized(rows.withColumn("_arrival", F.col("slot_idx") + late), "slots") as arriving:
+        source = in_deliveries(arriving, "_arrival", 4, work_path(spark, "slot-files"))
+    cut, out = window_state.window_stream(source, OPTICAL), work_path(spark, "windows")
+    to_parquet(cut, out, work_path(spark, "window-log"), availableNow=True).awaitTermination()
+    return spark.read.schema(cut.schema).parquet(out).groupBy(*KEYS).agg(F.count("*").alias("windows"))
 
 
 # --- scoring ---------------------------------------------------------------------------------------
@@ -995,10 +1014,43 @@ def _(spark, sf):
 
 @query("alarm_state_stream")
 def _(spark, sf):
-    """Results as a stream of many cycles per micro-batch, turned into events."""
-    path, out = work_path(spark, "cycles"), work_path(spark, "stream-alarms")
-    rows = results(spark, sf, FINE)
-    rows.repartitionByRange(3, "occur_date").sortWithinPartitions("occur_date").write.parquet(path)
-    source = spark.readStream.schema(rows.schema).parquet(path)
-    alarm_state.alarm_state_stream(source, out, work_path(spark, "alarm-log"), availableNow=True).awaitTermination()
-    return alarm_state.read_events(spark, out)
+    """Results as a stream of many cycles per micro-batch, turned into events by keyed state."""
+    out = work_path(spark, "stream-alarms")
+    with materialized(results(spark, sf, FINE), "cycles") as rows:
+        numbered = rows.withColumn("_at", F.expr(TM.epoch_micros("occur_date")))
+        source = in_deliveries(numbered, "_at", 3, work_path(spark, "cycle-files"))
+    alarm_transitions.start(source, out, work_path(spark, "alarm-log"), availableNow=True).awaitTermination()
+    return alarm_transitions.standing(spark, out)
+
+
+#: What a verdict says of its slot, apart from the trend, which the batch takes over a port's whole history.
+VERDICT_COLS = ("anomaly_score", "threshold", "severity", "is_anomaly", "anomaly_reason", "alarm_level", "alarm_label")
+
+
+@query("late_verdicts")
+def _(spark, sf):
+    """Stored verdicts after readings came in two deliveries, those of every fortieth time long after the others."""
+    names = ("late-traffic", "late-optical", "late-results", "late-rejected")
+    traffic_path, optical_path, results_path, rejected = (work_path(spark, n) for n in names)
+    late = F.pmod(F.xxhash64("occur_date"), F.lit(40)) == 0
+    for part in (~late, late):
+        marked = []
+        for source, path, scan, spec in (
+            (testviews.traffic_raw, traffic_path, raw.scan_traffic, TRAFFIC),
+            (testviews.optical_raw, optical_path, raw.scan_optical, OPTICAL),
+        ):
+            delivery = source(spark, sf).where(part)
+            ingest(delivery, path, rejected)
+            marked.append(revision.slots_of(scan(delivery), spec, COARSE.minutes))
+        revision.revise(
+            spark,
+            marked[0].unionByName(marked[1]),
+            traffic_path,
+            optical_path,
+            results_path,
+            scalers(spark, sf, COARSE),
+            settings(spark, sf, COARSE),
+            interval_minutes=COARSE.minutes,
+            detect_time=as_of(spark, sf),
+        )
+    return rounded(sinks.read_results(spark, results_path).select("occur_date", *KEYS, *VERDICT_COLS))

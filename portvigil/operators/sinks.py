@@ -123,20 +123,31 @@ def _hours_of(spark: SparkSession, path: str, hours: list[str]) -> DataFrame:
     return reader.parquet(*(f"{path}/{RESULT_HOUR}={hour}" for hour in hours))
 
 
-def upsert_results(new: DataFrame, path: str, detect_time: datetime) -> None:
+def upsert_results(new: DataFrame, path: str, detect_time: datetime, replaced: DataFrame | None = None) -> None:
     """Store detection rows; running the same cycle twice leaves one copy.
 
     ``new`` is evaluated once, by staging it.  The hours it touches are then known from the staged
     folders; what the table holds in these beside the new rows is added to them, and the folders are exchanged.
+    ``replaced`` (time and port) names stored rows that go even where no new row takes their place.
     """
     spark = new.sparkSession
     recover_results(spark, path)
     staged = _staged(sanitize(ensure_schema(new, detect_time)))
-    hours = sorted(set(stored_hours(spark, staged)) & set(stored_hours(spark, path)))
+    arrived_hours, table_hours = set(stored_hours(spark, staged)), set(stored_hours(spark, path))
+    gone_hours: set[str] = set()
+    if replaced is not None:
+        gone_hours = {r[0] for r in replaced.select(F.expr(hour_key("occur_date"))).distinct().collect()} & table_hours
+    hours = sorted(arrived_hours & table_hours | gone_hours)
     if hours:
-        arrived = _hours_of(spark, staged, hours).select(*UPSERT_KEYS)
-        kept = _hours_of(spark, path, hours).join(arrived, list(UPSERT_KEYS), "left_anti")
+        merged = sorted(arrived_hours & set(hours))
+        leaving = [_hours_of(spark, staged, merged).select(*UPSERT_KEYS)] if merged else []
+        leaving += [replaced.select(*UPSERT_KEYS)] if replaced is not None else []
+        kept = _hours_of(spark, path, hours)
+        for keys in leaving:
+            kept = kept.join(keys, list(UPSERT_KEYS), "left_anti")
         _staged(kept.select(*RESULT_COLS), staged)
+        for hour in gone_hours - set(stored_hours(spark, staged)):
+            drop_path(spark, f"{path}/{RESULT_HOUR}={hour}")  # nothing of it is left
     _replace_hours(spark, staged, path)
 
 
