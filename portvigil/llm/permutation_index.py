@@ -27,8 +27,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def _moderate(v: np.ndarray) -> np.ndarray:
+    """Every row times a power of two that brings its largest component near one: no square overflows or vanishes,
+    and nothing is rounded."""
+    _, exponent = np.frexp(np.abs(v).max(axis=-1, keepdims=True))
+    return np.ldexp(v, -exponent)
+
+
 def cosine(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Row by row in one order of summation, so that equal vectors get equal scores."""
+    v, q = _moderate(v), _moderate(q)
     return (v * q).sum(axis=1) / np.sqrt((v * v).sum(axis=1)) / np.sqrt((q * q).sum())
 
 
@@ -65,7 +73,7 @@ class PermutationIndex:
 
 
 def kernel(k: int, pivots: int, length: int, share: float, least: int) -> blocks.Kernel:
-    def search(ids: np.ndarray, v: np.ndarray, _: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def build(ids: np.ndarray, v: np.ndarray) -> blocks.Answer:
         # copies share one entry; of their ids the k + 1 smallest can be wanted
         different, which = np.unique(v, axis=0, return_inverse=True)
         which = which.ravel()
@@ -73,16 +81,20 @@ def kernel(k: int, pivots: int, length: int, share: float, least: int) -> blocks
         start = np.searchsorted(which[by_entry], np.arange(len(different) + 1))
         index = PermutationIndex(different, pivots, length)
         wanted = min(len(different), max(least, int(share * len(different))))
-        for q, permutation in zip(asked, index.permutation(_unit(asked)) if len(asked) else [], strict=True):
-            near = np.argpartition(index.footrule(permutation), wanted - 1)[:wanted]
-            scores = cosine(different[near], q)
-            top = np.argsort(-scores, kind="stable")[: k + 1]
-            # all entries as good as the last one, since ties go to the smaller id
-            top = np.flatnonzero(scores >= scores[top[-1]])
-            copies = [by_entry[start[e] : min(start[e + 1], start[e] + k + 1)] for e in near[top]]
-            yield ids[np.concatenate(copies)], np.repeat(scores[top], [len(c) for c in copies])
 
-    return search
+        def answer(_: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for q, permutation in zip(asked, index.permutation(_unit(asked)) if len(asked) else [], strict=True):
+                near = np.argpartition(index.footrule(permutation), wanted - 1)[:wanted]
+                scores = cosine(different[near], q)
+                top = np.argsort(-scores, kind="stable")[: k + 1]
+                # all entries as good as the last one, since ties go to the smaller id
+                top = np.flatnonzero(scores >= scores[top[-1]])
+                copies = [by_entry[start[e] : min(start[e + 1], start[e] + k + 1)] for e in near[top]]
+                yield ids[np.concatenate(copies)], np.repeat(scores[top], [len(c) for c in copies])
+
+        return answer
+
+    return build
 
 
 def nearest(
@@ -101,7 +113,8 @@ def nearest(
 
     Null ids and vectors that are null, empty, zero or hold null or non-finite components take no part;
     an empty table gives no rows; ties go to the smaller id; copies are found together, with equal scores;
-    of rows that repeat an id one is kept; other columns are not read.  Every remaining row is indexed.
+    rows that repeat an id and a vector count once, all different vectors of an id count; other columns are not read.
+    Every remaining row is indexed.
     """
     rows = blocks.usable(df, id_col, vec_col, nonzero=True)
     return blocks.search(rows, kernel(k, pivots, length, share, least), k, "double", query_every, shard_rows)

@@ -12,6 +12,7 @@ survivors get their exact product.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ LEVELS = (4, 8, 16, 32)
 SEEDS = 32
 #: Products up to here are exact in double arithmetic.
 EXACT_DOUBLE = float(2**52)
+_MOST_TURNED = 1e100
 
 
 class Statistics:
@@ -55,39 +57,59 @@ def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def kernel(k: int, levels: tuple[int, ...]) -> blocks.Kernel:
-    def search(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def build(ids: np.ndarray, v: np.ndarray) -> blocks.Answer:
         steps = sorted({min(s, v.shape[1]) for s in levels})
-        have = [Statistics(v, s) for s in steps]
-        want = [Statistics(asked, s) for s in steps]
-        length, asked_length = (v * v).sum(axis=1), (asked * asked).sum(axis=1)
-        slack = 1e-9 * (length.max(initial=0) + asked_length.max(initial=0)) + 1e-6  # rounding of the bounds
+        most = np.abs(v).max(initial=0)
+        basis = _basis(v)
+        with np.errstate(over="ignore", invalid="ignore"):
+            have = [Statistics(v @ basis, s) for s in steps]
+            length = (v * v).sum(axis=1)
         every = np.arange(len(ids))
-        for at, q in enumerate(asked):
-            left = every[ids != query_ids[at]]
-            if not len(left):
-                yield ids[:0], np.zeros(0, dtype=np.int64)
-                continue
-            limit = None
-            for mine, other in zip(have, want, strict=True):
-                bound = (length[left] + asked_length[at] - mine.distance_bound(other, at, left)) / 2 + slack
-                if limit is None:
-                    seeds = left[np.argpartition(-bound, min(SEEDS, len(left)) - 1)[:SEEDS]]
-                    known = np.sort(inner(v[seeds], q))[::-1]
-                    limit = known[k - 1] if len(known) >= k else -np.inf
-                left = left[bound >= limit]
-            scores = inner(v[left], q)
-            if len(left) > k:
-                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                left, scores = left[keep], scores[keep]
-            yield ids[left], scores
-
-    return search
+
+        def answer(query_ids: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            with np.errstate(over="ignore", invalid="ignore"):
+                want = [Statistics(asked @ basis, s) for s in steps]
+                asked_length = (asked * asked).sum(axis=1)
+            slack = 1e-9 * (length.max(initial=0) + asked_length.max(initial=0)) + 1e-6  # rounding of the bounds
+            for at, q in enumerate(asked):
+                left = every[ids != query_ids[at]]
+                if not len(left):
+                    yield ids[:0], np.zeros(0, dtype=np.int64)
+                    continue
+                limit = None
+                moderate = most <= _MOST_TURNED and np.abs(q).max() <= _MOST_TURNED
+                for mine, other in zip(have, want, strict=True) if moderate else ():  # else squares overflow: no bounds
+                    bound = (length[left] + asked_length[at] - mine.distance_bound(other, at, left)) / 2 + slack
+                    if limit is None:
+                        seeds = left[np.argpartition(-bound, min(SEEDS, len(left)) - 1)[:SEEDS]]
+                        known = np.sort(inner(v[seeds], q))[::-1]
+                        limit = known[k - 1] if len(known) >= k else -np.inf
+                    left = left[bound >= limit]
+                scores = inner(v[left], q)
+                if len(left) > k:
+                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    left, scores = left[keep], scores[keep]
+                yield ids[left], scores
+
+        return answer
+
+    return build
+
+
+def _basis(v: np.ndarray) -> np.ndarray:
+    """Orthonormal directions of a shard's vectors, those of most energy first.  Distances stay as they are in it, and
+    segments differ in energy, so the coarse bounds tell more.  Values that could overflow are left as they are."""
+    if np.abs(v).max(initial=0) > _MOST_TURNED:
+        return np.eye(v.shape[1])
+    _, directions = np.linalg.eigh(v.T @ v)
+    return directions[:, ::-1]
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v) with floor(scale * x) for every component x, as whole doubles."""
     rows = blocks.usable(df, id_col, vec_col, nonzero=False)
-    return rows.withColumn("v", F.transform("v", lambda x: _floor(x * scale)))
+    largest = F.lit(sys.float_info.max)  # what overflows keeps its sign
+    return rows.withColumn("v", F.transform("v", lambda x: _floor(F.greatest(F.least(x * scale, largest), -largest))))
 
 
 def _floor(x):
@@ -108,8 +130,8 @@ def top_products(
     """query_id, rank, vec_id, score: the ``k`` highest integer inner products, exactly.
 
     Null ids and vectors that are null, empty or hold null or non-finite components take no part; zero
-    vectors do, with score 0; an empty table gives no rows; ties go to the smaller id; of rows that repeat an
-    id one is kept; products beyond a long are clipped to its range; other columns are not read.
+    vectors do, with score 0; an empty table gives no rows; ties go to the smaller id; rows that repeat an
+    id and a vector count once, all different vectors of an id count; products beyond a long are clipped to its range; other columns are not read.
     """
     rows = quantised(df, id_col, vec_col, scale)
     return blocks.search(rows, kernel(k, levels), k, "long", query_every, shard_rows)
