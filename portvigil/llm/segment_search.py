@@ -38,13 +38,17 @@ class Statistics:
         padded = np.zeros((n, step * segments))
         padded[:, :width] = v
         parts = padded.reshape(n, segments, step)
-        self.width = step
-        self.mean = parts.mean(axis=2)
-        self.dev = parts.std(axis=2)
+        # the bound is the squared distance of these rows
+        self.rows = np.sqrt(step) * np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1)
+        self.norm = (self.rows * self.rows).sum(axis=1)
 
     def distance_bound(self, other: "Statistics", row: int, rows: np.ndarray) -> np.ndarray:
-        gap = (self.mean[rows] - other.mean[row]) ** 2 + (self.dev[rows] - other.dev[row]) ** 2
-        return self.width * gap.sum(axis=1)
+        """Of the ``rows`` to one row of ``other``, as a product; while most rows are left, all are multiplied."""
+        if 2 * len(rows) > len(self.rows):
+            products = (self.rows @ other.rows[row])[rows]
+        else:
+            products = self.rows[rows] @ other.rows[row]
+        return self.norm[rows] + other.norm[row] - 2 * products
 
 
 def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
