@@ -839,6 +839,22 @@ ORACLES: dict[str, str] = {
         RAW,
         f"select occur_date, {K}, {r(*POWERS)}, strftime(occur_date, '%Y-%m-%d-%H') as pm_hour from optical_all",
     ),
+    "window_moments": with_ctes(
+        RAW
+        + training("optical", FINE)
+        + [
+            (
+                "cut",
+                f"select flatten(list_transform(generate_series(1, {W}), lambda d: [a[d], b[d]])) as x from (select n, "
+                f"{', '.join(f'list(z_{f}) over w as {c}' for f, c in zip(POWERS, 'ab'))} from o_train_framed "
+                f"window w as (partition by {K} order by s rows between {W - 1} preceding and current row)) where n = {W}",
+            ),
+            ("places", f"select cast(unnest(generate_series(0, {2 * W - 1})) as integer) as i"),
+        ],
+        "select -1 as i, -1 as j, round(cast(count(*) as double), 4) as total from cut union all "
+        "select i, -1, round(sum(x[i + 1]), 4) from cut, places group by i union all "
+        "select p.i, q.i, round(sum(x[p.i + 1] * x[q.i + 1]), 4) from cut, places p, places q where p.i <= q.i group by p.i, q.i",
+    ),
     "late_verdicts": over_stored(
         f"select occur_date, {K}, {r('anomaly_score', 'threshold', 'severity')}, is_anomaly, anomaly_reason, alarm_level, alarm_label from results"
     ),
