@@ -497,30 +497,11 @@ def _(spark, sf):
     return rounded(spark.createDataFrame(rows, "component int, explained double"))
 
 
-def grid_moments(spark: SparkSession, sf: str, spec: TrackSpec, held_out: bool) -> DataFrame:
-    """Moments of the windows before, or from, the cutoff, scaled as the training rows are."""
-    if held_out:
-        rows = SOURCES[spec.name](spark, sf).where(F.col("occur_date") >= F.expr(TM.ntz(cutoff(spark, sf))))
-        cleaned = clean.preprocess(rows, spec, FINE.minutes, full_grid=False)
-    else:
-        cleaned = train_clean(spark, sf, spec, FINE)
-    return moments.window_moments(windows.robust_apply(cleaned, spec, scaler(spark, sf, spec, FINE)), spec)
-
-
 @query("window_moments")
 def _(spark, sf):
     """Count, sums and products of all training windows of the optical track."""
-    return rounded(grid_moments(spark, sf, OPTICAL, held_out=False), 4)
-
-
-@query("masked_losses")
-def _(spark, sf):
-    """Per number of components, how well the last slot of held-out windows follows from the slots before it."""
-    width = WINDOW_SIZE * len(OPTICAL.features)
-    train, held_out = (moments.collected(grid_moments(spark, sf, OPTICAL, h), width) for h in (False, True))
-    losses = moments.masked_losses(train, held_out, width, len(OPTICAL.features)) if train and held_out else []
-    best = moments.best_components(losses) if losses else None
-    return rounded(spark.createDataFrame([(k, v, k == best) for k, v in losses], "k int, loss double, best boolean"))
+    scaled = windows.robust_apply(train_clean(spark, sf, OPTICAL, FINE), OPTICAL, scaler(spark, sf, OPTICAL, FINE))
+    return rounded(moments.window_moments(scaled, OPTICAL), 4)
 
 
 @query("score_reconstruction")
