@@ -65,8 +65,21 @@ def finish_track(
 
 
 def fuse_tracks_join(traffic: DataFrame, optical: DataFrame) -> DataFrame:
-    """Both tracks side by side; a port and slot known to one of them only passes through."""
-    return traffic.join(optical, list(JOIN_KEYS), "full_outer")
+    """Both tracks side by side; a port and slot known to one of them only passes through.
+
+    Both come clustered by port, which a join on port and slot would not make use of.  Their union keeps that
+    clustering, so putting two rows of one port and slot together needs no exchange.  A track has one row per port
+    and slot.
+    """
+    sides = {TRAFFIC.name: traffic, OPTICAL.name: optical}
+    values = {name: [c for c in df.columns if c not in JOIN_KEYS] for name, df in sides.items()}
+    packed = [
+        df.select(*JOIN_KEYS, *(F.struct(*values[n]).alias(n) if n == name else F.lit(None).alias(n) for n in sides))
+        for name, df in sides.items()
+    ]
+    held = [F.first(name, ignorenulls=True).alias(name) for name in sides]
+    paired = packed[0].unionByName(packed[1]).groupBy(*JOIN_KEYS).agg(*held)
+    return paired.select(*JOIN_KEYS, *(F.col(f"{n}.{c}").alias(c) for n, columns in values.items() for c in columns))
 
 
 def absent_track(present: DataFrame, spec: TrackSpec) -> DataFrame:

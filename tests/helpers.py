@@ -32,3 +32,8 @@ def traffic_rows(spark: SparkSession, rows, port=PORT) -> DataFrame:
 
 def series(df: DataFrame, column: str) -> list:
     return [r[column] for r in df.orderBy("slot_idx").collect()]
+
+
+def plan_of(df: DataFrame) -> str:
+    """The physical plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString()

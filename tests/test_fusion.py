@@ -1,15 +1,16 @@
 import math
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from portvigil.functions import scores as S
 from portvigil.functions import text as X
 from portvigil.operators import clean, fusion, scoring, windows
 from portvigil.operators.config import TrackSettings
-from portvigil.plans.detect import detect
+from portvigil.plans.detect import detect, score_track
 from portvigil.spec import DETECTION_SCHEMA, OPTICAL, STANDARD_COLS, TRAFFIC
-from tests.helpers import PORT, at, optical_rows, series, traffic_rows
+from tests.helpers import PORT, at, optical_rows, plan_of, series, traffic_rows
 
 SETTINGS = {"traffic": TrackSettings(0.5), "optical": TrackSettings(0.5)}
 SCALERS = {t.name: {f: (0.0, 1.0) for f in t.features} for t in (TRAFFIC, OPTICAL)}
@@ -155,3 +156,57 @@ def test_infinite_readings_count_as_missing(spark):
     rows = [(i, float("inf") if i == 13 else -5.0, -5.0) for i in range(15)]
     found = detect(None, optical_rows(spark, rows), SCALERS, SETTINGS, latest_only=False).collect()
     assert len(found) == 4 and {(r.is_anomaly, r.alarm_label) for r in found} == {(False, "NORMAL")}
+
+
+def many_ports(spark, skip: int):
+    """Readings of 400 ports, some of which a track does not know."""
+    ports = spark.range(400).where(f"id % {skip} > 0").select(
+        F.concat(F.lit("10.0.0."), F.col("id")).alias("ip_addr"), (F.col("id") % 7).cast("int").alias("cid"), F.lit(1).alias("lid")
+    )
+    slots = spark.range(30).selectExpr("timestampadd(MINUTE, id * 15, timestamp_ntz'2024-01-01') as occur_date", "id as n")
+    return ports.crossJoin(slots.hint("broadcast"))
+
+
+def finished_pair(spark):
+    raws = {
+        TRAFFIC: many_ports(spark, 5).selectExpr("*", "n * 10D as tx_packet", "n * 9D as rx_packet", "0D as error_packet"),
+        OPTICAL: many_ports(spark, 3).selectExpr("*", "-5D - n / 50 as tx_avg_power", "-8D - n / 25 as rx_avg_power"),
+    }
+    return [score_track(raws[t].drop("n"), t, SCALERS[t.name], SETTINGS[t.name]) for t in (TRAFFIC, OPTICAL)]
+
+
+def test_fusion_adds_no_exchange_to_those_of_the_tracks(spark):
+    sides = finished_pair(spark)
+    counts = [plan_of(s).count("Exchange hashpartitioning") for s in sides]
+    assert plan_of(fusion.fuse_tracks_join(*sides)).count("Exchange hashpartitioning") == sum(counts)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_fusion_equals_a_full_join_when_partitions_are_coalesced(spark, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        traffic, optical = finished_pair(spark)
+        got = fusion.fuse_tracks_join(traffic, optical)
+        want = traffic.join(optical, list(fusion.JOIN_KEYS), "full_outer")
+        assert got.columns == want.columns
+        rows = sorted(map(repr, got.collect()))
+        assert rows == sorted(map(repr, want.collect())) and len(rows) == 373 * 19
+    finally:
+        for key in (
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst",
+            "spark.sql.adaptive.enabled",
+        ):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_fusion_of_an_empty_track(spark):
+    traffic, optical = finished_pair(spark)
+    got = fusion.fuse_tracks_join(traffic.where("false"), optical)
+    assert got.count() == optical.count() and got.where("traffic_score is not null").count() == 0
