@@ -1,7 +1,8 @@
 """Result table and file sinks.
 
 Results live in a Parquet dataset partitioned by ``occur_hour``.  A cycle touches one hour, so an upsert
-rewrites at most the four slots of that hour.  Every rewrite is staged first, each row written once; then
+rewrites at most the four slots of that hour.  Files of an hour are sorted by port and carry Bloom filters of the
+address, so the history of one port reads the pages of that port only.  Every rewrite is staged first, each row written once; then
 the hours' folders are exchanged by renaming.  A folder that is exchanged is kept aside until its successor is
 in place, and an exchange that was broken off is undone by the next upsert.
 """
@@ -26,6 +27,9 @@ STORED_SCHEMA = T.StructType(RESULT_SCHEMA.fields + [T.StructField(RESULT_HOUR,
 # Column defaults of the result table that are not 0, false or empty.
 TEXT_DEFAULTS = {"slope_label": "STABLE", "alarm_label": "NORMAL"}
 
+#: Bloom filters let a scan for one address skip row groups that merely have it in their range of values.
+SKIP_OPTIONS = {"parquet.bloom.filter.enabled#ip_addr": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 def ensure_schema(df: DataFrame, detect_time: datetime | None = None) -> DataFrame:
     """All result columns in order and type; absent ones get the default of the table."""
@@ -94,7 +98,8 @@ def _staged(rows: DataFrame, path: str | None = None) -> str:
     """``rows`` in the layout of the result table, in a folder of their own or added to ``path``."""
     path = path or work_path(rows.sparkSession, "results")
     by_hour = rows.withColumn(RESULT_HOUR, F.expr(hour_key("occur_date"))).hint("rebalance", RESULT_HOUR)
-    by_hour.write.mode("append").partitionBy(RESULT_HOUR).parquet(path)
+    ordered = by_hour.sortWithinPartitions(RESULT_HOUR, *KEYS, "occur_date")
+    ordered.write.mode("append").options(**SKIP_OPTIONS).partitionBy(RESULT_HOUR).parquet(path)
     return path
 
 

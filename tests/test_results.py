@@ -158,6 +158,31 @@ def test_queries_read_only_the_hours_they_need(spark, tmp_path):
     assert sinks.results_sql(spark, path, sql, level=3).first().n == 12
 
 
+def rows_scanned(df):
+    """Rows that the scan below a plan without exchanges hands on."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().get("numOutputRows").get().value()
+
+
+def test_history_of_a_port_skips_the_pages_of_other_ports(spark, tmp_path):
+    path = str(tmp_path / "results")
+    numbers = spark.range(100_000).select(
+        F.lit(at(0)).alias("occur_date"), F.format_string("10.%06d", F.col("id") * 7919 % 100_000 * 2).alias("ip_addr"), F.lit(1).alias("cid"), F.lit(1).alias("lid")
+    )
+    sinks.upsert_results(numbers, path, START)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 30))
+    try:
+        table = sinks.read_results(spark, path)
+        assert table.count() == 100_000
+        held = reports.filter_port_history(table, "10.100000", 1, 1, at(1))
+        assert held.count() == 1 and rows_scanned(held) <= 40_000  # at most two pages of five
+        absent = reports.filter_port_history(table, "10.100001", 1, 1, at(1))
+        assert absent.count() == 0 and rows_scanned(absent) == 0  # within the range of values, not in the filter
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_history_repeats_replace_their_own_files(spark, tmp_path):
     path = str(tmp_path / "history")
     df = stored(spark, [(0, "a", 0), (0, "b", 0)])
