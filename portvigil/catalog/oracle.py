@@ -619,6 +619,11 @@ ORACLES: dict[str, str] = {
         "select 'traffic' as track, round(th, 6) as threshold from traffic_th union all "
         "select 'optical', round(th, 6) from optical_th",
     ),
+    "threshold_sketched": with_ctes(
+        chain(FINE),
+        "select 'traffic' as track, round(th, 6) as threshold from traffic_th union all "
+        "select 'optical', round(th, 6) from optical_th",
+    ),
     "samples_used": with_ctes(
         chain(FINE),
         "select 'traffic' as track, count(*) as samples_used from t_train_scored union all "
@@ -627,6 +632,7 @@ ORACLES: dict[str, str] = {
     "flag_anomaly": on("traffic", f"select {TIMED[30]}, {r('score', 'threshold')}, flag from t_judged"),
     "severity": on("optical", f"select {TIMED[30]}, {r('severity')} from o_judged"),
     "trend_slope": on("traffic", f"select {TIMED[30]}, {r('slope', digits=9)} from t_trend"),
+    "trend_slope_merged": on("traffic", f"select distinct {K}, {r('slope', digits=9)} from t_trend"),
     "inverse_transform": on("traffic", f"select {TIMED[30]}, {', '.join(PACKETS)} from t_back"),
     "reason_text": with_ctes(
         chain(FINE),
@@ -781,6 +787,13 @@ ORACLES: dict[str, str] = {
         COARSE,
         [("shown", f"select * from results where {port_rows(30)}")],
     ),
+    "latest_stored": over_stored(f"select {STANDARD} from results where {LATEST}"),
+    "port_history_stored": over_stored(f"select {HISTORY} from results where {port_rows(7)}"),
+    "history_series_stored": over_stored(
+        series([c for t in FEATURES for c in (f"{t}_severity", f"{t}_score", f"{t}_threshold", *FEATURES[t])]).replace(
+            "from shown", f"from (select * from results where {port_rows(30)})"
+        )
+    ),
     # alarms
     "alarm_transitions": over_results("select * from transitions", FINE, TRANSITIONS),
     "active_alarm_view": over_results("select * from newest where type = 'ALARM'", LOUD, TRANSITIONS),

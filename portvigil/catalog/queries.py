@@ -8,7 +8,7 @@ grid, on which every port is present in the latest slot.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from functools import wraps
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from portvigil.catalog.grids import COARSE, CYCLES, FINE, LOUD, PORT, RANGE, Grid
 from portvigil.functions import text as X
 from portvigil.functions import times as TM
-from portvigil.operators import alarms, clean, config, fusion, moments, reports, scoring, sinks, splits, windows
+from portvigil.operators import alarms, clean, config, fusion, moments, reports, scoring, sinks, sketches, splits, trend, windows
 from portvigil.plans.detect import detect, score_track
 from portvigil.plans.train import train_track, training_windows
 from portvigil.sources import raw, testviews
@@ -550,6 +550,17 @@ def _(spark, sf):
     return rounded(spark.createDataFrame(rows, "track string, threshold double"))
 
 
+@query("threshold_sketched")
+def _(spark, sf):
+    """Thresholds settled from stored sketches, one per day of scores."""
+    rows = []
+    for t in TRACKS.values():
+        scores, path = train_scores(spark, sf, t, FINE), work_path(spark, "sketches")
+        sketches.score_sketches(scores, f"slot_idx div {1440 // FINE.minutes}").write.parquet(path)
+        rows.append((t.name, sketches.settled_threshold(scores, spark.read.parquet(path), FINE.percentile)))
+    return rounded(spark.createDataFrame(rows, "track string, threshold double"))
+
+
 @query("samples_used")
 def _(spark, sf):
     rows = [train_scores(spark, sf, t, FINE).select(F.lit(t.name).alias("track")) for t in TRACKS.values()]
@@ -572,6 +583,18 @@ def _(spark, sf):
     return rounded(timed(rows.select(*KEYS, "slot_idx", "slope")), 9)
 
 
+@query("trend_slope_merged")
+def _(spark, sf):
+    """The slope of each port from moments of days, stored in two parts with a day in common."""
+    rows, path = judged(spark, sf, TRAFFIC, FINE), work_path(spark, "trend-moments")
+    a_day = 1440 // FINE.minutes
+    middle = int(cutoff(spark, sf).replace(tzinfo=timezone.utc).timestamp()) // 86_400
+    moments_of_days = trend.stretch_moments(rows, f"slot_idx div {a_day}")
+    trend.store_moments(moments_of_days.where(F.col(trend.STRETCH) <= middle), path)
+    trend.store_moments(moments_of_days.where(F.col(trend.STRETCH) >= middle), path)
+    return rounded(trend.stored_slopes(spark, path).select(*KEYS, "slope"), 9)
+
+
 @query("inverse_transform")
 def _(spark, sf):
     rows = fusion.inverse_transform(scored(spark, sf, TRAFFIC, FINE), TRAFFIC)
@@ -878,6 +901,22 @@ def stored_results(spark: SparkSession, sf: str, grid: Grid = COARSE) -> DataFra
     return sinks.read_results(spark, stored(spark, sf, grid))
 
 
+@query("latest_stored")
+def _(spark, sf):
+    return rounded(reports.latest_in_table(stored_results(spark, sf)).select(*STANDARD_COLS))
+
+
+@query("port_history_stored")
+def _(spark, sf):
+    return rounded(reports.port_history(stored_results(spark, sf), *PORT, as_of(spark, sf), 7))
+
+
+@query("history_series_stored")
+def _(spark, sf):
+    history = reports.port_history(stored_results(spark, sf), *PORT, as_of(spark, sf), 30)
+    return rounded(reports.history_series(history))
+
+
 @query("results_schema")
 def _(spark, sf):
     partial = results(spark, sf).select("occur_date", *KEYS, "severity", "is_anomaly")

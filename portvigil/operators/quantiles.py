@@ -69,19 +69,36 @@ def _first(df: DataFrame, exprs: list[Column]) -> tuple:
     return tuple(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
 
 
+def _count(df: DataFrame, pairs: list[tuple[_Target, float]]) -> None:
+    """Narrow targets by exact counts at one end each, all in one pass."""
+    tallies = _first(
+        df, [F.count_if(F.col(t.col) < e) for t, e in pairs] + [F.count_if(F.col(t.col) == e) for t, e in pairs]
+    )
+    for (t, end), below, equal in zip(pairs, tallies, tallies[len(pairs) :]):
+        t.narrow(end, below, equal)
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], few: int = FEW, accuracy: int = ACCURACY
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    few: int = FEW,
+    accuracy: int = ACCURACY,
+    hints: dict[str, list[float]] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation between order statistics, NULLs ignored."""
+    """Quantiles with linear interpolation between order statistics, NULLs ignored.
+
+    ``hints`` are values per column that are counted first, such as the ends of a bracket known from elsewhere.
+    """
     values = df.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _quantiles(values, columns, probs, few, accuracy)
+        return _quantiles(values, columns, probs, few, accuracy, hints or {})
     finally:
         values.unpersist()
 
 
 def _quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], few: int, accuracy: int
+    df: DataFrame, columns: list[str], probs: list[float], few: int, accuracy: int, hints: dict[str, list[float]]
 ) -> dict[str, list[float | None]]:
     counts = dict(zip(columns, _first(df, [F.count(c) for c in columns])))
     targets = {}
@@ -89,16 +106,16 @@ def _quantiles(
         for p in probs if n else []:
             for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
                 targets.setdefault((c, rank), _Target(c, rank, inside=n))
-    open_ = [t for t in targets.values() if t.inside > few]
-    while open_:
+
+    def still_open() -> list[_Target]:
+        return [t for t in targets.values() if t.value is None and t.inside > few]
+
+    hinted = [(t, end) for t in still_open() for end in hints.get(t.col, ())]
+    if hinted:
+        _count(df, hinted)
+    while open_ := still_open():
         ends = _first(df, [t.bracket(accuracy) for t in open_])
-        pairs = [(t, end) for t, two in zip(open_, ends) for end in two]
-        tallies = _first(
-            df, [F.count_if(F.col(t.col) < e) for t, e in pairs] + [F.count_if(F.col(t.col) == e) for t, e in pairs]
-        )
-        for (t, end), below, equal in zip(pairs, tallies, tallies[len(pairs) :]):
-            t.narrow(end, below, equal)
-        open_ = [t for t in open_ if t.value is None and t.inside > few]
+        _count(df, [(t, end) for t, two in zip(open_, ends) for end in two])
     left = [t for t in targets.values() if t.value is None]
     if left:
         for t, v in zip(left, _first(df, [t.pick() for t in left])):
