@@ -5,13 +5,14 @@ in a part of the page that is marked as something else (menu, footer, advert, co
 trained here on a small labelled table of blocks, sees a block together with its neighbours: word count and
 link density of the previous, this and the next block.  Parsing is a per-row helper; neighbours, tree and
 joining are column expressions over the page's array of blocks, so no block leaves its row and nothing is
-shuffled.
+shuffled.  The parser takes time and memory in proportion to the page, well-formed or not.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template iframe object textarea select title head svg math".split())
 APART = frozenset("nav footer aside form header button dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
+RAW = frozenset("script style textarea title noscript iframe template".split())
+END_OPTIONAL = frozenset("p li dt dd tr td th option".split())
 # Words of a class, id or role that mark a part as something else than the article.
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
@@ -47,11 +50,9 @@ NEUTRAL_WORDS = frozenset(
     "site slot sticky top unit wrap wrapper".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
+_DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_TAG_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -71,35 +72,91 @@ def _is_apart(token: str) -> bool:
     return any(w in APART_WORDS for w in words) and all(w in APART_WORDS or w in NEUTRAL_WORDS for w in words)
 
 
+class _TagEnds:
+    """Where the tags of a page end, found in linear time however many of them are never closed.
+
+    Outside quotes, what follows from a quote sign does not depend on where the tag began, so a sign that led to a
+    quote without end need not be followed again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {quote: page.rfind(quote) for quote in "\"'"}
+        self.endless: set[int] = set()
+        self.searched, self.found = 0, -1
+
+    def _mark(self, at: int) -> int:
+        """The next sign that matters to a tag from ``at`` on, or the page's length."""
+        if not self.searched <= at <= self.found:
+            found = _TAG_MARK.search(self.page, at)
+            self.searched, self.found = at, found.start() if found else len(self.page)
+        return self.found
+
+    def of(self, at: int) -> int | None:
+        """End of the tag whose name ends at ``at``: its ``>``, the page's length, or None within an endless quote."""
+        page, followed = self.page, []
+        here = self._mark(at)
+        while here < len(page) and page[here] != ">":
+            followed.append(here)
+            if here in self.endless or here >= self.last[page[here]]:
+                self.endless.update(followed)
+                return None
+            here = self._mark(page.find(page[here], here + 1) + 1)
+        return here
+
+
+def _next_tag(page: str, at: int, ends: _TagEnds) -> tuple[int, int, str | None, bool, str] | None:
+    """(start, end, name, closing, attributes) of the first markup from ``at`` on; the name is None for a declaration."""
+    at = page.find("<", at)
+    while at >= 0:
+        if declared := _DECLARATION.match(page, at):
+            return at, declared.end(), None, False, ""
+        if named := _NAME.match(page, at):
+            end = ends.of(named.end())
+            if end is not None:
+                return at, min(end + 1, len(page)), named[2].lower(), bool(named[1]), page[named.end() : end]
+        at = page.find("<", at + 1)
+    return None
+
+
+class _Mark:
+    """A class mark on an element; one that is taken back has all those above it taken back, too."""
+
+    def __init__(self, above: "_Mark | None") -> None:
+        self.above = above
+        self.holds = True
+
+
 @dataclass
 class _Open:
-    """An open element; ``marks`` are the class marks on it and above, each taken back by setting it to False."""
+    """An open element; ``mark`` is the nearest class mark on it or above."""
 
     name: str
     apart: bool
     hidden: bool
     main: bool
-    marks: tuple[list[bool], ...] = ()
+    mark: _Mark | None = None
 
 
 def _opened(name: str, raw: str, above: _Open) -> _Open:
     attributes = _attributes(raw) if raw else {}
     tokens = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
     named = any(_is_apart(t) and not (above.main and t == "header") for t in tokens)
-    marks = above.marks
+    mark = above.mark
     if name in MAIN and not above.main:
-        if not named:
-            for mark in marks:
-                mark[0] = False  # around an article nothing is apart by its class
+        around = None if named else mark
+        while around is not None and around.holds:
+            around.holds = False  # around an article nothing is apart by its class
+            around = around.above
     elif named and name not in ("html", "body"):
-        marks = (*marks, [True])
+        mark = _Mark(mark)
     apart = above.apart or name in APART and not (name == "header" and above.main)
     unseen = (
         attributes.get("hidden", "until-found").strip().lower() != "until-found"
         or attributes.get("aria-hidden", "").strip().lower() == "true"
         or bool(_NOT_SHOWN.search(attributes.get("style", "")))
     )
-    return _Open(name, apart, above.hidden or name in HIDDEN or unseen, above.main or name in MAIN, marks)
+    return _Open(name, apart, above.hidden or name in HIDDEN or unseen, above.main or name in MAIN, mark)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -128,36 +185,35 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 linked += len(text.split())
 
     at = 0
-    length = len(page)
-    while at < length:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            add(page[at:])
-            break
-        add(page[at : token.start()])
-        at = token.end()
-        name = token.group(2)
+    opened = Counter()  # names on the stack
+    ends = _TagEnds(page)
+    while (tag := _next_tag(page, at, ends)) is not None:
+        start, end, name, closing, attributes = tag
+        add(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        closing = bool(token.group(1))
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
         if name not in INLINE or name in HIDDEN:
             flush()
         if closing:
-            if any(x.name == name for x in stack[1:]):
-                while stack.pop().name != name:
-                    pass
-        elif name in ("script", "style", "textarea", "title", "noscript", "iframe", "template"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)  # raw text up to its end tag
-            at = end.end() if end else length
-        elif name not in VOID and not token.group(3).endswith("/"):
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].name == name:
-                stack.pop()  # its end tag may be left out
-            stack.append(_opened(name, token.group(3), stack[-1]))
+            while opened[name]:
+                last = stack.pop().name
+                opened[last] -= 1
+                if last == name:
+                    break
+        elif name in RAW:
+            raw_end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)  # raw text up to its end tag
+            at = raw_end.end() if raw_end else len(page)
+        elif name not in VOID and not attributes.endswith("/"):
+            if name in END_OPTIONAL and stack[-1].name == name:
+                opened[stack.pop().name] -= 1  # its end tag may be left out
+            stack.append(_opened(name, attributes, stack[-1]))
+            opened[name] += 1
+    add(page[at:])
     flush()
-    return [(*block, at.apart or any(mark[0] for mark in at.marks), at.main) for *block, at in found]
+    return [(*block, at.apart or at.mark is not None and at.mark.holds, at.main) for *block, at in found]
 
 
 # A small labelled table of blocks, as (words, link density) of the previous, this and the next

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from portvigil.llm import page_text
@@ -89,3 +91,32 @@ def test_marks_of_other_parts(mark):
 def test_comments_as_articles_stay_apart():
     page = '<article>x</article><div id="comments"><article class="comment">y</article></div>'
     assert [b[3] for b in page_text.blocks(page)] == [False, True]
+
+
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a x" * (MEGABYTE // 4) + '"',
+        "<div>" * (MEGABYTE // 10) + "</p>" * (MEGABYTE // 8),
+        "<div class=menu>" * (MEGABYTE // 32) + "<article></article>" * (MEGABYTE // 40) + "x",
+        "<script>" + "</script " * (MEGABYTE // 9),
+        ("<a \"'" + "<b '\"") * (MEGABYTE // 12) + '"',
+    ],
+    ids=["tags without end", "end tags without start", "marks in marks", "raw text without end", "quotes in quotes"],
+)
+def test_hostile_pages_of_a_megabyte_take_seconds(page):
+    start = time.monotonic()
+    page_text.blocks(page)
+    assert time.monotonic() - start < 20
+
+
+def test_text_behind_an_endless_quote_is_text():
+    assert [b[0] for b in page_text.blocks("a <b c=\"x <i>y</i> 'z")] == ["a <b c=\"x y 'z"]
+
+
+def test_repeated_rows(spark):
+    rows = extracted(spark, [PAGE, PAGE])
+    assert rows[0].text == rows[1].text and spark.createDataFrame(rows).count() == 2
