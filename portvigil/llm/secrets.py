@@ -54,8 +54,39 @@ def spans(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(at["found"], F.array(span)).alias("found"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(both, first, add, lambda at: at["found"])).otherwise(F.array().cast(_SPANS))
+    def placed(run: Column) -> Column:
+        """Spans of one run, counted from its own start, with its length."""
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+        return F.aggregate(run, first, add)
+
+    def follow(at: Column, run: Column) -> Column:
+        begun = F.concat(at["begun"], F.array(at["at"]))
+        return F.struct((at["at"] + run["at"]).alias("at"), begun.alias("begun"))
+
+    def shifted(run: Column, by: Column) -> Column:
+        move = lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"))
+        return F.transform(run["found"], move)
+
+    def joined(runs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begun"))
+        return F.flatten(F.zip_with(runs, F.aggregate(runs, first, follow, lambda at: at["begun"]), shifted))
+
+    found = _let(both, lambda x: _let(F.transform(_runs(x), placed), joined))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(items: Column) -> Column:
+    """An array cut into runs of about the square root of its size, so that work within runs and over runs, each
+    quadratic in its own number, stays small for any array."""
+    size = F.size(items)
+    width = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
+    starts = F.when(size > 0, F.sequence(F.lit(1), size, width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(items, at, width))
 
 
 def _kept(column: Column, kind: str, test) -> Column:
@@ -96,10 +127,26 @@ def candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _kept(F.col("tokens"), "secret", _is_secret),
         _kept(F.col("endpoint"), "endpoint", None),
     )
-    apart = F.filter("weak", lambda w: ~F.exists("strong", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    apart = _let(_let(F.array_sort("strong"), _hulls), lambda hulls: F.filter("weak", lambda w: ~_meets(w, hulls)))
     return raw.select(id_col, "text_hash", strong.alias("strong"), weak.alias("weak")).withColumn("weak", apart)
 
 
+def _hulls(ordered: Column) -> Column:
+    """Runs of spans in order with the stretch of text that each covers."""
+
+    def hull(run: Column) -> Column:
+        return F.struct(F.array_min(run["start"]).alias("start"), F.array_max(run["end"]).alias("end"), run.alias("spans"))
+
+    return F.transform(_runs(ordered), hull)
+
+
+def _meets(w: Column, hulls: Column) -> Column:
+    def overlaps(s: Column) -> Column:
+        return (w["start"] < s["end"]) & (s["start"] < w["end"])
+
+    return F.exists(hulls, lambda h: overlaps(h) & F.exists(h["spans"], overlaps))
+
+
 def _role(kind: Column) -> Column:
     return F.element_at(F.array(*(F.lit(ROLES[k]) for k in KINDS)), kind + 1)
 
