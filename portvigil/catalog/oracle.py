@@ -629,6 +629,12 @@ ORACLES: dict[str, str] = {
         "select 'traffic' as track, count(*) as samples_used from t_train_scored union all "
         "select 'optical', count(*) from o_train_scored",
     ),
+    "stored_tracks": with_ctes(
+        chain(FINE),
+        "select 'traffic' as track, (select count(*) from t_scored) as windows, 0::bigint as differing, "
+        "(select count(*) from t_train_scored) as samples_used union all "
+        "select 'optical', (select count(*) from o_scored), 0, (select count(*) from o_train_scored)",
+    ),
     "flag_anomaly": on("traffic", f"select {TIMED[30]}, {r('score', 'threshold')}, flag from t_judged"),
     "severity": on("optical", f"select {TIMED[30]}, {r('severity')} from o_judged"),
     "trend_slope": on("traffic", f"select {TIMED[30]}, {r('slope', digits=9)} from t_trend"),

@@ -21,7 +21,7 @@ from portvigil.functions import text as X
 from portvigil.functions import times as TM
 from portvigil.operators import alarms, clean, config, fusion, moments, reports, scoring, sinks, sketches, splits, trend, windows
 from portvigil.plans.detect import detect, score_track
-from portvigil.plans.train import train_track, training_windows
+from portvigil.plans.train import load_track, save_track, train_track, training_windows
 from portvigil.sources import raw, testviews
 from portvigil.spec import (
     DEFAULT_THRESHOLD,
@@ -486,14 +486,14 @@ def trained(spark: SparkSession, sf: str, spec: TrackSpec):
         cutoff(spark, sf),
         interval_minutes=FINE.minutes,
         percentile=FINE.percentile,
+        hidden_slots=1,
     )
 
 
 @query("fit_reconstruction")
 def _(spark, sf):
     """Share of variance each component explains."""
-    share = trained(spark, sf, TRAFFIC).model.pca.explainedVariance.toArray()
-    rows = [(i + 1, float(v)) for i, v in enumerate(share)]
+    rows = [(i + 1, v) for i, v in enumerate(trained(spark, sf, TRAFFIC).model.explained)]
     return rounded(spark.createDataFrame(rows, "component int, explained double"))
 
 
@@ -512,6 +512,31 @@ def _(spark, sf):
     return rounded(timed(scoring.score_reconstruction(track.model)(scaled, TRAFFIC, WINDOW_SIZE)))
 
 
+@query("stored_tracks")
+def _(spark, sf):
+    """Both trained tracks stored, loaded again and used: windows scored, and those that the trained model scores otherwise."""
+    path, rows = work_path(spark, "tracks"), []
+    for t in TRACKS.values():
+        track = trained(spark, sf, t)
+        save_track(track, t, path)
+        again = load_track(spark, t, path)
+        cleaned = clean.preprocess(SOURCES[t.name](spark, sf), t, FINE.minutes, full_grid=False)
+        before, after = (
+            scoring.score_reconstruction(x.model)(windows.robust_apply(cleaned, t, x.scaler), t).select(*KEYS, "slot_idx", F.col("score").alias(name))
+            for x, name in ((track, "before"), (again, "after"))
+        )
+        met = before.join(after, [*KEYS, "slot_idx"], "full")
+        rows.append(
+            met.agg(
+                F.lit(t.name).alias("track"),
+                F.count("after").alias("windows"),
+                F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing"),
+                F.lit(again.config.first().samples_used).cast("long").alias("samples_used"),
+            )
+        )
+    return rows[0].unionByName(rows[1])
+
+
 @query("validation_loss")
 def _(spark, sf):
     track = trained(spark, sf, OPTICAL)

@@ -45,15 +45,22 @@ class Moments:
         return Moments(self.count + other.count, self.sums + other.sums, self.products + other.products)
 
 
-def lagged_windows(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
-    """``x``: the values of every complete window, oldest slot first.  Its slots are the rows before, one each."""
-    lags = {
+def lags(spec: TrackSpec, window_size: int = WINDOW_SIZE) -> dict[str, str]:
+    """``_x0``, ``_x1``, ...: the values of the window that a row ends, oldest slot first, as SQL.
+
+    The rows before are the slots before, one each, wherever the window is complete.
+    """
+    return {
         f"_x{(window_size - 1 - d) * len(spec.features) + n}": f"lag({z(f)}, {d}) {OVER_PORT_BY_SLOT}"
         for d in range(window_size)
         for n, f in enumerate(spec.features)
     }
-    cut = complete_windows(scaled, spec, window_size, **lags)
-    return cut.select(F.array(*(f"_x{i}" for i in range(len(lags)))).alias("x"))
+
+
+def lagged_windows(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
+    """``x``: the values of every complete window, oldest slot first."""
+    cut = complete_windows(scaled, spec, window_size, **lags(spec, window_size))
+    return cut.select(F.array(*(f"_x{i}" for i in range(window_size * len(spec.features)))).alias("x"))
 
 
 def window_moments(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
@@ -120,6 +127,14 @@ def masked_losses(train: Moments, held_out: Moments, k: int, hidden: int) -> lis
     return losses
 
 
+def whole_losses(train: Moments, held_out: Moments, k: int) -> list[tuple[int, float]]:
+    """(number of components, mean squared error over all slots of rebuilt held-out windows); falls with the number."""
+    vectors, _ = components(train, k)
+    spread = held_out.around(train.mean)
+    explained = np.cumsum(((spread @ vectors) * vectors).sum(axis=0))
+    return [(n, max(float(np.trace(spread) - e), 0.0) / len(spread)) for n, e in enumerate(explained, 1)]
+
+
 def best_components(losses: list[tuple[int, float]]) -> int:
     """The number of components of least loss, the smaller one of equals."""
     return min(losses, key=lambda kv: (kv[1], kv[0]))[0]

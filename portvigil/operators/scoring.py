@@ -7,20 +7,21 @@ metrics of the squared reconstruction error at the last slot.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portvigil.functions.scores import finite_or_null, mean_square
 from portvigil.operators.frames import over_trailing
+from portvigil.operators.moments import Moments, components, lags
 from portvigil.operators.quantiles import FEW, exact_quantiles
-from portvigil.operators.windows import complete_windows, sliding_windows, z
+from portvigil.operators.windows import complete_windows, double_literal, sliding_windows, z
 from portvigil.spec import KEYS, PATIENCE, WINDOW_SIZE, TrackSpec
 
 Scorer = Callable[[DataFrame, TrackSpec, int], DataFrame]
@@ -48,25 +49,34 @@ def window_mean_loss(scaled: DataFrame, spec: TrackSpec, window_size: int = WIND
 
 @dataclass(frozen=True)
 class LinearAutoencoder:
-    """Projection of flattened windows on the first ``k`` principal components and back."""
+    """Projection of flattened windows on the first ``k`` principal components and back.
 
-    pca: PCAModel
+    ``vectors`` holds the components as columns, ``explained`` the share of the variance of each.
+    """
+
+    vectors: np.ndarray
     mean: list[float]
     k: int
+    explained: tuple[float, ...] = ()
 
     @property
     def components(self) -> np.ndarray:
-        return self.pca.pc.toArray()[:, : self.k]
+        return self.vectors[:, : self.k]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.pca.write().overwrite().save(f"{path}/pca")
+        """One row with the mean and ``k``, and one row per component."""
+        parts = [(i, [float(x) for x in v], float(e)) for i, (v, e) in enumerate(zip(self.vectors.T, self.explained, strict=True))]
+        rows = spark.createDataFrame(parts, "component int, weights array<double>, explained double")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/components")
         rest = spark.createDataFrame([(self.mean, self.k)], "mean array<double>, k int")
         rest.coalesce(1).write.mode("overwrite").parquet(f"{path}/mean")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LinearAutoencoder:
         rest = spark.read.parquet(f"{path}/mean").first()
-        return LinearAutoencoder(PCAModel.load(f"{path}/pca"), list(rest.mean), rest.k)
+        parts = spark.read.parquet(f"{path}/components").orderBy("component").collect()
+        vectors = np.array([r.weights for r in parts]).T
+        return LinearAutoencoder(vectors, list(rest.mean), rest.k, tuple(r.explained for r in parts))
 
 
 def _flat(windows: DataFrame) -> DataFrame:
@@ -74,43 +84,58 @@ def _flat(windows: DataFrame) -> DataFrame:
 
 
 def fit_reconstruction(windows: DataFrame, k: int) -> LinearAutoencoder:
-    """Fit on the windows of all ports.  The covariance is summed on the executors; the driver only
+    """Fit on a table of windows.  The covariance is summed on the executors; the driver only
     decomposes a square matrix of side window size x metrics."""
     vectors = _flat(windows).select(array_to_vector("x").alias("v"))
     mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first().m
     pca = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    return LinearAutoencoder(pca, mean.toArray().tolist(), k)
+    return LinearAutoencoder(pca.pc.toArray(), mean.toArray().tolist(), k, tuple(pca.explainedVariance.toArray().tolist()))
+
+
+def fit_moments(train: Moments, k: int) -> LinearAutoencoder:
+    """The same model from the moments of the windows, which no table has to hold."""
+    vectors, explained = components(train, k)
+    return LinearAutoencoder(vectors, train.mean.tolist(), vectors.shape[1], tuple(explained.tolist()))
 
 
 def _projected(windows: DataFrame, model: LinearAutoencoder) -> DataFrame:
     """Adds ``x``, the flat window, and ``p``, its coordinates relative to the projected mean."""
-    flat = _flat(windows).withColumn("v", array_to_vector("x"))
-    return model.pca.transform(flat).withColumn("p", vector_to_array("p")).drop("v")
+    flat = _flat(windows)
+    along = [F.array(*[F.lit(float(w)) for w in model.components[:, i]]) for i in range(model.k)]
+    products = [F.aggregate(F.zip_with("x", v, lambda x, w: x * w), F.lit(0.0), lambda a, e: a + e) for v in along]
+    return flat.withColumn("p", F.array(*products))
 
 
 def _center(model: LinearAutoencoder) -> np.ndarray:
     return model.components.T @ np.array(model.mean)
 
 
-def score_windows(windows: DataFrame, spec: TrackSpec, model: LinearAutoencoder) -> DataFrame:
-    """Scores of windows that are already cut.  Only the last slot is rebuilt, from ``k`` coordinates."""
-    last = model.components[-len(spec.features) :, :]
-    base = np.array(model.mean[-len(spec.features) :]) - last @ _center(model)
-    projected = _projected(windows, model)
+def _last_slot_error(spec: TrackSpec, model: LinearAutoencoder, value: Callable[[int], str]) -> str:
+    """Mean squared error of the rebuilt last slot; ``value`` gives the SQL of a place of the window.
+
+    Projection and return are one matrix, of which the last slot needs one row per metric.
+    """
+    width, last = len(model.mean), len(spec.features)
+    back = model.components[-last:] @ model.components.T
+    base = np.array(model.mean[-last:]) - back @ np.array(model.mean)
     errors = []
-    for j in range(len(spec.features)):
-        parts = [f"p[{i}] * double('{float(last[j, i])!r}')" for i in range(model.k)]
-        rebuilt = " + ".join([f"double('{float(base[j])!r}')", *parts])
-        errors.append(f"element_at(x, {j - len(spec.features)}) - _r{j}")
-        projected = projected.withColumn(f"_r{j}", F.expr(rebuilt))
-    return _scored(projected, spec, mean_square(errors))
+    for j in range(last):
+        parts = [f"{value(i)} * {double_literal(float(back[j, i]))}" for i in range(width)]
+        errors.append(f"{value(width - last + j)} - ({' + '.join([double_literal(float(base[j])), *parts])})")
+    return mean_square(errors)
+
+
+def score_windows(windows: DataFrame, spec: TrackSpec, model: LinearAutoencoder) -> DataFrame:
+    """Scores of windows that are already cut.  Only the last slot is rebuilt."""
+    return _scored(_flat(windows), spec, _last_slot_error(spec, model, lambda i: f"x[{i}]"))
 
 
 def score_reconstruction(model: LinearAutoencoder) -> Scorer:
-    """Scorer of a linear autoencoder."""
+    """Scorer of a linear autoencoder, over lagged values: no window is gathered in an array."""
 
     def scorer(scaled: DataFrame, spec: TrackSpec, window_size: int = WINDOW_SIZE) -> DataFrame:
-        return score_windows(sliding_windows(scaled, spec, window_size), spec, model)
+        cut = complete_windows(scaled, spec, window_size, **lags(spec, window_size))
+        return _scored(cut, spec, _last_slot_error(spec, model, lambda i: f"_x{i}"))
 
     return scorer
 
@@ -184,17 +209,24 @@ def select_best_model(
     Candidates are taken in growing order; the search ends after ``patience`` of them without an
     improvement of more than ``min_gain`` (relative).  ``losses`` has one row per component.
     """
+    return choose(model, [(r.k, r.val_loss) for r in losses.orderBy("k").collect()], patience, min_gain)
+
+
+def choose(
+    model: LinearAutoencoder, losses: list[tuple[int, float | None]], patience: int = PATIENCE, min_gain: float = 0.0
+) -> tuple[LinearAutoencoder, float | None]:
+    """``select_best_model`` of losses in growing order of ``k``."""
     best_k, best, stale = model.k, None, 0
-    for row in losses.orderBy("k").collect():
-        if row.val_loss is None:
+    for k, loss in losses:
+        if loss is None:
             break
-        if best is None or row.val_loss < best * (1.0 - min_gain):
-            best_k, best, stale = row.k, row.val_loss, 0
+        if best is None or loss < best * (1.0 - min_gain):
+            best_k, best, stale = k, loss, 0
         else:
             stale += 1
             if stale >= patience:
                 break
-    return LinearAutoencoder(model.pca, model.mean, best_k), best
+    return replace(model, k=best_k), best
 
 
 def threshold_percentile(scored: DataFrame, percentile: float, few: int = FEW) -> float | None:

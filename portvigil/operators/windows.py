@@ -47,7 +47,7 @@ def load_scaler(params: DataFrame, spec: TrackSpec) -> Scaler:
     return {r.feature: (r.center, r.scale) for r in rows}
 
 
-def _num(x: float) -> str:
+def double_literal(x: float) -> str:
     """Double literal with all its digits."""
     return f"double('{x!r}')"
 
@@ -58,7 +58,7 @@ def z(feature: str) -> str:
 
 def robust_apply(clean: DataFrame, spec: TrackSpec, scaler: Scaler) -> DataFrame:
     """Adds the scaled metrics; NULL stays NULL, its windows are dropped."""
-    return clean.selectExpr("*", *[f"({f} - {_num(scaler[f][0])}) / {_num(scaler[f][1])} as {z(f)}" for f in spec.features])
+    return clean.selectExpr("*", *[f"({f} - {double_literal(scaler[f][0])}) / {double_literal(scaler[f][1])} as {z(f)}" for f in spec.features])
 
 
 def placeholder_filled(clean: DataFrame, spec: TrackSpec) -> DataFrame:

@@ -9,14 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from portvigil.operators.clean import preprocess
 from portvigil.operators.config import config_row, read_config, write_config
-from portvigil.operators.scoring import (
-    LinearAutoencoder,
-    fit_reconstruction,
-    score_windows,
-    select_best_model,
-    threshold_percentile,
-    validation_loss,
-)
+from portvigil.operators.moments import collected, masked_losses, whole_losses, window_moments
+from portvigil.operators.scoring import LinearAutoencoder, choose, fit_moments, score_reconstruction, threshold_percentile
 from portvigil.operators.splits import min_sample_gate
 from portvigil.operators.windows import SCALER_SCHEMA, Scaler, load_scaler, robust_apply, robust_fit, scaler_frame, sliding_windows
 from portvigil.spec import INTERVAL_MINUTES, LATENT_DIM, MIN_GAIN, PATIENCE, THRESHOLD_PERCENTILE, WINDOW_SIZE, TrackSpec
@@ -54,15 +48,18 @@ def train_track(
     percentile: float = THRESHOLD_PERCENTILE,
     patience: int = PATIENCE,
     min_gain: float = MIN_GAIN,
+    hidden_slots: int = 0,
 ) -> TrainedTrack | None:
     """Fit on ``train``, choose the model size on ``validation``; None with fewer raw rows than a window, or
     without two windows.
 
-    A larger model must lower the held-out loss by ``min_gain`` of it, since components are nested and each
-    lowers it a little.
+    With ``hidden_slots`` the held-out loss is that of the last slots predicted from those before, which has a least
+    value inside the range.  Without, it is that of whole windows: components are nested and each lowers it a little,
+    so a larger model must lower it by ``min_gain`` of it.
 
-    The scaler is fitted on training rows only and applied to both sets.  Cleaned rows and windows are
-    read several times (quartiles; mean, covariance, scores), so each is written once.
+    The scaler is fitted on training rows only and applied to both sets.  Cleaned rows are read several times
+    (quartiles, moments, scores), so they are written once, and so are the scores; windows are never written: model
+    and losses follow from their moments.
     """
     if not min_sample_gate(train, window_size).first().enough:
         return None
@@ -71,17 +68,22 @@ def train_track(
         if clean.isEmpty():
             return None
         scaler = robust_fit(clean, spec)
-        cut = sliding_windows(robust_apply(clean, spec, scaler), spec, window_size)
-        with materialized(cut, "windows") as windows:
-            samples = windows.count()
-            if samples < 2:
-                return None
-            model = fit_reconstruction(windows, min(latent_dim, window_size * len(spec.features)))
-            loss = None
-            if validation is not None:
-                held_out = training_windows(validation, spec, scaler, interval_minutes, window_size)
-                model, loss = select_best_model(model, validation_loss(held_out, model), patience, min_gain)
-            threshold = threshold_percentile(score_windows(windows, spec, model), percentile)
+        scaled = robust_apply(clean, spec, scaler)
+        width = window_size * len(spec.features)
+        moments = collected(window_moments(scaled, spec, window_size), width)
+        if moments is None or moments.count < 2:
+            return None
+        model = fit_moments(moments, min(latent_dim, width))
+        loss = None
+        if validation is not None:
+            rest = preprocess(validation, spec, interval_minutes, window_size, train=True, full_grid=False)
+            held_out = collected(window_moments(robust_apply(rest, spec, scaler), spec, window_size), width)
+            if held_out is not None:
+                hidden = hidden_slots * len(spec.features)
+                losses = masked_losses(moments, held_out, model.k, hidden) if hidden else whole_losses(moments, held_out, model.k)
+                model, loss = choose(model, losses, patience, 0.0 if hidden else min_gain)
+        with materialized(score_reconstruction(model)(scaled, spec, window_size).select("score"), "scores") as scores:
+            threshold = threshold_percentile(scores, percentile)
     config = config_row(
         train.sparkSession,
         spec.name,
@@ -92,7 +94,7 @@ def train_track(
         window_size=window_size,
         latent_dim=model.k,
         patience=patience,
-        samples_used=samples,
+        samples_used=moments.count,
         final_val_loss=loss,
     )
     return TrainedTrack(scaler, model, config)
