@@ -39,18 +39,54 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # The patterns of looser candidates.
 _LOOSE = (
-    ("spelled", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}(?![A-Za-z0-9])")),
+    ("spelled", re.compile(
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+"
+        r"(?: ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}"
+        r"| at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){0,3}"
+        r"| at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
+    )),
     ("local", re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
 )
-_SPELLED_MARK = re.compile(r"\(at\)|\[at\]|\(dot\)|\[dot\]| dot ")
+# Every spelled-out address holds one of these.
+_AT = ("(at)", "[at]", " at ")
 _ANY = re.compile(r"[0-9@]")
 
 # Gazetteers.
 _DOMAINS = frozenset("com org net edu gov info io co uk de fr es it eu ch at nl be us ca au jp cn in br ru".split())
 _COUNTRIES = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK".split())
-_NAMES = re.compile(r"\b(?:mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|mme|señor|señora|sr|sra|name|nom|nombre)\b", re.I)
+_TITLES = re.compile(r"\b(?:mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|mme|señor|señora|sr|sra|name|nom|nombre)\b", re.I)
+# Common given names, surnames and places; a capital tells them from ordinary words.
+_GIVEN = frozenset(
+    "Adam Ahmed Alex Alexander Alice Ali Amanda Amy Ana Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Brian Camille Carlos "
+    "Carmen Carol Caroline Catherine Charles Charlotte Chen Chiara Christian Christina Christine Christopher Claire Claudia Daniel David Deborah "
+    "Diana Dmitri Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Fatima Florian Francesco Francisco Frank Gabriel George Giulia Hannah Hans "
+    "Helen Henry Ivan Jack Jacob James Jan Jane Jason Javier Jean Jennifer Jessica Joan Johannes John Jonas Jonathan Jose Joseph Juan Julia "
+    "Julien Karen Karl Katharina Kevin Klaus Laura Lena Linda Lisa Louis Luca Lucas Lucia Luis Manuel Marco Margaret Maria Marie Mark Markus "
+    "Martin Mary Matthew Michael Michelle Miguel Mohammed Nancy Natalia Nicolas Nicole Nina Oliver Olivia Patricia Paul Pedro Peter Philip "
+    "Pierre Rachel Rebecca Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Sergio Sofia Sophie Stefan Stephen Steven Susan Thomas Tom Ursula "
+    "Victoria Walter Wei William Yuki".split()
+)
+_SURNAMES = frozenset(
+    "Adams Ahmed Allen Anderson Bailey Baker Bauer Becker Bell Bennett Bernard Bianchi Brown Campbell Carter Clark Collins Colombo Cook Cooper "
+    "Costa Cox Davis Diaz Dubois Durand Edwards Evans Ferrari Fischer Garcia Gomez Gonzalez Gray Green Gupta Hall Harris Hernandez Hill "
+    "Hoffmann Howard Hughes Ivanov Jackson James Jensen Johnson Jones Kelly Khan Kim King Klein Koch Kowalski Kumar Laurent Lee Lefebvre Leroy "
+    "Lewis Li Lopez Martin Martinez Meyer Miller Mitchell Moore Moreau Morgan Morris Mueller Murphy Müller Nelson Nguyen Nowak Parker Patel "
+    "Peterson Phillips Popov Ramirez Reed Richter Rivera Roberts Robinson Rodriguez Romano Rossi Russo Sanchez Santos Schmidt Schneider "
+    "Schulz Scott Silva Simon Singh Smirnov Smith Stewart Suzuki Tanaka Taylor Thompson Torres Turner Walker Wang Watson Weber White Williams "
+    "Wilson Wolf Wright Yamamoto Yang Young Zhang".split()
+)
+_PLACES = frozenset(
+    "Amsterdam Athens Atlanta Austin Bangkok Barcelona Basel Beijing Belgrade Berlin Bern Birmingham Bordeaux Boston Bremen Brisbane Bristol "
+    "Brussels Bucharest Budapest Cairo Chicago Cologne Copenhagen Dallas Delhi Denver Dresden Dublin Dubai Edinburgh Florence Frankfurt Geneva "
+    "Genoa Glasgow Hamburg Hannover Helsinki Houston Istanbul Jakarta Johannesburg Kyoto Lagos Leeds Leipzig Lille Lima Lisbon Liverpool "
+    "London Lyon Madrid Manchester Marseille Melbourne Miami Milan Montreal Moscow Mumbai Munich Nairobi Nantes Naples Oslo Osaka Ottawa Paris "
+    "Perth Philadelphia Phoenix Porto Prague Riga Rome Rotterdam Salzburg Santiago Seattle Seoul Seville Shanghai Singapore Sofia Stockholm "
+    "Strasbourg Stuttgart Sydney Tallinn Tokyo Toronto Toulouse Turin Utrecht Valencia Vancouver Venice Vienna Vilnius Warsaw Zagreb Zurich".split()
+)
+_GAZETTEER = _GIVEN | _SURNAMES | _PLACES
+_WORD = re.compile(r"[^\W\d_]+")
 # Context words for and against.
 _FOR = re.compile(
     r"\b(?:e-?mail|mail|contact|kontakt|contacto|tel|telephone|phone|fon|telefon|téléphone|teléfono|call|mobile|handy|fax|card|karte|carte|"
@@ -95,8 +131,8 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     """Base spans and looser candidates as (start, kind, end), code points, end exclusive, in order."""
     base: list[tuple[int, int, int]] = []
     loose: list[tuple[int, int, int]] = []
-    has_mark = _SPELLED_MARK.search(text) is not None
-    if not has_mark and not _ANY.search(text):
+    has_at = any(mark in text for mark in _AT)
+    if not has_at and not _ANY.search(text):
         return base, loose
     if "@" in text:
         base += [(a, 0, b) for a, b in _emails(text)]
@@ -114,7 +150,7 @@ def findings(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
             if 9 <= len(_digits(m[0])) <= 15:
                 base.append((m.start(), 3, m.end()))
     for kind, pattern in _LOOSE:
-        if kind != "spelled" or has_mark:
+        if kind != "spelled" or has_at:
             loose += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
     base.sort()
     taken, kept = sorted((a, b) for a, _, b in base), []
@@ -159,7 +195,7 @@ def describe(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     inside = any(c.isalnum() or c in "_=/" for c in around)
     monotone = len(set(number)) <= 2 and len(number) >= 7
     good, bad = bool(_FOR.search(before)), bool(_AGAINST.search(before))
-    near = bool(_NAMES.search(before))
+    near = bool(_TITLES.search(before)) or not _GAZETTEER.isdisjoint(_WORD.findall(before))
     strict = kind < BASE or name in ("ssn", "iban")
     yes_no = lambda x: 0 if x is None else 1 if x else 2
     votes = (int(strict), yes_no(check), yes_no(known), int(near), int(good), 2 * bad, 2 * inside, 2 * monotone)

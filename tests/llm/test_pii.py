@@ -90,3 +90,26 @@ def test_reliabilities_are_recovered():
     found = p[:, 1, 1] / p[:, 1, 1:].sum(axis=1)
     assert np.allclose(found, right, atol=0.05)
     assert ((belief > 0.5)[which] == truth).mean() > 0.95
+
+
+@pytest.mark.parametrize("rest", ["", " (x (at) y", " and more dot text", " look at this. Then [at] dot"])
+def test_candidates_depend_on_their_own_context_only(rest):
+    # spans as text, for addresses spelled out in several ways
+    for address in ("john at example.com", "a.b(at)host.example.com", "a [at] host [dot] org", "jane at mail.x dot org"):
+        text = f"words {address} words{rest}"
+        found = [text[a:b] for a, k, b in pii.findings(text)[1] if pii.KINDS[k] == "spelled"]
+        assert found == [address], text
+    text = "we look at this. The cat sat at noon. Dogs" + rest
+    assert [text[a:b] for a, k, b in pii.findings(text)[1]] == []
+
+
+def test_gazetteers_vote():
+    flag = 1 << pii.FLAGS.index("name near")
+    for text, near in (("ask Maria Rossi 052-555-0934", True), ("office in Vienna 052-555-0934", True), ("dr who 052-555-0934", True), ("the mark 052-555-0934", False)):
+        ((start, kind, end),) = pii.findings(text)[1]
+        assert bool(pii.describe(text, start, kind, end)[1] & flag) == near, text
+
+
+def test_long_texts_of_marks_take_linear_time():
+    for text in ("x at " * 100_000, "a" * 500_000 + " at ", "x at y dot " * 50_000, "a at " + "b." * 200_000):
+        assert pii.findings(text) == ([], [])
