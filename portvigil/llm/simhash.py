@@ -65,18 +65,27 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)
+) -> DataFrame:
     """(id, fp, text_hash) of every row; ``fp`` is the fingerprint as a signed long, ``text_hash`` tells apart
-    rows that repeat an id with another text."""
+    rows that repeat an id with another text.  Fingerprints of further seeds follow as ``fp_1``, ``fp_2``, ..."""
+    names = fingerprint_columns(len(seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            fps = np.array([fingerprint(t or "", words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], [id_col, "fp", "text_hash"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            fps = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps[0], batch.column(2), *fps[1:]], [id_col, "fp", "text_hash", *names[1:]])
 
     text = F.col(text_col).cast("string")
     rows = df.select(id_col, text.alias("text"), text_hash(text).alias("text_hash"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}, fp long, text_hash long", *(f"{n} long" for n in names[1:])]))
+
+
+def fingerprint_columns(count: int) -> list[str]:
+    return ["fp", *(f"fp_{i}" for i in range(1, count))]
 
 
 def text_hash(text: Column) -> Column:
@@ -267,7 +276,7 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = ALIKE) -> bool:
 
 
 def _alike_links(texts: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], bits: int, least: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the verified links of a group, as in ``_links``."""
+    """A spanning forest of the verified links of a group, as in ``_links``; ``fps`` has a row per text, a column per seed."""
     left: list[int] = []
     right: list[int] = []
     pool = np.arange(len(texts))
@@ -276,7 +285,7 @@ def _alike_links(texts: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], bit
         while todo and len(pool):
             one = todo.pop()
             reached = np.zeros(len(pool), dtype=bool)
-            for at in np.flatnonzero(_distance(fps[pool], fps[one]) <= bits).tolist():
+            for at in np.flatnonzero((_distance(fps[pool], fps[one]) <= bits).any(axis=1)).tolist():
                 reached[at] = alike(sets[one], sets[pool[at]], least)
             if reached.any():
                 right += texts[pool[reached]].tolist()
@@ -286,22 +295,49 @@ def _alike_links(texts: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], bit
     return left, right
 
 
+def candidate_groups(texts: DataFrame, bits: int, seeds: int, block: int = ALIKE_BLOCK) -> DataFrame:
+    """``texts`` (text_hash, fp, fp_1, ...) that are candidates, with ``met``: their groups as (key, blocks).
+
+    A group holds the texts whose fingerprints of one seed are connected by near ones.  Groups of several seeds that
+    have the same texts have one key and are compared once.
+    """
+    members = F.xxhash64(F.count("*"), F.expr("bit_xor(xxhash64(text_hash))")).alias("key")
+    found = []
+    for name in fingerprint_columns(seeds):
+        own = texts.withColumn("_fp", F.col(name))
+        roots = components(links(own.select(F.col("_fp").alias("fp")).distinct(), bits)).withColumnRenamed("node", "_fp")
+        rooted = own.join(roots, "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root", "_fp")
+        sizes = rooted.groupBy("_root").agg(F.count("*").alias("texts"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), members)
+        found.append(rooted.join(sizes.where("texts > 1").drop("texts"), "_root").drop("_root"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(*texts.columns).agg(F.collect_set(F.struct("key", "blocks")).alias("met"))
+
+
 def alike_links(
-    df: DataFrame, texts: DataFrame, bits: int, words: int = ALIKE_WORDS, least: float = ALIKE, block: int = ALIKE_BLOCK, text_col: str = "text"
+    df: DataFrame,
+    texts: DataFrame,
+    bits: int,
+    seeds: int = 1,
+    words: int = ALIKE_WORDS,
+    least: float = ALIKE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """(a, b), text hashes: each pair's fingerprints differ in at most ``bits`` bits and its shingle sets are alike,
-    and texts are connected by these pairs exactly when they are by all such pairs of one root.
+    """(a, b), text hashes: each pair's fingerprints of one seed differ in at most ``bits`` bits and its shingle sets are
+    alike, and texts are connected by these pairs exactly when they are by all such pairs of one group.
 
-    ``texts`` (text_hash, fp, root) has every different text once.
+    ``texts`` has every candidate once, with ``least_id`` and the groups of ``candidate_groups``.  A text is read from
+    its row of that id, so its copies leave at the join.
     """
-    blocks = F.ceil(F.count("*") / block).cast("int")
-    sizes = texts.groupBy("root").agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
-    wanted = texts.join(sizes, "root").select("text_hash", "fp", "root", "blocks")
-    column = F.col(text_col).cast("string")
-    rows = df.select(column.alias("text"), text_hash(column).alias("text_hash")).join(wanted, "text_hash")
+    column, names = F.col(text_col).cast("string"), fingerprint_columns(seeds)
+    rows = df.select(F.col(id_col).alias("_id"), column.alias("_text"), text_hash(column).alias("_hash"))
+    same = (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("least_id"))
+    wanted = rows.join(texts, same).select("text_hash", "_text", "met", *names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # saves work on copies; those it lets through are dropped in their group
+        seen: set[int] = set()  # saves work on repeated rows; those it lets through are dropped in their group
         for batch in small(batches):
             hashes, kept, found = batch.column(0).to_pylist(), [], []
             for i, (key, text) in enumerate(zip(hashes, batch.column(1).to_pylist(), strict=True)):
@@ -311,37 +347,37 @@ def alike_links(
                     seen.add(key)
                 kept.append(i)
                 found.append(np.unique(shingles(text or "", words)).tobytes())
-            rest = batch.select([0, 2, 3, 4]).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], ["text_hash", "fp", "root", "blocks", "shingles"])
+            rest = batch.select([0, *range(2, batch.num_columns)]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], ["text_hash", "met", *names, "shingles"])
 
-    sets = rows.select("text_hash", "text", "fp", "root", "blocks").mapInArrow(
-        read, "text_hash long, fp long, root long, blocks int, shingles binary"
-    )
+    fps = ", ".join(f"{n} long" for n in names)
+    sets = wanted.mapInArrow(read, f"text_hash long, met array<struct<key: long, blocks: int>>, {fps}, shingles binary")
+    placed = sets.select("text_hash", *names, "shingles", F.inline("met"))
     mine = F.pmod(F.xxhash64("text_hash", F.lit(SEED)), F.col("blocks")).cast("int")
     # a single block meets itself; of more, every pair of different blocks meets, and with it each block
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != mine))
-    met = sets.select("*", mine.alias("block"), F.explode(others).alias("other")).select(
-        "root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "text_hash", "fp", "shingles"
+    met = placed.select("*", mine.alias("block"), F.explode(others).alias("other")).select(
+        "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "text_hash", *names, "shingles"
     )
-    group = ["root", "one", "two"]
+    group = ["key", "one", "two"]
 
-    def close(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
-        different = {text: (fp, found) for text, fp, found in rows}
-        fps = np.array([fp for fp, _ in different.values()], dtype=np.int64)
-        found = [np.frombuffer(x, "<u8") for _, x in different.values()]
-        return _alike_links(np.array(list(different), dtype=np.int64), fps, found, bits, least)
+    def close(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        different = {text: rest for text, *rest in rows}
+        prints = np.array([rest[:-1] for rest in different.values()], dtype=np.int64).reshape(-1, seeds)
+        found = [np.frombuffer(rest[-1], "<u8") for rest in different.values()]
+        return _alike_links(np.array(list(different), dtype=np.int64), prints, found, bits, least)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in small(batches):
             left, right = [], []
-            for *now, text, fp, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != key:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
                     a, b = close(held)
                     left += a
                     right += b
-                    key, held = now, []
-                held.append((text, fp, found))
+                    key, held = row[:3], []
+                held.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         a, b = close(held)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -350,19 +386,26 @@ def alike_links(
 
 
 def one_of_alike(
-    df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", block: int = ALIKE_BLOCK
+    df: DataFrame,
+    words: int = WORDS,
+    bits: int = BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = ALIKE_BLOCK,
+    seeds: tuple[int, ...] = (SEED,),
 ) -> DataFrame:
     """(id, text_hash) of one document of every component of verified links: that of smallest id (null is last), of
     smallest text hash among those.
 
-    SimHash only proposes: texts are linked when their fingerprints differ in at most ``bits`` bits and their sets
-    of five-word shingles are alike to 0.8.  All different texts are compared, also those of one fingerprint.
+    SimHash only proposes: texts are linked when their fingerprints of one of the ``seeds`` differ in at most ``bits``
+    bits and their sets of five-word shingles are alike to 0.8.  All different texts are compared, also those of one
+    fingerprint.  A pair that one seed's hashes part is often met by another's.
     """
-    docs = fingerprints(df, words, id_col, text_col)
-    texts = written(docs.groupBy("text_hash", "fp").agg(F.min(id_col).alias("least_id")), "texts")
-    roots = components(links(texts.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
-    rooted = written(texts.join(roots, "fp", "left").select("text_hash", "fp", F.coalesce("root", "fp").alias("root")), "candidates")
-    found = components(alike_links(df, rooted, bits, block=block, text_col=text_col)).withColumnRenamed("node", "text_hash")
+    names = fingerprint_columns(len(seeds))
+    docs = fingerprints(df, words, id_col, text_col, seeds)
+    texts = written(docs.groupBy("text_hash", *names).agg(F.min(id_col).alias("least_id")), "texts")
+    groups = written(candidate_groups(texts, bits, len(seeds), block), "candidates")
+    found = components(alike_links(df, groups, bits, len(seeds), id_col=id_col, text_col=text_col)).withColumnRenamed("node", "text_hash")
     grouped = texts.join(found, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     first = F.min(F.struct(F.col("least_id").isNull(), F.col("least_id").alias("id"), "text_hash")).alias("first")
     return grouped.groupBy("root").agg(first).select(F.col("first.id").alias(id_col), F.col("first.text_hash").alias("text_hash"))

@@ -115,3 +115,37 @@ def test_one_of_alike_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_alike(df, 2, 7).collect()) == [1, 3, 4, 5]
     assert simhash.one_of_alike(df.limit(0), 2, 7).count() == 0
+
+
+def test_a_second_seed_finds_more_of_the_alike_and_all_it_links_are_verified(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        base = list(rng.choice(words, 100))
+        copy = list(base)
+        for at in (20, 70):
+            copy[at] = f"x{rng.integers(1000)}"
+        texts += [" ".join(base), " ".join(copy)]
+    pairs = [(i, i + 1) for i in range(0, 120, 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+
+    def near(i, j, seeds):
+        return any(bin(simhash.fingerprint(texts[i], 2, s) ^ simhash.fingerprint(texts[j], 2, s)).count("1") <= 7 for s in seeds)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3, "doc_id long, text string")
+    sizes = {}
+    for seeds in ((42,), (42, 43)):
+        linked = {j for i, j in pairs if near(i, j, seeds)}
+        kept = {r.doc_id for r in simhash.one_of_alike(df.repartition(4), 2, 7, seeds=seeds).collect()}
+        assert kept == set(range(120)) - linked
+        sizes[seeds] = len(linked)
+    assert sizes[42, 43] > sizes[42,]
+
+
+def test_groups_of_equal_texts_are_compared_once(spark):
+    texts = spark.createDataFrame([(1, 0, 0), (2, 1, 3), (3, 2**40 - 1, 7), (4, 2**41 - 1, -1)], "text_hash long, fp long, fp_1 long")
+    met = {r.text_hash: r.met for r in simhash.candidate_groups(texts, 7, 2).collect()}
+    # 1 and 2 meet under both seeds, with 3 under the second; 3 and 4 under the first
+    assert {k: len(v) for k, v in met.items()} == {1: 2, 2: 2, 3: 2, 4: 1}
+    same = spark.createDataFrame([(1, 0, 0), (2, 1, 3)], "text_hash long, fp long, fp_1 long")
+    assert all(len(r.met) == 1 for r in simhash.candidate_groups(same, 7, 2).collect())
