@@ -88,6 +88,12 @@ def read_hourly(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(_hourly_schema(schema)).parquet(path)
 
 
+def hours_of(spark: SparkSession, path: str, schema: T.StructType, hours: list[str]) -> DataFrame:
+    """Rows of some hours of the dataset, by their folders."""
+    reader = spark.read.schema(_hourly_schema(schema)).option("basePath", path)
+    return reader.parquet(*(f"{path}/{HOUR_COL}={h}" for h in hours))
+
+
 def read_hours(spark: SparkSession, path: str, schema: T.StructType, start: datetime, end: datetime | None = None) -> DataFrame:
     """Rows of the hours from ``start`` on, up to ``end`` if given, and rows without an hour, by the folders' paths.
 
@@ -98,8 +104,7 @@ def read_hours(spark: SparkSession, path: str, schema: T.StructType, start: date
     touched = [h for h in hours if h == NO_HOUR or (h >= first and (last is None or h <= last))]
     if not touched:
         return spark.createDataFrame([], _hourly_schema(schema))
-    reader = spark.read.schema(_hourly_schema(schema)).option("basePath", path)
-    return reader.parquet(*(f"{path}/{HOUR_COL}={h}" for h in touched))
+    return hours_of(spark, path, schema, touched)
 
 
 def read_traffic(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:

@@ -24,7 +24,7 @@ from portvigil.operators.scoring import Scorer
 from portvigil.operators.sinks import append_history, expire_results, upsert_results
 from portvigil.operators.windows import Scaler
 from portvigil.plans.detect import detect
-from portvigil.sources.raw import HOUR_COL, read_hourly, read_hours, scan_optical, scan_traffic, write_hourly
+from portvigil.sources.raw import HOUR_COL, hours_of, read_hours, scan_optical, scan_traffic, write_hourly
 from portvigil.spec import (
     INTERVAL_MINUTES,
     KEYS,
@@ -198,9 +198,10 @@ def ingest(batch: DataFrame, path: str, rejected_path: str) -> None:
         if not unusable.isEmpty():
             unusable.write.mode("append").parquet(rejected_path)
         kept = arrived.where(~missing).groupBy(*keys).agg(F.max(F.struct(*metrics)).alias("m")).select(*keys, "m.*")
-        hours = [r[0] for r in kept.select(F.date_format("occur_date", "yyyy-MM-dd-HH")).distinct().collect()]
-        if set(hours) & set(partition_values(spark, path, HOUR_COL)):
-            stored = read_hourly(spark, path, arrived.schema).where(F.col(HOUR_COL).isin(hours))
+        hours = [r[0] for r in arrived.where(~missing).select(F.date_format("occur_date", "yyyy-MM-dd-HH")).distinct().collect()]
+        touched = sorted(set(hours) & set(partition_values(spark, path, HOUR_COL)))
+        if touched:
+            stored = hours_of(spark, path, arrived.schema, touched)
             kept = kept.join(stored.select(*keys), list(keys), "left_anti")
         with materialized(kept.select(*plain), "new") as new:
             write_hourly(new, path)
