@@ -61,6 +61,8 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.letters = byte_letters()
+        # every id as its four bytes, made once: joining them costs less than packing the ids of each piece
+        self.four = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         model = self.tokenizer.model
         model._resize_cache(0)  # what comes here is rare; looking it up there costs more than merging it
         self.merge = model.tokenize
@@ -70,8 +72,8 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isprintable()):
             piece = "".join([self.letters[b] for b in piece.encode()])
-        ids = [token.id for token in self.merge(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        four = self.four
+        return b"".join([four[token.id] for token in self.merge(piece)])
 
     def word(self, word: str) -> bytes:
         low = word.lower()
@@ -90,10 +92,9 @@ class WordIds:
         return b"".join([pieces[p] if len(p) <= LONGEST else self._piece(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
-        cached = self.words
         if _is_latin(text) and "<|" not in text:
             text = text.lower()  # no letter of these depends on its neighbours there; fewer words differ
-        return b"".join([cached[w] for w in words(text)])
+        return b"".join(map(self.words.__getitem__, words(text)))
 
 
 def _is_latin(text: str) -> bool:

@@ -71,6 +71,13 @@ def test_word_ids_as_the_library(docs):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_ids_of_pieces_are_joined_from_bytes_made_once():
+    own = word_bpe.WordIds(P.path("word_bpe_49k.json"))
+    one = own.word("the")
+    assert len(one) == 4 and own.word("The") is one  # nothing is packed for a word of one token
+    assert own.encode("the The thé 12") == b"".join(own.word(w) for w in ("the", "the", "thé", "12"))
+
+
 def test_cache_is_bounded_and_right():
     cache = WorkerCache(lambda k: k * 2, 10)
     for k in [*range(100), *range(50)]:
