@@ -80,6 +80,8 @@ class WordIds:
         if word.isascii():
             if low.isalpha():
                 return self._piece(low)  # as a word it is in the other cache
+            if low[:-1].isalpha():  # a word before a mark or digit is mostly known without it
+                return self.words[low[:-1]] + self.pieces[low[-1]]
             if "<|" not in word:
                 return self._joined(_find_ascii(low))
         elif max(low) < SETTLED and max(word) < SETTLED and "<|" not in word:

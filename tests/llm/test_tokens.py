@@ -78,6 +78,17 @@ def test_ids_of_pieces_are_joined_from_bytes_made_once():
     assert own.encode("the The thé 12") == b"".join(own.word(w) for w in ("the", "the", "thé", "12"))
 
 
+def test_a_word_before_a_mark_is_merged_once():
+    path = P.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), word_bpe.WordIds(path)
+    merged, merge = [], own.merge
+    own.merge = lambda piece: merged.append(piece) or merge(piece)
+    text = "quibbled quibbled, Quibbled. quibbled7 quibbled' (quibbled) <|quibbled " + "w" * 70 + "."
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    own.encode("quibbled! quibbled;")
+    assert merged.count("quibbled") == 2  # in brackets it is a piece
+
+
 def test_cache_is_bounded_and_right():
     cache = WorkerCache(lambda k: k * 2, 10)
     for k in [*range(100), *range(50)]:
