@@ -145,7 +145,7 @@ class Index:
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], of_all: Statistics | None = None):
         sizes = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
         self.terms = terms
-        doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        doc = np.repeat(np.arange(len(terms)), sizes)  # as wide as an index, else every look-up widens them again
         term = np.concatenate(terms).astype(np.int64)
         count = np.concatenate(counts).astype(np.float32)
         length = np.array([c.sum(dtype=np.int64) for c in counts], dtype=np.float32)
@@ -156,7 +156,7 @@ class Index:
         weight = self.idf[term] * count * (K1 + 1) / (count + norm[doc])
         self.bounds = np.r_[0, np.cumsum(sizes)]
         self.own = weight  # by document, for the choice of query terms
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(np.uint16) if len(self.df) <= 65536 else term, kind="stable")  # 16 bits are sorted by counting
         self.start = np.r_[0, np.cumsum(self.df)]
         self.doc, self.weight = doc[order], weight[order]
 

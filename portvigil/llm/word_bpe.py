@@ -77,15 +77,13 @@ class WordIds:
 
     def word(self, word: str) -> bytes:
         low = word.lower()
-        if word.isascii():
+        if _is_latin(word) or (max(low) < SETTLED and max(word) < SETTLED):
             if low.isalpha():
                 return self._piece(low)  # as a word it is in the other cache
             if low[:-1].isalpha():  # a word before a mark or digit is mostly known without it
                 return self.words[low[:-1]] + self.pieces[low[-1]]
             if "<|" not in word:
-                return self._joined(_find_ascii(low))
-        elif max(low) < SETTLED and max(word) < SETTLED and "<|" not in word:
-            return self._piece(low) if low.isalpha() else self._joined(_find(low))
+                return self._joined((_find_ascii if word.isascii() else _find)(low))
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -99,3 +99,13 @@ def test_counts_are_whole(term, times):
     assert len(packed) == len(ids) * (2 if term < 65536 else 4)
     terms, counts = packing.term_counts([packing.widened(packed, len(ids)), np.array([5, 5])])
     assert [x.tolist() for x in terms] == [[2, term], [5]] and [x.tolist() for x in counts] == [[1, times], [2]]
+
+
+@pytest.mark.parametrize("last", [65_535, 65_536])
+def test_postings_are_ordered_by_term_and_document(last):
+    rng = np.random.default_rng(5)
+    terms, counts = packing.term_counts([np.r_[rng.integers(0, last, 50), last] for _ in range(20)])
+    index = packing.Index(terms, counts)
+    assert index.doc.dtype == np.intp  # used as an index as it is
+    for term in (last, int(terms[3][7])):
+        assert index.doc[index.start[term] : index.start[term + 1]].tolist() == [d for d in range(20) if term in terms[d]]

@@ -83,7 +83,7 @@ def test_a_word_before_a_mark_is_merged_once():
     library, own = Tokenizer.from_file(path), word_bpe.WordIds(path)
     merged, merge = [], own.merge
     own.merge = lambda piece: merged.append(piece) or merge(piece)
-    text = "quibbled quibbled, Quibbled. quibbled7 quibbled' (quibbled) <|quibbled " + "w" * 70 + "."
+    text = "quibbled quibbled, Quibbled. quibbled7 quibbled' (quibbled) <|quibbled été, ÉTÉ. naïf½ ñandú» été\u0301 ǅungla. Ωmega, " + "w" * 70 + "."
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     own.encode("quibbled! quibbled;")
     assert merged.count("quibbled") == 2  # in brackets it is a piece
