@@ -8,7 +8,8 @@
    common tend to share a shard, and any number of copies is spread evenly over as many as they need.
 4. In a shard, a BM25 inverted index returns the unused documents that are nearest to a seed, and they fill its
    window one after the other; what does not fit is cut, and its rest is the next seed.  Documents of other shards
-   are not asked: README.md has the measured share of neighbours that a shard holds.
+   are not asked: README.md has the measured share of neighbours that a shard holds.  Long documents have small least
+   hashes and meet in few shards; such a shard is read in parts of ``SHARD_TOKENS`` at most, each with its own index.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portvigil.llm.word_bpe import WordIds
-from portvigil.llm.worker_cache import per_worker, small
+from portvigil.llm.worker_cache import forget, per_worker, small
 from portvigil.storage import written
 
 LENGTH = 4_096
 END_ID = 2
 SHARD_ROWS = 8_192
+#: Ids of a shard that a task holds at a time, more only for a single longer document.
+SHARD_TOKENS = 12 << 20
 #: A query is made of the seed's terms of highest weight.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
@@ -48,7 +51,7 @@ def narrow(ids: np.ndarray, tokens: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
-def widened(ids: bytes, tokens: int) -> np.ndarray:
+def widened(ids: bytes | pa.Buffer, tokens: int) -> np.ndarray:
     """The ids of a document; their width follows from their number."""
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * tokens else "<u4")
 
@@ -64,13 +67,17 @@ def term_counts(docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarr
     terms, counts = [], []
     for at in range(0, len(docs), _COUNTED_AT_ONCE):
         part = docs[at : at + _COUNTED_AT_ONCE]
-        owner = np.repeat(np.arange(len(part), dtype=np.uint64), [len(d) for d in part])
-        keys = np.sort(np.concatenate(part).astype(np.uint64) | owner << np.uint64(32))
+        ids = np.concatenate(part)
+        # number of the document above the id, as narrow as possible: narrow keys are sorted faster
+        key, term, bits = (np.uint32, np.uint16, 16) if ids.max() < 65536 else (np.uint64, np.uint32, 32)
+        keys = ids.astype(key)
+        keys |= np.repeat(np.arange(len(part), dtype=key) << key(bits), [len(d) for d in part])
+        keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        count = np.diff(np.r_[first, len(keys)])
-        cuts = np.searchsorted(keys[first], np.arange(1, len(part), dtype=np.uint64) << np.uint64(32))
-        terms += np.split((keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), cuts)
-        counts += np.split(count, cuts)
+        found = keys[first]
+        cuts = np.searchsorted(found, np.arange(1, len(part), dtype=key) << key(bits))
+        terms += np.split(found.astype(term), cuts)  # the upper half is cut off
+        counts += np.split(np.diff(np.r_[first, len(keys)]).astype(np.int32), cuts)
     return terms, counts
 
 
@@ -78,6 +85,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """(id, tokens, ids, near, row) of every row; ``row`` tells rows apart that are equal in all else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(("word_ids", path))
         encoder = per_worker(("word_ids", path), lambda: WordIds(path))
         end = END_ID.to_bytes(4, "little")
         for batch in small(batches):
@@ -145,20 +153,26 @@ class Index:
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], of_all: Statistics | None = None):
         sizes = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
         self.terms = terms
-        doc = np.repeat(np.arange(len(terms)), sizes)  # as wide as an index, else every look-up widens them again
-        term = np.concatenate(terms).astype(np.int64)
+        term = np.concatenate(terms)
         count = np.concatenate(counts).astype(np.float32)
         length = np.array([c.sum(dtype=np.int64) for c in counts], dtype=np.float32)
         self.n = len(terms)
         self.df = np.bincount(term)
         self.idf = of_all.idf if of_all else _idf(self.n, self.df)
         norm = K1 * (1 - B + B * length / (of_all.mean if of_all else length.mean()))
-        weight = self.idf[term] * count * (K1 + 1) / (count + norm[doc])
+        weight = self.idf[term]
+        weight *= count
+        weight *= K1 + 1
+        count += np.repeat(norm, sizes)
+        weight /= count
         self.bounds = np.r_[0, np.cumsum(sizes)]
         self.own = weight  # by document, for the choice of query terms
-        order = np.argsort(term.astype(np.uint16) if len(self.df) <= 65536 else term, kind="stable")  # 16 bits are sorted by counting
+        order = np.argsort(term.astype(np.uint16, copy=False) if len(self.df) <= 65536 else term, kind="stable")  # 16 bits are sorted by counting
+        del term, count
         self.start = np.r_[0, np.cumsum(self.df)]
-        self.doc, self.weight = doc[order], weight[order]
+        self.weight = weight[order]
+        # as wide as an index, else every look-up widens them again
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order].astype(np.intp)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the seed's terms of highest weight."""
@@ -220,14 +234,36 @@ def pack(tokens: np.ndarray, index: Index, length: int = LENGTH) -> list[tuple[i
         start = start if rest >= 0 else 0
 
 
+def parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """The rows in order, in tables of at most ``limit`` tokens; a longer document is a table by itself."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        ends = np.cumsum(batch.column("tokens").to_numpy())
+        at = done = 0
+        while at < batch.num_rows:
+            to = max(at + (not held), int(np.searchsorted(ends, done + limit - total, "right")))
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                total += int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
+            if at < batch.num_rows:
+                full, held, total = held, [], 0
+                yield pa.Table.from_batches(full)
+                del full
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def packed(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+    shard_rows: int = SHARD_ROWS, shard_tokens: int = SHARD_TOKENS,
+) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every row in exactly one piece.
 
     A null text counts as empty; an empty one is its end id alone.  Rows that repeat an id are packed each for
     itself, also where text and id, or null ids, are the same.  A sequence has ``length`` ids without gaps; only the
-    last of a shard has fewer.  An empty table gives no rows; other columns are not read.
+    last of a shard, or of its part of ``shard_tokens``, has fewer.  An empty table gives no rows; other columns are not read.
     """
     docs = written(encoded(df, path, id_col, text_col), "packing")
     of_all = statistics(docs)
@@ -238,22 +274,23 @@ def packed(
     )
     columns = out.fieldNames()
 
-    def fill(docs: dict[str, list], shard_ids: pa.ChunkedArray | list) -> pa.RecordBatch:
-        tokens = np.array(docs["tokens"], dtype=np.int64)
-        texts = [widened(x, n) for x, n in zip(docs["ids"], docs["tokens"], strict=True)]
+    def fill(docs: pa.Table, first: int) -> pa.RecordBatch:
+        tokens = docs["tokens"].to_numpy()
+        texts = [widened(x.as_buffer(), n) for x, n in zip(docs["ids"], tokens.tolist(), strict=True)]
         index = Index(*term_counts(texts), known.value)
         doc, start, size, sequence, offset = np.array(pack(tokens, index, length), dtype=np.int64).T
         pieces = zip(doc.tolist(), start.tolist(), (start + size).tolist(), strict=True)
         crc = np.array([zlib.crc32(texts[d][s:e].astype("<u4")) for d, s, e in pieces], dtype=np.int64)
-        ids = pa.chunked_array([shard_ids]) if not isinstance(shard_ids, pa.ChunkedArray) else shard_ids
-        numbers = [pa.array(x) for x in (start, size, crc, tokens[doc], sequence, offset)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids.take(pa.array(doc)).chunks), *numbers], columns)
+        numbers = [pa.array(x) for x in (start, size, crc, tokens[doc], sequence + first, offset)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(docs[id_col].take(pa.array(doc)).chunks), *numbers], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is not None:
-            rest = table.select(["tokens", "ids"]).to_pydict()
-            yield fill(rest, table[id_col])
+        forget()  # the words of the first pass serve no more; an index may have their memory
+        first = 0
+        for docs in parts(batches, shard_tokens):
+            filled = fill(docs, first)
+            first = filled.column("sequence")[-1].as_py() + 1
+            yield filled
 
     order = ("near", id_col, "row")
     dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -43,6 +44,15 @@ def per_worker(name: Hashable, make: Callable[[], Any]) -> Any:
     return _shared[name]
 
 
+def forget(*kept: Hashable) -> None:
+    """Drop what this worker keeps for other steps, all but the names ``kept``: a worker outlives its step."""
+    others = [name for name in _shared if name not in kept]
+    for name in others:
+        del _shared[name]
+    if others:
+        gc.collect()  # a cache and what fills it refer to each other
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches."""
     for batch in batches:

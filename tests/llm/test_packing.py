@@ -1,11 +1,14 @@
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from portvigil.llm import packing
+from portvigil.llm import packing, worker_cache
+from portvigil.llm.word_bpe import WordIds
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -109,3 +112,37 @@ def test_postings_are_ordered_by_term_and_document(last):
     assert index.doc.dtype == np.intp  # used as an index as it is
     for term in (last, int(terms[3][7])):
         assert index.doc[index.start[term] : index.start[term + 1]].tolist() == [d for d in range(20) if term in terms[d]]
+
+
+def test_a_shard_of_long_documents_is_read_in_parts():
+    given = [[3, 4, 3], [], [9, 1, 1], [30, 30], [2]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64())], ["tokens"]) for tokens in given]
+    found = [t["tokens"].to_pylist() for t in packing.parts(iter(batches), 10)]
+    assert found == [[3, 4, 3], [9, 1], [1], [30], [30], [2]]
+    assert list(packing.parts(iter([]), 10)) == []
+
+
+def test_parts_of_a_shard_hold_every_id_once(spark, docs):
+    whole = packing.packed(docs, PATH).toPandas()
+    pieces = packing.packed(docs, PATH, shard_tokens=9_000).toPandas()
+    total = pieces.groupby("doc_id").length.sum()
+    assert total.equals(whole.groupby("doc_id").length.sum())
+    assert pieces.drop_duplicates("doc_id").doc_tokens.sum() == pieces.length.sum()
+    for _, mine in pieces.sort_values("offset").groupby("sequence_id"):
+        assert mine.offset.tolist() == [0, *np.cumsum(mine.length)[:-1]] and mine.length.sum() <= packing.LENGTH
+    ids = sorted(pieces.sequence_id.unique())
+    assert ids == list(range(ids[0], ids[0] + len(ids))) and len(ids) > whole.sequence_id.nunique()
+
+
+def test_a_step_drops_what_others_kept():
+    class Kept:
+        pass
+
+    made = {name: worker_cache.per_worker(name, Kept) for name in ("one step", "another")}
+    seen = {name: weakref.ref(x) for name, x in made.items()}
+    made.clear()
+    worker_cache.forget("another")
+    assert seen["one step"]() is None and worker_cache.per_worker("another", Kept) is seen["another"]()
+    encoder = weakref.ref(worker_cache.per_worker(("word_ids", PATH), lambda: WordIds(PATH)))
+    worker_cache.forget()
+    assert encoder() is None and seen["another"]() is None  # also a cache that refers to itself
